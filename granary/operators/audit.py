@@ -45,7 +45,7 @@ def complaints(answers: DataFrame, excerpts: DataFrame) -> DataFrame:
     """answer_id, position, complaint: what the excerpts don't support, each once. answers: answer_id, answer; excerpts:
     answer_id, spec_id, edition, page.
 
-    A page belongs to the nearest code of its answer: `p.` follows its code, a spelled-out page may precede it. Farther
+    A page belongs to the nearest code of its answer, `p.` rather to one before it, a spelled-out page to one after it. Farther
     than 120 characters, it names no document. Answers whose excerpts have no identity get no complaints. The spans are
     found by a function; what belongs to what is a window and two joins within each answer.
     """
@@ -54,9 +54,9 @@ def complaints(answers: DataFrame, excerpts: DataFrame) -> DataFrame:
     found = judged.select("answer_id", *(spans_of(k)("answer").alias(f"{k}_spans") for k in ("code", "page", "edition")))
     cites = found.select("answer_id", "code_spans", "edition_spans", F.explode("page_spans").alias("p"))
     cites = cites.select("*", F.explode_outer("code_spans").alias("c"))
-    gap = F.when(F.col("p.short"), F.greatest(F.col("p.start") - F.col("c.end"), F.lit(0))).otherwise(F.greatest(F.col("c.start") - F.col("p.end"), F.lit(0)))
+    gap = F.when(F.col("p.short"), F.greatest(F.col("c.start") - F.col("p.end"), F.lit(0))).otherwise(F.greatest(F.col("p.start") - F.col("c.end"), F.lit(0)))
     apart = F.least(F.abs(F.col("p.start") - F.col("c.end")), F.abs(F.col("c.start") - F.col("p.end")))
-    one = W.partitionBy("answer_id", "p.start", "p.value").orderBy(F.col("c").isNull(), gap + F.when(F.col("p.short") & (F.col("c.start") > F.col("p.start")), NEAR).otherwise(0), apart, "c.start")
+    one = W.partitionBy("answer_id", "p.start", "p.value").orderBy(F.col("c").isNull(), gap, apart, "c.start")
     cites = cites.withColumns({"_n": F.row_number().over(one), "_apart": apart}).where("_n = 1")
     named = F.col("c").isNotNull() & (F.col("_apart") <= NEAR)
     cites = cites.select("answer_id", F.col("p.start").alias("position"), F.col("p.value").cast("int").alias("cited"), F.when(named, cited_id(F.col("c.value"))).alias("code"), _edition().alias("claimed"))
