@@ -8,6 +8,7 @@ import re
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from granary.llm import decontaminate, gru_lm, html_cut, licenses, mixing, order_minhash, spans, toxicity, zip_warc
@@ -247,3 +248,31 @@ def test_words_by_hand():
     data, offsets = utf8(pa.array(["Ab c", None, "  c\tAB\n", "é x"]))
     w = Words(data, offsets)
     assert w.counts.tolist() == [2, 0, 2, 2] and w.hash[0] == w.hash[3] and w.hash[1] == w.hash[2]
+
+
+def test_neighbours_in_a_bucket_over_many_tasks(spark):
+    """One bucket with most of the rows, and the ends of the tasks' ranges: all rows that follow each other are paired."""
+    rng = np.random.default_rng(5)
+    rows = [(int(b), int(n).to_bytes(16, "big"), int(rng.integers(5, 9))) for n, b in enumerate(np.where(rng.random(3000) < 0.7, -7, rng.integers(-3, 400, 3000)))]
+    buckets = spark.createDataFrame(rows, "bucket long, node binary, size long")
+    ordered = sorted((b, s, n) for b, n, s in rows)
+    expected = sorted((x[2], x[1], y[2], y[1]) for x, y in zip(ordered, ordered[1:], strict=False) if x[0] == y[0])
+    for given in (buckets, buckets.where("bucket = -7"), buckets.limit(1), buckets.where("false")):
+        found = sorted((bytes(r["a"]), r["before"], bytes(r["b"]), r["size"]) for r in order_minhash._neighbours(Scratch(spark), given, "n").collect())
+        if given is buckets:
+            assert found == expected
+        else:
+            assert len(found) == max(0, given.count() - 1)
+
+
+@pytest.mark.parametrize("size", [50, 700])
+def test_alignment_in_a_window_equals_whole_masks(size, monkeypatch):
+    rng = np.random.default_rng(size)
+    for _ in range(40):
+        a = rng.integers(0, size // 2, size).astype(np.uint64)
+        b = a[rng.random(size) > rng.choice([0.02, 0.1, 0.2])]
+        b = np.insert(b, rng.integers(0, len(b), 5), rng.integers(size, 2 * size, 5).astype(np.uint64))
+        whole = order_minhash.aligned(a, b)
+        monkeypatch.setattr(order_minhash, "_WHOLE", 0)
+        assert order_minhash.aligned(a, b) == whole
+        monkeypatch.undo()
