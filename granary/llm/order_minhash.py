@@ -24,6 +24,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES = 12
 #: K-mers up to which an alignment may hold a mask of all places for each k-mer; they take the square of it in bits at most.
 _WHOLE = 1 << 14
+#: Cells of a text's profile, and nodes of one bucket that a task compares with each other at once.
+PROFILE, CELL = 128, 1024
+#: Pairs a node that may be left to compare before components are contracted once more.
+FEW = 16
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -238,32 +242,134 @@ def _neighbours(keep: Scratch, buckets: DataFrame, name: str) -> DataFrame:
 
 
 def _candidates(keep: Scratch, buckets: DataFrame, threshold: float, name: str) -> DataFrame:
-    """Pairs (a, b) of the nodes of each bucket (bucket, node, size): each node with the bucket's smallest node, and with
-    the one before it by size, but for pairs whose sizes alone keep them under the threshold. Rows grow with the bucket,
-    not with its square."""
-    lead = buckets.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("_lead"))
+    """Pairs (a, b) of the nodes of each bucket (bucket, node, size, weight): each node with the bucket's heaviest node, and
+    with the one before it by size, but for pairs whose sizes alone keep them under the threshold. Rows grow with the
+    bucket, not with its square; the pairs left out are for _others to find."""
+    lead = buckets.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("weight"), "node", "size")).alias("_lead"))
     star = buckets.join(lead, "bucket").select(F.col("_lead.node").alias("a"), F.col("_lead.size").alias("before"), F.col("node").alias("b"), "size")
     both = star.union(_neighbours(keep, buckets, name)).where((F.col("a") != F.col("b")) & _close("before", "size", threshold))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _profiles(texts: DataFrame) -> DataFrame:
+    """node, profile: how many of the text's k-mers fall in each of PROFILE cells, 255 at most, a byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(column(batch, "text"))
+            for lo, hi in chunks(offsets):
+                hashes, first = kmers(data, offsets[lo : hi + 1])
+                doc = np.repeat(np.arange(hi - lo), np.diff(first))
+                cells = np.bincount(doc * PROFILE + (mix(hashes, 9) % np.uint64(PROFILE)).astype(np.int64), minlength=(hi - lo) * PROFILE)
+                flat = np.minimum(cells, 255).astype(np.uint8)
+                values = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.arange(0, len(flat) + 1, PROFILE, dtype=np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([column(batch, "node").slice(lo, hi - lo), values], names=["node", "profile"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, profile binary")
+
+
+def _fixed(values: pa.Array, width: int, kind: type) -> np.ndarray:
+    """A binary column of so many bytes a row, as a table of numbers."""
+    start = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, values.offset * 4)[0]
+    return np.frombuffer(values.buffers()[2], np.uint8, len(values) * width, int(start)).view(kind).reshape(len(values), -1)
+
+
+def _others(buckets: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
+    """All pairs (a, b) of nodes that share a bucket (bucket, node, root, size, profile) and have different roots, but for
+    those that can't align at the threshold: by their sizes, or by their profiles, whose difference is a lower bound of the
+    k-mers that stay unmatched.
+
+    Nodes meet by bands of size, each with its own and the next: so wide are the bands that no pair is further apart. A
+    band of many nodes is dealt in a grid of cells, each two parts of about `cell` nodes, so no task holds all of it.
+    """
+    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(1 / threshold)) + 1e-9) if threshold < 1 else F.col("size")
+    # a pair at the very edge of a band may be rounded into the next but one, so each meets two bands further down
+    rows = buckets.withColumn("own", band.cast("long")).withColumn("step", F.explode(F.array(*(F.lit(i) for i in range(3)))))
+    rows = rows.withColumn("band", F.col("own") - F.col("step")).withColumn("mine", F.col("step") == 0)
+    many = rows.groupBy("bucket", "band").agg(F.count("*").alias("n"), F.max("mine").alias("any"), F.min("root").alias("r"), F.max("root").alias("s"))
+    many = many.where("any AND n > 1 AND r <> s").select("bucket", "band", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
+    dealt = rows.join(many, ["bucket", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
+    names = ["bucket", "band", "x", "y"]
+    dealt = dealt.select(*names, "part", "mine", "node", "root", "size", "profile")
+    dealt = dealt.repartition(partitions(buckets.sparkSession), *names).sortWithinPartitions(*names)
+    slack = (1 - threshold) / (1 + threshold)
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Of whole groups."""
+        t = t.combine_chunks()
+        key = np.stack([t[c].to_numpy() for c in names], 1)
+        node, root = (t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c] for c in ("node", "root"))
+        node = node.chunk(0) if isinstance(node, pa.ChunkedArray) else node
+        root = root.chunk(0) if isinstance(root, pa.ChunkedArray) else root
+        profile = t["profile"].combine_chunks()
+        profile = profile.chunk(0) if isinstance(profile, pa.ChunkedArray) else profile
+        roots, cells = _fixed(root, 16, np.uint64), _fixed(profile, PROFILE, np.uint8)
+        part, mine, size = t["part"].to_numpy(), t["mine"].to_numpy(), t["size"].to_numpy()
+        n = len(t)
+        new = np.ones(n, bool)
+        new[1:] = (key[1:] != key[:-1]).any(1)
+        start = np.flatnonzero(new)
+        end = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n)))
+        after = end - np.arange(n) - 1
+        total = np.cumsum(after)
+        at = 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 18), "right")))
+            i = np.repeat(np.arange(at, to), after[at:to])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[at:to]) - after[at:to], after[at:to])
+            at = to
+            good = (mine[i] | mine[j]) & (roots[i] != roots[j]).any(1) & ((part[i] != part[j]) | (key[i, 2] == key[i, 3]))
+            good &= np.minimum(size[i], size[j]) >= np.maximum(size[i], size[j]) * threshold - 1e-6
+            i, j = i[good], j[good]
+            apart = np.abs(cells[i].astype(np.int16) - cells[j]).sum(1, dtype=np.int64)
+            near = apart <= (size[i] + size[j]) * slack + 1e-6
+            i, j = i[near], j[near]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([column(batch, c).to_numpy() for c in names], 1)
+            turns = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            before = np.array([column(held[-1], c)[-1].as_py() for c in names]) if held else key[0]
+            cut = int(turns[-1]) if len(turns) else 0
+            if cut or (before != key[0]).any():
+                yield from pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    found = dealt.mapInArrow(run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node (digest of a text), root (the digest that stands for its class), first (smallest doc_id of that text), and class_id (smallest
     doc_id of the class) for each different text of docs that has words.
 
-    Equal texts are one node. Within a bucket, nodes are compared with the bucket's smallest and with their neighbour by
-    size. Components of the links found are then contracted, and buckets in which several components still meet compare
-    one node of each, until a round brings no new link: so a link that one bucket's smallest node hides is found through
-    others, at a cost that grows with the rows of the buckets.
+    Equal texts are one node. Within a bucket, nodes are first compared with the bucket's heaviest, the one that shares
+    most buckets with others, which of an original and its copies is the original; and with their neighbour by size.
+    Components of the links found are then contracted, and buckets in which several components still meet compare one node
+    of each, until a round brings no new link or few pairs are left. Then all pairs of nodes that share a bucket and are
+    still apart are compared, so in the end each two nodes of a bucket are in one class or don't align.
     """
     keep = Scratch(docs.sparkSession)
     # nothing is known of a text without words, so it is like no other
     rows = docs.select("doc_id", text_column().alias("text")).withColumn("node", F.unhex(F.md5("text")))
     texts = keep.save(rows.groupBy("node").agg(F.min("doc_id").alias("first")), "texts")
     sketched = keep.save(_sketch_rows(rows).groupBy("bucket", "node").agg(F.first("size").alias("size")), "sketches")
-    full = sketched.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = keep.save(sketched.join(full, "bucket"), "buckets")
+    full = sketched.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keep.save(sketched.join(full, "bucket"), "shared")
     keep.drop("sketches")
+    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    buckets = keep.save(shared.drop("n").join(weights, "node").select("bucket", "node", "size", "weight"), "buckets")
+    keep.drop("shared")
     members = buckets.select("node").distinct()
     # of equal texts, however many, only the one with the smallest id goes on: the join is dealt by node and id
     wanted = texts.join(members, "node", "left_semi").select(F.col("node").alias("_node"), "first")
@@ -280,16 +386,27 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         fresh_links = not found.isEmpty()
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)
-        if not fresh_links:
-            break
-        rooted = keep.save(components(keep, links, f"components-{k}"), f"roots-{k}")
-        # one node for each component that still meets others in a bucket
-        marked = buckets.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        each = marked.groupBy("bucket", "root").agg(F.min(F.struct("node", "size")).alias("m"))
-        several = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        current = each.join(several, "bucket").select("bucket", F.col("m.node").alias("node"), F.col("m.size").alias("size"))
+        if fresh_links:
+            rooted = keep.save(components(keep, links, f"components-{k}"), f"roots-{k}")
         k += 1
+        # one node for each component that still meets others in a bucket, and how many pairs are apart
+        marked = buckets.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node")) if rooted is not None else buckets.withColumn("root", F.col("node"))
+        each = marked.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("weight")).alias("weight"), "node", "size")).alias("m"))
+        several = each.groupBy("bucket").agg(F.count("*").alias("roots"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("apart"), F.sum("n").alias("all")).where("roots > 1")
+        several = keep.save(several, f"several-{k}")
+        apart, left = several.agg(F.sum("apart"), F.sum("all")).first()
+        if not fresh_links or not apart or apart <= FEW * left:
+            break
+        current = each.join(several, "bucket").select("bucket", F.col("m.node").alias("node"), F.col("m.size").alias("size"), (-F.col("m.weight")).alias("weight"))
         current = keep.save(current, f"current-{k}")
+    if apart:
+        open_ = keep.save(marked.join(several.select("bucket"), "bucket").select("bucket", "node", "root", "size"), "open")
+        profiles = keep.save(_profiles(bodies.join(open_.select("node").distinct(), "node", "left_semi")), "profiles")
+        pairs = _others(open_.join(profiles, "node"), threshold).join(tried, ["a", "b"], "left_anti")
+        found = keep.save(_verified(keep.save(pairs, "pairs-others"), bodies, threshold), "links-others")
+        if not found.isEmpty():
+            rooted = keep.save(components(keep, links.union(found), "components-others"), "roots-others")
+        keep.drop("open", "profiles", "pairs-others")
     if rooted is None:
         return texts.select("node", F.col("node").alias("root"), "first", F.col("first").alias("class_id"))
     named = texts.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
