@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A document is cut into sentences (ends: . ! or ? before white space, and line ends; a sentence of over 20 words is cut
-every 20). Spans are runs of at least three consecutive sentences that hold at least twelve words: the shortest such run
+where its words say so: before the word with the least hash of each twelve in a row). So pieces of long sentences are twelve
+words at most, and 48 words that two long sentences share are cut alike from their twelfth word on, wherever they begin. Spans are runs of at least three consecutive sentences that hold at least twelve words: the shortest such run
 from each sentence on, and the shortest up to each. Their hashes meet globally. The first document of a span keeps it; all
 sentences that a span covers anywhere else are removed.
 """
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import SPACES, Scratch, Words, chunks, column, fresh, mix, signed, text_column, utf8
 
 SENTENCES, SPAN_WORDS, CUT = 3, 12, 20
+#: Words in a row of which the one with the least hash (of equal ones the last) begins a piece, in sentences over CUT.
+WINDOW = 12
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,14 +42,26 @@ class Spans:
             begins[1:] |= closes
         at = np.flatnonzero(begins[:n])
         length = np.diff(np.append(at, n))
-        # long sentences are cut every CUT words from their own start, so that equal ones are cut alike
-        parts = -(-length // CUT)
-        step = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-        self.word = np.append(np.repeat(at, parts) + step * CUT, n)
+        # long sentences are cut by content, so that equal passages are cut alike wherever they begin
+        begins[self._cuts(at, length)] = True
+        self.word = np.append(np.flatnonzero(begins[:n]), n)
         self.first = np.searchsorted(self.word[:-1], w.first)
         self.doc = np.repeat(np.arange(self.docs), np.diff(self.first))
         self._spans()
 
+    def _cuts(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Words that begin a piece of a sentence over CUT: at and length are of all sentences."""
+        long = length > CUT
+        windows = length[long] - WINDOW + 1
+        i = np.arange(int(windows.sum())) + np.repeat(at[long] - (np.cumsum(windows) - windows), windows)
+        key = mix(self.words.hash, 11)
+        best, least = i, key[i]
+        for k in range(1, WINDOW):
+            new = key[i + k]
+            take = new <= least
+            best, least = np.where(take, i + k, best), np.where(take, new, least)
+        return np.unique(best)
+
     def _spans(self) -> None:
         s = len(self.word) - 1
         start, end = self.first[self.doc], self.first[self.doc + 1]

@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from granary.llm import order_minhash
+from granary.llm import order_minhash, spans
 from tests.llm.test_brute import documents, prose
 
 
@@ -50,3 +50,18 @@ def test_all_pairs_of_a_bucket(spark):
         rows = order_minhash._others(buckets.join(profiles, "node"), 0.8, cell).select("a", "b").collect()
         got = {(int.from_bytes(x["a"], "big"), int.from_bytes(x["b"], "big")) for x in rows}
         assert len(rows) == len(got) and want <= got and len(want) > 50
+
+
+def test_passages_inside_long_sentences(spark):
+    """A passage of 60 words without an end mark loses its middle wherever it begins in a sentence."""
+    passage = [f"shared{i}" for i in range(60)]
+    texts = []
+    for k in range(40):
+        r = random.Random(k)
+        before, after = ([f"own{k}_{r.randrange(10**6)}" for _ in range(n)] for n in (3 + 7 * k % 41, 15))
+        texts.append(" ".join([*before, *passage, *after]))
+    got = {x["doc_id"]: x["text"].split() for x in spans.dedup(documents(spark, texts)).collect()}
+    assert got[0] == texts[0].split()
+    for k in range(1, 40):
+        left = sum(w.startswith("shared") for w in got[k])
+        assert left <= 36 and all(w in got[k] for w in texts[k].split()[:1]), (k, left)
