@@ -48,18 +48,28 @@ _TOKEN = re.compile(
     r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|<[!?][^>]*>""",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|\b(hidden)\b|(display\s*:\s*none)|aria-(hidden)\s*=\s*["']?true""", re.I)
+#: Name and value of an attribute: in quotes, bare, or without one.
+_NAMES = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?=;|$)", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
 def named(attributes: str) -> tuple[str, bool]:
     """("ad", "layout", "content" or "", and whether hidden) for the attributes of an element."""
-    kind = ""
-    for key, value, hidden, style, aria in _NAMES.findall(attributes):
-        if hidden or style or aria:
+    kind, seen = "", set()
+    for key, value in _NAMES.findall(attributes):
+        key = key.lower()
+        if key in seen:  # of an attribute that repeats, the first counts
+            continue
+        seen.add(key)
+        value = unescape(value[1:-1] if value[:1] in ("'", '"') else value)
+        if key == "hidden" or key == "style" and _UNSEEN.search(value) or key == "aria-hidden" and value.strip().lower() == "true":
             return "ad", True
-        parts = {p.lower() for p in _PART.findall(value)}
-        if key.lower() == "role":
+        if key not in ("class", "id", "role"):
+            continue
+        # hidden counts as a whole name: overflow-hidden and the like hide nothing
+        parts = {p.lower() for name in value.split() for p in _PART.findall(name) if p.lower() != "hidden" or name.lower() == "hidden"}
+        if key == "role":
             found = "ad" if parts & BOILER_ROLES else "content" if parts & CONTENT_TAGS else ""
         else:
             found = "ad" if parts & (BOILER - LAYOUT) else "layout" if parts & LAYOUT else "content" if parts & CONTENT else ""

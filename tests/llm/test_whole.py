@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from granary.llm import order_minhash, spans
+from granary.llm import html_cut, order_minhash, spans
 from tests.llm.test_brute import documents, prose
 
 
@@ -65,3 +65,13 @@ def test_passages_inside_long_sentences(spark):
     for k in range(1, 40):
         left = sum(w.startswith("shared") for w in got[k])
         assert left <= 36 and all(w in got[k] for w in texts[k].split()[:1]), (k, left)
+
+
+def test_elements_that_only_mention_hidden():
+    seen = ['style="overflow:hidden"', 'aria-hidden="false"', 'data-sidebar="hidden"', 'title="display:none"', 'style="--x-display:none"', 'data-hidden', 'class="overflow-hidden"', "alt='a hidden thing'"]
+    gone = ["hidden", 'class="a hidden"', 'hidden=""', 'HIDDEN="until-found"', 'aria-hidden="true"', "aria-hidden=true", 'style="color:red; display: none"', 'style="visibility:hidden !important"', "style=display:none"]
+    assert [a for a in seen if html_cut.named(f" {a}") != ("", False)] == []
+    assert [a for a in gone if html_cut.named(f" {a} ") != ("ad", True)] == []
+    assert html_cut.named(' class="article" data-class="ad"') == ("content", False)
+    text = "word " * 60
+    assert html_cut.main_text(f'<article style="overflow:hidden"><p>{text}</p></article><article hidden><p>{text}</p></article>') == text.strip()
