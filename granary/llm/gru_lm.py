@@ -3,7 +3,7 @@
 The most frequent tokens are the model's vocabulary, in classes of equal number by frequency; all others are one more
 entry, whose probability is shared among them by their smoothed counts, so the model is a distribution over all tokens.
 The network is trained by truncated backpropagation in numpy: a start on the driver from a bounded sample, then each task
-goes on alone over a share of its own documents, and the results are averaged. Scoring carries the state across windows
+goes on alone over all of its own documents, and the results are averaged. Scoring carries the state across windows
 from a document's start to its end.
 """
 
@@ -27,8 +27,8 @@ VOCABULARY = CLASSES * CLASS_SIZE
 #: Steps of a window, and documents side by side.
 STEPS, LANES, TRAIN_LANES = 32, 512, 96
 RATE, TUNE_RATE = 4e-3, 1e-3
-#: Words that the driver starts on, at most, and the share of all training documents on which the tasks go on.
-START_WORDS, TUNE_SHARE = 1_200_000, 0.05
+#: Words that the driver starts on, at most; the tasks then go on over all training documents, these included.
+START_WORDS = 1_200_000
 #: Tokens whose counts every task holds; counts of rarer ones join by hash. 16 bytes each.
 HEAD = 1 << 18
 #: Words that a task scores side by side (a longer document is taken alone).
@@ -413,8 +413,7 @@ def train(docs: DataFrame, keep: Scratch) -> tuple[Counts, Net, DataFrame]:
                 {"task": pa.array([task] * len(net), pa.int64()), "part": pa.array(range(len(net)), pa.int32()), "weight": [float(n)] * len(net), "values": pa.array([a.tobytes() for a in net], pa.binary())}
             )
 
-    some = docs.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_000)) < int(TUNE_SHARE * 1_000_000)).select("text")
-    tuned = keep.save(some.mapInArrow(tune, "task long, part int, weight double, values binary"), "nets")
+    tuned = keep.save(docs.select("text").mapInArrow(tune, "task long, part int, weight double, values binary"), "nets")
     return head, _averaged(tuned, keep) or net, counts
 
 

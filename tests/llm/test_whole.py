@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from granary.llm import html_cut, order_minhash, spans
+from granary.llm import gru_lm, html_cut, order_minhash, spans
 from tests.llm.test_brute import documents, prose
 
 
@@ -75,3 +75,12 @@ def test_elements_that_only_mention_hidden():
     assert html_cut.named(' class="article" data-class="ad"') == ("content", False)
     text = "word " * 60
     assert html_cut.main_text(f'<article style="overflow:hidden"><p>{text}</p></article><article hidden><p>{text}</p></article>') == text.strip()
+
+
+def test_network_learns_from_all_training_documents(spark, monkeypatch):
+    learnt = []
+    averaged = gru_lm._averaged
+    monkeypatch.setattr(gru_lm, "_averaged", lambda nets, keep: learnt.append(nets.where("part = 0").agg(F.sum("weight")).first()[0]) or averaged(nets, keep))
+    docs = documents(spark, [prose(20 + i % 9, i, 50) for i in range(200)])
+    got = gru_lm.score(docs, F.col("doc_id") % 5 == 1).collect()
+    assert learnt == [sum(x["n_tokens"] for x in got if not x["held_out"])] == [got[0]["train_tokens"]]
