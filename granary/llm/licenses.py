@@ -7,6 +7,7 @@ white space and ASCII or typographic punctuation made one space. The digest is t
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +89,12 @@ TEXTS = [
 #: A line that holds none of these can't be a known notice of one line (the known ones all hold one; a test checks it).
 HINTS = ("licens", "licenc")
 
+#: As HINTS, for the whole texts too: those that don't speak of a licence hold this word.
+MORE_HINTS = (*HINTS, "provided")
+#: A first line that is only the name of what follows.
+TITLED = ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib")
+_END = "END OF TERMS AND CONDITIONS"
+
 _COPYRIGHT = r"(^|\n)[^\na-z0-9]*(copyright|\(c\)|©)[^\n]*"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{2010}-\x{2015}\x{2018}-\x{201F}\x{2026}\x{00A0}]+"
 
@@ -104,9 +111,16 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the folder license_texts, and of the texts at hand without their title or what follows their terms."""
+    out = [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+    bare = [(n, t.split("\n\n", 1)[1]) for n, t in [*TEXTS, *out] if n in TITLED and "\n\n" in t]
+    return [*out, *bare, *((n, t[: t.index(_END) + len(_END)]) for n, t in out if _END in t)]
+
+
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """license_digest, license: one row a digest; of several names the first in code point order."""
-    rows = spark.createDataFrame(TEXTS if texts is None else texts, "license string, body string")
+    rows = spark.createDataFrame([*TEXTS, *whole_texts()] if texts is None else texts, "license string, body string")
     return rows.groupBy(digest(F.col("body")).alias("license_digest")).agg(F.min("license").alias("license")).dropna()
 
 
@@ -118,15 +132,16 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     id and text get equal results. The known digests join by hash; Spark broadcasts them only while they are under its
     autoBroadcastJoinThreshold, as the size of that table is the caller's. Other columns of docs are not looked at.
     """
+    # of a caller's list nothing is known, so all lines are looked up
+    hinted = (lambda x: reduce(lambda a, b: a | b, (F.lower(x).contains(h) for h in MORE_HINTS))) if known is None else (lambda x: F.lit(True))
     known = known_licenses(docs.sparkSession) if known is None else known
     text = text_column()
     rows = docs.select("doc_id", text.alias("_text"))
     whole = rows.select("doc_id", F.xxhash64("_text").alias("_row"), digest(F.col("_text")).alias("digest"))
-    lower = F.lower("_text")
     lines = (
-        rows.where(reduce(lambda a, b: a | b, (lower.contains(h) for h in HINTS)))
+        rows.where(hinted("_text"))
         .select("doc_id", F.xxhash64("_text").alias("_row"), F.posexplode(F.split("_text", "\n")).alias("_no", "_line"))
-        .where(reduce(lambda a, b: a | b, (F.lower("_line").contains(h) for h in HINTS)))
+        .where(hinted("_line"))
         .select("doc_id", "_row", "_no", digest(F.col("_line")).alias("license_digest"))
         .join(known, "license_digest")
         .groupBy("doc_id", "_row")

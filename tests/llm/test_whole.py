@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from granary.llm import gru_lm, html_cut, order_minhash, spans
+from granary.llm import gru_lm, html_cut, licenses, order_minhash, spans
 from tests.llm.test_brute import documents, prose
 
 
@@ -84,3 +84,17 @@ def test_network_learns_from_all_training_documents(spark, monkeypatch):
     docs = documents(spark, [prose(20 + i % 9, i, 50) for i in range(200)])
     got = gru_lm.score(docs, F.col("doc_id") % 5 == 1).collect()
     assert learnt == [sum(x["n_tokens"] for x in got if not x["held_out"])] == [got[0]["train_tokens"]]
+
+
+def test_whole_licences(spark):
+    known = licenses.whole_texts()
+    assert {"BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense", "BSL-1.0", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0"} <= {n for n, _ in known}
+    assert all(any(h in t.lower() for h in licenses.MORE_HINTS) for _, t in known)
+    zlib = dict(known)["Zlib"].replace("\n", " ")
+    got = {x["doc_id"]: x for x in licenses.scan(documents(spark, [*(t.upper() for _, t in known), "x\n" + zlib + "\ny"])).collect()}
+    assert [got[i]["license"] for i in range(len(known))] == [n for n, _ in known] and got[len(known)]["notices"] == "Zlib"
+
+
+def test_notices_of_the_caller(spark):
+    known = licenses.known_licenses(spark, [("Own", "Do as you like.")])
+    assert licenses.scan(documents(spark, ["x\nDo as you like!\ny"]), known).first()["notices"] == "Own"
