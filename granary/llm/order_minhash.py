@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import PUNCT, Scratch, Words, chunks, column, fresh, mix, partitions, signed, text_column, utf8, windows
@@ -24,10 +23,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES = 12
 #: K-mers up to which an alignment may hold a mask of all places for each k-mer; they take the square of it in bits at most.
 _WHOLE = 1 << 14
-#: Cells of a text's profile, and nodes of one bucket that a task compares with each other at once.
-PROFILE, CELL = 128, 1024
-#: Pairs a node that may be left to compare before components are contracted once more.
-FEW = 16
+#: Parity bits a k-mer, and the least and most of a text.
+BITS, LEAST_BITS, MOST_BITS = 4, 256, 1 << 16
+#: Nodes and k-mers of a bucket's part; a task compares two parts with each other at once.
+CELL, CELL_KMERS = 2048, 2_000_000
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -165,22 +164,25 @@ def _bits(at: list[int]) -> int:
     return int.from_bytes(raw, "little")
 
 
-def _sketch_rows(texts: DataFrame) -> DataFrame:
-    """bucket, node, size (k-mers) for each sketch of each text."""
+def _sketched(rows: DataFrame) -> DataFrame:
+    """node, first (smallest doc_id), size (k-mers) and marks (its sketches; null without k-mers) of each different text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, (data, offsets) = column(batch, "node"), utf8(column(batch, "text"))
+            data, offsets = utf8(column(batch, "text"))
             for lo, hi in chunks(offsets):
                 hashes, first = kmers(data, offsets[lo : hi + 1])
                 docs, marks = sketches(hashes, first)
-                rows = np.repeat(docs, SKETCHES)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(marks.ravel())), nodes.take(pa.array(lo + rows)), pa.array(np.diff(first)[rows].astype(np.int64))],
-                    names=["bucket", "node", "size"],
-                )
+                some = np.zeros(hi - lo, np.int64)
+                some[docs] = SKETCHES
+                starts = pa.array(np.concatenate([[0], np.cumsum(some)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(starts, pa.array(signed(marks.ravel())), mask=pa.array(some == 0))
+                own = [column(batch, c).slice(lo, hi - lo) for c in ("node", "doc_id")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(first).astype(np.int64)), lists], names=["node", "doc_id", "size", "marks"])
 
-    return texts.select("node", "text").mapInArrow(run, "bucket long, node binary, size long")
+    kind = dict(rows.dtypes)["doc_id"]
+    each = rows.select("node", "doc_id", "text").mapInArrow(run, f"node binary, doc_id {kind}, size long, marks array<long>")
+    return each.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("marks").alias("marks"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -206,147 +208,209 @@ def _close(one: str, other: str, threshold: float) -> Column:
     return F.least(one, other) >= F.greatest(one, other) * threshold - 1e-6
 
 
-def _neighbours(keep: Scratch, buckets: DataFrame, name: str) -> DataFrame:
-    """a, b and their sizes (before, size) for each two rows that follow each other in one bucket by size and node.
-
-    The rows are sorted in ranges of (bucket, size, node), so a large bucket goes to many tasks. Each task pairs its own
-    rows and reports its first and its last one; of these, few a task, those that follow each other are paired after it.
-    """
-    order = ("bucket", "size", "node")
-    ranged = buckets.select(*order).repartitionByRange(partitions(buckets.sparkSession), *order).sortWithinPartitions(*order)
-    names = ["bucket", "a", "before", "b", "size", "part"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            first = first or batch.slice(0, 1)
-            rows = pa.Table.from_batches([last, batch] if last else [batch]).combine_chunks()
-            bucket = rows["bucket"].to_numpy()
-            same = pa.array(bucket[1:] == bucket[:-1])
-            x, y = rows.slice(0, len(rows) - 1).filter(same), rows.slice(1).filter(same)
-            last = batch.slice(batch.num_rows - 1)
-            yield from pa.table([x["bucket"], x["node"], x["size"], y["node"], y["size"], y["part"]], names).to_batches()
-        for edge in (first, last):
-            if edge:
-                none = pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([column(edge, "bucket"), column(edge, "node"), column(edge, "size"), *none, column(edge, "part")], names)
-
-    schema = "bucket long, a binary, before long, b binary, size long, part int"
-    rows = keep.save(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(run, schema), name)
-    edges = rows.where("b IS NULL").select("bucket", F.col("a").alias("node"), F.col("before").alias("size"), "part").distinct()
-    of = W.partitionBy("bucket").orderBy("size", "node")
-    met = edges.select(F.lag("node").over(of).alias("a"), F.lag("size").over(of).alias("before"), F.col("node").alias("b"), "size", "part", F.lag("part").over(of).alias("_part"))
-    return rows.where("b IS NOT NULL").select("a", "before", "b", "size").union(met.where("part <> _part").select("a", "before", "b", "size"))
-
-
-def _candidates(keep: Scratch, buckets: DataFrame, threshold: float, name: str) -> DataFrame:
-    """Pairs (a, b) of the nodes of each bucket (bucket, node, size, weight): each node with the bucket's heaviest node, and
-    with the one before it by size, but for pairs whose sizes alone keep them under the threshold. Rows grow with the
-    bucket, not with its square; the pairs left out are for _others to find."""
-    lead = buckets.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("weight"), "node", "size")).alias("_lead"))
-    star = buckets.join(lead, "bucket").select(F.col("_lead.node").alias("a"), F.col("_lead.size").alias("before"), F.col("node").alias("b"), "size")
-    both = star.union(_neighbours(keep, buckets, name)).where((F.col("a") != F.col("b")) & _close("before", "size", threshold))
+def _star(shared: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of each node with the heaviest node of each of its buckets, but for pairs whose sizes alone keep them
+    under the threshold. shared: bucket, node, size, n (nodes of the bucket); a node weighs as much as it shares buckets
+    with others. Rows grow with the bucket, not with its square."""
+    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    lead = shared.join(weights, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("weight"), "node", "size")).alias("_lead"))
+    both = shared.join(lead, "bucket").select(F.col("_lead.node").alias("a"), F.col("_lead.size").alias("before"), F.col("node").alias("b"), "size")
+    both = both.where((F.col("a") != F.col("b")) & _close("before", "size", threshold))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _profiles(texts: DataFrame) -> DataFrame:
-    """node, profile: how many of the text's k-mers fall in each of PROFILE cells, 255 at most, a byte each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(column(batch, "text"))
-            for lo, hi in chunks(offsets):
-                hashes, first = kmers(data, offsets[lo : hi + 1])
-                doc = np.repeat(np.arange(hi - lo), np.diff(first))
-                cells = np.bincount(doc * PROFILE + (mix(hashes, 9) % np.uint64(PROFILE)).astype(np.int64), minlength=(hi - lo) * PROFILE)
-                flat = np.minimum(cells, 255).astype(np.uint8)
-                values = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.arange(0, len(flat) + 1, PROFILE, dtype=np.int32)), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays([column(batch, "node").slice(lo, hi - lo), values], names=["node", "profile"])
+def parities(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Each document's parity bits: whether an odd number of its labelled k-mers falls in a cell.
+
+    The bits in which two documents differ are at most as many as the k-mers that only one of them has. There are at
+    least BITS cells a k-mer (up to MOST_BITS), a power of two; XORing its halves makes a row of half the cells."""
+    out, names = [], mix(labelled(hashes, first), 9)
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        cells = min(MOST_BITS, max(LEAST_BITS, 1 << int(BITS * (hi - lo) - 1).bit_length())) if hi > lo else LEAST_BITS
+        odd = np.bincount((names[lo:hi] & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def differing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Row by row, the bits in which two tables of bytes differ; the wider table's rows are folded to the other's width."""
+    if left.shape[1] < right.shape[1]:
+        left, right = right, left
+    width = right.shape[1]
+    folded = np.bitwise_xor.reduce(left.reshape(len(left), -1, width), axis=1) if left.shape[1] > width else left
+    return np.bitwise_count((folded ^ right).view(np.uint64)).sum(1, dtype=np.int64)
+
+
+class _Parities:
+    """Rows of a binary column by their width."""
+
+    def __init__(self, values: pa.Array):
+        offsets = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, values.offset * 4).astype(np.int64)
+        data = np.frombuffer(values.buffers()[2], np.uint8)
+        self.width = np.diff(offsets)
+        self.place = np.zeros(len(values), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.rows[w] = data[offsets[at][:, None] + np.arange(w)]
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        both = self.width[i] * (1 << 20) + self.width[j]
+        for key in np.unique(both).tolist():
+            at, (v, w) = np.flatnonzero(both == key), divmod(key, 1 << 20)
+            step = max(1, (1 << 24) // max(v, w))
+            for lo in range(0, len(at), step):
+                part = at[lo : lo + step]
+                out[part] = differing(self.rows[v][self.place[i[part]]], self.rows[w][self.place[j[part]]])
+        return out
+
+
+_CELL = ["bucket", "band", "x", "y"]
+
+
+def _flat(table: pa.Table, name: str) -> pa.Array:
+    values = table[name].combine_chunks()
+    return values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
+
+
+def _near(t: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows i, j of whole cells that may align, and how many k-mers they differ in at least. Left out: rows of one root, pairs
+    that sizes or parities rule out, and pairs that share an earlier sketch, which another bucket compares."""
+    key = np.stack([t[c].to_numpy() for c in _CELL], 1)
+    roots = np.unique(np.array(_flat(t, "root").to_pylist(), object), return_inverse=True)[1]
+    marks = _flat(t, "marks").flatten().to_numpy().reshape(-1, SKETCHES)
+    part, mine, size = t["part"].to_numpy(), t["mine"].to_numpy(), t["size"].to_numpy()
+    bits, n, slack = _Parities(_flat(t, "parity")), len(t), (1 - threshold) / (1 + threshold)
+    new = np.ones(n, bool)
+    new[1:] = (key[1:] != key[:-1]).any(1)
+    start = np.flatnonzero(new)
+    end = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n)))
+    after = end - np.arange(n) - 1
+    total = np.cumsum(after)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 18), "right")))
+        i = np.repeat(np.arange(at, to), after[at:to])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[at:to]) - after[at:to], after[at:to])
+        at = to
+        good = (mine[i] | mine[j]) & (roots[i] != roots[j]) & ((part[i] != part[j]) | (key[i, 2] == key[i, 3]))
+        good &= np.minimum(size[i], size[j]) >= np.maximum(size[i], size[j]) * threshold - 1e-6
+        i, j = i[good], j[good]
+        earliest = (marks[i] == marks[j]).argmax(1)
+        here = marks[i, earliest] == key[i, 0]
+        i, j = i[here], j[here]
+        apart = bits.apart(i, j)
+        near = apart <= (size[i] + size[j]) * slack + 1e-6
+        if near.any():
+            yield i[near], j[near], apart[near]
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The sorted batches, put together and cut so that no cell is in two tables."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([column(batch, c).to_numpy() for c in _CELL], 1)
+        turns = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        before = np.array([column(held[-1], c)[-1].as_py() for c in _CELL]) if held else key[0]
+        cut = int(turns[-1]) if len(turns) else 0
+        if cut or (before != key[0]).any():
+            if held or cut:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _cells(rows: DataFrame, threshold: float, most: int) -> DataFrame:
+    """Deals the nodes of each bucket (bucket, node, root, size) to cells (bucket, band, x, y) so that each two nodes of a bucket
+    that have different roots, and sizes in reach of the threshold, meet in one cell.
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, profile binary")
+    Nodes meet by bands of size, each with its own and the next: so wide are the bands that no pair is further apart. A
+    band of over `most` nodes, or many k-mers, is dealt in parts, and each two parts are a cell, so no task holds all of it.
+    """
+    wide = float(np.log(1 / threshold)) * 1.001 if threshold < 1 else 1e-9
+    band = F.floor(F.log(F.col("size").cast("double")) / wide).cast("long")
+    rows = rows.withColumn("own", band).withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = rows.withColumn("band", F.col("own") - F.col("step")).withColumn("mine", F.col("step") == 0)
+    many = rows.groupBy("bucket", "band").agg(
+        F.count("*").alias("n"), F.sum("size").alias("all"), F.max("mine").alias("any"), F.min("root").alias("r"), F.max("root").alias("s")
+    )
+    parts = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("all") / CELL_KMERS)).cast("int")
+    many = many.where("any AND n > 1 AND r <> s").select("bucket", "band", parts.alias("parts"))
+    dealt = rows.join(many, ["bucket", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select("bucket", "band", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "mine", "node", "root", "size")
 
 
-def _fixed(values: pa.Array, width: int, kind: type) -> np.ndarray:
-    """A binary column of so many bytes a row, as a table of numbers."""
-    start = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, values.offset * 4)[0]
-    return np.frombuffer(values.buffers()[2], np.uint8, len(values) * width, int(start)).view(kind).reshape(len(values), -1)
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), *_CELL).sortWithinPartitions(*_CELL)
 
 
-def _others(buckets: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
-    """All pairs (a, b) of nodes that share a bucket (bucket, node, root, size, profile) and have different roots, but for
-    those that can't align at the threshold: by their sizes, or by their profiles, whose difference is a lower bound of the
-    k-mers that stay unmatched.
+def _others(keep: Scratch, rows: DataFrame, bodies: DataFrame, threshold: float, most: int = CELL) -> DataFrame:
+    """Links (a, b) that join all roots of rows (bucket, node, root, size) which belong together: of the nodes that share a
+    bucket and have different roots, each two that align are in one class by these links and the roots.
 
-    Nodes meet by bands of size, each with its own and the next: so wide are the bands that no pair is further apart. A
-    band of many nodes is dealt in a grid of cells, each two parts of about `cell` nodes, so no task holds all of it.
+    First each cell keeps the nodes that may align with another of it, by sizes and parities; then these meet again with
+    their texts (bodies: node, text, marks), the nearest first, and pairs that are in one class by now are passed over. So
+    a cell gives as many links at most as it has nodes.
     """
-    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(1 / threshold)) + 1e-9) if threshold < 1 else F.col("size")
-    # a pair at the very edge of a band may be rounded into the next but one, so each meets two bands further down
-    rows = buckets.withColumn("own", band.cast("long")).withColumn("step", F.explode(F.array(*(F.lit(i) for i in range(3)))))
-    rows = rows.withColumn("band", F.col("own") - F.col("step")).withColumn("mine", F.col("step") == 0)
-    many = rows.groupBy("bucket", "band").agg(F.count("*").alias("n"), F.max("mine").alias("any"), F.min("root").alias("r"), F.max("root").alias("s"))
-    many = many.where("any AND n > 1 AND r <> s").select("bucket", "band", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
-    dealt = rows.join(many, ["bucket", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
-    names = ["bucket", "band", "x", "y"]
-    dealt = dealt.select(*names, "part", "mine", "node", "root", "size", "profile")
-    dealt = dealt.repartition(partitions(buckets.sparkSession), *names).sortWithinPartitions(*names)
-    slack = (1 - threshold) / (1 + threshold)
-
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Of whole groups."""
-        t = t.combine_chunks()
-        key = np.stack([t[c].to_numpy() for c in names], 1)
-        node, root = (t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c] for c in ("node", "root"))
-        node = node.chunk(0) if isinstance(node, pa.ChunkedArray) else node
-        root = root.chunk(0) if isinstance(root, pa.ChunkedArray) else root
-        profile = t["profile"].combine_chunks()
-        profile = profile.chunk(0) if isinstance(profile, pa.ChunkedArray) else profile
-        roots, cells = _fixed(root, 16, np.uint64), _fixed(profile, PROFILE, np.uint8)
-        part, mine, size = t["part"].to_numpy(), t["mine"].to_numpy(), t["size"].to_numpy()
-        n = len(t)
-        new = np.ones(n, bool)
-        new[1:] = (key[1:] != key[:-1]).any(1)
-        start = np.flatnonzero(new)
-        end = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n)))
-        after = end - np.arange(n) - 1
-        total = np.cumsum(after)
-        at = 0
-        while at < n:
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 18), "right")))
-            i = np.repeat(np.arange(at, to), after[at:to])
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[at:to]) - after[at:to], after[at:to])
-            at = to
-            good = (mine[i] | mine[j]) & (roots[i] != roots[j]).any(1) & ((part[i] != part[j]) | (key[i, 2] == key[i, 3]))
-            good &= np.minimum(size[i], size[j]) >= np.maximum(size[i], size[j]) * threshold - 1e-6
-            i, j = i[good], j[good]
-            apart = np.abs(cells[i].astype(np.int16) - cells[j]).sum(1, dtype=np.int64)
-            near = apart <= (size[i] + size[j]) * slack + 1e-6
-            i, j = i[near], j[near]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["a", "b"])
+    dealt = keep.save(_cells(rows, threshold, most), "cells")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([column(batch, c).to_numpy() for c in names], 1)
-            turns = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            before = np.array([column(held[-1], c)[-1].as_py() for c in names]) if held else key[0]
-            cut = int(turns[-1]) if len(turns) else 0
-            if cut or (before != key[0]).any():
-                yield from pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield from pairs(pa.Table.from_batches(held))
-
-    found = dealt.mapInArrow(run, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            data, offsets = utf8(column(batch, "text"))
+            for lo, hi in chunks(offsets):
+                values = pa.array(parities(*kmers(data, offsets[lo : hi + 1])), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(column(batch, c).slice(lo, hi - lo) for c in ("node", "marks")), values], names=["node", "marks", "parity"])
+
+    wanted = bodies.join(dealt.select("node").distinct(), "node", "left_semi")
+    known = wanted.select("node", "marks", "text").mapInArrow(bits, "node binary, marks array<long>, parity binary")
+    names = [*_CELL, "part", "mine", "node", "root", "size", "marks", "parity"]
+    full = dealt.join(known, "node").select(names)
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_cells(batches):
+            some = np.zeros(len(t), bool)
+            for i, j, _ in _near(t, threshold):
+                some[i] = some[j] = True
+            if some.any():
+                yield from t.filter(pa.array(some)).to_batches()
+
+    left = keep.save(_by_cell(full).mapInArrow(may, full.schema), "may")
+    keep.drop("cells")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[bytes, bytes] = {}
+
+        def top(r: bytes) -> bytes:
+            while r in above:
+                above[r] = r = above.get(above[r], above[r])
+            return r
+
+        for t in _whole_cells(batches):
+            data, offsets = utf8(_flat(t, "text"))
+            words = [h[f[k] : f[k + 1]] for lo, hi in chunks(offsets) for h, f in [kmers(data, offsets[lo : hi + 1])] for k in range(hi - lo)]
+            node, root, found = _flat(t, "node"), _flat(t, "root").to_pylist(), []
+            for i, j, apart in _near(t, threshold):
+                for at in np.argsort(apart, kind="stable").tolist():
+                    a, b = int(i[at]), int(j[at])
+                    one, other = top(root[a]), top(root[b])
+                    if one != other and aligned(words[a], words[b], threshold) > 0:
+                        above[one] = other
+                        found.append((a, b))
+            if found:
+                at = np.array(found)
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(at[:, 0])), node.take(pa.array(at[:, 1]))], names=["a", "b"])
+
+    whole = _by_cell(left.join(bodies.select("node", "text"), "node").select(*names, "text"))
+    found = keep.save(whole.mapInArrow(links, "a binary, b binary"), "links-others")
+    keep.drop("may")
+    return found
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -354,64 +418,34 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     doc_id of the class) for each different text of docs that has words.
 
     Equal texts are one node. Within a bucket, nodes are first compared with the bucket's heaviest, the one that shares
-    most buckets with others, which of an original and its copies is the original; and with their neighbour by size.
-    Components of the links found are then contracted, and buckets in which several components still meet compare one node
-    of each, until a round brings no new link or few pairs are left. Then all pairs of nodes that share a bucket and are
-    still apart are compared, so in the end each two nodes of a bucket are in one class or don't align.
+    most buckets with others, which of an original and its copies is the original; components of these links are
+    contracted. Then all pairs of nodes that share a bucket and are still apart are compared (_others), so in the end each
+    two nodes of a bucket are in one class or don't align.
     """
     keep = Scratch(docs.sparkSession)
     # nothing is known of a text without words, so it is like no other
     rows = docs.select("doc_id", text_column().alias("text")).withColumn("node", F.unhex(F.md5("text")))
-    texts = keep.save(rows.groupBy("node").agg(F.min("doc_id").alias("first")), "texts")
-    sketched = keep.save(_sketch_rows(rows).groupBy("bucket", "node").agg(F.first("size").alias("size")), "sketches")
-    full = sketched.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keep.save(sketched.join(full, "bucket"), "shared")
-    keep.drop("sketches")
-    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    buckets = keep.save(shared.drop("n").join(weights, "node").select("bucket", "node", "size", "weight"), "buckets")
-    keep.drop("shared")
-    members = buckets.select("node").distinct()
+    nodes = keep.save(_sketched(rows), "nodes")
+    each = nodes.select(F.explode("marks").alias("bucket"), "node", "size")
+    full = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keep.save(each.join(full, "bucket"), "shared")
     # of equal texts, however many, only the one with the smallest id goes on: the join is dealt by node and id
-    wanted = texts.join(members, "node", "left_semi").select(F.col("node").alias("_node"), "first")
-    once = rows.join(wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
-    bodies = keep.save(once.groupBy("node").agg(F.first("text").alias("text")), "bodies")
-    links, tried, rooted, current, k = None, None, None, buckets, 0
-    while True:
-        pairs = _candidates(keep, current, threshold, f"neighbours-{k}")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = keep.save(pairs, f"pairs-{k}")
-        keep.drop(f"neighbours-{k}", f"current-{k}")
-        found = keep.save(_verified(pairs, bodies, threshold), f"links-{k}")
-        fresh_links = not found.isEmpty()
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        if fresh_links:
-            rooted = keep.save(components(keep, links, f"components-{k}"), f"roots-{k}")
-        k += 1
-        # one node for each component that still meets others in a bucket, and how many pairs are apart
-        marked = buckets.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node")) if rooted is not None else buckets.withColumn("root", F.col("node"))
-        each = marked.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("weight")).alias("weight"), "node", "size")).alias("m"))
-        several = each.groupBy("bucket").agg(F.count("*").alias("roots"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("apart"), F.sum("n").alias("all")).where("roots > 1")
-        several = keep.save(several, f"several-{k}")
-        apart, left = several.agg(F.sum("apart"), F.sum("all")).first()
-        if not fresh_links or not apart or apart <= FEW * left:
-            break
-        current = each.join(several, "bucket").select("bucket", F.col("m.node").alias("node"), F.col("m.size").alias("size"), (-F.col("m.weight")).alias("weight"))
-        current = keep.save(current, f"current-{k}")
-    if apart:
-        open_ = keep.save(marked.join(several.select("bucket"), "bucket").select("bucket", "node", "root", "size"), "open")
-        profiles = keep.save(_profiles(bodies.join(open_.select("node").distinct(), "node", "left_semi")), "profiles")
-        pairs = _others(open_.join(profiles, "node"), threshold).join(tried, ["a", "b"], "left_anti")
-        found = keep.save(_verified(keep.save(pairs, "pairs-others"), bodies, threshold), "links-others")
-        if not found.isEmpty():
-            rooted = keep.save(components(keep, links.union(found), "components-others"), "roots-others")
-        keep.drop("open", "profiles", "pairs-others")
-    if rooted is None:
-        return texts.select("node", F.col("node").alias("root"), "first", F.col("first").alias("class_id"))
-    named = texts.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.xxhash64("first").alias("id"), "marks")
+    once = rows.select("node", F.xxhash64("doc_id").alias("id"), "text").join(wanted, ["node", "id"])
+    bodies = keep.save(once.groupBy("node", "id").agg(F.first("text").alias("text"), F.first("marks").alias("marks")).drop("id"), "bodies")
+    pairs = keep.save(_star(shared, threshold), "pairs")
+    links = keep.save(_verified(pairs, bodies, threshold), "links")
+    keep.drop("pairs")
+    roots = keep.save(components(keep, links), "roots")
+    apart = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), "size")
+    more = _others(keep, apart, bodies, threshold)
+    keep.drop("shared", "bodies")
+    if not more.isEmpty():
+        roots = keep.save(components(keep, links.union(more), "components-others"), "roots-others")
+    named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = keep.save(named, "named")
-    least = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("first").alias("class_id"))
+    keep.drop("nodes", "roots")
+    least = named.groupBy("root").agg(F.min("first").alias("class_id"))
     return named.join(least, "root").select("node", "root", "first", "class_id")
 
 

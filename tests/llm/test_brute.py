@@ -250,19 +250,19 @@ def test_words_by_hand():
     assert w.counts.tolist() == [2, 0, 2, 2] and w.hash[0] == w.hash[3] and w.hash[1] == w.hash[2]
 
 
-def test_neighbours_in_a_bucket_over_many_tasks(spark):
-    """One bucket with most of the rows, and the ends of the tasks' ranges: all rows that follow each other are paired."""
-    rng = np.random.default_rng(5)
-    rows = [(int(b), int(n).to_bytes(16, "big"), int(rng.integers(5, 9))) for n, b in enumerate(np.where(rng.random(3000) < 0.7, -7, rng.integers(-3, 400, 3000)))]
-    buckets = spark.createDataFrame(rows, "bucket long, node binary, size long")
-    ordered = sorted((b, s, n) for b, n, s in rows)
-    expected = sorted((x[2], x[1], y[2], y[1]) for x, y in zip(ordered, ordered[1:], strict=False) if x[0] == y[0])
-    for given in (buckets, buckets.where("bucket = -7"), buckets.limit(1), buckets.where("false")):
-        found = sorted((bytes(r["a"]), r["before"], bytes(r["b"]), r["size"]) for r in order_minhash._neighbours(Scratch(spark), given, "n").collect())
-        if given is buckets:
-            assert found == expected
-        else:
-            assert len(found) == max(0, given.count() - 1)
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(6)
+    for n in (3, 40, 900, 5000):
+        a = rng.integers(0, n // 2 + 1, n)
+        b = np.concatenate([a[rng.random(n) > 0.1], rng.integers(n, 2 * n, n // 10)])
+        hashes = [(np.uint64(1) + x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) for x in (a, b)]
+        x, y = (np.frombuffer(order_minhash.parities(h, np.array([0, len(h)]))[0], np.uint8)[None] for h in hashes)
+        count = lambda v: dict(zip(*np.unique(v, return_counts=True)))
+        ca, cb = count(a), count(b)
+        real = sum(abs(ca.get(k, 0) - cb.get(k, 0)) for k in {*ca, *cb})
+        seen = int(order_minhash.differing(x, y)[0])
+        assert seen <= real and seen % 2 == real % 2 and seen >= 0.8 * real
+        assert order_minhash.differing(x, x)[0] == 0 == order_minhash.differing(y, np.concatenate([y, 0 * y], 1))[0]
 
 
 @pytest.mark.parametrize("size", [50, 700])

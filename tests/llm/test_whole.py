@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from granary.llm import gru_lm, html_cut, licenses, order_minhash, spans
+from granary.llm.common import Scratch
 from tests.llm.test_brute import documents, prose
 
 
@@ -31,7 +32,8 @@ def test_copies_around_an_original(spark):
 
 
 def test_all_pairs_of_a_bucket(spark):
-    """Groups of any size, in cells of few nodes, give every pair that sizes and profiles leave open, and no aligned pair is lost."""
+    """Groups of any size, in cells of few nodes: all aligned pairs are in one class by the links found and the roots given,
+    and each link is an aligned pair."""
     r = random.Random(4)
     bases = [prose(120, 300 + i) for i in range(5)]
     texts = []
@@ -39,17 +41,27 @@ def test_all_pairs_of_a_bucket(spark):
         for c in range(14):
             w = b.split()
             texts.append(substituted(w, set(r.sample(range(len(w)), r.choice([0, 1, 2, 3, 9]))), f"z{c}_") + f" end{c}")
-    nodes = [i.to_bytes(16, "big") for i in range(len(texts))]
-    bodies = spark.createDataFrame(list(zip(nodes, texts)), "node binary, text string")
+    n = len(texts)
+    nodes = [i.to_bytes(16, "big") for i in range(n)]
+    marks = [[-1, 1 if i % 3 else 100 + i, *range(1000 * i + 1000, 1000 * i + 1010)] for i in range(n)]
+    bodies = spark.createDataFrame(list(zip(nodes, texts, marks)), "node binary, text string, marks array<long>")
     sizes = [len(t.split()) - 4 for t in texts]
-    buckets = spark.createDataFrame([(b, nodes[i], nodes[i % 4 and i], sizes[i]) for b, i in itertools.product((-1, 1), range(len(texts))) if b < 0 or i % 3], "bucket long, node binary, root binary, size long")
-    profiles = order_minhash._profiles(bodies)
+    rows = [(b, nodes[i], nodes[i % 4 and i], sizes[i]) for b, i in itertools.product((-1, 1), range(n)) if b < 0 or i % 3]
+    buckets = spark.createDataFrame(rows, "bucket long, node binary, root binary, size long")
     hashes = [order_minhash.kmers(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in texts]
-    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if (a % 4 and a) != (b % 4 and b) and order_minhash.aligned(hashes[a], hashes[b]) > 0}
+    good = {(a, b) for a, b in itertools.combinations(range(n), 2) if order_minhash.aligned(hashes[a], hashes[b]) > 0}
+
+    def parts(pairs):
+        top = list(range(n))
+        for a, b in [*pairs, *((0, i) for i in range(0, n, 4))]:
+            x, y = top[a], top[b]
+            top = [x if t == y else t for t in top]
+        return {frozenset(i for i in range(n) if top[i] == t) for t in top}
+
     for cell in (1, 6, 1000):
-        rows = order_minhash._others(buckets.join(profiles, "node"), 0.8, cell).select("a", "b").collect()
-        got = {(int.from_bytes(x["a"], "big"), int.from_bytes(x["b"], "big")) for x in rows}
-        assert len(rows) == len(got) and want <= got and len(want) > 50
+        found = order_minhash._others(Scratch(spark), buckets, bodies, 0.8, cell).select("a", "b").collect()
+        got = {tuple(sorted(int.from_bytes(x, "big") for x in p)) for p in found}
+        assert got <= good and parts(got) == parts(good) and len(good) > 50 and len(got) < n * (1 + n // cell)
 
 
 def test_passages_inside_long_sentences(spark):
