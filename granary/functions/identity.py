@@ -45,9 +45,14 @@ def cited_id(code: Column) -> Column:
     return F.concat(head, F.lit(" "), number, F.when(part != "", F.concat(F.lit("-"), part)).otherwise(""))
 
 
+#: Typographic spaces, and dashes.
+SPACES_LIKE = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u202f\u205f\u3000"
+DASHES_LIKE = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\uff0d"
+
+
 def plain(text: Column) -> Column:
-    """Typographic spaces and dashes as plain ones."""
-    return F.translate(text, "\u00a0\u2007\u2009\u202f\u2010\u2011\u2012\u2013\u2014", "    -----")
+    """Typographic spaces and dashes as plain ones; no character moves."""
+    return F.translate(text, SPACES_LIKE + DASHES_LIKE, " " * len(SPACES_LIKE) + "-" * len(DASHES_LIKE))
 
 
 def release_id(url: Column) -> Column:

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .identity import FAMILIES, PUBLISHER, SERIES
+
 TOKEN, WORD, IMAGE = "[a-z0-9]+", r"\S+", r"!\[[^\]]*\]\([^)]*\)"
+BREAK = r"<br\s*/?>"
+#: Markup at a line's ends; no underscores, which tell a footer from a word.
+MARKUP = r"^[\s#*>`~.-]+|[\s#*>`~.-]+$"
+#: Lines that say nothing of their page: footer, page number, running title.
+FURNITURE = rf"_+{PUBLISHER}_+|\d{{1,4}}|(?i:{PUBLISHER}\s+(?:{FAMILIES})\s+{SERIES}.*\bV\d+\.\d+\.\d+\b.*)"
 
 
 def tokens(text: Column) -> Column:
@@ -28,7 +35,7 @@ def word_count(text: Column) -> Column:
 
 def estimate_tokens(text: Column) -> Column:
     """Words, plus one for each cell border and two for each line break tag."""
-    return word_count(text) + F.regexp_count(text, F.lit(r"\|")) + 2 * F.regexp_count(F.lower(text), F.lit("<br>"))
+    return word_count(text) + F.regexp_count(text, F.lit(r"\|")) + 2 * F.regexp_count(F.lower(text), F.lit(BREAK))
 
 
 def fingerprint(text: Column, length: int | None = None) -> Column:
@@ -68,15 +75,11 @@ def image_refs(text: Column) -> Column:
     return F.transform(found, lambda x: F.replace(x, F.lit("\\"), F.lit("/")))
 
 
-def carries_signal(text: Column, furniture: str) -> Column:
+def carries_signal(text: Column, furniture: str = FURNITURE) -> Column:
     """True if a line holds an image, or something but markup that isn't page furniture (a pattern for whole lines)."""
 
     def line(x: Column) -> Column:
-        bare = F.trim(F.regexp_replace(x, r"[#*_|>`\-\s]+", " "))
-        return x.contains("![") | ((bare != "") & ~F.lower(bare).rlike(f"^(?:{furniture})$"))
+        bare = F.regexp_replace(x, MARKUP, "")
+        return x.contains("![") | ((bare != "") & ~bare.rlike(f"^(?:{furniture})$"))
 
     return F.exists(F.split(text, "\n"), line)
-
-
-#: Page numbers and notices that stand alone on a line.
-FURNITURE = r"\d{1,4}|page \d{1,4}(?: of \d{1,4})?"

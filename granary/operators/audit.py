@@ -3,94 +3,115 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.identity import SERIES, cited_id, edition_matches
+from granary.functions.identity import SERIES, cited_id, edition_matches, plain
 
 #: Characters between a page and the code that it belongs to; between a page and an edition before or after it.
 NEAR, EDITION_BACK, EDITION_ON = 120, 60, 24
 CANNED_WORDS = 40
 
-_CODE = rf"\b{SERIES}(?:-DEC)?[ \- ‐‑]?\d{{1,3}}(?:-\d{{1,2}})?\b"
-_PAGE = r"\b(p{1,2}\.|pages?)[  ]?(\d+)(?:[  ]?[-‐-—][  ]?(\d+))?"
-_EDITION = r"\bV?(\d+\.\d+(?:\.\d+)?)\b"
+_CODE = rf"\b{SERIES}(?:[ -]?DEC)?[ -]?(?:\d{{3}}(?:[ -]?\d{{1,2}}\b)?|\d{{1,2}}\b)"
+#: p. 5, pp 5-7, page 5: the group tells the short form; the last page of a range is cited, too.
+_PAGE = r"\b(?:(pp?)\s*\.?\s*|pages?\s+)(\d{1,4})(?:\s*-\s*(\d{1,4}))?"
+_EDITION = r"\b[Vv](\d+(?:\.\d+){1,3})\b"
+_SPAN = "struct<value:string,start:int,end:int>"
 
 
-def spans_of(kind: str):
-    """A function that lists (value, short, start, end) of all codes, pages or editions of a text."""
+def cites_of(text: str, names: Sequence[str]) -> dict[str, list[dict]]:
+    """Codes, editions and pages of a text with plain spaces and dashes, and where they stand. names: documents that have
+    no code of the series, which are cited by these names."""
+    code = re.compile("|".join([_CODE, *(re.escape(n) for n in sorted(names, key=len, reverse=True))]), re.I)
+    return {
+        "codes": [{"value": m[0], "start": m.start(), "end": m.end()} for m in code.finditer(text)],
+        "editions": [{"value": m[1], "start": m.start(), "end": m.end()} for m in re.finditer(_EDITION, text)],
+        "pages": [
+            {"cited": [int(m[2]), *([int(m[3])] if m[3] else [])], "short": bool(m[1]), "start": m.start(), "end": m.end(2)} for m in re.finditer(_PAGE, text, re.I)
+        ],
+    }
 
-    def codes(text: str) -> list[tuple]:
-        return [(m[0], False, m.start(), m.end()) for m in re.finditer(_CODE, text, re.I)]
 
-    def pages(text: str) -> list[tuple]:
-        return [(x, "." in m[1], m.start(), m.end()) for m in re.finditer(_PAGE, text, re.I) for x in dict.fromkeys(filter(None, m.groups()[1:]))]
+def _cites(text: Column, names: Column) -> Column:
+    """cites_of as a column."""
 
-    def editions(text: str) -> list[tuple]:
-        return [(m[1], False, m.start(), m.end()) for m in re.finditer(_EDITION, text)]
+    @F.pandas_udf(f"struct<codes:array<{_SPAN}>,editions:array<{_SPAN}>,pages:array<struct<cited:array<int>,short:boolean,start:int,end:int>>>")
+    def cites(texts: pd.Series, names: pd.Series) -> pd.DataFrame:
+        rows = [cites_of(t or "", [n for n in (x if x is not None else []) if n]) for t, x in zip(texts, names, strict=True)]
+        return pd.DataFrame(rows, columns=["codes", "editions", "pages"])
 
-    find = {"code": codes, "page": pages, "edition": editions}[kind]
+    return cites(text, names)
 
-    @F.pandas_udf("array<struct<value:string, short:boolean, start:int, end:int>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("value", "short", "start", "end"), x, strict=True)) for x in find(t or "")])
 
-    return spans
+def document_key(code: Column) -> Column:
+    """Codes of the series as cited_id writes them; other names in upper case, white space made dashes."""
+    flat = plain(code)
+    return F.when(F.regexp_like(flat, F.lit(f"(?i)^{_CODE}$")), cited_id(flat)).otherwise(F.regexp_replace(F.upper(F.trim(flat)), r"\s+", "-"))
+
+
+def excerpt_pages(excerpts: DataFrame) -> DataFrame:
+    """answer_id, code, pages, editions: what each answer was given of each document, from the excerpts with identity and page."""
+    known = excerpts.where((F.col("spec_id") != "") & F.col("page").isNotNull())
+    known = known.select("answer_id", document_key(F.col("spec_id")).alias("code"), F.col("page").cast("int").alias("page"), F.nullif("edition", F.lit("")).alias("edition"))
+    return known.groupBy("answer_id", "code").agg(F.collect_set("page").alias("pages"), F.collect_set("edition").alias("editions"))
 
 
 def complaints(answers: DataFrame, excerpts: DataFrame) -> DataFrame:
     """answer_id, position, complaint: what the excerpts don't support, each once. answers: answer_id, answer; excerpts:
     answer_id, spec_id, edition, page.
 
-    A page belongs to the nearest code of its answer, `p.` rather to one before it, a spelled-out page to one after it. Farther
-    than 120 characters, it names no document. Answers whose excerpts have no identity get no complaints. The spans are
-    found by a function; what belongs to what is a window and two joins within each answer.
+    A page belongs to the nearest code of its answer, `p.` rather to one before it, a spelled-out page to one after it.
+    Farther than 120 characters, it names no document. Documents without a code of the series are known by their own names.
+    Both ends of a range are cited. The edition is the first named between code and page, or else shortly after the page.
+    Answers without any excerpt that has both an identity and a page get no complaints. Spans are found by a function; what
+    belongs to what are expressions on one answer's lists, and one join.
     """
-    known = excerpts.where(F.col("spec_id").isNotNull()).select("answer_id", cited_id(F.col("spec_id")).alias("spec"), "edition", F.col("page").cast("int").alias("page")).distinct()
-    judged = answers.join(known.select("answer_id").distinct(), "answer_id", "left_semi")
-    found = judged.select("answer_id", *(spans_of(k)("answer").alias(f"{k}_spans") for k in ("code", "page", "edition")))
-    cites = found.select("answer_id", "code_spans", "edition_spans", F.explode("page_spans").alias("p"))
-    cites = cites.select("*", F.explode_outer("code_spans").alias("c"))
-    gap = F.when(F.col("p.short"), F.greatest(F.col("c.start") - F.col("p.end"), F.lit(0))).otherwise(F.greatest(F.col("p.start") - F.col("c.end"), F.lit(0)))
-    apart = F.least(F.abs(F.col("p.start") - F.col("c.end")), F.abs(F.col("c.start") - F.col("p.end")))
-    one = W.partitionBy("answer_id", "p.start", "p.value").orderBy(F.col("c").isNull(), gap, apart, "c.start")
-    cites = cites.withColumns({"_n": F.row_number().over(one), "_apart": apart}).where("_n = 1")
-    named = F.col("c").isNotNull() & (F.col("_apart") <= NEAR)
-    cites = cites.select("answer_id", F.col("p.start").alias("position"), F.col("p.value").cast("int").alias("cited"), F.when(named, cited_id(F.col("c.value"))).alias("code"), _edition().alias("claimed"))
-    by_spec = known.groupBy("answer_id", F.col("spec").alias("code")).agg(F.collect_set("page").alias("pages"), F.collect_set("edition").alias("editions"))
-    joined = cites.join(by_spec, ["answer_id", "code"], "left")
-    other = F.col("claimed").isNotNull() & (F.size("editions") > 0) & ~F.exists("editions", lambda e: edition_matches(F.col("claimed"), e))
-    cited = F.col("cited").cast("string")
-    what = (
-        F.when(F.col("code").isNull(), F.concat(F.lit("p."), cited, F.lit(": no specification named")))
-        .when(F.col("pages").isNull(), F.concat_ws(" ", F.col("code"), F.concat(F.lit("p."), cited, F.lit(": not retrieved"))))
-        .when(~F.array_contains("pages", F.col("cited")), F.concat_ws(" ", F.col("code"), F.concat(F.lit("p."), cited, F.lit(": page not in its excerpts"))))
-        .when(other, F.concat_ws(" ", F.col("code"), F.concat(F.lit("V"), F.col("claimed"), F.lit(": edition not in its excerpts"))))
+    given = excerpt_pages(excerpts)
+    coded = F.regexp_like(plain(F.col("spec_id")), F.lit(f"(?i)^{_CODE}$"))
+    names = excerpts.where((F.col("spec_id") != "") & F.col("page").isNotNull())
+    names = names.groupBy("answer_id").agg(F.collect_set(F.when(~coded, plain(F.col("spec_id")))).alias("names"))
+    found = answers.join(names, "answer_id").select("answer_id", _cites(plain(F.col("answer")), F.col("names")).alias("s"))
+    cites = found.select("answer_id", "s.codes", "s.editions", F.explode("s.pages").alias("p"))
+    p = F.col("p")
+
+    def nearness(c: Column) -> Column:
+        gap = F.when(p.short, c["start"] - p.end).otherwise(p.start - c["end"])
+        apart = F.least(F.abs(c["start"] - p.start), F.abs(c["end"] - p.start))
+        return F.struct(F.greatest(gap, F.lit(0)).alias("gap"), apart.alias("apart"), c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"))
+
+    cites = cites.withColumn("c", F.array_min(F.transform("codes", nearness)))
+    c = F.col("c")
+    back = F.filter("editions", lambda e: (e["start"] >= F.greatest(c.end, p.start - EDITION_BACK)) & (e["end"] <= p.start))
+    later = F.array_min(F.transform(F.filter("codes", lambda x: (x["start"] >= p.end) & (x["start"] != c.start)), lambda x: x["start"]))
+    on = F.filter("editions", lambda e: (e["start"] >= p.end) & (e["start"] <= p.end + EDITION_ON) & (later.isNull() | (e["start"] < later)))
+    claimed = F.coalesce(F.try_element_at(back, F.lit(1)), F.try_element_at(on, F.lit(1)))["value"]
+    code = F.when(c.apart <= NEAR, document_key(c.value))
+    cites = cites.select("answer_id", p.start.alias("position"), p.cited.alias("cited"), code.alias("code"), claimed.alias("claimed"))
+    joined = cites.join(given, ["answer_id", "code"], "left")
+    page = lambda x, what: F.concat_ws(" ", "code", F.concat(F.lit("p."), x.cast("string"), F.lit(f": {what}")))
+    pages = (
+        F.when(F.col("code").isNull(), F.array(page(F.col("cited")[0], "no specification named")))
+        .when(F.col("pages").isNull(), F.transform("cited", lambda x: page(x, "not retrieved")))
+        .otherwise(F.transform(F.filter("cited", lambda x: ~F.array_contains("pages", x)), lambda x: page(x, "page not in its excerpts")))
     )
-    return joined.select("answer_id", "position", what.alias("complaint")).where("complaint IS NOT NULL").groupBy("answer_id", "complaint").agg(F.min("position").alias("position"))
-
-
-def _edition():
-    """The edition named between code and page, or else shortly after the page; null if none."""
-    back = F.filter("edition_spans", lambda e: (e["start"] >= F.greatest(F.col("c.end"), F.col("p.start") - EDITION_BACK)) & (e["end"] <= F.col("p.start")))
-    on = F.filter("edition_spans", lambda e: (e["start"] >= F.col("p.end")) & (e["start"] <= F.col("p.end") + EDITION_ON))
-    stop = F.array_min(F.transform(F.filter("code_spans", lambda c: c["start"] >= F.col("p.end")), lambda c: c["start"]))
-    on = F.filter(on, lambda e: stop.isNull() | (e["start"] < stop))
-    return F.coalesce(F.try_element_at(back, F.lit(-1))["value"], F.try_element_at(on, F.lit(1))["value"])
+    other = F.col("claimed").isNotNull() & (F.size("editions") > 0) & ~F.exists("editions", lambda e: edition_matches(F.col("claimed"), e))
+    edition = F.when(other, F.array(F.concat("code", F.lit(" V"), "claimed", F.lit(": edition not in its excerpts")))).otherwise(F.array().cast("array<string>"))
+    rows = joined.select("answer_id", "position", F.explode(F.concat(pages, edition)).alias("complaint"))
+    return rows.groupBy("answer_id", "complaint").agg(F.min("position").alias("position"))
 
 
 def verdicts(answers: DataFrame, excerpts: DataFrame) -> DataFrame:
-    """answer_id, cites, complaints, verdict: skipped (no identity), unsupported, canned (short and without cites), none, or
-    all present."""
-    n = F.size(F.regexp_extract_all("answer", F.lit(r"(?i)\b(p{1,2}\.|pages?) ?\d+"), F.lit(0)))
+    """answer_id, cites, complaints, verdict: skipped (no excerpt has identity and page), unsupported, canned (short and without
+    cites), none, or all present."""
+    n = F.size(F.regexp_extract_all(plain(F.col("answer")), F.lit(f"(?i){_PAGE}"), F.lit(0)))
     found = complaints(answers, excerpts).groupBy("answer_id").agg(F.count("*").alias("complaints"))
-    known = excerpts.where(F.col("spec_id").isNotNull()).select("answer_id").distinct().withColumn("_known", F.lit(True))
+    known = excerpts.where((F.col("spec_id") != "") & F.col("page").isNotNull()).select("answer_id").distinct().withColumn("_known", F.lit(True))
     rows = answers.join(found, "answer_id", "left").join(known, "answer_id", "left")
     short = F.regexp_count("answer", F.lit(r"\S+")) < CANNED_WORDS
     verdict = (
         F.when(F.col("_known").isNull(), "skipped").when(F.col("complaints") > 0, "unsupported").when((n == 0) & short, "canned").when(n == 0, "none").otherwise("all present")
     )
-    return rows.select("answer_id", n.alias("cites"), F.coalesce("complaints", F.lit(0)).alias("complaints"), verdict.alias("verdict"))
+    return rows.select("answer_id", F.coalesce(n, F.lit(0)).alias("cites"), F.coalesce("complaints", F.lit(0)).alias("complaints"), verdict.alias("verdict"))

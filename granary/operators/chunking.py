@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.text import FURNITURE, words
+from granary.functions.text import BREAK, FURNITURE, MARKUP, words
 
 MAX_WORDS, OVERLAP, MAX_TOKENS, MIN_WORDS = 300, 40, 420, 150
 
@@ -31,7 +32,7 @@ def prose_windows(docs: DataFrame, max_words: int = MAX_WORDS, overlap: int = OV
 
 
 class Unit(NamedTuple):
-    kind: str  # row, prose, heading, image
+    kind: str  # row, prose, head, image; window for a part of long prose
     body: str
     header: str
     clause: str
@@ -43,114 +44,91 @@ class Chunk(NamedTuple):
     clause: str
 
 
-_CLAUSE = re.compile(r"^(?:Annex [A-Z]|[A-Z]?\d+(?:\.\d+)+)\b")
-_RULE = re.compile(r"^\|[\s:|-]+\|?$")
-_FURNITURE = re.compile(FURNITURE, re.I)
+_NUMBER = re.compile(r"\d+(?:\.\d+)+")
+_RULE = re.compile(r"\s*\|[\s:|-]+")
+_STARTS = (("row", re.compile(r"\s*\|")), ("blank", re.compile(r"\s*$")), ("head", re.compile(r"\s*#")), ("image", re.compile(r"\s*!\[.*?\]\(.*?\)\s*$")))
+_FURNITURE, _MARKUP, _BREAK = re.compile(FURNITURE), re.compile(MARKUP), re.compile(BREAK, re.I)
 
 
 def _tokens(text: str) -> int:
-    return len(text.split()) + text.count("|") + 2 * text.lower().count("<br>")
+    return len(text.split()) + text.count("|") + 2 * len(_BREAK.findall(text))
 
 
 def _signal(text: str) -> bool:
-    for line in text.split("\n"):
-        bare = re.sub(r"[#*_|>`\-\s]+", " ", line).strip()
-        if "![" in line or bare and not _FURNITURE.fullmatch(bare):
-            return True
-    return False
+    bare = (_MARKUP.sub("", line) for line in text.splitlines())
+    return "![" in text or any(x and not _FURNITURE.fullmatch(x) for x in bare)
 
 
-def _clause_of(text: str) -> str:
-    found = _CLAUSE.match(text.strip("#* |"))
-    return found[0] if found else ""
+def _kind(line: str) -> str:
+    return next((k for k, start in _STARTS if start.match(line)), "prose")
+
+
+def _first_cell(row: str) -> str:
+    return row.strip().strip("|").split("|")[0].strip()
+
+
+def _table(lines: list[str]) -> Iterator[tuple[str, str]]:
+    """Rows and their headers: a rule line makes a header of the row before it, for all rows up to the next rule line."""
+    header, rules = "", [bool(_RULE.fullmatch(x)) for x in lines] + [False]
+    for i, line in enumerate(lines):
+        if rules[i]:
+            header = line if not i or rules[i - 1] else f"{lines[i - 1]}\n{line}"
+        elif not rules[i + 1]:
+            yield line, header
 
 
 def units(page: str) -> Iterator[Unit]:
-    """Atomic parts of a page in order. A table row carries the header that the rule line below it made one; the clause is
-    that of the last heading, or of a row whose only filled cell is a clause number."""
-    clause, prose, rows = "", [], []
-    header = ""
-
-    def text() -> Iterator[Unit]:
-        if prose:
-            yield Unit("prose", "\n".join(prose), "", clause)
-            prose.clear()
-
-    def table() -> Iterator[Unit]:
-        nonlocal clause
-        for row in rows:
-            cells = [c.strip(" *") for c in row.strip("|").split("|") if c.strip(" *")]
-            if len(cells) == 1 and _clause_of(cells[0]):
-                clause = _clause_of(cells[0])
-            yield Unit("row", row, header, clause)
-        rows.clear()
-
-    for line in page.split("\n"):
-        line = line.rstrip()
-        bare = line.strip()
-        if bare.startswith("|"):
-            yield from text()
-            if _RULE.match(bare) and rows:
-                top = rows.pop()
-                yield from table()
-                header = f"{top}\n{bare}"
-            elif not _RULE.match(bare):
-                rows.append(bare)
-            continue
-        yield from table()
-        header = ""
-        if not bare:
-            yield from text()
-        elif bare.startswith("#"):
-            yield from text()
-            clause = _clause_of(bare) or clause
-            yield Unit("heading", bare, "", clause)
-        elif bare.startswith("!["):
-            yield from text()
-            yield Unit("image", bare, "", clause)
-        else:
-            prose.append(line)
-    yield from table()
-    yield from text()
+    """Parts of a page that aren't cut, in order. The clause is the number in the last heading that has one, or the first cell
+    of a header or row that holds a clause number alone."""
+    clause = ""
+    for kind, run in groupby(page.splitlines(), _kind):
+        if kind == "row":
+            for row, header in _table(list(run)):
+                clause = next((c for c in map(_first_cell, (row, header.split("\n")[0])) if _NUMBER.fullmatch(c)), clause)
+                yield Unit(kind, row, header, clause)
+        elif kind == "prose":
+            yield Unit(kind, "\n".join(run), "", clause)
+        elif kind != "blank":
+            for line in run:
+                if kind == "head" and (number := _NUMBER.search(line)):
+                    clause = number[0]
+                yield Unit(kind, line, "", clause)
 
 
 def chunk_page(page: str, max_words: int = MAX_WORDS, overlap: int = OVERLAP, max_tokens: int = MAX_TOKENS, min_words: int = MIN_WORDS) -> list[Chunk]:
     """Chunks of a page: units are gathered while they fit; no table row is cut, and each chunk with rows has their header.
 
     Prose that doesn't fit by itself becomes word windows. A table unit of another clause closes a chunk that holds
-    table units and min_words words. Chunks without a signal are dropped, windows never. An oversize row stands whole."""
-    out: list[Chunk] = []
-    held: list[Unit] = []
-    pieces: list[str] = []
-
-    def fits(text: str) -> bool:
-        return len(text.split()) <= max_words and _tokens(text) <= max_tokens
-
-    def close() -> None:
-        body = "\n".join(pieces)
-        if body.strip() and _signal(body):
-            tables = [u for u in held if u.kind == "row"]
-            clause = next((u.clause for u in tables if u.clause), held[0].clause)
-            out.append(Chunk(body, "table" if tables else "prose", clause))
-        held.clear()
-        pieces.clear()
+    table units and min_words words. Chunks without a signal are dropped, windows never. An oversize row stands whole.
+    A chunk's clause is that of its first table unit, or else of its first unit."""
+    groups: list[list[tuple[str, Unit]]] = [[]]
+
+    def text(group: list[tuple[str, Unit]], *more: str) -> str:
+        return "\n".join([*(piece for piece, _ in group), *more])
+
+    def small(t: str) -> bool:
+        return len(t.split()) <= max_words and _tokens(t) <= max_tokens
 
     for u in units(page):
-        if u.kind != "row" and not fits(u.body):
-            close()
+        if u.kind != "row" and not small(u.body):
             w = u.body.split()
-            for start in range(0, len(w), max(1, max_words - overlap)):
-                out.append(Chunk(" ".join(w[start : start + max_words]), "prose", u.clause))
+            groups += [[(" ".join(w[i : i + max_words]), u._replace(kind="window"))] for i in range(0, len(w), max(1, max_words - overlap))]
+            groups.append([])
             continue
-        if u.kind == "row" and any(x.kind == "row" for x in held) and held[-1].clause != u.clause and len("\n".join(pieces).split()) >= min_words:
-            close()
-        add = [u.body] if not u.header or u.header in "\n".join(pieces) else [u.header, u.body]
-        if pieces and not fits("\n".join([*pieces, *add])):
-            close()
-            add = [u.header, u.body] if u.header else [u.body]
-        pieces.extend(add)
-        held.append(u)
-    close()
+        here = groups[-1]
+        whole = f"{u.header}\n{u.body}" if u.header else u.body
+        piece = u.body if u.header in text(here) else whole
+        rows = [x.clause for _, x in here if x.kind == u.kind == "row"]
+        turns = rows and rows[-1] != u.clause and len(text(here).split()) >= min_words
+        if turns or here and not small(text(here, piece)):
+            groups.append([(whole, u)])
+        else:
+            here.append((piece, u))
+    out = []
+    for group in groups:
+        if group and (group[0][1].kind == "window" or _signal(text(group))):
+            clauses = [u.clause for _, u in group if u.kind == "row"]
+            out.append(Chunk(text(group), "table" if clauses else "prose", (clauses or [group[0][1].clause])[0]))
     return out
 
 

@@ -66,7 +66,7 @@ def inverse_document_frequency(spark, sf_dir):
     return df.select("token", "df", F.round(sparse.idf(F.col("df"), docs.count()), 6).alias("idf"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS words, len(regexp_extract_all(text, '\S+')) + len(regexp_extract_all(text, '\|')) + 2 * len(regexp_extract_all(lower(text), '<br>')) AS tokens FROM documents")
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS words, len(regexp_extract_all(text, '\S+')) + len(regexp_extract_all(text, '\|')) + 2 * len(regexp_extract_all(lower(text), '<br\s*/?>')) AS tokens FROM documents")
 def token_estimates(spark, sf_dir):
     d = F.col("text")
     return t(spark, sf_dir, "documents").select("doc_id", text.word_count(d).cast("long").alias("words"), text.estimate_tokens(d).cast("long").alias("tokens"))
@@ -89,13 +89,17 @@ def context_texts(spark, sf_dir):
     )
 
 
-@query(r"""SELECT page_id, line_no, bare <> '' AND NOT regexp_matches(lower(bare), '^(?:\d{1,4}|page \d{1,4}(?: of \d{1,4})?)$') AS signal
-FROM (SELECT page_id, no AS line_no, trim(regexp_replace(line, '[#*_|>`\-\s]+', ' ', 'g')) AS bare FROM
- (SELECT doc_id AS page_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS no FROM (SELECT doc_id, text || chr(10) || '# ' || doc_id || chr(10) || '---' AS t FROM documents)))""")
+_PAGE_ENDS = "concat(chr(10), '# ', doc_id, chr(10), '---', chr(10), '**_ETSI_**', chr(10), '_ETSI_ says', chr(10), 'ETSI GS MEC 003 V1.2.', doc_id, ' (2020-01)', chr(10), '![](x.png)', chr(10), '- ')"
+
+
+@query(rf"""SELECT page_id, line_no, contains(line, '![') OR bare <> '' AND NOT regexp_matches(bare, '^(?:_+ETSI_+|\d{{1,4}}|(?i:ETSI\s+(?:GS|GR|TS|ISG)\s+MEC.*\bV\d+\.\d+\.\d+\b.*))$') AS signal
+FROM (SELECT page_id, no AS line_no, line, regexp_replace(line, '^[\s#*>`~.-]+|[\s#*>`~.-]+$', '', 'g') AS bare FROM
+ (SELECT doc_id AS page_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS no FROM (SELECT doc_id, text || {_PAGE_ENDS} AS t FROM documents)))""")
 def signal_lines(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n# "), F.col("doc_id").cast("string"), F.lit("\n---")).alias("t"))
+    """Lines of the documents, with a page's furniture at their ends."""
+    d = t(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.expr(_PAGE_ENDS)).alias("t"))
     lines = d.select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
-    return lines.select("page_id", F.col("line_no").cast("long").alias("line_no"), text.carries_signal(F.col("line"), text.FURNITURE).alias("signal"))
+    return lines.select("page_id", F.col("line_no").cast("long").alias("line_no"), text.carries_signal(F.col("line")).alias("signal"))
 
 
 @query(r"""SELECT page_id, h AS heading, list_transform(r, lambda x: replace(x, chr(92), '/')) AS refs FROM
@@ -227,14 +231,28 @@ def prose_windows(spark, sf_dir):
     return chunking.prose_windows(t(spark, sf_dir, "documents"))
 
 
+def sentence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a page: a heading, its text and a table of its sentences."""
+    rows = F.array_join(F.transform(F.split("text", r"\. "), lambda s, k: F.concat(F.lit("| "), k.cast("string"), F.lit(" | "), F.translate(s, "\r\n|", "  /"), F.lit(" |"))), "\n")
+    page = F.concat(F.lit("## 5."), F.col("doc_id").cast("string"), F.lit(" Part\n\n"), "text", F.lit("\n\n| no | sentence |\n|---|---|\n"), rows)
+    return t(spark, sf_dir, "documents").select("doc_id", page.alias("text"))
+
+
 @query()
 def chunk_pages(spark, sf_dir):
-    """Each document as a page: a heading, its text and a table of its sentences' lengths."""
-    d = t(spark, sf_dir, "documents")
-    i = F.col("doc_id").cast("string")
-    rows = F.array_join(F.transform(F.split("text", r"\. "), lambda s, k: F.concat(F.lit("| "), k.cast("string"), F.lit(" | "), F.substring(F.replace(s, F.lit("\n"), F.lit(" ")), 1, 80), F.lit(" |"))), "\n")
-    page = F.concat(F.lit("## 5."), i, F.lit(" Part\n\n"), "text", F.lit("\n\n| no | start |\n|---|---|\n"), rows)
-    return chunking.chunk_pages(d.select("doc_id", page.alias("text")))
+    return chunking.chunk_pages(sentence_pages(spark, sf_dir))
+
+
+@query(r"""SELECT doc_id, count(*) AS n_rows, md5(string_agg('| ' || k || ' | ' || translate(sentence, chr(13) || chr(10) || '|', '  /') || ' |', chr(10) ORDER BY k)) AS rows FROM
+ (SELECT doc_id, unnest(string_split(text, '. ')) AS sentence, unnest(range(len(string_split(text, '. ')))) AS k FROM documents) GROUP BY doc_id""")
+def chunked_rows(spark, sf_dir):
+    """The table rows of all chunks: each row of the page is in one chunk, whole, under its header."""
+    c = chunking.chunk_pages(sentence_pages(spark, sf_dir)).where(F.contains("text", F.lit("| no | sentence |\n|---|---|\n| ")))
+    table = F.substring_index("text", "| no | sentence |\n|---|---|\n", -1)
+    rows = c.select("doc_id", F.explode(F.split(table, "\n")).alias("row"))
+    rows = rows.select("doc_id", F.regexp_extract("row", r"^\| (\d+) \|", 1).cast("int").alias("k"), "row")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "row"))), lambda x: x["row"])
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.md5(F.array_join(ordered, "\n")).alias("rows"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN len(w) > 300 THEN ceil(len(w) / 260.0) ELSE 1 END::INT AS stitched_parts, md5(array_to_string(w, ' ') || CASE WHEN len(w) > 300 AND len(w) % 260 = 1 THEN ' ' || w[-1] ELSE '' END) AS words FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents) WHERE len(w) > 0""")
@@ -476,23 +494,36 @@ def node_degrees(spark, sf_dir):
 
 
 def cited_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Conversations as answers: each first turn's text, a page cite and a second page without a code far behind; the
-    excerpts are the later turns. No table has citations of its own."""
+    """Conversations as answers: each first turn's whole text, and cites of several shapes behind it; the excerpts are the
+    later turns. No table has citations of its own."""
     c = t(spark, sf_dir, "conversations")
-    i = F.col("conv_id")
-    s = lambda x: x.cast("string")
-    answers = c.where("turn = 0").select(
-        s(i).alias("answer_id"), F.concat(F.substring("text", 1, 60), F.lit(" [MEC "), F.lpad(s(i % 9 + 1), 3, "0"), F.lit(" V"), s(i % 2 + 1), F.lit(".1 p."), s(i % 4 + 1), F.lit("] "), F.repeat(F.lit("word "), 30), F.lit("see page "), s(i % 3 + 1)).alias("answer")
+    answers = c.where("turn = 0").select(F.col("conv_id").cast("string").alias("answer_id"), F.expr(f"concat(text, {_CITE_TAIL})").alias("answer"))
+    excerpts = c.where("turn > 0").select(
+        F.col("conv_id").cast("string").alias("answer_id"), F.expr("concat('MEC ', cast(conv_id % 9 + 1 AS STRING))").alias("spec_id"), F.lit("V1.1.1").alias("edition"), F.col("turn").cast("int").alias("page")
     )
-    excerpts = c.where("turn > 0").select(s(i).alias("answer_id"), F.concat(F.lit("MEC "), s(i % 9 + 1)).alias("spec_id"), F.lit("V1.1.1").alias("edition"), F.col("turn").cast("int").alias("page"))
     return answers, excerpts
 
 
-_CITED = "(SELECT conv_id AS i, conv_id::VARCHAR AS answer_id, 'MEC ' || lpad((conv_id % 9 + 1)::VARCHAR, 3, '0') AS code, conv_id % 4 + 1 AS p1, conv_id % 3 + 1 AS p2, conv_id % 2 + 1 AS v FROM conversations WHERE turn = 0)"
-_PAGES = "(SELECT conv_id::VARCHAR AS answer_id, list(turn) AS pages FROM conversations WHERE turn > 0 GROUP BY 1)"
-_COMPLAINTS = f"""SELECT answer_id, 'p.' || p2 || ': no specification named' AS complaint FROM {_CITED} JOIN {_PAGES} USING (answer_id)
-UNION SELECT answer_id, CASE WHEN NOT list_contains(pages, p1) THEN code || ' p.' || p1 || ': page not in its excerpts' ELSE code || ' V' || v || '.1: edition not in its excerpts' END
-FROM {_CITED} JOIN {_PAGES} USING (answer_id) WHERE NOT list_contains(pages, p1) OR v <> 1"""
+#: Cites behind a text, in SQL that Spark and the check read alike: before and after the code, ranges, without a dot, far from any code.
+_CITE_TAIL = """CASE conv_id % 6
+ WHEN 0 THEN concat(' [MEC ', lpad(concat('', conv_id % 9 + 1), 3, '0'), ' V', conv_id % 2 + 1, '.1 p.', conv_id % 4 + 1, '] ', repeat('word ', 30), 'see page ', conv_id % 3 + 1)
+ WHEN 1 THEN concat(' Page ', conv_id % 3 + 1, ' of MEC-', lpad(concat('', conv_id % 9 + 1), 3, '0'), ' V', conv_id % 3 + 1, '.1.1 has it.')
+ WHEN 2 THEN concat(' (MEC ', lpad(concat('', conv_id % 9 + 1), 3, '0'), ', pp. ', conv_id % 2 + 1, '-', conv_id % 5 + 1, ')')
+ WHEN 3 THEN concat(' As MEC ', lpad(concat('', conv_id % 9 + 1), 3, '0'), ' clause 5.2 p ', conv_id % 4 + 1, ' and pp ', conv_id % 2 + 1, ' say.')
+ WHEN 4 THEN concat(' See MEC ', lpad(concat('', conv_id % 7 + 1), 3, '0'), ' p.', conv_id % 4 + 1, '.') ELSE ' No cite.' END"""
+_PAGE_SQL, _CODE_SQL = audit._PAGE.replace("(?:(pp?)", "(?:(?:pp?)"), audit._CODE
+_CITED = f"""(SELECT *, regexp_extract(cite, '(\\d+)', 1)::INT AS first, nullif(regexp_extract(cite, '-\\s*(\\d+)', 1), '')::INT AS last, pos + length(regexp_extract(cite, '^\\D*\\d+')) AS stop FROM
+ (SELECT answer_id, answer, code, c0, c0 + length(code) AS c1, cite, list_sum(list_transform(s[:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:k - 1], lambda x: length(x))), 0) AS pos FROM
+  (SELECT *, unnest(m) AS cite, unnest(range(1, len(m) + 1)) AS k FROM (SELECT answer_id, answer, regexp_extract_all(answer, '(?i){_PAGE_SQL}') AS m, string_split_regex(answer, '(?i){_PAGE_SQL}') AS s,
+   regexp_extract(answer, '(?i){_CODE_SQL}') AS code, length(regexp_extract(answer, '(?is)^(.*?)(?:{_CODE_SQL})', 1)) AS c0 FROM (SELECT conv_id::VARCHAR AS answer_id, concat(text, {_CITE_TAIL}) AS answer FROM conversations WHERE turn = 0)))))"""
+_GIVEN = "(SELECT conv_id::VARCHAR AS answer_id, 'MEC ' || lpad((conv_id % 9 + 1)::VARCHAR, 3, '0') AS spec, list(DISTINCT turn) AS pages FROM conversations WHERE turn > 0 GROUP BY ALL)"
+_ED = r"[Vv](\d+(?:\.\d+)+)"
+_COMPLAINTS = f"""SELECT DISTINCT answer_id, unnest(list_concat(CASE WHEN NOT near THEN ['p.' || first || ': no specification named'] WHEN spec <> name THEN list_transform(cited, lambda x: name || ' p.' || x || ': not retrieved')
+  ELSE list_transform(list_filter(cited, lambda x: NOT list_contains(pages, x)), lambda x: name || ' p.' || x || ': page not in its excerpts') END,
+ CASE WHEN near AND spec = name AND claimed <> '' AND NOT starts_with('1.1.1.', claimed || '.') THEN [name || ' V' || claimed || ': edition not in its excerpts'] ELSE [] END)) AS complaint FROM
+ (SELECT answer_id, pages, spec, first, CASE WHEN last IS NULL THEN [first] ELSE [first, last] END AS cited, code <> '' AND least(abs(c0 - pos), abs(c1 - pos)) <= 120 AS near, 'MEC ' || lpad(regexp_extract(code, '(\\d+)', 1), 3, '0') AS name,
+  coalesce(nullif(CASE WHEN c1 <= pos THEN regexp_extract(substr(answer, greatest(c1, pos - 60)::BIGINT + 1, (pos - greatest(c1, pos - 60))::BIGINT), '{_ED}', 1) END, ''), regexp_extract(substr(answer, stop::BIGINT + 1, 24), '{_ED}', 1), '') AS claimed
+  FROM {_CITED} JOIN {_GIVEN} USING (answer_id))"""
 
 
 @query(_COMPLAINTS)
@@ -500,11 +531,20 @@ def citation_complaints(spark, sf_dir):
     return audit.complaints(*cited_answers(spark, sf_dir)).select("answer_id", "complaint")
 
 
-@query(f"SELECT c.answer_id, 2 AS cites, coalesce(n, 0) AS complaints, CASE WHEN p.answer_id IS NULL THEN 'skipped' WHEN n > 0 THEN 'unsupported' ELSE 'all present' END AS verdict FROM {_CITED} c LEFT JOIN {_PAGES} p USING (answer_id) LEFT JOIN (SELECT answer_id, count(*) AS n FROM ({_COMPLAINTS}) GROUP BY 1) k USING (answer_id)")
+@query(f"""SELECT a.conv_id::VARCHAR AS answer_id, coalesce(n, 0) AS cites, coalesce(k, 0) AS complaints,
+ CASE WHEN g.answer_id IS NULL THEN 'skipped' WHEN k > 0 THEN 'unsupported' WHEN n > 0 THEN 'all present' WHEN len(regexp_extract_all(concat(a.text, ' No cite.'), '\\S+')) < 40 THEN 'canned' ELSE 'none' END AS verdict
+ FROM conversations a LEFT JOIN {_GIVEN} g ON g.answer_id = a.conv_id::VARCHAR LEFT JOIN (SELECT answer_id, count(*) AS n FROM {_CITED} GROUP BY 1) c ON c.answer_id = a.conv_id::VARCHAR
+ LEFT JOIN (SELECT answer_id, count(*) AS k FROM ({_COMPLAINTS}) GROUP BY 1) x ON x.answer_id = a.conv_id::VARCHAR WHERE a.turn = 0""")
 def citation_verdicts(spark, sf_dir):
     return audit.verdicts(*cited_answers(spark, sf_dir))
 
 
+@query(f"SELECT answer_id, spec AS code, list_sort(pages)::INT[] AS pages, ['V1.1.1'] AS editions FROM {_GIVEN}")
+def excerpt_pages(spark, sf_dir):
+    pages = audit.excerpt_pages(cited_answers(spark, sf_dir)[1])
+    return pages.select("answer_id", "code", F.sort_array("pages").alias("pages"), "editions")
+
+
 _UP = "SELECT user_id, event_id, value FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events) WHERE m IS NULL OR value > m"
 
 

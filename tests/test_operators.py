@@ -70,8 +70,33 @@ def test_chunks_keep_rows():
 def test_chunks_of_prose():
     assert [len(c.text.split()) for c in chunking.chunk_page(" ".join(words(700)))] == [300, 300, 180]
     assert len(chunking.chunk_page(" ".join(words(520)))) == 2
-    assert chunking.chunk_page("12\n\npage 3 of 9\n") == [] and len(chunking.chunk_page("![f](a.png)")) == 1
+    assert chunking.chunk_page("12\n\n- 7 -\n") == [] and len(chunking.chunk_page("![f](a.png)")) == 1
     assert chunking.chunk_page("") == []
+    assert [c.clause for c in chunking.chunk_page("##### 5.1 Start\n" + " ".join(words(700)) + "\n")][:2] == ["5.1", "5.1"]
+
+
+def test_furniture():
+    foot, title = "**_ETSI_**", "**ETSI GS MEC 003 V4.1.1 (2025-05)**"
+    assert chunking.chunk_page(foot) == [] and chunking.chunk_page(f"{title}\n**15**\n{foot}") == []
+    assert len(chunking.chunk_page(f"{foot}\n![](a/b.png)\n**Figure 6: Options**")) == 1
+    page = chunking.chunk_page(f"{title}\n**15**\nIt stands for a platform.\n{foot}")
+    assert len(page) == 1 and "_ETSI_" in page[0].text
+    assert len(chunking.chunk_page("ETSI")) == 1  # the word alone is no footer
+
+
+def test_tables_name_their_clauses():
+    page = "|7.2.1|Points of one kind|\n|---|---|\n|A:|one|\n|7.2.2|Points of another|\n|---|---|\n|B:|two|\n\n|only|header|\n|--|--|"
+    assert [(u.kind, u.body, u.header.split("\n")[0], u.clause) for u in chunking.units(page)] == [("row", "|A:|one|", "|7.2.1|Points of one kind|", "7.2.1"), ("row", "|B:|two|", "|7.2.2|Points of another|", "7.2.2")]
+    dense = "".join(f"|{i}.1|Clause {i}.1 of a dense table|\n|---|---|\n|R{i}:|Row {i} of it, a dozen words or so in it.|\n" for i in range(1, 5))
+    assert [c.clause for c in chunking.chunk_page(dense)] == ["1.1"]
+    assert [c.clause for c in chunking.chunk_page(dense, min_words=10)] == ["1.1", "2.1", "3.1", "4.1"]
+
+
+def test_breaks_count_as_tokens(spark):
+    df = spark.createDataFrame([("a<br/>b<BR />c<br>d | e",)], "t string")
+    assert df.select(text.estimate_tokens(F.col("t"))).first()[0] == chunking._tokens("a<br/>b<BR />c<br>d | e") == 4 + 1 + 6
+    page = "|a|b|\n|---|---|\n" + "\n".join(f"|r{i}|{'x<br/>' * 9}|" for i in range(12))
+    assert all(chunking._tokens(c.text) <= 60 for c in chunking.chunk_page(page, max_tokens=60)) and len(chunking.chunk_page(page, max_tokens=60)) > 3
 
 
 def test_clause_floor():
@@ -97,12 +122,51 @@ def test_current_editions(spark):
     assert sorted(r["is_current"] for r in maintenance.current_editions(df).collect()) == [False, True, True, True]
 
 
+EXCERPTS = [
+    ("MEC-003", "V4.1.1", 15), ("MEC-016", "V3.1.1", 6), ("MEC-DEC-032-2", "V3.2.1", 56), ("MEC 010-2", "V4.1.1", 150), ("Overview Deck", None, 8), ("MEC 040", "V1.1.1", None)
+]
+#: An answer, and what it is told.
+AUDITED = [
+    ("requests (ETSI\u202fGS\u202fMEC\u202f003\u202fV4.1.1 (p.15))", []),
+    ("the wider system (MEC\u2011016\u202fV3.1.1, p.6)", []),
+    ("Per MEC-016 V3.1.1, on page 6 it stands. Set out on page 6 of MEC-016 V3.1.1.", []),
+    ("Set out on page 99 of MEC-016 V3.1.1.", ["MEC 016 p.99: page not in its excerpts"]),
+    ("The list is in MEC 010-02 V4.1.1 p.150, and in MEC DEC 032-02, p 56.", []),
+    ("Drawn in Overview\u00a0Deck p.8 and overview deck pp 9.", ["OVERVIEW-DECK p.9: page not in its excerpts"]),
+    ("Its parts (MEC-003 V4.1.1 p.15).\n\nIts API (ETSI GS MEC 016 V3.1.1 (2024-03) p.6).", []),
+    ("It runs over pp.6-9 (MEC-016 V3.1.1).", ["MEC 016 p.9: page not in its excerpts"]),
+    ("It runs over pp. 6 \u2013 6 (MEC-016 V3.1.1).", []),
+    ("As in MEC-003 V2.1.1 p.15.", ["MEC 003 V2.1.1: edition not in its excerpts"]),
+    ("As in MEC-003 V1.1 p.15.", ["MEC 003 V1.1: edition not in its excerpts"]),
+    ("As in MEC-003 V2.1.1 p.16.", ["MEC 003 V2.1.1: edition not in its excerpts", "MEC 003 p.16: page not in its excerpts"]),
+    ("Two claims (MEC-003 V4.1.1 p.15, MEC-016 V3.1.1 p.6).", []),
+    ("As MEC 003 clause 5.2 p.15 says.", []),
+    ("See MEC-099 V1.0.1 p.4-5.", ["MEC 099 p.4: not retrieved", "MEC 099 p.5: not retrieved"]),
+    ("Its page is not known: MEC 040 p.2.", ["MEC 040 p.2: not retrieved"]),
+    ("No name here, and yet pp.9-11.", ["p.9: no specification named"]),
+    ("MEC 003 " + "far " * 40 + "p.15", ["p.15: no specification named"]),
+    ("(MEC-016 V3.1.1 p.28) again (MEC-016 V3.1.1 p.28).", ["MEC 016 p.28: page not in its excerpts"]),
+    ("MEC 003, p 7 and pp 15.", ["MEC 003 p.7: page not in its excerpts"]),
+    (None, []),
+]
+
+
 def test_audit(spark):
-    answers = spark.createDataFrame([("a", "As MEC 003 p. 5 says, and MEC 010-2 V2.1, p.7; nothing on page 9 of MEC 003."), ("b", "No cites here."), ("c", "p.3 " + "word " * 50)], "answer_id string, answer string")
-    excerpts = spark.createDataFrame([("a", "MEC-003", "V1.1.1", 5), ("a", "MEC 010-2", "V3.1.1", 7), ("b", "MEC 003", None, 1), ("c", None, None, 3)], "answer_id string, spec_id string, edition string, page int")
-    found = sorted(r["complaint"] for r in audit.complaints(answers, excerpts).collect())
-    assert found == ["MEC 003 p.9: page not in its excerpts", "MEC 010-2 V2.1: edition not in its excerpts"]
-    assert {r["answer_id"]: r["verdict"] for r in audit.verdicts(answers, excerpts).collect()} == {"a": "unsupported", "b": "canned", "c": "skipped"}
+    answers = spark.createDataFrame([(str(i), a) for i, (a, _) in enumerate(AUDITED)] + [("none", "p.3")], "answer_id string, answer string")
+    excerpts = spark.createDataFrame([(str(i), *e) for i in range(len(AUDITED)) for e in EXCERPTS] + [("none", None, None, 3), ("none", "MEC 003", "V1.1.1", None)], "answer_id string, spec_id string, edition string, page int")
+    found = {str(i): [] for i in range(len(AUDITED))}
+    for r in audit.complaints(answers, excerpts).collect():
+        found[r["answer_id"]].append(r["complaint"])
+    assert [sorted(found[str(i)]) for i in range(len(AUDITED))] == [sorted(want) for _, want in AUDITED]
+    assert audit.complaints(answers.limit(0), excerpts).collect() == []
+
+
+def test_verdicts(spark):
+    rows = [("a", "MEC 003 p. 5"), ("b", "Short."), ("c", "p.3 " + "word " * 50), ("d", "word " * 50), ("e", "MEC 003 p 6"), ("f", None)]
+    answers = spark.createDataFrame(rows, "answer_id string, answer string")
+    excerpts = spark.createDataFrame([(i, "MEC-003", "V1.1.1", 5) for i in "abdef"] + [("c", None, None, 3)], "answer_id string, spec_id string, edition string, page int")
+    got = {r["answer_id"]: (r["cites"], r["complaints"], r["verdict"]) for r in audit.verdicts(answers, excerpts).collect()}
+    assert got["a"] == (1, 0, "all present") and got["b"] == (0, 0, "canned") and got["c"] == (1, 0, "skipped") and got["d"] == (0, 0, "none") and got["e"] == (1, 1, "unsupported")
 
 
 def test_tables(spark, tmp_path):
