@@ -2,9 +2,9 @@
 
 The most frequent tokens are the model's vocabulary, in classes of equal number by frequency; all others are one more
 entry, whose probability is shared among them by their smoothed counts, so the model is a distribution over all tokens.
-The network is trained by truncated backpropagation in numpy: a start on the driver from a bounded sample, then each task
-goes on alone over all of its own documents, and the results are averaged. Scoring carries the state across windows
-from a document's start to its end.
+The network is trained by truncated backpropagation in numpy. All training documents are dealt by hash to a few rounds; in
+each, every task goes on from one network over all of the round's documents that it holds, and the results are averaged.
+Scoring carries the state across windows from a document's start to its end.
 """
 
 from __future__ import annotations
@@ -25,14 +25,13 @@ from .common import SPACES, Scratch, Words, chunks, column, signed, text_column,
 CLASSES, CLASS_SIZE, EMBED, HIDDEN = 64, 64, 32, 32
 VOCABULARY = CLASSES * CLASS_SIZE
 #: Steps of a window, and documents side by side.
-STEPS, LANES, TRAIN_LANES = 32, 512, 96
-RATE, TUNE_RATE = 4e-3, 1e-3
-#: Words that the driver starts on, at most; the tasks then go on over all training documents, these included.
-START_WORDS = 1_200_000
+STEPS, LANES, TRAIN_LANES = 32, 512, 192
+#: Rounds of training: up to which sixteenth of the documents each goes, and its rate. Together they have every document once.
+ROUNDS = ((1, 6e-3), (4, 4e-3), (16, 2e-3))
 #: Tokens whose counts every task holds; counts of rarer ones join by hash. 16 bytes each.
 HEAD = 1 << 18
-#: Words that a task scores side by side (a longer document is taken alone).
-BLOCK_WORDS = 1 << 22
+#: Words that a task scores, or learns from, side by side, about: with few, most lanes would end long before the longest document.
+BLOCK_WORDS, LEARN_WORDS = 1 << 22, 1 << 21
 #: Hash of the end token. Words hash anywhere, so it stands for a word that no text holds.
 END = np.uint64(0x5EEDE0D5EEDE0D01)
 END_SLOT, UNKNOWN = 0, 1
@@ -119,7 +118,12 @@ def fresh_net(weights: np.ndarray, seed: int = 7) -> Net:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def run_window(net: Net, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: list | None = None, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -128,40 +132,65 @@ def run_window(net: Net, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarra
     steps, lanes = inputs.shape
     x = (table if table is not None else net.embed @ net.into + net.bias)[inputs]
     out = np.empty((steps, lanes, HIDDEN), np.float32)
+    begins = fresh.any(1)
     for t in range(steps):
-        if fresh[t].any():
+        if begins[t]:
             state = state * (1 - fresh[t])[:, None]
         a = state @ net.again
         g = _sigmoid(x[t, :, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
-        r, z = g[:, :HIDDEN], g[:, HIDDEN:]
-        new = np.tanh(x[t, :, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
+        r, z, again = g[:, :HIDDEN], g[:, HIDDEN:], a[:, 2 * HIDDEN :]
+        new = r * again
+        new += x[t, :, 2 * HIDDEN :]
+        np.tanh(new, out=new)
         if keep is not None:
-            keep.append((state, a[:, 2 * HIDDEN :], r, z, new))
-        state = new + z * (state - new)
-        out[t] = state
-    return out, state
+            keep.append((state, again, r, z, new))
+        after = out[t]
+        np.subtract(state, new, out=after)
+        after *= z
+        after += new
+        state = after
+    return out, state.copy()
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits = np.exp(logits - logits.max(1, keepdims=True))
-    return logits / logits.sum(1, keepdims=True)
+    """In place."""
+    logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
+    return logits
+
+
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order that puts the members of a class together, and each class's place in it."""
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
+    ends = np.cumsum(np.bincount(cls, minlength=CLASSES)).tolist()
+    return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]
 
 
 def log_probabilities(net: Net, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target: its class, then the word in the class."""
     n = len(targets)
     cls, word = targets // CLASS_SIZE, targets % CLASS_SIZE
-    logits = states @ net.to_class + net.class_bias
-    top = logits.max(1)
-    out = logits[np.arange(n), cls] - top - np.log(np.exp(logits - top[:, None]).sum(1))
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[bounds[c] : bounds[c + 1]]
-        if len(at):
-            logits = states[at] @ net.to_word[c] + net.word_bias[c]
-            top = logits.max(1)
-            out[at] += logits[np.arange(len(at)), word[at]] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+    row = np.arange(n)
+
+    def of(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log probability of column at[i] in row i."""
+        top = logits.max(1)
+        hit = logits[row[: len(at)], at] - top
+        logits -= top[:, None]
+        np.exp(logits, out=logits)
+        return hit - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+
+    logits = states @ net.to_class
+    logits += net.class_bias
+    out = of(logits, cls)
+    order, classes = _by_class(cls)
+    states, word, inside = states[order], word[order], np.empty(n, out.dtype)
+    for c, at in classes:
+        logits = states[at] @ net.to_word[c]
+        logits += net.word_bias[c]
+        inside[at] = of(logits, word[at])
+    out[order] += inside
     return out
 
 
@@ -172,49 +201,67 @@ def gradient(net: Net, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarra
     states, last = run_window(net, inputs, fresh, state, keep)
     flat, goal, w = states.reshape(-1, HIDDEN), targets.ravel(), real.ravel()
     n = max(1.0, float(w.sum()))
-    cls, word = goal // CLASS_SIZE, goal % CLASS_SIZE
+    cls, word, row, share = goal // CLASS_SIZE, goal % CLASS_SIZE, np.arange(len(goal)), w / np.float32(n)
     g = Net(*(np.zeros_like(a) for a in net))
-    p = _softmax(flat @ net.to_class + net.class_bias)
-    loss = -float((np.log(p[np.arange(len(goal)), cls] + 1e-30) * w).sum())
-    p[np.arange(len(goal)), cls] -= 1
-    p *= (w / n)[:, None]
+    p = flat @ net.to_class
+    p += net.class_bias
+    hit = _softmax(p)[row, cls]
+    p[row, cls] -= 1
+    p *= share[:, None]
     g.to_class[:] = flat.T @ p
     g.class_bias[:] = p.sum(0)
     d_states = p @ net.to_class.T
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[bounds[c] : bounds[c + 1]]
-        if len(at):
-            p = _softmax(flat[at] @ net.to_word[c] + net.word_bias[c])
-            loss -= float((np.log(p[np.arange(len(at)), word[at]] + 1e-30) * w[at]).sum())
-            p[np.arange(len(at)), word[at]] -= 1
-            p *= (w[at] / n)[:, None]
-            g.to_word[c] = flat[at].T @ p
-            g.word_bias[c] = p.sum(0)
-            d_states[at] += p @ net.to_word[c].T
+    order, classes = _by_class(cls)
+    sorted_states, word, weight = flat[order], word[order], share[order]
+    inside, d_sorted = np.empty(len(goal), np.float32), np.empty_like(sorted_states)
+    for c, at in classes:
+        x, q, i = sorted_states[at], word[at], row[: at.stop - at.start]
+        p = x @ net.to_word[c]
+        p += net.word_bias[c]
+        inside[at] = _softmax(p)[i, q]
+        p[i, q] -= 1
+        p *= weight[at, None]
+        g.to_word[c] = x.T @ p
+        g.word_bias[c] = p.sum(0)
+        np.matmul(p, net.to_word[c].T, out=d_sorted[at])
+    d_states[order] += d_sorted
+    hit[order] *= inside
+    loss = -float((np.log(hit + 1e-30) * w).sum()) / n
     d_states = d_states.reshape(steps, lanes, HIDDEN)
-    d_x = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+    # by step: of the gates' sums (d_x), and of what the new state's gate lets through of the old one (d_old)
+    d_x, d_old = np.empty((steps, lanes, 3 * HIDDEN), np.float32), np.empty((steps, lanes, HIDDEN), np.float32)
+    old, begins = np.stack([k[0] for k in keep]), fresh.any(1)
+    gates, through = np.ascontiguousarray(net.again[:, : 2 * HIDDEN].T), np.ascontiguousarray(net.again[:, 2 * HIDDEN :].T)
     d = np.zeros((lanes, HIDDEN), np.float32)
     for t in range(steps - 1, -1, -1):
-        before, a_new, r, z, new = keep[t]
-        d = d + d_states[t]
-        d_new = d * (1 - z) * (1 - new * new)
-        d_z = d * (before - new) * z * (1 - z)
-        d_r = d_new * a_new * r * (1 - r)
-        d_x[t] = np.concatenate([d_r, d_z, d_new], 1)
-        d_a = np.concatenate([d_r, d_z, d_new * r], 1)
-        g.again[:] += before.T @ d_a
-        d = (d * z + d_a @ net.again.T) * (1 - fresh[t])[:, None]
-    rows = d_x.reshape(-1, 3 * HIDDEN)
+        before, again, r, z, new = keep[t]
+        d += d_states[t]
+        d_r, d_z, d_new = d_x[t, :, :HIDDEN], d_x[t, :, HIDDEN : 2 * HIDDEN], d_x[t, :, 2 * HIDDEN :]
+        kept = d * z
+        np.subtract(d, kept, out=d_new)
+        d_new *= 1 - new * new
+        np.subtract(before, new, out=d_z)
+        d_z *= kept
+        d_z *= 1 - z
+        np.multiply(d_new, r, out=d_old[t])
+        np.multiply(d_old[t], again, out=d_r)
+        d_r *= 1 - r
+        d = d_x[t, :, : 2 * HIDDEN] @ gates
+        d += d_old[t] @ through
+        d += kept
+        if begins[t]:
+            d *= (1 - fresh[t])[:, None]
+    rows, old = d_x.reshape(-1, 3 * HIDDEN), old.reshape(-1, HIDDEN)
+    g.again[:, : 2 * HIDDEN] = old.T @ rows[:, : 2 * HIDDEN]
+    g.again[:, 2 * HIDDEN :] = old.T @ d_old.reshape(-1, HIDDEN)
     g.bias[:] = rows.sum(0)
-    g.into[:] = net.embed[inputs.ravel()].T @ rows
-    d_e = rows @ net.into.T
     ids = inputs.ravel()
-    order = np.argsort(ids, kind="stable")
-    once, start = np.unique(ids[order], return_index=True)
-    g.embed[once] = np.add.reduceat(d_e[order], start, axis=0)
-    return loss / n, g, last
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    start = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    once, sums = ids[order[start]], np.add.reduceat(rows[order], start, axis=0)
+    g.into[:] = net.embed[once].T @ sums
+    g.embed[once] = sums @ net.into.T
+    return loss, g, last
 
 
 def lanes_of(first: np.ndarray, lanes: int) -> list[list[int]]:
@@ -275,11 +322,31 @@ class Adam:
             a -= rate * m / (np.sqrt(v) + 1e-8)
 
 
+def gathered(blocks: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The blocks (word ids, first word of each document), put together up to about so many words."""
+    ids: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+
+    def whole() -> tuple[np.ndarray, np.ndarray]:
+        out = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        ids.clear()
+        counts.clear()
+        return out
+
+    for x, first in blocks:
+        ids.append(x)
+        counts.append(np.diff(first))
+        if sum(map(len, ids)) >= most:
+            yield whole()
+    if ids:
+        yield whole()
+
+
 def learn(net: Net, blocks: Iterator[tuple[np.ndarray, np.ndarray]], rate: float) -> tuple[Net, int]:
     """Goes on training over blocks of (word ids, first word of each document); also the number of tokens."""
     net = Net(*(a.copy() for a in net))
     adam, n = Adam(net, rate), 0
-    for ids, first in blocks:
+    for ids, first in gathered(blocks, LEARN_WORDS):
         state = None
         for feed, goal, fresh, real, _ in stream(ids, first, TRAIN_LANES):
             state = np.zeros((feed.shape[1], HIDDEN), np.float32) if state is None else state[: feed.shape[1]]
@@ -385,36 +452,31 @@ def train(docs: DataFrame, keep: Scratch) -> tuple[Counts, Net, DataFrame]:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "hash").limit(HEAD).toArrow()
     head = head_counts(top["hash"].to_numpy().view(np.uint64), top["n"].to_numpy(), total, distinct)
-    n_docs = docs.count()
-    net = fresh_net(slot_counts(head))
-    if not n_docs:
-        return head, net, counts
-    share = min(1.0, 1.3 * START_WORDS / max(1, total))
-    mine = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
-    rows = docs.where(mine < max(1, int(share * 1_000_000))).select(F.xxhash64("text").alias("h"), "text").orderBy("h").limit(4 * START_WORDS // 100).toArrow()
-
-    def start() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        left = START_WORDS
-        for _, w in word_blocks(rows.select(["text"]).combine_chunks().to_batches(), "text"):
-            use = int(np.searchsorted(w.first, left, "right")) - 1 if w.first[-1] > left else len(w.first) - 1
-            if use > 0:
-                yield slots(head, w.hash[: w.first[use]]), w.first[: use + 1]
-                left -= int(w.first[use])
-
-    net, _ = learn(net, start(), RATE)
-    shared = spark.sparkContext.broadcast((head, net))
+    net, at = fresh_net(slot_counts(head)), 0
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS[-1][0]))
+    for k, (end, rate) in enumerate(ROUNDS):
+        net = _round(docs.where((part >= at) & (part < end)).select("text"), head, net, rate, keep, f"nets-{k}")
+        at = end
+    return head, net, counts
+
+
+def _round(docs: DataFrame, head: Counts, net: Net, rate: float, keep: Scratch, name: str) -> Net:
+    """The mean of the networks that docs' tasks get to from net; net itself, if there are no documents."""
+    shared = docs.sparkSession.sparkContext.broadcast((head, net))
 
     def tune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, net = shared.value
-        net, n = learn(net, ((slots(head, w.hash), w.first) for _, w in word_blocks(batches, "text")), TUNE_RATE)
+        net, n = learn(net, ((slots(head, w.hash), w.first) for _, w in word_blocks(batches, "text")), rate)
         if n:
             task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_pydict(
                 {"task": pa.array([task] * len(net), pa.int64()), "part": pa.array(range(len(net)), pa.int32()), "weight": [float(n)] * len(net), "values": pa.array([a.tobytes() for a in net], pa.binary())}
             )
 
-    tuned = keep.save(docs.select("text").mapInArrow(tune, "task long, part int, weight double, values binary"), "nets")
-    return head, _averaged(tuned, keep) or net, counts
+    tuned = keep.save(docs.mapInArrow(tune, "task long, part int, weight double, values binary"), name)
+    out = _averaged(tuned, keep) or net
+    keep.drop(name)
+    return out
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:

@@ -125,6 +125,72 @@ def test_language_model_is_a_distribution():
     assert np.allclose(gru_lm.text_scores(net, ids, np.array([0, 90, 90, 400])), alone, atol=1e-3)  # state goes on across windows
 
 
+def small_net(seed):
+    rng = np.random.default_rng(seed)
+    net = gru_lm.fresh_net(rng.random(gru_lm.VOCABULARY) * 9)
+    return gru_lm.Net(*(x + rng.normal(0, 0.15, x.shape).astype(np.float32) for x in net))
+
+
+def plain_score(net, ids):
+    """Natural log probability of one document's vocabulary entries and its end, token by token in double precision."""
+    embed, into, again, bias, to_class, class_bias, to_word, word_bias = (x.astype(float) for x in net)
+    h, out, feed, n = np.zeros(gru_lm.HIDDEN), 0.0, gru_lm.END_SLOT, gru_lm.HIDDEN
+    for v in [*ids, gru_lm.END_SLOT]:
+        x, a = embed[feed] @ into + bias, h @ again
+        r, z = (1 / (1 + np.exp(-(x[k * n : k * n + n] + a[k * n : k * n + n]))) for k in (0, 1))
+        new = np.tanh(x[2 * n :] + r * a[2 * n :])
+        h = (1 - z) * new + z * h
+        c, w = divmod(int(v), gru_lm.CLASS_SIZE)
+        top, word = h @ to_class + class_bias, h @ to_word[c] + word_bias[c]
+        out += top[c] - np.log(np.exp(top).sum()) + word[w] - np.log(np.exp(word).sum())
+        feed = v
+    return out
+
+
+def test_network_scores_by_hand():
+    net, rng = small_net(3), np.random.default_rng(4)
+    texts = [rng.integers(0, gru_lm.VOCABULARY, n).astype(np.int32) for n in (0, 1, 31, 32, 33, 150, 7)]
+    got = gru_lm.text_scores(net, np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])]))
+    assert np.allclose(got, [plain_score(net, x) for x in texts], rtol=2e-5, atol=1e-3)
+
+
+def test_gradient_against_differences():
+    net, rng = small_net(5), np.random.default_rng(6)
+    shape = (6, 5)
+    feed, goal = (rng.integers(0, gru_lm.VOCABULARY, shape).astype(np.int32) for _ in range(2))
+    goal[1:3] = goal[0]  # several of one class
+    fresh, real = (rng.random(shape) < 0.3).astype(np.float32), (rng.random(shape) < 0.8).astype(np.float32)
+    state = rng.normal(0, 0.5, (5, gru_lm.HIDDEN)).astype(np.float32)
+    _, g, last = gru_lm.gradient(net, feed, goal, fresh, real, state)
+    assert np.allclose(last, gru_lm.run_window(net, feed, fresh, state)[1])
+    for k, name in enumerate(net._fields):
+        way = g[k] / (np.sqrt((g[k] ** 2).sum()) + 1e-12)
+        loss = lambda s: gru_lm.gradient(net._replace(**{name: net[k] + np.float32(s) * way}), feed, goal, fresh, real, state)[0]  # noqa: B023, E731
+        assert abs((loss(0.01) - loss(-0.01)) / 0.02 - (g[k] * way).sum()) < 2e-3 * max(1.0, float((g[k] * way).sum())), name
+
+
+def test_score_is_the_network_and_the_shares_of_rare_words(spark, monkeypatch):
+    r = random.Random(8)
+    words = [f"w{int(9000 * r.random() ** 2)}" for _ in range(30_000)]
+    docs = documents(spark, [" ".join(words[i * 300 : i * 300 + 300]) for i in range(100)] + ["never seen at all", "", None])
+    kept = []
+    train = gru_lm.train
+    monkeypatch.setattr(gru_lm, "train", lambda d, keep: kept.append(train(d, keep)) or kept[0])
+    got = {x["doc_id"]: x for x in gru_lm.score(docs, F.col("doc_id") % 5 == 1).collect()}
+    head, net, table = kept[0]
+    count = {np.uint64(x["hash"] % 2**64): x["n"] for x in table.collect()}
+    slot = dict(zip(head.hash.tolist(), head.slot.tolist()))
+    inside = sum(count[np.uint64(h)] + 0.5 for h, s in slot.items() if s != gru_lm.UNKNOWN)
+    assert sum(s == gru_lm.UNKNOWN for s in slot.values()) > 100
+    rest = sum(count.values()) + 0.5 * (len(count) + 1) - inside
+    for x in docs.where("doc_id % 9 = 1 OR doc_id >= 100").collect():
+        data, offsets = utf8(pa.array([x["text"]]))
+        tokens = Words(data, offsets, gru_lm.SPACES).hash.tolist()
+        ids = [slot.get(h, gru_lm.UNKNOWN) for h in tokens]
+        want = plain_score(net, ids) / math.log(10) + sum(math.log10((count.get(np.uint64(h), 0) + 0.5) / rest) for h, s in zip(tokens, ids) if s == gru_lm.UNKNOWN)
+        assert abs(got[x["doc_id"]]["score"] - want) < 1e-3 + 2e-5 * abs(want)
+
+
 def sentences(text):
     out = []
     for s in re.findall(r"\S[^\n]*?(?:[.!?](?=\s|$)|(?=\n|$))", text):
