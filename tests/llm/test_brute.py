@@ -249,9 +249,61 @@ article&nbsp;here.<div class="ad-slot">Buy now</div><p>Yes.<p>Third paragraph wi
 <aside>Related: more things to read</aside><form>Name <input></form><footer>&copy; 2020 Someone</footer></body></html>"""
 
 
-def test_main_text():
-    assert html_cut.main_text(PAGE) == "The & title First paragraph of the article here. Yes. Third paragraph with a link in it."
-    assert html_cut.main_text("") == "" and html_cut.main_text("<p>" + "word " * 60 + "</p>") == ("word " * 60).strip()
+P = "<p>" + "Several words make up this sentence of the article, as they do. " * 2 + "</p>"
+PLAIN_P = ("Several words make up this sentence of the article, as they do. " * 2).strip()
+#: Pages, and their main text.
+PAGES = [
+    (PAGE, "The & title First paragraph of the article here. Yes. Third paragraph with a link in it."),
+    ("", ""),
+    ("<p>" + "word " * 60 + "</p>", ("word " * 60).strip()),
+    (f'<div style="overflow:hidden"><article>{P}</article></div><div aria-hidden="false">{P}</div>', f"{PLAIN_P} {PLAIN_P}"),
+    (f'<svg width="3" /><article>{P}</article><button>Menu<article>{P}</article><footer>Foot <button>ok</button></footer>', f"{PLAIN_P} {PLAIN_P}"),
+    (f'<article>{P}<iframe src="x" />{P}<iframe src="y"></iframe>{P}</article>', " ".join([PLAIN_P] * 3)),
+    (f'<article class="post tags">{P}<section class="social-history"><h2>A social history</h2>{P}</section></article>', f"{PLAIN_P} A social history {PLAIN_P}"),
+    ("<div>Nine words stand alone on this short page</div>", "Nine words stand alone on this short page"),
+    (f"<nav><a href=/>Home</a></nav><article>{P}<ul>" + "".join(f"<li><a href=/{i}>Part {i}</a></li>" for i in range(30)) + "</ul></article>", " ".join([PLAIN_P] + [f"Part {i}" for i in range(30)])),
+    ("<article>" + "<p>Of.</p>" * 200 + "</article>", " ".join(["Of."] * 200)),
+    (f'<ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul><div>{P}<p>So be it.</p>{P}</div><div>© 2020 Someone</div>', f"{PLAIN_P} So be it. {PLAIN_P}"),
+    (f'<article>{P}<div class="ad-slot">' + "Buy this now, it is the best of all things that there are. " * 9 + f'</div>{P}<section id="comments">{P * 9}</section></article>', f"{PLAIN_P} {PLAIN_P}"),
+    (f"<main><div class=share>Share this</div><article><header><h1>Top</h1></header>{P}</article></main><aside>{P}</aside>", f"Top {PLAIN_P}"),
+]
+
+
+@pytest.mark.parametrize("i", range(len(PAGES)))
+def test_main_text(i):
+    assert html_cut.main_text(PAGES[i][0]) == PAGES[i][1]
+
+
+def test_main_text_of_all_pages(spark):
+    """In the given pages the article is an element of its own: the text comes back whole, with weights fitted to the pages; and the cut
+    decides against some blocks' own evidence."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_cut.fit(pages)
+    got = {x["page_id"]: x["text"] for x in html_cut.extract(pages).collect()}
+    changed = 0
+    for x in pages.collect():
+        article = re.search("<article>(.*?)</article>", x["html"], re.S)[1]
+        bare = re.sub("</?b>", "", re.sub("</?(?:p|h1|br|li|ul|div)[^>]*>", " ", article))
+        assert got[x["page_id"]] == " ".join(html_cut.unescape(bare).split())
+        blocks, roots = html_cut.blocks_of(x["html"])
+        nodes, edges = html_cut.graph(blocks, roots, weights)
+        changed += sum((e > 0) != side for e, side in zip(nodes[: len(blocks)], html_cut.minimum_cut(nodes, edges)))
+    assert changed > 0
+
+
+def test_fitted_weights():
+    assert html_cut.fitted([]) == html_cut.fitted([((0, 1), 5, 5)]) == list(html_cut.PRIOR)
+    counts = [((0, 6, 7), 40_000, 30_000), ((0, 1, 9), 50_000, 500), ((0, 3, 7, 10), 30_000, 15_000)]
+    w = html_cut.fitted(counts)
+    assert w[6] + w[7] > 0 > w[1] + w[9]
+    # in the maximum, the slope of the likelihood is that of the prior
+    total, yes = sum(c[1] for c in counts), sum(c[2] for c in counts)
+    slope = np.zeros(len(w))
+    for which, n, k in counts:
+        a, b = k * total / 2 / yes, (n - k) * total / 2 / (total - yes)
+        p = 1 / (1 + math.exp(-sum(w[i] for i in which)))
+        slope[list(which)] += (a - (a + b) * p) * 2000 / total
+    assert np.allclose(slope, html_cut.FIRM * (np.array(w) - html_cut.PRIOR), atol=1e-5)
 
 
 def test_zip_files(spark):
