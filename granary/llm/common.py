@@ -27,7 +27,8 @@ _powers: dict[int, np.ndarray] = {}
 class Scratch:
     """A folder of Parquet tables under spark.checkpoint.dir, which the driver and all executors share.
 
-    Writing a table cuts the lineage: a lost executor costs no more than the files that it was writing.
+    Writing a table cuts the lineage: a lost executor costs no more than the files that it was writing. Results are read from
+    these tables when the caller asks for rows, so the folder stays as long as the driver does, and is deleted as it ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -37,6 +38,10 @@ class Scratch:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.gettempdir()
         self.spark, self.dir = spark, f"{base.rstrip('/')}/granary-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.dir)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.dir}/{name}"

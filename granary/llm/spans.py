@@ -110,43 +110,48 @@ class Spans:
         return head + b"".join(kept) if len(kept) == b - a else (head + b"".join(kept)).rstrip()
 
 
-def _emit(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """hash, doc: a row for each document and each of its spans."""
+def _emit(docs: DataFrame, own: list[str], text: str) -> DataFrame:
+    """hash, and the columns `own` that tell documents apart: a row for each document and each of its spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, (data, offsets) = column(batch, doc).to_numpy(zero_copy_only=False), utf8(column(batch, text))
+            ids, (data, offsets) = [column(batch, c) for c in own], utf8(column(batch, text))
             for lo, hi in chunks(offsets):
                 s = Spans(data, offsets[lo : hi + 1])
                 new = ~s.again
-                yield pa.RecordBatch.from_arrays([pa.array(signed(s.hash[new])), pa.array(ids[lo + s.of[new]], pa.int64())], names=["hash", "doc"])
+                of = pa.array(lo + s.of[new])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(s.hash[new])), *(x.take(of) for x in ids)], names=["hash", *own])
 
-    return docs.select(doc, text).mapInArrow(run, "hash long, doc long")
+    return docs.select(*own, text).mapInArrow(run, ", ".join(["hash long", *(f"{c} {dict(docs.dtypes)[c]}" for c in own)]))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with text cut down, and n_sentences and n_removed (sentences of the text before, and those removed).
 
     First is the document with the smallest doc_id; within a document, a span's first place. Null and empty texts stay as
-    they are; texts with fewer than three sentences or twelve words have no spans. Where doc_id is null or repeats in the
-    table, documents go by the hash of id and text instead, and rows equal in both are one document: they all keep what
-    it keeps. A column n_chars, if there is one, is made to fit the new text. Columns n_sentences, n_removed are replaced.
+    they are; texts with fewer than three sentences or twelve words have no spans. Null ids come last; of rows with one id, the
+    one whose text has the smaller hash comes first, and rows equal in id and text are one document: they all keep what it
+    keeps. A column n_chars, if there is one, is made to fit the new text. Columns n_sentences, n_removed are replaced.
 
     Equal spans are counted by an aggregation with partial sums, so a span that a third of all documents hold is no
     burden; the join back to its documents is one that Spark can split.
     """
     docs = docs.drop("n_sentences", "n_removed")
-    doc, text, theirs, spans = fresh(docs, "_doc", "_text", "_of", "_spans")
+    doc, id_, text, theirs, spans = fresh(docs, "_doc", "_id", "_text", "_of", "_spans")
     ids = docs.groupBy("doc_id").count().where(F.col("doc_id").isNull() | (F.col("count") > 1))
-    number = dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint")
-    key = F.col("doc_id").cast("long") if number and ids.isEmpty() else F.xxhash64("doc_id", "text")
-    rows = docs.withColumns({doc: key, text: text_column()})
+    rows = docs.withColumn(text, text_column())
+    if dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint") and ids.isEmpty():
+        # the id alone tells documents apart: one number a span is shuffled
+        rows, own, order = rows.withColumn(doc, F.col("doc_id").cast("long")), [doc], F.col(doc)
+    else:
+        rows, own = rows.withColumns({doc: F.xxhash64("doc_id", "text"), id_: F.col("doc_id")}), [doc, id_]
+        order = F.struct(F.col(id_).isNull().alias("none"), F.col(id_).alias("id"), F.col(doc).alias("doc"))
     keep = Scratch(docs.sparkSession)
-    first = _emit(rows, doc, text).groupBy("hash").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last")).where("_first <> _last")
+    first = _emit(rows, own, text).groupBy("hash").agg(F.min(order).alias("_first"), F.max(order).alias("_last")).where("_first <> _last")
     first = keep.save(first.select("hash", "_first"), "repeated")
-    later = _emit(rows, doc, text).join(first, "hash").where(F.col("doc") != F.col("_first"))
-    later = later.groupBy(F.col("doc").alias(theirs)).agg(F.collect_set("hash").alias(spans))
-    marked = rows.join(keep.save(later, "later"), F.col(doc) == F.col(theirs), "left").drop(doc, theirs)
+    later = _emit(rows, own, text).join(first, "hash").where(order != F.col("_first"))
+    later = later.groupBy(F.col(doc).alias(theirs)).agg(F.collect_set("hash").alias(spans))
+    marked = rows.join(keep.save(later, "later"), F.col(doc) == F.col(theirs), "left").drop(doc, id_, theirs)
     schema = docs.withColumns({"n_sentences": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
     names = docs.columns
 

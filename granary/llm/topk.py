@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a block; a task holds one block of queries, one of candidates and their scores (QUERY_STEP queries at a time).
-CANDIDATE_ROWS, QUERY_ROWS, QUERY_STEP = 8192, 1024, 64
+#: Rows of a block; a task holds one block of queries, one of candidates and their scores (QUERY_STEP queries at a time). All pairs
+#: of blocks meet, so queries times candidates / QUERY_ROWS + queries times candidates / CANDIDATE_ROWS rows are moved.
+CANDIDATE_ROWS, QUERY_ROWS, QUERY_STEP = 32_768, 16_384, 32
 
 
 def quantised(vector: Column) -> Column:

@@ -133,11 +133,13 @@ def zip_members(size: int, read) -> dict[str, tuple[int, int]]:
 # ---------------------------------------------------------------- WARC
 
 
-def warc_record(kind: str, page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
+def warc_record(kind: str, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
+    own = f"urn:uuid:{uuid.uuid4()}" if page_id is None else f"urn:page:{page_id}"
+    url, refers_url = (x.replace("\r", "%0D").replace("\n", "%0A") if x else x for x in (url, refers_url))
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <{own}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -268,13 +270,13 @@ def archived(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
     first = (
-        rows.where(F.octet_length("html") >= REVISIT_BYTES)
+        rows.where((F.octet_length("html") >= REVISIT_BYTES))
         .groupBy("digest")
-        .agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last"))
-        .where(F.col("first.page_id") != F.col("last"))
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n"))
+        .where((F.col("n") > 1) & F.col("first").isNotNull())
         .select("digest", F.col("first.page_id").alias("_first"), F.col("first.url").alias("_url"))
     )
-    later = F.col("page_id") > F.col("_first")
+    later = (F.col("page_id") > F.col("_first")) | (F.col("page_id").isNull() & F.col("_first").isNotNull())
     return rows.join(first, "digest", "left").select(
         "page_id", "url", "html", "digest", F.when(later, F.col("_first")).alias("refers_to"), F.when(later, F.col("_url")).alias("refers_url")
     )
@@ -284,12 +286,12 @@ def round_trip(pages: DataFrame, zip64: bool = False) -> DataFrame:
     """Writes the pages to archives in the shared folder and reads them back: page_id, payload_bytes, payload_digest,
     record_type, refers_to. A revisit's bytes come from the response that it refers to.
 
-    Null html is the empty payload. Rows with a null page_id take no part: a record must have an id. Rows that repeat a
-    page_id are records of their own; of those with equal payloads, all with the smallest id are responses. Other columns
-    are not archived.
+    Null html is the empty payload. A row with a null page_id is a record under an id of its own, and revisits its equals
+    that have one. Rows that repeat a page_id are records of their own; of those with equal payloads, all with the smallest
+    id are responses. Other columns are not archived.
     """
     keep = Scratch(pages.sparkSession)
-    rows = archived(pages.where(F.col("page_id").isNotNull()).withColumn("page_id", F.col("page_id").cast("long")))
+    rows = archived(pages.withColumn("page_id", F.col("page_id").cast("long")))
     written = keep.save(write_archives(rows, keep.path("archives"), zip64), "manifest")
     archives = written.repartition(max(1, written.count()), "archive")
     read = keep.save(read_archives(archives).withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload", "url"), "read")
@@ -301,8 +303,7 @@ def round_trip(pages: DataFrame, zip64: bool = False) -> DataFrame:
 
 def round_trip_sql() -> str:
     return f"""
-    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
-               FROM pages WHERE page_id IS NOT NULL),
-    f AS (SELECT *, CASE WHEN payload_bytes >= {REVISIT_BYTES} THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
-    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
-           CASE WHEN page_id > first THEN first END AS refers_to FROM f"""
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT *, CASE WHEN payload_bytes >= {REVISIT_BYTES} THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p),
+    g AS (SELECT *, first IS NOT NULL AND page_id IS DISTINCT FROM first AS later FROM f)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN later THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN later THEN first END AS refers_to FROM g"""

@@ -65,7 +65,10 @@ def test_pages(spark):
     p = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "digest": F.lit(2), "n_chars": F.lit(3)})
     assert html_cut.extract(p).count() == 7 and html_cut.extract(p.limit(0)).collect() == []
     got = zip_warc.round_trip(p).collect()
-    assert len(got) == 6 and {r["record_type"] for r in got} == {"response"}
+    assert len(got) == 7 and {r["record_type"] for r in got} == {"response"}
+    same = spark.createDataFrame([(None, "a\r\nb", "x" * 100), (4, "u", "x" * 100), (9, "u", "x" * 100), (None, "u", "y" * 100), (None, "u", "y" * 100), (None, None, None)], "page_id long, url string, html string")
+    rows = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in zip_warc.round_trip(same).collect()), key=str)
+    assert rows == [(4, 100, "response", None), (9, 100, "revisit", 4), (None, 0, "response", None), (None, 100, "response", None), (None, 100, "response", None), (None, 100, "revisit", 4)]
     assert zip_warc.round_trip(p.limit(0)).collect() == []
 
 
@@ -76,3 +79,18 @@ def test_vectors(spark):
     got = [tuple(r) for r in topk.top_k(v, F.col("vec_id") % 50 == 0, 3).where("query_id = 50").orderBy("rank").collect()]
     assert got == [(50, 1, 3, 131072), (50, 2, 1, 65536), (50, 3, 1, 65536)]
     assert topk.top_k(v.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+    twice = spark.createDataFrame([(50, [1.0]), (50, [2.0]), (7, [3.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.top_k(twice, F.col("vec_id") % 50 == 0, 3).collect()] == [(50, 1, 7, 393216)]  # one query, its greatest vector
+
+
+def test_spans_of_rows_without_clear_ids(spark):
+    """Rows with null or repeated ids don't change who is first among the others."""
+    text = "These words are shared by all. They come in a few sentences. So they are a span. And that is all."
+    rows = [(5, "own five. " + text), (3, "own three. " + text), (None, text), (9, "some more. " + text), (9, text)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["text"][:9]): r["n_removed"] for r in spans.dedup(d).collect()}
+    assert got[(3, "own three")] == 0 and got[(5, "own five.")] == 4 and sum(got.values()) == 4 * 4
+    clean = spans.dedup(d.where("doc_id < 9")).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in clean) == [(3, 0), (5, 4)]
+    named = d.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert sum(r["n_removed"] for r in spans.dedup(named).collect()) == 4 * 4
