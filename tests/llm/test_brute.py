@@ -72,6 +72,63 @@ def test_toxicity_held_out(spark):
     assert toxicity.fit(docs, labels.where("toxic = 0")) is None
 
 
+def plain_logit(model, text):
+    """By loops, in double precision."""
+    data, offsets = utf8(pa.array([text]))
+    rows = toxicity.features(Words(data, offsets, toxicity.PUNCT))
+    if not rows.shape[1]:
+        return float(model.offset)
+    x = [sum(model.table[r].astype(float) for r in rows[:, t]) for t in range(rows.shape[1])]
+    out, start, n = float(model.offset), 0, toxicity.FILTERS
+    for i, width in enumerate(toxicity.WIDTHS):
+        for f in range(n):
+            at = lambda t: model.bias[i * n + f] + sum(float(x[t + j] @ model.kernel[:, start + j * n + f]) for j in range(width) if t + j < len(x))  # noqa: B023, E731
+            out += max(0.0, max(map(at, range(len(x))))) * float(model.weight[i * n + f])
+        start += width * n
+    return out
+
+
+def some_model(seed):
+    rng, n = np.random.default_rng(seed), len(toxicity.WIDTHS) * toxicity.FILTERS
+    f = lambda *shape: rng.normal(0, 0.5, shape).astype(np.float32)
+    return toxicity.Model(f(1 << toxicity.BITS, toxicity.DIM), f(toxicity.DIM, sum(toxicity.WIDTHS) * toxicity.FILTERS), f(n), f(n), 0.3, (0.5, -0.2), {"": 0.5, "de": 0.9})
+
+
+def test_toxicity_by_hand(spark):
+    model = some_model(2)
+    texts = ["one", "two words", "Three words, here!", prose(40, 1), prose(300, 2), "", None, " ... ", "bad " * 50, prose(40, 1)]
+    rows = spark.createDataFrame([(i if i < 9 else None, t, "de" if i == 3 else None, 7) for i, t in enumerate(texts)], "doc_id long, text string, lang string, score int")
+    got = {x["doc_id"]: x for x in toxicity.score(rows, model).collect()}
+    assert len(got) == 10
+    for i, t in enumerate(texts[:9]):
+        want = 1 / (1 + math.exp(-(0.5 * plain_logit(model, t or "") - 0.2)))
+        assert abs(got[i]["score"] - want) < 1e-4 and got[i]["threshold"] == (0.9 if i == 3 else 0.5)
+    assert abs(got[None]["score"] - got[3]["score"]) < 1e-6
+    kept = toxicity.reject(rows, model)
+    assert kept.columns == rows.columns and {x["doc_id"] for x in kept.collect()} == {i for i, x in got.items() if x["score"] < (0.5 if i is None else x["threshold"])}
+    assert {x["score"] for x in kept.collect()} <= {7}
+
+
+def test_toxicity_slopes_against_differences():
+    model, r = some_model(5), random.Random(5)
+    data, offsets = utf8(pa.array([prose(n, n) for n in (1, 2, 3, 30, 80)]))
+    w = Words(data, offsets, toxicity.PUNCT)
+    rows, labels = toxicity.features(w), np.array([1, 0, 1, 0, 1], np.float32)
+    g = toxicity.slopes(model, rows, w.first, labels)
+
+    def loss(m):
+        z = toxicity.pooled(m, rows, w.first).astype(float) @ m.weight.astype(float) + m.offset
+        return float(np.mean(np.log1p(np.exp(z)) - labels * z))
+
+    table = np.zeros_like(model.table)
+    table[g.once] = g.table
+    for name, slope in (("table", table), ("kernel", g.kernel), ("bias", g.bias), ("weight", g.weight)):
+        way = slope / np.sqrt((slope**2).sum())
+        up, down = (loss(model._replace(**{name: getattr(model, name) + np.float32(s) * way})) for s in (1e-3, -1e-3))
+        assert abs((up - down) / 2e-3 - (slope * way).sum()) < 0.01 * (slope * way).sum(), name
+    assert abs((loss(model._replace(offset=model.offset + 1e-3)) - loss(model._replace(offset=model.offset - 1e-3))) / 2e-3 - g.offset) < 1e-4
+
+
 def test_known_notices_hold_a_hint():
     assert all(any(h in body.lower() for h in licenses.HINTS) for _, body in licenses.TEXTS if "\n" not in body)
 
