@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.sizes import if_small
+from granary.functions.text import tokens
 
 
 def any_keyword(text: Column, keywords: Column) -> Column:
@@ -16,9 +17,21 @@ def any_keyword(text: Column, keywords: Column) -> Column:
 def evidence(golden: DataFrame, docs: DataFrame) -> DataFrame:
     """id, evidence: whether any current document that the question allows (docs: names, null for all) holds a keyword.
 
-    Rows are tested each; no text is put together. golden: id, docs, kw; docs: doc, text."""
-    pairs = docs.join(if_small(golden.select("id", "docs", "kw")), F.col("docs").isNull() | F.array_contains("docs", F.col("doc")))
-    found = pairs.where(any_keyword(F.col("text"), F.col("kw"))).select("id").distinct().withColumn("_hit", F.lit(True))
+    A keyword's tokens but the first and the last are whole tokens of a text that holds it, so the longest of them leads by an
+    equal join to the few texts in which the keyword is then looked for. Keywords of one or two tokens are looked for in
+    every text. Rows are tested each; no text is put together. golden: id, docs, kw; docs: doc, text."""
+    each = golden.select("id", "docs", F.explode("kw").alias("kw")).withColumn("_t", tokens(F.col("kw")))
+    inner = F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(0)))
+    key = F.try_element_at(F.array_sort(inner, lambda a, b: F.coalesce(F.nullif(F.length(b) - F.length(a), F.lit(0)), F.when(a < b, -1).when(a > b, 1).otherwise(0))), F.lit(1))
+    each = each.select("id", "docs", "kw", key.alias("_key"))
+    led, short = if_small(each.where("_key IS NOT NULL")), each.where("_key IS NULL").drop("_key")
+    words = docs.select("doc", "text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("_key"))
+    allowed = F.col("docs").isNull() | F.array_contains("docs", F.col("doc"))
+    holds = F.contains(F.lower("text"), F.lower("kw"))
+    found = words.join(led, "_key").where(allowed & holds).select("id")
+    if not short.isEmpty():
+        found = found.union(docs.join(if_small(short), allowed & holds).select("id"))
+    found = found.distinct().withColumn("_hit", F.lit(True))
     return golden.select("id").join(found, "id", "left").select("id", F.coalesce("_hit", F.lit(False)).alias("evidence"))
 
 
@@ -34,6 +47,7 @@ def first_hits(golden: DataFrame, hits: DataFrame, k: int) -> DataFrame:
 def recall(first: DataFrame, evidenced: DataFrame) -> DataFrame:
     """path, questions, hits, recall over the questions with evidence; and a row for all paths together, path 'union'."""
     rows = first.join(evidenced.where("evidence").select("id"), "id")
-    each = rows.select("path", "id", F.col("first_rank").isNotNull().alias("hit"))
-    union = each.groupBy("id").agg(F.bool_or("hit").alias("hit")).select(F.lit("union").alias("path"), "id", "hit")
-    return each.unionByName(union).groupBy("path").agg(F.count("*").alias("questions"), F.sum(F.col("hit").cast("int")).alias("hits"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("recall"))
+    # each answer counts for its own path and for all paths together
+    each = rows.select(F.explode(F.array("path", F.lit("union"))).alias("path"), "id", F.col("first_rank").isNotNull().alias("hit"))
+    once = each.groupBy("path", "id").agg(F.bool_or("hit").cast("int").alias("hit"))
+    return once.groupBy("path").agg(F.count("*").alias("questions"), F.sum("hit").alias("hits"), F.round(F.avg("hit"), 6).alias("recall"))

@@ -1,4 +1,4 @@
-"""Reciprocal rank fusion."""
+"""Reciprocal rank fusion, and the hybrid of dense and sparse retrieval."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import dense, sparse
+from .maintenance import search_filter
 from .sparse import ranked
 
 
@@ -15,3 +17,16 @@ def rrf(*lists: DataFrame, k: int, constant: int = 60, id_: str = "doc_id") -> D
     60 is the constant of Cormack et al. 2009. A union and one aggregation; the order of the lists doesn't matter."""
     every = reduce(DataFrame.unionByName, (x.select("query_id", id_, "rank") for x in lists))
     return ranked(every.groupBy("query_id", id_).agg(F.round(F.sum(1 / (constant + F.col("rank"))), 9).alias("score")), k, id_)
+
+
+def hybrid(docs: DataFrame, queries: DataFrame, k: int, prefetch: int, current_only: bool = True, diagrams_only: bool = False, id_: str = "doc_id") -> DataFrame:
+    """query_id, id, score, rank: the best by terms and the best by vectors, `prefetch` of each, fused. docs: id, text, embedding
+    (null: found by terms only), is_current, has_diagram; queries: query_id, text, embedding.
+
+    The filter stands before both searches, so it is applied where the documents are read, and no rank is spent on a
+    document that may not be returned; document frequencies are those of the documents left.
+    """
+    may = docs.where(search_filter(current_only, diagrams_only))
+    terms = sparse.search(may.select(id_, "text"), queries.select("query_id", "text"), prefetch, id_)
+    near = dense.top_k(may.select(id_, "embedding"), queries.select("query_id", "embedding"), prefetch, id_)
+    return rrf(terms, near, k=k, id_=id_)

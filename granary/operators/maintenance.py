@@ -22,21 +22,37 @@ def elect_survivors(chunks: DataFrame, name: str, id_: str, canonical: str, leng
     return elect(chunks, [fingerprint(F.col("text"), length)], [score, F.col(id_).cast("string")])
 
 
+def by_content(files: DataFrame, content: str, name: str) -> DataFrame:
+    """Adds first (the smallest name of the row's content) and copies (its rows). The totals are sums by content, joined back, so
+    a content of very many rows is never in one place."""
+    totals = files.groupBy(content).agg(F.min(name).alias("first"), F.count("*").alias("copies")).withColumnRenamed(content, "_content")
+    return files.join(totals, F.col(content).eqNullSafe(F.col("_content"))).drop("_content")
+
+
 def elect_keepers(files: DataFrame) -> DataFrame:
     """The rows to keep of files (md5, name, indexed, cover_digits): all indexed copies of a content, else the first whose
-    name holds the cover's digits, else the shortest name, then the first."""
-    w = W.partitionBy("md5")
+    name holds the cover's digits, else the shortest name, then the first. Names are unique within a content."""
     fits = F.coalesce(F.contains("name", F.col("cover_digits")), F.lit(False))
-    files = files.withColumn("_some", F.max("indexed").over(w))
-    order = w.orderBy(F.when(fits, 0).otherwise(1), F.when(~fits, F.length("name")).otherwise(0), "name")
-    files = files.withColumn("_n", F.row_number().over(order))
-    return files.where(F.when(F.col("_some"), F.col("indexed")).otherwise(F.col("_n") == 1)).drop("_some", "_n")
+    order = F.struct(F.when(fits, 0).otherwise(1).alias("a"), F.when(~fits, F.length("name")).otherwise(0).alias("b"), F.col("name").alias("c"))
+    best = files.groupBy("md5").agg(F.max("indexed").alias("_some"), F.min(order).alias("_best")).withColumnRenamed("md5", "_md5")
+    files = files.join(best, F.col("md5").eqNullSafe(F.col("_md5")))
+    return files.where(F.when(F.col("_some"), F.col("indexed")).otherwise(order == F.col("_best"))).drop("_md5", "_some", "_best")
 
 
 def current_editions(editions: DataFrame) -> DataFrame:
-    """Adds is_current: rows with the greatest key (a struct) of their spec_id, and all rows without a spec_id."""
-    newest = F.max("key").over(W.partitionBy("spec_id"))
-    return editions.withColumn("is_current", F.col("spec_id").isNull() | F.coalesce(F.col("key") == newest, F.lit(True)))
+    """Adds is_current: rows with the greatest key (a struct) of their spec_id, and all rows without a spec_id. The greatest keys
+    are one row a spec_id, joined back."""
+    newest = editions.where("spec_id IS NOT NULL").groupBy(F.col("spec_id").alias("_spec")).agg(F.max("key").alias("_newest"))
+    rows = editions.join(newest, F.col("spec_id") == F.col("_spec"), "left")
+    return rows.withColumn("is_current", F.coalesce(F.col("key") == F.col("_newest"), F.lit(True))).drop("_spec", "_newest")
+
+
+def edition_listing(editions: DataFrame) -> DataFrame:
+    """Adds place: 1 for the rows of the newest edition of their spec_id, 2 for the one before, and so on. Editions are few a spec_id,
+    however many rows they have."""
+    keys = editions.where("spec_id IS NOT NULL").groupBy("spec_id", "key").agg(F.count("*").alias("rows"))
+    place = F.row_number().over(W.partitionBy("spec_id").orderBy(F.desc("key")))
+    return keys.withColumn("place", place)
 
 
 def superseded(editions: DataFrame) -> DataFrame:
@@ -65,6 +81,12 @@ def is_current(flag: str = "is_current") -> Column:
     return F.coalesce(F.col(flag), F.lit(True))
 
 
+def search_filter(current_only: bool = True, diagrams_only: bool = False, current: str = "is_current", diagram: str = "has_diagram") -> Column:
+    """What a search may return: with a diagram, if asked for, and not superseded, unless all editions are asked for."""
+    out = is_current(current) if current_only else F.lit(True)
+    return out & F.coalesce(F.col(diagram), F.lit(False)) if diagrams_only else out
+
+
 def gaps(ids: DataFrame, number: str, by: str) -> DataFrame:
     """by, number: the numbers from 1 to each group's greatest that the group lacks."""
     have = ids.select(by, F.col(number).cast("long").alias(number)).distinct()

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +14,11 @@ from pyspark.sql import functions as F
 from granary.functions.sizes import if_small
 from granary.functions.text import token_id, tokens
 
+#: Terms (query and token) that tasks hold at once; beyond that, queries and documents meet by a shuffled join.
+TERMS = 200_000
+#: Documents and queries of a block that is scored by one product, and bytes of text that are cut into tokens at once.
+BLOCK, QUERY_BLOCK, TEXT_BYTES = 512, 256, 1 << 22
+
 
 def postings(docs: DataFrame, id_: str = "doc_id", text: str = "text", key: str = "token_id") -> DataFrame:
     """id, token_id, token (one of those with the id), tf: a row for each document and token, or token id. Ids have 31
@@ -36,22 +46,139 @@ def ranked(scored: DataFrame, k: int, id_: str = "doc_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 25, id_: str = "doc_id") -> DataFrame:
-    """query_id, id, score, rank. queries: query_id, text.
+def search(docs: DataFrame, queries: DataFrame, k: int = 25, id_: str = "doc_id", terms: int = TERMS) -> DataFrame:
+    """query_id, id, score, rank. queries: query_id, text. Scores are rounded to six decimals before they are ranked.
 
-    Documents meet the queries' tokens before anything is shuffled, so only matching postings move; document frequencies
-    come from those, too. Scores are rounded to six decimals before they are ranked.
+    Up to `terms` terms of queries go to all tasks, which score the documents that they read and pass on the k best of each
+    batch; nothing of the corpus is shuffled. More meet the documents' tokens in joins.
     """
     asked = postings(queries, "query_id").select("query_id", "token_id", F.col("tf").alias("q_tf"))
+    local = asked.limit(terms + 1).toArrow()
+    return _by_blocks(docs, local, k, id_) if local.num_rows <= terms else _by_joins(docs, asked, k, id_)
+
+
+def _by_joins(docs: DataFrame, asked: DataFrame, k: int, id_: str) -> DataFrame:
+    """Documents meet the queries' tokens before anything is shuffled, so only matching postings move; document frequencies
+    come from those, too."""
     wanted = if_small(asked.select("token_id").distinct())
     each = docs.select(id_, F.explode(tokens(F.col("text"))).alias("token")).select(id_, token_id(F.col("token")).alias("token_id"))
     matched = each.join(wanted, "token_id").groupBy(id_, "token_id").agg(F.count("*").alias("tf"))
-    n = docs.count()
-    weights = matched.groupBy("token_id").agg(F.count("*").alias("df")).select("token_id", idf(F.col("df"), n).alias("idf"))
-    asked = asked.join(weights, "token_id")
-    scored = (
-        matched.join(if_small(asked), "token_id")
-        .groupBy("query_id", id_)
-        .agg(F.round(F.sum(F.col("q_tf") * F.col("tf") * F.col("idf")), 6).alias("score"))
-    )
-    return ranked(scored, k, id_)
+    weights = matched.groupBy("token_id").agg(F.count("*").alias("df")).select("token_id", idf(F.col("df"), docs.count()).alias("idf"))
+    scored = matched.join(asked.join(weights, "token_id"), "token_id").groupBy("query_id", id_)
+    return ranked(scored.agg(F.round(F.sum(F.col("q_tf") * F.col("tf") * F.col("idf")), 6).alias("score")), k, id_)
+
+
+class Terms(NamedTuple):
+    """What the queries ask for: the tokens' ids in order; and for each term its query, its token's place in them, and its weight."""
+
+    wanted: np.ndarray
+    query: np.ndarray
+    place: np.ndarray
+    weight: np.ndarray
+    queries: pa.Array
+
+
+def _crc_table() -> np.ndarray:
+    """The remainders of CRC-32 by byte."""
+    r = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        r = np.where(r & 1, np.uint32(0xEDB88320) ^ (r >> np.uint32(1)), r >> np.uint32(1)).astype(np.uint32)
+    return r
+
+
+_TABLE = _crc_table()
+
+
+def counts(texts: pa.Array, wanted: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of texts (lower-case), lo to hi: document (from lo), place in wanted (sorted token ids) and count of each token of
+    a document that is wanted."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + TEXT_BYTES, "right")) - 1)
+        part = data[offsets[lo] : offsets[hi]]
+        first = offsets[lo : hi + 1] - offsets[lo]
+        inside = np.zeros(len(part) + 1, bool)
+        inside[:-1] = (part >= 97) & (part <= 122) | (part >= 48) & (part <= 57)
+        edge = np.zeros(len(part) + 1, bool)
+        edge[first] = True
+        before = np.concatenate([[False], inside[:-1]])
+        start = np.flatnonzero(inside & (~before | edge))
+        end = np.flatnonzero(before & (~inside | edge))
+        crc, at, left = np.full(len(start), 0xFFFFFFFF, np.uint32), start.copy(), np.arange(len(start))
+        while len(left):
+            crc[left] = _TABLE[(crc[left] ^ part[at[left]]) & 0xFF] ^ (crc[left] >> np.uint32(8))
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        ids = (~crc & np.uint32(0x7FFFFFFF)).astype(np.int64)
+        place = np.minimum(np.searchsorted(wanted, ids), max(0, len(wanted) - 1))
+        hit = wanted[place] == ids if len(wanted) else np.zeros(len(ids), bool)
+        doc = np.searchsorted(first, start[hit], "right") - 1
+        pairs, n = np.unique(doc * max(1, len(wanted)) + place[hit], return_counts=True)
+        yield lo, hi, pairs // max(1, len(wanted)), pairs % max(1, len(wanted)), n
+        lo = hi
+
+
+def _by_blocks(docs: DataFrame, asked: pa.Table, k: int, id_: str) -> DataFrame:
+    """Two passes over the documents: document frequencies of the wanted tokens, then scores."""
+    queries, query = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
+    wanted, place = np.unique(asked["token_id"].to_numpy().astype(np.int64), return_inverse=True)
+    lowered, spark = docs.select(id_, F.lower("text").alias("text")), docs.sparkSession
+    to_tasks = spark.sparkContext.broadcast(wanted)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(len(to_tasks.value), np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for _, _, _, places, _ in counts(batch.column(0), to_tasks.value):
+                df += np.bincount(places, minlength=len(df))
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], names=["place", "df"])
+
+    found = lowered.select("text").mapInArrow(frequencies, "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
+    df = dict(zip(found["place"].to_pylist(), found["df"].to_pylist(), strict=True))
+    n = df.pop(-1, 0)
+    many = np.array([df.get(i, 0) for i in range(len(wanted))], float)
+    weight = asked["q_tf"].to_numpy() * np.log(1 + (n - many + 0.5) / (many + 0.5))[place]
+    shared = spark.sparkContext.broadcast(Terms(wanted, query, place, weight, pa.array(queries)))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index(id_))
+            order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
+            turn = np.empty(len(order), np.int64)
+            turn[order] = np.arange(len(order))
+            rows = [(lo + d, p, c) for lo, _, d, p, c in counts(batch.column(batch.schema.get_field_index("text")), t.wanted)]
+            doc, token, tf = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64) for i in range(3))
+            for q in range(0, len(t.queries), QUERY_BLOCK):
+                yield from _best_of(t, q, doc, token, tf, turn, ids, batch.num_rows, k)
+
+    def _best_of(t, q, doc, token, tf, turn, ids, n, k) -> Iterator[pa.RecordBatch]:
+        mine = (t.query >= q) & (t.query < q + QUERY_BLOCK)
+        used, column = np.unique(t.place[mine], return_inverse=True)
+        weights = np.zeros((len(used), min(QUERY_BLOCK, len(t.queries) - q)))
+        weights[column, t.query[mine] - q] = t.weight[mine]
+        at = np.searchsorted(used, token)
+        hit = used[np.minimum(at, len(used) - 1)] == token
+        d, at, f = doc[hit], at[hit], tf[hit]
+        scores = np.zeros((n, weights.shape[1]))
+        for lo in range(0, n, BLOCK):
+            a, b = np.searchsorted(d, [lo, lo + BLOCK])
+            block = np.zeros((min(BLOCK, n - lo), len(used)))
+            block[d[a:b] - lo, at[a:b]] = f[a:b]
+            scores[lo : lo + BLOCK] = block @ weights
+        scores = np.round(scores, 6)
+        for i in range(weights.shape[1]):
+            s = scores[:, i]
+            there = np.flatnonzero(s > 0)
+            if len(there) > k:
+                there = there[s[there] >= np.partition(s[there], len(there) - k)[len(there) - k]]
+            there = there[np.lexsort((turn[there], -s[there]))][:k]
+            if len(there):
+                yield pa.RecordBatch.from_arrays([pa.repeat(t.queries[q + i], len(there)), ids.take(pa.array(there)), pa.array(s[there])], names=["query_id", id_, "score"])
+
+    kind = dict(docs.dtypes)[id_]
+    return ranked(lowered.mapInArrow(best, f"query_id long, {id_} {kind}, score double"), k, id_)

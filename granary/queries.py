@@ -39,13 +39,9 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def first_words(column: str, n: int) -> Column:
-    return F.array_join(F.slice(text.words(F.col(column)), 1, n), " ")
-
-
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark's items as queries: their first eight words."""
-    return t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), first_words("text", 8).alias("text"))
+    """The benchmark's items as queries, whole."""
+    return t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 # ---------------------------------------------------------------- text and identity
@@ -148,20 +144,19 @@ def release_addresses(spark, sf_dir):
 
 # ---------------------------------------------------------------- retrieval
 
-_QUERY = r"(SELECT item_id AS query_id, array_to_string(list_slice(regexp_extract_all(text, '\S+'), {0}), ' ') AS text FROM benchmark)"
 _SPARSE = """SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
  SELECT query_id, p.doc_id, round(sum(q_tf * tf * ln(1 + (n - df + 0.5) / (df + 0.5))), 6) AS score
  FROM (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY ALL) p
- JOIN (SELECT query_id, token, count(*) AS q_tf FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM {0}) GROUP BY ALL) q USING (token)
+ JOIN (SELECT query_id, token, count(*) AS q_tf FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM (SELECT item_id AS query_id, text FROM benchmark)) GROUP BY ALL) q USING (token)
  JOIN (SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY token) f USING (token), (SELECT count(*) AS n FROM documents) c
- GROUP BY ALL) QUALIFY rank <= {1}"""
+ GROUP BY ALL) QUALIFY rank <= {0}"""
 
 
-def sparse_sql(words: str, k: int) -> str:
-    return _SPARSE.format(_QUERY.format(words), k)
+def sparse_sql(k: int, documents: str = "documents") -> str:
+    return _SPARSE.format(k).replace("FROM documents", f"FROM {documents}")
 
 
-@query(sparse_sql("1, 8", 25))
+@query(sparse_sql(25))
 def sparse_search(spark, sf_dir):
     return sparse.search(t(spark, sf_dir, "documents"), asked(spark, sf_dir), 25)
 
@@ -183,13 +178,40 @@ def dense_search(spark, sf_dir):
     return dense.top_k(current_vectors(spark, sf_dir), queries_, 25)
 
 
-@query(f"""SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
- SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM ({sparse_sql("1, 8", 100)}) UNION ALL SELECT query_id, doc_id, rank FROM ({sparse_sql("9, 16", 100)})) GROUP BY ALL) QUALIFY rank <= 30""")
+#: Documents that a search may return: not superseded, and with a diagram if asked for. Every fifth document has one.
+_MAY = "(SELECT * FROM documents LEFT JOIN (SELECT doc_id, quality FROM labels) USING (doc_id) WHERE coalesce(quality, 1) <> 0{0})"
+
+
+def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their marks and vectors (null where there is none)."""
+    marks = t(spark, sf_dir, "labels").select("doc_id", (F.col("quality") != 0).alias("is_current"))
+    dense_ = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = t(spark, sf_dir, "documents").withColumn("has_diagram", F.col("doc_id") % 5 == 0)
+    return docs.join(marks, "doc_id", "left").join(dense_, "doc_id", "left")
+
+
+def asked_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items as texts and vectors; the vector of an item's number stands in for its own, as no table holds any."""
+    v = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return asked(spark, sf_dir).join(v, "query_id")
+
+
+def hybrid_sql(k: int, prefetch: int, more: str = "") -> str:
+    may = _MAY.format(more)
+    near = f"""SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT item_id AS query_id, d.doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+ FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings v JOIN {may} d ON d.doc_id = v.vec_id) QUALIFY rank <= {prefetch}"""
+    return f"""SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+ SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM ({sparse_sql(prefetch, may)}) UNION ALL SELECT query_id, doc_id, rank FROM ({near})) GROUP BY ALL) QUALIFY rank <= {k}"""
+
+
+@query(hybrid_sql(30, 100))
 def hybrid_fusion(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents")
-    words = text.words(F.col("text"))
-    later = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 9, 8), " ").alias("text"))
-    return fusion.rrf(sparse.search(docs, asked(spark, sf_dir), 100), sparse.search(docs, later, 100), k=30)
+    return fusion.hybrid(searchable(spark, sf_dir), asked_twice(spark, sf_dir), 30, 100)
+
+
+@query(hybrid_sql(10, 40, " AND doc_id % 5 = 0"))
+def hybrid_with_diagrams(spark, sf_dir):
+    return fusion.hybrid(searchable(spark, sf_dir), asked_twice(spark, sf_dir), 10, 40, diagrams_only=True)
 
 
 _LATE = """WITH d AS (SELECT vec_id // 4 AS doc_id, list(embedding::DOUBLE[] ORDER BY vec_id) AS v FROM embeddings GROUP BY ALL),
@@ -282,7 +304,7 @@ def distinct_texts(spark, sf_dir):
 def shaped_sql(keep: int, per_doc: int) -> str:
     return f"""SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n2 FROM (
  SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n FROM (
-  SELECT s.*, d.source, row_number() OVER (PARTITION BY query_id, md5({_FP}) ORDER BY rank) AS k FROM ({sparse_sql("1, 8", 100)}) s JOIN documents d USING (doc_id)) WHERE k = 1) WHERE n <= {per_doc}) WHERE n2 <= {keep}"""
+  SELECT s.*, d.source, row_number() OVER (PARTITION BY query_id, md5({_FP}) ORDER BY rank) AS k FROM ({sparse_sql(100)}) s JOIN documents d USING (doc_id)) WHERE k = 1) WHERE n <= {per_doc}) WHERE n2 <= {keep}"""
 
 
 def _shaped(spark: SparkSession, sf_dir: str, keep: int, per_doc: int) -> DataFrame:
@@ -327,10 +349,9 @@ def keepers(spark, sf_dir):
     return maintenance.elect_keepers(files).select("name", "md5")
 
 
-@query("SELECT min(doc_id) AS doc_id, md5(text) AS md5, count(*) AS copies, list(doc_id ORDER BY doc_id) AS names FROM documents GROUP BY 2")
+@query("SELECT doc_id, md5(text) AS md5, min(doc_id) OVER (PARTITION BY md5(text)) AS first, count(*) OVER (PARTITION BY md5(text)) AS copies FROM documents")
 def files_by_content(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"))
-    return d.groupBy("md5").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.sort_array(F.collect_list("doc_id")).alias("names"))
+    return maintenance.by_content(t(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5")), "md5", "doc_id")
 
 
 _EDITIONS = "(SELECT doc_id, CASE WHEN doc_id % 41 <> 0 THEN source END AS spec_id, {major: (doc_id % 4)::INT, minor: (doc_id % 12)::INT, patch: (doc_id % 3)::INT} AS key, source || doc_id % 5 AS file FROM documents)"
@@ -380,10 +401,9 @@ def number_gaps(spark, sf_dir):
     return maintenance.gaps(t(spark, sf_dir, "documents").select("source", F.expr("doc_id div 10").alias("doc_id")), "doc_id", "source")
 
 
-@query("SELECT source, list(doc_id ORDER BY doc_id) AS absent FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source")
+@query("SELECT source, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_report(spark, sf_dir):
-    gone = maintenance.missing(t(spark, sf_dir, "documents").select("doc_id", "source"), t(spark, sf_dir, "labels"), "doc_id")
-    return gone.groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("absent"))
+    return maintenance.missing(t(spark, sf_dir, "documents").select("source", "doc_id"), t(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("""SELECT url AS path, min_by(code, pos) AS code FROM pages, (VALUES (0, 'news', '/en/[0-9]*1$', 'zzz', 'x'), (1, 'blog', 'nomatch', 'blog.', 'x'), (2, 'mail', 'nomatch', '', 'then example thing'), (3, 'all', '/de/', 'zzz', 'x')) c(pos, code, pattern, repo, title)
@@ -426,13 +446,13 @@ def payload_updates(spark, sf_dir):
 
 # ---------------------------------------------------------------- evaluation, graph, audit, monitor
 
-_GOLDEN = r"(SELECT item_id AS id, CASE WHEN item_id % 3 = 0 THEN ['en', 'de'] END AS docs, [array_to_string(list_slice(regexp_extract_all(text, '\S+'), 1, 5), ' ')] AS kw FROM benchmark)"
+_GOLDEN = "(SELECT item_id AS id, CASE WHEN item_id % 3 = 0 THEN ['en', 'de'] END AS docs, [string_split(text, '. ')[1]] AS kw FROM benchmark)"
 
 
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions from the benchmark: the keyword is an item's first five words; some ask for two languages only."""
+    """Questions from the benchmark: the keyword is an item's first sentence; some ask for two languages only."""
     i = F.col("item_id")
-    return t(spark, sf_dir, "benchmark").select(i.alias("id"), F.when(i % 3 == 0, F.array(F.lit("en"), F.lit("de"))).alias("docs"), F.array(first_words("text", 5)).alias("kw"))
+    return t(spark, sf_dir, "benchmark").select(i.alias("id"), F.when(i % 3 == 0, F.array(F.lit("en"), F.lit("de"))).alias("docs"), F.array(F.split("text", r"\. ")[0]).alias("kw"))
 
 
 _EVIDENCE = f"SELECT g.id, coalesce(bool_or(contains(lower(d.text), lower(g.kw[1])) AND (g.docs IS NULL OR list_contains(g.docs, d.lang))), false) AS evidence FROM {_GOLDEN} g, documents d GROUP BY g.id"
@@ -451,7 +471,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FIRST = f"""SELECT g.id, path, min(CASE WHEN rank <= 15 AND contains(lower(d.text), lower(g.kw[1])) AND (g.docs IS NULL OR list_contains(g.docs, d.lang)) THEN rank END) AS first_rank
- FROM (SELECT query_id, doc_id, rank, 'sparse' AS path FROM ({sparse_sql("1, 8", 25)}) UNION ALL SELECT query_id, doc_id, rank, 'hybrid' FROM ({_sql["hybrid_fusion"]})) h JOIN documents d USING (doc_id) JOIN {_GOLDEN} g ON g.id = h.query_id GROUP BY g.id, path"""
+ FROM (SELECT query_id, doc_id, rank, 'sparse' AS path FROM ({sparse_sql(25)}) UNION ALL SELECT query_id, doc_id, rank, 'hybrid' FROM ({_sql["hybrid_fusion"]})) h JOIN documents d USING (doc_id) JOIN {_GOLDEN} g ON g.id = h.query_id GROUP BY g.id, path"""
 
 
 @query(f"SELECT id, path, coalesce(first_rank, 0) AS first_rank FROM ({_FIRST})")
