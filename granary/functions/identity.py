@@ -23,9 +23,38 @@ def cover(text: Column) -> Column:
     return F.when(flat.rlike(COVER), found)
 
 
-def stamp(found: Column, stem: Column) -> Column:
-    """The cover's identity, or the file's stem without an edition."""
-    return F.coalesce(found["spec_id"], stem)
+#: Words that end the title on a cover.
+TITLE_STOP = r"\b(?:Disclaimer|Keywords|Reference Number|Series|Edition)\b"
+
+
+def title(text: Column) -> Column:
+    """The title behind a cover's identity: up to a word that ends it, or else 140 characters; null if there is none."""
+    rest = F.regexp_extract(F.regexp_replace(text, r"\s+", " "), f"{COVER}(.*)$", 7)
+    stopped = F.when(rest.rlike(TITLE_STOP), F.regexp_extract(rest, f"^(.*?){TITLE_STOP}", 1)).otherwise(F.substring(rest, 1, 140))
+    return F.nullif(F.trim(stopped, F.lit(" ,;.-")), F.lit(""))
+
+
+def normal_id(raw: Column) -> Column:
+    """mec-3, GS 003 and 3 as MEC003, a part kept: MEC010-2; in upper case as it is, if there is no number."""
+    x = F.upper(F.trim(raw))
+    number = r"(?:MEC|GS|GR)?[_\-\s]?0*([0-9]{1,3})(-[0-9]+)?"
+    return F.when(x.rlike(number), F.concat(F.lit(SERIES), F.lpad(F.regexp_extract(x, number, 1), 3, "0"), F.regexp_extract(x, number, 2))).otherwise(x)
+
+
+def label(spec_id: Column) -> Column:
+    """MEC-003 as MEC003, MEC-DEC-063 as MEC-DEC063."""
+    return F.regexp_replace(F.replace(spec_id, F.lit(f"{SERIES}-DEC-"), F.lit(f"{SERIES}-DEC")), rf"^((?:(?!{SERIES}-).)*){SERIES}-(?!DEC)", f"$1{SERIES}")
+
+
+def colour_group(name: Column) -> Column:
+    """Of 20: a name's digits as a number, in tens; 0 without digits."""
+    digits = F.regexp_replace(name, r"\D", "")
+    return F.when(digits == "", 0).otherwise(F.expr("0") + F.floor(digits.cast("decimal(38,0)") / 10) % 20).cast("int")
+
+
+def disagrees(cover_id: Column, url_id: Column) -> Column:
+    """Both are known, and they don't name one document."""
+    return F.coalesce(canonical_id(cover_id) != canonical_id(url_id), F.lit(False))
 
 
 def canonical_id(code: Column) -> Column:
@@ -87,8 +116,10 @@ def edition_matches(claimed: Column, edition: Column) -> Column:
     return (a == b) | F.startswith(b, F.concat(a, F.lit(".")))
 
 
-def file_name(spec: Column, edition: Column, title: Column) -> Column:
-    """A safe name: code, edition and the title's words, at most 60 characters, cut between words."""
-    raw = F.regexp_replace(F.concat_ws("-", canonical_id(spec), F.lower(edition), F.lower(title)), r"[^A-Za-z0-9.]+", "-")
-    cut = F.when(F.length(raw) > 60, F.regexp_extract(F.substring(raw, 1, 61), r"^(.*)-", 1)).otherwise(raw)
-    return F.trim(cut, F.lit("-"))
+def file_name(label_: Column, original: Column, title_: Column, edition: Column) -> Column:
+    """label-edition-title.pdf: the title's words, at most 60 characters, cut between words; the original name without a label."""
+    slug = F.regexp_replace(F.regexp_replace(F.coalesce(title_, F.lit("")), r"[^\p{L}\p{N}_ ;().-]", ""), "[ ;]+", "-")
+    slug = F.trim(slug, F.lit("-."))
+    slug = F.when(F.length(slug) > 60, F.regexp_extract(F.substring(slug, 1, 60), "^(.*?)(?:-[^-]*)?$", 1)).otherwise(slug)
+    name = F.concat_ws("-", label_, F.nullif(edition, F.lit("")), F.nullif(slug, F.lit("")))
+    return F.when(F.coalesce(label_, F.lit("")) == "", original).otherwise(F.concat(name, F.lit(".pdf")))

@@ -83,3 +83,11 @@ def carries_signal(text: Column, furniture: str = FURNITURE) -> Column:
         return x.contains("![") | ((bare != "") & ~bare.rlike(f"^(?:{furniture})$"))
 
     return F.exists(F.split(text, "\n"), line)
+
+
+def without_images(text: Column, bad: Column) -> Column:
+    """The text without its image references to the paths of the list bad (with forward slashes); null drops none."""
+    refs = F.regexp_extract_all(text, F.lit(IMAGE), F.lit(0))
+    path = lambda ref: F.replace(F.regexp_extract(ref, r"\(([^)]*)\)$", 1), F.lit("\\"), F.lit("/"))
+    gone = F.filter(refs, lambda ref: F.coalesce(F.array_contains(bad, path(ref)), F.lit(False)))
+    return F.aggregate(gone, text, lambda t, ref: F.replace(t, ref, F.lit("")))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.functions.text import quota_bucket, source_label
-from granary.operators import chunking, fusion, maintenance, shaping, sparse
+from granary.functions.text import quota_bucket, source_label, word_count
+from granary.operators import chunking, fusion, maintenance, shaping
 from granary.sources import tables
 
 
@@ -25,26 +26,45 @@ def ingest(spark: SparkSession, pages: DataFrame, folder: str) -> int:
     where = F.from_json("doc_id", keyed.schema["key"].dataType.simpleString())
     rows = parts.withColumn("key", where).drop("doc_id").select("key.doc_id", "key.page", "chunk_part", "total_parts", "text", "block_kind", "clause")
     rows = rows.withColumn("id", F.sha2(F.concat_ws("/", "doc_id", "page", "chunk_part"), 256))
-    rows.write.mode("append").parquet(folder)
-    return rows.count()
+    added = Observation()  # counted as they are written, so no page is chunked twice
+    rows.observe(added, F.count("*").alias("n")).write.mode("append").parquet(folder)
+    return added.get["n"]
 
 
-def search(docs: DataFrame, queries: DataFrame, top_k: int = 5, answer_context: int = 15, per_doc: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(display, evidence) for queries (query_id, text) over docs (doc_id, text, source): retrieved, fused, shaped twice."""
+def search(
+    chunks: DataFrame, queries: DataFrame, top_k: int = 5, answer_context: int = 15, per_doc: int = 2, current_only: bool = True, diagrams_only: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(display, evidence) for queries (query_id, text, embedding): filtered, retrieved by terms and vectors, fused, stitched and
+    shaped twice.
+
+    chunks: id, text, embedding, is_current, has_diagram, doc_id, page, chunk_part, total_parts, content_md5; what else it has
+    (spec_id, edition, filename, heading, diagram_paths) goes with the excerpts, for context.
+    """
     n = shaping.budgets(top_k, answer_context)
-    exact = sparse.search(docs, queries, n["hybrid_prefetch"])
-    heads = docs.withColumn("text", F.substring("text", 1, 600))
-    found = fusion.rrf(exact, sparse.search(heads, queries, n["hybrid_prefetch"]), k=n["candidates"])
-    hits = found.join(docs.select("doc_id", "source", F.col("text").alias("content")), "doc_id")
-    bucket = quota_bucket(F.lit(""), F.col("source"), F.col("content"))
+    found = fusion.hybrid(chunks, queries, n["candidates"], n["hybrid_prefetch"], current_only, diagrams_only, "id")
+    hits = found.join(chunks.drop("embedding").withColumnRenamed("text", "content"), "id")
+    hits = shaping.stitch_parts(hits, ["query_id", "doc_id", "page"])
+    bucket = quota_bucket(F.col("content_md5"), F.col("doc_id").cast("string"), F.col("content"))
     return shaping.shape(hits, bucket, top_k, 1), shaping.shape(hits, bucket, answer_context, per_doc)
 
 
+def _column(df: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
 def context(evidence: DataFrame) -> DataFrame:
-    """query_id, context: the excerpts in order, each under a line that names its source."""
-    label = source_label(F.col("source"), F.col("doc_id").cast("string"), F.lit(None).cast("string"), F.lit(None).cast("int"))
-    rows = evidence.select("query_id", "rank", F.concat(F.lit("--- "), label, F.lit("\n"), F.col("content")).alias("e"))
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "e")))
+    """query_id, context: the excerpts in order, each under a line that has its number, name, heading and diagrams."""
+    name = source_label(_column(evidence, "spec_id"), F.coalesce(_column(evidence, "filename"), _column(evidence, "doc_id")), _column(evidence, "edition"), _column(evidence, "page"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
+    diagrams = F.nullif(F.array_join(_column(evidence, "diagram_paths", "array<string>"), ", "), F.lit(""))
+    head = F.concat(F.lit("--- [Source "), place.cast("string"), F.lit("] "), F.concat_ws(" \u2014 ", name, F.nullif(_column(evidence, "heading"), F.lit("")), F.concat(F.lit("Diagrams: "), diagrams)))
+    rows = evidence.select("query_id", place.alias("i"), F.concat(head, F.lit("\n"), F.coalesce("content", F.lit(""))).alias("e"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "e")))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["e"]), "\n\n").alias("context"))
 
 
+def answer_counts(evidence: DataFrame) -> DataFrame:
+    """query_id, excerpts, words, merged (excerpts stitched of several parts)."""
+    return evidence.groupBy("query_id").agg(
+        F.count("*").alias("excerpts"), F.sum(word_count(F.col("content")).cast("long")).alias("words"), F.count_if(F.coalesce("stitched_parts", F.lit(1)) > 1).alias("merged")
+    )

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.functions.identity import release_id
 from granary.functions.sizes import if_small
-from granary.functions.text import fingerprint
+from granary.functions.text import fingerprint, image_refs, without_images
 
 
 def elect(df: DataFrame, group: list[Column | str], order: list[Column | str]) -> DataFrame:
@@ -122,3 +123,34 @@ def figure_fits(width: Column, height: Column, page_width: Column, page_height:
     """Large enough, and not the page itself."""
     whole = (width > 0.95 * page_width) & (height > 0.95 * page_height)
     return (width >= 100) & (height >= 60) & ~whole
+
+
+def stamp(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """chunks with spec_id, edition, pub_date and is_current of their file. chunks: doc_id; files: stem (once), spec_id, edition,
+    pub_date, is_current. A file without a cover gives its stem as spec_id; chunks without a file stay, and count as current."""
+    known = files.select(F.col("stem").alias("_stem"), F.coalesce("spec_id", "stem").alias("spec_id"), "edition", "pub_date", F.coalesce("is_current", F.lit(True)).alias("is_current"))
+    old = chunks.drop("spec_id", "edition", "pub_date", "is_current")
+    out = old.join(if_small(known), F.col("doc_id") == F.col("_stem"), "left").drop("_stem")
+    return out.withColumns({"spec_id": F.coalesce("spec_id", F.col("doc_id").cast("string")), "is_current": F.coalesce("is_current", F.lit(True))})
+
+
+def prune_images(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """pages without references to images that aren't worth keeping. pages: doc_id, page, text; images: doc_id, path, keep."""
+    refs = pages.select("doc_id", "page", F.explode(image_refs(F.col("text"))).alias("path")).distinct()
+    bad = refs.join(images.where("NOT keep").select("doc_id", "path"), ["doc_id", "path"], "left_semi")
+    bad = bad.groupBy(F.col("doc_id").alias("_doc"), F.col("page").alias("_page")).agg(F.collect_set("path").alias("_bad"))
+    rows = pages.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("page").eqNullSafe(F.col("_page")), "left")
+    return rows.withColumn("text", without_images(F.col("text"), F.coalesce("_bad", F.array().cast("array<string>")))).select(pages.columns)
+
+
+def audit_counts(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: keys, right_keys (whose address names them), files, contents, shared_contents (in several files), numbered (distinct
+    numbers in files). manifest: key, url; files: name, md5, number (null without a cover)."""
+    keys = manifest.agg(F.count("*").alias("keys"), F.count_if(F.coalesce(F.col("key") == release_id(F.col("url")), F.lit(False))).alias("right_keys"))
+    by = files.groupBy("md5").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.count("*").alias("contents"), F.count_if(F.col("n") > 1).alias("shared_contents"))
+    return keys.crossJoin(by).crossJoin(files.agg(F.countDistinct("number").alias("numbered")))  # a row each
+
+
+def first_rows(table: DataFrame, id_: str, limit: int) -> DataFrame:
+    """The first rows in the order of ids: each task passes on as many at most."""
+    return table.orderBy(id_).limit(limit)

@@ -50,7 +50,8 @@ def runs(hits: DataFrame, keys: list[str]) -> DataFrame:
 
 def stitch_parts(hits: DataFrame, keys: list[str], most: int = OVERLAP) -> DataFrame:
     """One row a run of neighbouring parts: keys, rank (the run's best), chunk_part (the lowest), content, stitched_parts
-    (null if the run is one row). A run is at most the parts of one page."""
+    (null if the run is one row), and all other columns as the lowest part has them. A run is at most the parts of one page."""
+    others = [c for c in hits.columns if c not in (*keys, "rank", "chunk_part", "content", "stitched_parts")]
 
     @F.pandas_udf("string")
     def fold(lists: pd.Series) -> pd.Series:
@@ -63,9 +64,9 @@ def stitch_parts(hits: DataFrame, keys: list[str], most: int = OVERLAP) -> DataF
         return lists.map(lambda x: one([t or "" for t in x]) if len(x) else "")
 
     parts = F.array_sort(F.collect_list(F.struct("chunk_part", "rank", "content")))
-    out = runs(hits, keys).groupBy(*keys, "_lone", "run").agg(F.min("rank").alias("rank"), F.min("chunk_part").alias("chunk_part"), parts.alias("_p"), F.count("*").alias("_n"))
+    out = runs(hits, keys).groupBy(*keys, "_lone", "run").agg(F.min("rank").alias("rank"), F.min("chunk_part").alias("chunk_part"), parts.alias("_p"), F.count("*").alias("_n"), F.min_by(F.struct(F.lit(0).alias("_"), *others), F.struct("chunk_part", "rank")).alias("_m"))
     content = F.when(F.col("_n") == 1, F.col("_p")[0]["content"]).otherwise(fold(F.transform("_p", lambda p: p["content"])))
-    return out.select(*keys, "rank", "chunk_part", content.alias("content"), F.when(F.col("_n") > 1, F.col("_n").cast("int")).alias("stitched_parts"))
+    return out.select(*keys, "rank", "chunk_part", content.alias("content"), F.when(F.col("_n") > 1, F.col("_n").cast("int")).alias("stitched_parts"), *(F.col(f"_m.{c}") for c in others))
 
 
 def distinct_texts(hits: DataFrame, by: list[str], order: list[Column | str], text: str = "content") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import identity, text, vectors
+from granary.jobs import api
 from granary.operators import audit, chunking, dense, evaluate, fusion, graph, maintenance, shaping, sparse
 from granary.sources import tables
 from granary.streaming import monitor
@@ -142,6 +143,41 @@ def release_addresses(spark, sf_dir):
     )
 
 
+_RAW = "CASE doc_id % 5 WHEN 0 THEN concat('mec-0', doc_id % 90) WHEN 1 THEN concat(' gs_', doc_id % 500, '-2 ') WHEN 2 THEN concat('MEC-DEC-0', doc_id % 90) WHEN 3 THEN source ELSE 'no number' END"
+
+
+@query(rf"""SELECT doc_id, CASE WHEN regexp_matches(x, '{{0}}') THEN 'MEC' || lpad(regexp_extract(x, '{{0}}', 1), 3, '0') || regexp_extract(x, '{{0}}', 2) ELSE x END AS normal,
+ CASE WHEN starts_with(x, 'MEC-DEC-') THEN 'MEC-DEC' || substr(x, 9) WHEN starts_with(x, 'MEC-') THEN 'MEC' || substr(x, 5) ELSE x END AS label,
+ CASE WHEN d = '' THEN 0 ELSE (d::BIGINT // 10) % 20 END::INT AS colour FROM (SELECT doc_id, upper(trim({_RAW})) AS x, regexp_replace({_RAW}, '\D', '', 'g') AS d FROM documents)""".format(r"(?:MEC|GS|GR)?[_\-\s]?0*([0-9]{1,3})(-[0-9]+)?"))
+def name_forms(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", F.expr(_RAW).alias("raw"))
+    raw = F.col("raw")
+    return d.select("doc_id", identity.normal_id(raw).alias("normal"), identity.label(F.upper(F.trim(raw))).alias("label"), identity.colour_group(raw).alias("colour"))
+
+
+_COVER_TEXT = "concat('x ETSI GS', chr(10), 'MEC ', lpad(concat('', item_id % 60 + 1), 3, '0'), ' V', item_id % 4, '.1.1 (2020-05)  ', text, CASE WHEN item_id % 2 = 0 THEN ' Keywords: a, b' ELSE '' END)"
+_TITLE_SQL = f"(SELECT item_id, nullif(trim(CASE WHEN regexp_matches(rest, '{identity.TITLE_STOP}') THEN regexp_extract(rest, '^(.*?){identity.TITLE_STOP}', 1) ELSE substr(rest, 1, 140) END, ' ,;.-'), '') AS title FROM (SELECT item_id, regexp_extract(regexp_replace({_COVER_TEXT}, '\\s+', ' ', 'g'), '{identity.COVER}(.*)$', 7) AS rest FROM benchmark))"
+
+
+@query(rf"""SELECT item_id, title, CASE WHEN item_id % 3 = 0 THEN item_id || '.pdf' ELSE concat_ws('-', 'MEC00' || item_id % 9, CASE WHEN item_id % 4 <> 0 THEN 'V1.1.1' END, nullif(CASE WHEN length(slug) > 60 THEN regexp_extract(substr(slug, 1, 60), '^(.*?)(?:-[^-]*)?$', 1) ELSE slug END, '')) || '.pdf' END AS name
+FROM (SELECT *, trim(regexp_replace(regexp_replace(coalesce(title, ''), '[^\p{{L}}\p{{N}}_ ;().-]', '', 'g'), '[ ;]+', '-', 'g'), '-.') AS slug FROM {_TITLE_SQL})""")
+def file_names(spark, sf_dir):
+    """Titles behind covers that are put before the benchmark's texts, and the names that files get from them."""
+    b = t(spark, sf_dir, "benchmark").select("item_id", identity.title(F.expr(_COVER_TEXT)).alias("title"))
+    i = F.col("item_id")
+    label = F.when(i % 3 != 0, F.concat(F.lit("MEC00"), (i % 9).cast("string")))
+    return b.select("item_id", "title", identity.file_name(label, F.concat(i.cast("string"), F.lit(".pdf")), F.col("title"), F.when(i % 4 != 0, "V1.1.1")).alias("name"))
+
+
+@query("""SELECT page_id FROM pages WHERE page_id % 3 <> 0 AND page_id % 7 + 1 <> page_id % 5 + 1""")
+def cover_disagreements(spark, sf_dir):
+    """Pages as releases: the cover's code against the one in the address; every third has no cover."""
+    i = F.col("page_id")
+    cover = F.when(i % 3 != 0, F.concat(F.lit("mec 0"), (i % 7 + 1).cast("string")))
+    url = F.concat(F.lit("https://example.org/deliver/gs_mec00"), (i % 5 + 1).cast("string"), F.lit("v010101p.pdf"))
+    return t(spark, sf_dir, "pages").where(identity.disagrees(cover, identity.release_id(url))).select("page_id")
+
+
 # ---------------------------------------------------------------- retrieval
 
 _SPARSE = """SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
@@ -324,6 +360,45 @@ def evidence_budget(spark, sf_dir):
     return _shaped(spark, sf_dir, 15, 2)
 
 
+def chunks_to_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks: a page each, its source as the document."""
+    d = searchable(spark, sf_dir).withColumnRenamed("doc_id", "id")
+    return d.select(
+        "id", "text", "embedding", "is_current", "has_diagram", F.col("source").alias("doc_id"), F.col("id").alias("page"), F.lit(1).alias("chunk_part"), F.lit(1).alias("total_parts"),
+        F.lit("").alias("content_md5"), F.when(F.col("id") % 3 != 0, F.concat(F.lit("MEC "), F.col("id").cast("string"))).alias("spec_id"), F.when(F.col("id") % 4 == 0, "V1.1.1").alias("edition"),
+        F.when(F.col("has_diagram"), F.array(F.lit("a.png"), F.concat("source", F.lit(".png")))).alias("diagram_paths"), F.when(F.col("id") % 7 == 0, F.col("lang")).alias("heading"),
+    )
+
+
+_EVIDENCE_ROWS = f"""SELECT query_id, doc_id AS id, rank, source, text, lang, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n FROM (
+  SELECT s.*, d.source, d.text, d.lang, row_number() OVER (PARTITION BY query_id, md5({_FP}) ORDER BY rank) AS k FROM ({hybrid_sql(90, 180)}) s JOIN documents d USING (doc_id)) WHERE k = 1) WHERE n <= 2 QUALIFY i <= 15"""
+
+
+def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.search(chunks_to_search(spark, sf_dir), asked_twice(spark, sf_dir))[1]
+
+
+@query(f"SELECT query_id, id, rank FROM ({_EVIDENCE_ROWS})")
+def search_evidence(spark, sf_dir):
+    return evidence_rows(spark, sf_dir).select("query_id", "id", "rank")
+
+
+@query(f"SELECT query_id, id, rank FROM ({_EVIDENCE_ROWS})".replace("n <= 2", "n <= 1").replace("i <= 15", "i <= 5"))
+def search_display(spark, sf_dir):
+    return api.search(chunks_to_search(spark, sf_dir), asked_twice(spark, sf_dir))[0].select("query_id", "id", "rank")
+
+
+@query(f"""SELECT query_id, md5(string_agg('--- [Source ' || i || '] ' || concat_ws(' ', CASE WHEN id % 3 <> 0 THEN 'MEC ' || id ELSE source END, CASE WHEN id % 4 = 0 THEN 'V1.1.1' END, 'p.' || id)
+ || CASE WHEN id % 7 = 0 THEN ' \u2014 ' || lang ELSE '' END || CASE WHEN id % 5 = 0 THEN ' \u2014 Diagrams: a.png, ' || source || '.png' ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY i)) AS context FROM ({_EVIDENCE_ROWS}) GROUP BY query_id""")
+def search_context(spark, sf_dir):
+    return api.context(evidence_rows(spark, sf_dir)).select("query_id", F.md5("context").alias("context"))
+
+
+@query(rf"SELECT query_id, count(*) AS excerpts, sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS words, 0 AS merged FROM ({_EVIDENCE_ROWS}) GROUP BY query_id")
+def answer_counts(spark, sf_dir):
+    return api.answer_counts(evidence_rows(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- maintenance
 
 
@@ -368,6 +443,12 @@ def newest_editions(spark, sf_dir):
     return maintenance.current_editions(editions(spark, sf_dir)).select("doc_id", "spec_id", "is_current")
 
 
+@query(f"SELECT spec_id, key.major AS major, key.minor AS minor, key.patch AS patch, n AS rows, row_number() OVER (PARTITION BY spec_id ORDER BY key DESC) AS place FROM (SELECT spec_id, key, count(*) AS n FROM {_EDITIONS} WHERE spec_id IS NOT NULL GROUP BY ALL)")
+def edition_listing(spark, sf_dir):
+    listed = maintenance.edition_listing(editions(spark, sf_dir))
+    return listed.select("spec_id", "key.major", "key.minor", "key.patch", "rows", "place")
+
+
 @query(f"""SELECT spec_id, sum(CASE WHEN cur THEN 0 ELSE n END)::BIGINT AS superseded, sum(n * (s - 1) // s)::BIGINT AS duplicates FROM (
  SELECT spec_id, key, count(*) AS n, count(DISTINCT file) AS s, bool_and(cur) AS cur FROM (SELECT *, spec_id IS NULL OR key = max(key) OVER (PARTITION BY spec_id) AS cur FROM {_EDITIONS}) GROUP BY spec_id, key) GROUP BY spec_id""")
 def superseded_rows(spark, sf_dir):
@@ -438,6 +519,45 @@ def upserted_rows(spark, sf_dir):
     return tables.without(merged, d.where("doc_id % 7 = 2 AND doc_id % 3 <> 0"), ["doc_id"])
 
 
+@query("""SELECT d.doc_id AS id, CASE WHEN s % 2 = 0 THEN 'MEC ' || s ELSE source END AS spec_id, CASE WHEN s % 2 = 0 THEN 'V1.1.1' END AS edition, coalesce(s % 3 <> 0 OR s % 4 = 1, true) AS is_current
+ FROM (SELECT doc_id, source, regexp_replace(source, '\\D', '', 'g')::INT AS s FROM documents) d""")
+def stamped_chunks(spark, sf_dir):
+    """Sources as files: every other has a cover, every fourth isn't among the files."""
+    n = F.regexp_replace("source", r"\D", "").cast("int")
+    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc_id"))
+    files = t(spark, sf_dir, "documents").select("source", n.alias("n")).distinct().where("n % 4 <> 1")
+    even = F.col("n") % 2 == 0
+    files = files.select(F.col("source").alias("stem"), F.when(even, F.concat(F.lit("MEC "), F.col("n").cast("string"))).alias("spec_id"), F.when(even, "V1.1.1").alias("edition"), F.lit(None).cast("string").alias("pub_date"), (F.col("n") % 3 != 0).alias("is_current"))
+    return maintenance.stamp(d, files).select("id", "spec_id", "edition", "is_current")
+
+
+_WITH_IMAGES = "concat('![one](img', chr(92), page_id % 50, '.png) ', url, ' ![](img/', page_id % 7, '.png)![two](x/y.png)')"
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 50 % 4 = 0 THEN '' ELSE '![one](img' || chr(92) || page_id % 50 || '.png)' END || ' ' || url || ' ' || CASE WHEN page_id % 7 % 4 = 0 THEN '' ELSE '![](img/' || page_id % 7 || '.png)' END || '![two](x/y.png)' AS text FROM pages")
+def pruned_pages(spark, sf_dir):
+    """Pages with references to images, of which every fourth isn't worth keeping."""
+    p = t(spark, sf_dir, "pages").select(F.lit("d").alias("doc_id"), F.col("page_id").alias("page"), F.expr(_WITH_IMAGES).alias("text"))
+    n = (F.col("page_id") % 50).cast("string")
+    images = t(spark, sf_dir, "pages").select(F.lit("d").alias("doc_id"), F.concat(F.lit("img/"), n, F.lit(".png")).alias("path"), (F.col("page_id") % 50 % 4 != 0).alias("keep")).distinct()
+    return maintenance.prune_images(p, images).select(F.col("page").alias("page_id"), "text")
+
+
+@query("""SELECT (SELECT count(*) FROM pages) AS keys, (SELECT count(*) FROM pages WHERE page_id % 9 = page_id % 4) AS right_keys, sum(n)::BIGINT AS files, count(*) AS contents, sum((n > 1)::INT)::BIGINT AS shared_contents,
+ (SELECT count(DISTINCT CASE WHEN doc_id % 3 <> 0 THEN doc_id % 70 END) FROM documents) AS numbered FROM (SELECT count(*) AS n FROM documents GROUP BY md5(text))""")
+def audit_counts(spark, sf_dir):
+    i, j = F.col("page_id"), F.col("doc_id")
+    manifest = t(spark, sf_dir, "pages").select(F.concat(F.lit("MEC-00"), (i % 9).cast("string")).alias("key"), F.concat(F.lit("x/deliver/gs_mec00"), (i % 4).cast("string"), F.lit("v010101p.pdf")).alias("url"))
+    files = t(spark, sf_dir, "documents").select(j.alias("name"), F.md5("text").alias("md5"), F.when(j % 3 != 0, j % 70).alias("number"))
+    return maintenance.audit_counts(manifest, files)
+
+
+@query("SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 300")
+def first_vectors(spark, sf_dir):
+    """The limited scan behind the similarity graph: as many rows as asked for, in the order of ids."""
+    return maintenance.first_rows(t(spark, sf_dir, "embeddings"), "vec_id", 300).select("vec_id", "label")
+
+
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'q' || l.quality ELSE lang END AS lang FROM documents d LEFT JOIN labels l USING (doc_id)")
 def payload_updates(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select("doc_id", "lang")

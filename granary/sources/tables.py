@@ -59,4 +59,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:
-    rows.select("spec_id", "url").write.mode("overwrite").json(path)
+    """Writes beside the old manifest and then takes its place, so a job that fails in between leaves the old one."""
+    spark, new = rows.sparkSession, f"{path.rstrip('/')}.new"
+    rows.select("spec_id", "url").write.mode("overwrite").json(new)
+    here, there = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (new, path))
+    files = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(there, True)
+    files.rename(here, there)
