@@ -1,4 +1,4 @@
-"""A folder for a job's own tables, in the one that the cluster shares."""
+"""A folder for a job's own tables, in the one that the cluster shares; it is deleted as the driver ends."""
 
 from __future__ import annotations
 
@@ -14,4 +14,9 @@ def folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/job-{uuid.uuid4().hex}"
+    name = f"{base.rstrip('/')}/job-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{name}/rows"

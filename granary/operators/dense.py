@@ -13,42 +13,53 @@ from granary.functions.vectors import max_sim
 
 from .sparse import ranked
 
-#: Queries that one pass over the vectors answers; what goes to each task is bounded by that. More queries, more passes.
-QUERIES_A_PASS = 4096
+#: Queries that go to all tasks at once; more go in blocks of as many, which meet blocks of vectors in a grid.
+QUERIES, VECTORS = 4096, 32_768
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 25, id_: str = "vec_id") -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 25, id_: str = "vec_id", most: int = QUERIES) -> DataFrame:
     """query_id, id, score, rank of the k nearest by cosine. vectors: id, embedding; queries: query_id, embedding.
 
-    A task scores its own rows against a block of queries by one matrix product and passes on k rows for each query; only
-    those are shuffled. Vectors that are null, or null or not finite in a component, take no part.
+    A task scores rows against a block of queries by one matrix product and passes on k rows for each query. Up to `most`
+    queries go to the vectors, and only the found rows are shuffled; with more, the vectors are moved once for each
+    block of queries. Vectors that are null, or null or not finite in a component, take no part.
     """
-    n = queries.count()
-    passes = max(1, -(-n // QUERIES_A_PASS))
-    kind = dict(vectors.dtypes)[id_]
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
-    rows, out = vectors.where(F.col("embedding").isNotNull() & finite).select(id_, "embedding"), None
-    for p in range(passes):
-        part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
-        local = part.select("query_id", "embedding").dropna().orderBy("query_id").toPandas()
+    rows = vectors.where(F.col("embedding").isNotNull() & finite).select(id_, "embedding")
+    asked = queries.where(F.col("embedding").isNotNull() & finite).select("query_id", "embedding")
+    schema = f"query_id long, {id_} {dict(vectors.dtypes)[id_]}, score double"
+    local = asked.limit(most + 1).toPandas()
+    if len(local) <= most:
+        local = local.sort_values("query_id")
         shared = vectors.sparkSession.sparkContext.broadcast((local["query_id"].to_numpy(), _units(local["embedding"])))
 
-        def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, q = shared.value
+        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                if not len(f) or not len(names):
-                    continue
-                f = f.sort_values(id_)
-                scores = np.round(q @ _units(f["embedding"]).T, 6)
-                ids = f[id_].to_numpy()
-                # ids ascend, so a stable order by score keeps the smaller of equals first
-                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                for i, at in enumerate(order):
-                    yield pd.DataFrame({"query_id": names[i], id_: ids[at], "score": scores[i, at]})
-
-        found = rows.mapInPandas(best, f"query_id long, {id_} {kind}, score double")
-        out = found if out is None else out.union(found)
-    return ranked(out, k, id_)
+                yield _best(*shared.value, f, k, id_)
+
+        return ranked(rows.mapInPandas(best, schema), k, id_)
+    blocks, parts = -(-asked.count() // most), -(-rows.count() // VECTORS)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
+    place = lambda name, n: F.pmod(F.xxhash64(name), F.lit(max(1, n))).cast("int")
+    left = asked.select("query_id", "embedding", place("query_id", blocks).alias("q"), every(parts).alias("v"))
+    right = rows.select(id_, "embedding", place(id_, parts).alias("v"), every(blocks).alias("q"))
+
+    def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        return _best(q["query_id"].to_numpy(), _units(q["embedding"]), v, k, id_)
+
+    return ranked(left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInPandas(meet, schema), k, id_)
+
+
+def _best(names: np.ndarray, q: np.ndarray, f: pd.DataFrame, k: int, id_: str) -> pd.DataFrame:
+    """The k best rows of f for each query; ties to the smaller id."""
+    if not len(f) or not len(names):
+        return pd.DataFrame({"query_id": [], id_: [], "score": []})
+    f = f.sort_values(id_)
+    scores = np.round(q @ _units(f["embedding"]).T, 6)
+    # ids ascend, so a stable order by score keeps the smaller of equals first
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    n = order.shape[1]
+    return pd.DataFrame({"query_id": np.repeat(names, n), id_: f[id_].to_numpy()[order.ravel()], "score": np.take_along_axis(scores, order, 1).ravel()})
 
 
 def _units(vectors: pd.Series) -> np.ndarray:

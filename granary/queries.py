@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import identity, text, vectors
 from granary.jobs import api
+from granary.jobs.scratch import folder
 from granary.operators import audit, chunking, dense, evaluate, fusion, graph, maintenance, shaping, sparse
 from granary.sources import tables
 from granary.streaming import monitor
@@ -696,8 +697,6 @@ def version_increases(spark, sf_dir):
 @query(_UP)
 def version_increases_stream(spark, sf_dir):
     """The same by a stream over the table's files, in a state that grows with the users only."""
-    from granary.jobs.scratch import folder
-
     schema = t(spark, sf_dir, "events").schema
     path = f"{sf_dir}/events.parquet"
     source = spark.readStream.schema(schema)
@@ -707,6 +706,20 @@ def version_increases_stream(spark, sf_dir):
     return spark.read.schema("user_id long, value double, event_id long").parquet(f"{out}/rows")
 
 
+@query("""SELECT source, major, minor, patch, doc_id FROM (SELECT *, {a: major, b: minor, c: patch} AS v, max({a: major, b: minor, c: patch}) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m
+ FROM (SELECT source, doc_id, (doc_id % 5)::DOUBLE AS major, (doc_id % 13)::DOUBLE AS minor, (doc_id % 3)::DOUBLE AS patch FROM documents WHERE source IS NOT NULL)) WHERE m IS NULL OR v > m""")
+def release_stream(spark, sf_dir):
+    """Documents as sightings of releases of their source, as a stream with versions of three numbers."""
+    path = f"{sf_dir}/documents.parquet"
+    source = spark.readStream.schema(t(spark, sf_dir, "documents").schema)
+    docs = source.parquet(path) if _is_folder(spark, path) else source.option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    i = F.col("doc_id")
+    seen = docs.where("source IS NOT NULL").select("source", (i % 5).alias("major"), (i % 13).alias("minor"), (i % 3).alias("patch"), "doc_id")
+    out, kinds = folder(spark), "source string, major double, minor double, patch double, doc_id long"
+    monitor.start(monitor.watch(seen, "source", ["major", "minor", "patch"], "doc_id"), f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.schema(kinds).parquet(f"{out}/rows")
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()

@@ -11,33 +11,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from granary.jobs.scratch import folder
+
 
 def increases(events: DataFrame, key: str, version: Column, order: list[str]) -> DataFrame:
-    """Rows whose version is above all of their key's rows before, in this order."""
-    before = F.max(version).over(W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    return events.withColumn("_before", before).where(F.col("_before").isNull() | (version > F.col("_before"))).drop("_before")
+    """Rows whose version is above all of their key's rows before, in this order. version may be a struct, such as (major, minor, patch).
+
+    The rows are sorted into ranges of (key, order), written in the shared folder; the ranges' maxima, few a key, tell what
+    is before a range. So a key of very many rows goes to many tasks.
+    """
+    spark, path = events.sparkSession, folder(events.sparkSession)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = events.withColumn("_version", version).repartitionByRange(n, key, *order).withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    rows = spark.read.schema(ranged.schema).parquet(path)
+    tops = rows.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_range")).agg(F.max("_version").alias("_top"))
+    ahead = F.max("_top").over(W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.join(tops.select("_key", "_range", ahead.alias("_ahead")), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_range")))
+    here = F.max("_version").over(W.partitionBy(key, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("_before", F.greatest(here, "_ahead"))
+    return rows.where(F.col("_before").isNull() | (F.col("_version") > F.col("_before"))).select(events.columns)
 
 
-def watch(events: DataFrame, key: str, version: str, order: str) -> DataFrame:
-    """The same for a stream with numeric versions: key, version, order. State is one number a key, so it grows with the
-    keys and not with the stream; a batch's rows of a key are taken in the order given, part by part."""
+def watch(events: DataFrame, key: str, version: str | list[str], order: str) -> DataFrame:
+    """The same for a stream: key, the version's columns, order. version: a column, or several that count in turn, such as major,
+    minor, patch; numbers. State is one version a key, so it grows with the keys and not with the stream; a batch's rows of a
+    key are taken in the order given, part by part."""
+    names = [version] if isinstance(version, str) else version
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get[0] if state.exists else None
+        best = tuple(state.get) if state.exists else None
         rows = pd.concat(list(frames)).sort_values(order)
-        top = rows[version].cummax()
-        before = top.shift(1).fillna(float("-inf"))
-        if best is not None:
-            before = before.clip(lower=best)
-        up = rows[rows[version] > before]
-        high = float(top.max())
-        state.update((high if best is None else max(best, high),))
-        yield pd.DataFrame({key: name[0], version: up[version], order: up[order]})
+        up = []
+        for v in zip(*(rows[c] for c in names), strict=True):
+            up.append(best is None or v > best)
+            best = v if up[-1] else best
+        state.update(best)
+        rows = rows[up]
+        yield pd.DataFrame({key: name[0], **{c: rows[c] for c in names}, order: rows[order]})
 
     kinds = dict(events.dtypes)
-    out = f"{key} {kinds[key]}, {version} double, {order} {kinds[order]}"
-    return events.select(key, F.col(version).cast("double").alias(version), order).groupBy(key).applyInPandasWithState(
-        step, out, "best double", "append", GroupStateTimeout.NoTimeout
+    out = ", ".join([f"{key} {kinds[key]}", *(f"{c} double" for c in names), f"{order} {kinds[order]}"])
+    return events.select(key, *(F.col(c).cast("double").alias(c) for c in names), order).groupBy(key).applyInPandasWithState(
+        step, out, ", ".join(f"{c} double" for c in names), "append", GroupStateTimeout.NoTimeout
     )
 
 

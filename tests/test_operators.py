@@ -1,10 +1,16 @@
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from granary.functions import identity, text
-from granary.operators import audit, chunking, fusion, maintenance, shaping
+from granary.jobs import api
+from granary.operators import audit, chunking, dense, evaluate, fusion, maintenance, shaping, sparse
 from granary.sources import tables
+from granary.streaming import monitor
 
 
 def words(n, start=0):
@@ -177,3 +183,112 @@ def test_tables(spark, tmp_path):
     assert tables.read_manifest(spark, str(tmp_path / "none")).count() == 0
     up = tables.upserted(df, spark.createDataFrame([(2, "z"), (3, "c")], "k int, v string"), ["k"])
     assert sorted(map(tuple, up.collect())) == [(1, "a"), (2, "z"), (3, "c")]
+
+
+def test_names(spark):
+    row = lambda expr, *v: spark.createDataFrame([v], ", ".join(f"c{i} string" for i in range(len(v)))).select(expr).first()[0]
+    c = [F.col(f"c{i}") for i in range(4)]
+    forms = {"mec-3": "MEC003", " gs 012-2 ": "MEC012-2", "MEC 010-2": "MEC010-2", "deck": "DECK", "003": "MEC003"}
+    assert {x: row(identity.normal_id(c[0]), x) for x in forms} == forms
+    labels = {"MEC-003": "MEC003", "MEC-010-2": "MEC010-2", "MEC-DEC-063": "MEC-DEC063", "Deck": "Deck"}
+    assert {x: row(identity.label(c[0]), x) for x in labels} == labels
+    assert [row(identity.colour_group(c[0]), x) for x in ("MEC-003", "MEC-059", "MEC-312", "deck")] == [0, 5, 11, 0]
+    cover = "ETSI GS MEC 003 V4.1.1 (2025-05) "
+    assert row(identity.title(c[0]), cover + "Edge\nComputing; Framework, Disclaimer The text") == "Edge Computing; Framework"
+    assert row(identity.title(c[0]), cover + "t" * 200) == "t" * 139 and row(identity.title(c[0]), "no cover") is None and row(identity.title(c[0]), cover + " Keywords") is None
+    name = lambda *v: row(identity.file_name(c[0], c[1], c[2], c[3]), *v)
+    assert name("MEC003", "a.pdf", "Framework; and/or: Reference", "V4.1.1") == "MEC003-V4.1.1-Framework-andor-Reference.pdf"
+    assert name(None, "deck.pptx", "T", "V1.1.1") == "deck.pptx" and name("MEC003", "a.pdf", None, None) == "MEC003.pdf"
+    long = name("MEC003", "a.pdf", " ".join(["words"] * 20), None)
+    assert long == "MEC003-" + "-".join(["words"] * 10) + ".pdf"
+    assert row(identity.disagrees(c[0], c[1]), "MEC 040", "MEC-041") and not row(identity.disagrees(c[0], c[1]), "mec 40", "MEC-040") and not row(identity.disagrees(c[0], c[1]), None, "MEC-040")
+
+
+def test_stitching_keeps_the_lowest_part(spark):
+    hits = spark.createDataFrame([("a", 1, 2, 3, 1, "two", "h2", ["y"]), ("a", 1, 1, 3, 2, "one", "h1", ["x"])], "doc_id string, page int, chunk_part int, total_parts int, rank int, content string, heading string, diagram_paths array<string>")
+    r = shaping.stitch_parts(hits, ["doc_id", "page"]).first()
+    assert (r["rank"], r["chunk_part"], r["content"], r["stitched_parts"], r["heading"], r["diagram_paths"], r["total_parts"]) == (1, 1, "one\ntwo", 2, "h1", ["x"], 3)
+
+
+def corpus(spark):
+    rows = [(i, f"common words alpha{i % 4} and beta{i}", [float(i % 5), 1.0, float(i % 3)] if i != 7 else None, None if i % 3 else i % 2 == 0, i % 2 == 0, f"d{i // 4}", i // 2, i % 2 + 1, 2, f"m{i // 4}", f"MEC {i // 4}", "V1.1.1", f"h{i}", [f"{i}.png"] if i % 2 else None) for i in range(24)]
+    return spark.createDataFrame(rows, "id long, text string, embedding array<double>, is_current boolean, has_diagram boolean, doc_id string, page int, chunk_part int, total_parts int, content_md5 string, spec_id string, edition string, heading string, diagram_paths array<string>")
+
+
+def test_search_and_context(spark):
+    chunks = corpus(spark)
+    queries = spark.createDataFrame([(1, "beta5 alpha1", [1.0, 1.0, 1.0]), (2, "beta16", [0.0, 1.0, 2.0])], "query_id long, text string, embedding array<double>")
+    display, evidence = api.search(chunks, queries)
+    rows = evidence.orderBy("query_id", "rank").collect()
+    gone = {r["id"] for r in chunks.where("NOT is_current").collect()}
+    assert len(gone) > 2 and not {r["id"] for r in rows} & gone
+    assert display.groupBy("query_id", "doc_id").count().where("count > 1").isEmpty() and evidence.groupBy("query_id", "content_md5").count().where("count > 2").isEmpty()
+    assert any(r["stitched_parts"] == 2 and r["content"].count("common") == 2 and r["chunk_part"] == 1 for r in rows)
+    only = api.search(chunks, queries, diagrams_only=True)[1]
+    assert {r["has_diagram"] for r in only.collect()} == {True} and not only.isEmpty()
+    every = api.search(chunks, queries, current_only=False, answer_context=40, per_doc=9)[1]
+    assert any(f" beta{g}" in r["content"] for g in gone for r in every.collect())
+    text = {r["query_id"]: r["context"] for r in api.context(evidence).collect()}
+    first = rows[0]
+    assert text[1].startswith(f"--- [Source 1] {first['spec_id']} V1.1.1 p.{first['page']} \u2014 {first['heading']}") and text[1].count("--- [Source ") == sum(r["query_id"] == 1 for r in rows)
+    counted = {r["query_id"]: (r["excerpts"], r["merged"]) for r in api.answer_counts(evidence).collect()}
+    assert counted[1] == (sum(r["query_id"] == 1 for r in rows), sum(r["query_id"] == 1 and r["stitched_parts"] is not None for r in rows))
+    assert api.search(chunks.limit(0), queries)[1].collect() == []
+
+
+def test_more_queries_than_go_to_all_tasks(spark):
+    chunks = corpus(spark).select("id", "text", "embedding")
+    queries = spark.createDataFrame([(i, f"beta{i} alpha{i % 4} words", [1.0, float(i), 0.5]) for i in range(9)], "query_id long, text string, embedding array<double>")
+    both = lambda one, other: sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+    assert both(sparse.search(chunks, queries, 5, "id"), sparse.search(chunks, queries, 5, "id", terms=3))
+    assert both(dense.top_k(chunks, queries, 5, "id"), dense.top_k(chunks, queries, 5, "id", most=2))
+    assert sparse.search(chunks.limit(0), queries, 5, "id").collect() == [] == sparse.search(chunks, queries.limit(0), 5, "id").collect()
+    assert dense.top_k(chunks.limit(0), queries, 5, "id").collect() == [] == dense.top_k(chunks, queries.limit(0), 5, "id").collect()
+
+
+def test_tokens_by_bytes():
+    texts = ["the cat. the dog42 \u00e9a the", "", "a" * 40 + "\u00e9x", None, "cat the\u2003CAT"]
+    wanted = {zlib.crc32(w.encode()) & 0x7FFFFFFF: w for w in ("the", "cat", "dog42", "x", "a", "a" * 40)}
+    ids = np.array(sorted(wanted))
+    got = {(lo + d, wanted[ids[p]]): n for lo, _, docs, places, counts in sparse.counts(pa.array(texts), ids) for d, p, n in zip(docs.tolist(), places.tolist(), counts.tolist())}
+    assert got == {(0, "the"): 3, (0, "cat"): 1, (0, "dog42"): 1, (0, "a"): 1, (2, "a" * 40): 1, (2, "x"): 1, (4, "cat"): 1, (4, "the"): 1}
+    assert list(sparse.counts(pa.array([], pa.string()), ids)) == []
+
+
+def test_evidence_of_short_and_long_keywords(spark):
+    golden = spark.createDataFrame([(1, None, ["Art of war and peace"]), (2, ["b"], ["zz", "art of"]), (3, ["c"], ["art"]), (4, None, ["war of art"]), (5, None, []), (6, None, ["f w"])], "id int, docs array<string>, kw array<string>")
+    docs = spark.createDataFrame([("a", "smART OF WAR AND PEACEful"), ("b", "art  of"), ("b", "part of it"), ("c", None)], "doc string, text string")
+    assert {r["id"]: r["evidence"] for r in evaluate.evidence(golden, docs).collect()} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
+
+
+def test_manifest_and_ingest(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    for k in (1, 2):
+        tables.write_manifest(spark.createDataFrame([(f"MEC-{k}", "u")] * k, "spec_id string, url string"), path)
+        assert tables.read_manifest(spark, path).count() == k
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.json").write_text('not json\n{"spec_id": "MEC-3", "url": "u"}\n')
+    assert [tuple(r) for r in tables.read_manifest(spark, str(tmp_path / "broken")).collect()] == [("MEC-3", "u")]
+    pages = spark.createDataFrame([("a", 1, " ".join(words(700)), "m1"), ("b", 1, "same content as a by digest", "m1"), ("c", 1, "other", "m2")], "doc_id string, page int, text string, content_md5 string")
+    folder = str(tmp_path / "chunks")
+    assert api.ingest(spark, pages, folder) == 4 and api.ingest(spark, pages, folder) == 0
+    assert {r["doc_id"] for r in spark.read.parquet(folder).collect()} == {"a", "c"}
+
+
+def test_images_are_pruned(spark):
+    pages = spark.createDataFrame([("d", 1, "x ![a](i\\1.png) ![b](i/2.png)"), ("e", 1, "![a](i/1.png)"), ("d", None, None)], "doc_id string, page int, text string")
+    images = spark.createDataFrame([("d", "i/1.png", False), ("d", "i/2.png", True), ("e", "i/1.png", True)], "doc_id string, path string, keep boolean")
+    got = {(r["doc_id"], r["page"]): r["text"] for r in maintenance.prune_images(pages, images).collect()}
+    assert got == {("d", 1): "x  ![b](i/2.png)", ("e", 1): "![a](i/1.png)", ("d", None): None}
+
+
+def test_increases_of_versions(spark):
+    rows = [("k", i, (i * 7) % 11, i % 3) for i in range(200)] + [("z", 1, 0, 0), (None, 1, 5, 5), (None, 2, 5, 4), (None, 3, 5, 6)]
+    e = spark.createDataFrame(rows, "key string, at int, major int, minor int")
+    got = {(r["key"], r["at"]) for r in monitor.increases(e, "key", F.struct("major", "minor"), ["at"]).collect()}
+    best, want = {}, set()
+    for k, at, *v in rows:
+        if k not in best or v > best[k]:
+            best[k] = v
+            want.add((k, at))
+    assert got == want
