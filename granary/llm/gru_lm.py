@@ -30,6 +30,8 @@ STEPS, LANES, TRAIN_LANES = 32, 512, 192
 ROUNDS = ((1, 6e-3), (4, 4e-3), (16, 2e-3))
 #: Tokens whose counts every task holds; counts of rarer ones join by hash. 16 bytes each.
 HEAD = 1 << 18
+#: Tokens that a step of training sums up at least: windows in which few lanes are left wait for others.
+STEP_TOKENS = 2048
 #: Words that a task scores, or learns from, side by side, about: with few, most lanes would end long before the longest document.
 BLOCK_WORDS, LEARN_WORDS = 1 << 22, 1 << 21
 #: Hash of the end token. Words hash anywhere, so it stands for a word that no text holds.
@@ -130,7 +132,10 @@ def run_window(net: Net, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarra
     """States after each step (steps, lanes, HIDDEN), and the last. fresh: 1 where a document begins, whose state is zero.
     table: the vocabulary's input sums, if they are at hand."""
     steps, lanes = inputs.shape
-    x = (table if table is not None else net.embed @ net.into + net.bias)[inputs]
+    if table is None and inputs.size < VOCABULARY:
+        x = (net.embed[inputs.ravel()] @ net.into + net.bias).reshape(steps, lanes, -1)
+    else:
+        x = (table if table is not None else net.embed @ net.into + net.bias)[inputs]
     out = np.empty((steps, lanes, HIDDEN), np.float32)
     begins = fresh.any(1)
     for t in range(steps):
@@ -152,10 +157,16 @@ def run_window(net: Net, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarra
     return out, state.copy()
 
 
+def _held(logits: np.ndarray) -> np.ndarray:
+    """In place: rows lowered by their greatest, if any number is so large that its exponential might not be held."""
+    if logits.size and max(float(logits.max()), -float(logits.min())) > 60:
+        logits -= logits.max(1, keepdims=True)
+    return logits
+
+
 def _softmax(logits: np.ndarray) -> np.ndarray:
     """In place."""
-    logits -= logits.max(1, keepdims=True)
-    np.exp(logits, out=logits)
+    np.exp(_held(logits), out=logits)
     logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
     return logits
 
@@ -175,9 +186,7 @@ def log_probabilities(net: Net, states: np.ndarray, targets: np.ndarray) -> np.n
 
     def of(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log probability of column at[i] in row i."""
-        top = logits.max(1)
-        hit = logits[row[: len(at)], at] - top
-        logits -= top[:, None]
+        hit = _held(logits)[row[: len(at)], at]
         np.exp(logits, out=logits)
         return hit - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
@@ -345,14 +354,30 @@ def gathered(blocks: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iter
 def learn(net: Net, blocks: Iterator[tuple[np.ndarray, np.ndarray]], rate: float) -> tuple[Net, int]:
     """Goes on training over blocks of (word ids, first word of each document); also the number of tokens."""
     net = Net(*(a.copy() for a in net))
-    adam, n = Adam(net, rate), 0
+    adam, n, held, tokens = Adam(net, rate), 0, None, 0
+
+    def step() -> None:
+        nonlocal held, tokens
+        if held is not None:
+            for x in held:
+                x /= max(1, tokens)
+            adam.step(net, held)
+        held, tokens = None, 0
+
     for ids, first in gathered(blocks, LEARN_WORDS):
         state = None
         for feed, goal, fresh, real, _ in stream(ids, first, TRAIN_LANES):
             state = np.zeros((feed.shape[1], HIDDEN), np.float32) if state is None else state[: feed.shape[1]]
             _, g, state = gradient(net, feed, goal, fresh, real, state)
-            adam.step(net, g)
-            n += int(real.sum())
+            here = int(real.sum())
+            for x in g:
+                x *= here
+            held = g if held is None else Net(*(np.add(a, b, out=a) for a, b in zip(held, g, strict=True)))
+            tokens += here
+            n += here
+            if tokens >= STEP_TOKENS:
+                step()
+    step()
     return net, n
 
 

@@ -211,6 +211,14 @@ def test_network_scores_by_hand():
     assert np.allclose(got, [plain_score(net, x) for x in texts], rtol=2e-5, atol=1e-3)
 
 
+def test_large_logits_stay_a_distribution():
+    net = small_net(7)
+    net = net._replace(class_bias=net.class_bias + np.linspace(-300, 300, gru_lm.CLASSES).astype(np.float32), word_bias=net.word_bias * 900)
+    state = np.repeat(np.random.default_rng(1).normal(size=(1, gru_lm.HIDDEN)).astype(np.float32), gru_lm.VOCABULARY, 0)
+    p = np.exp(gru_lm.log_probabilities(net, state, np.arange(gru_lm.VOCABULARY)).astype(float))
+    assert abs(p.sum() - 1) < 1e-3 and np.isfinite(p).all()
+
+
 def test_gradient_against_differences():
     net, rng = small_net(5), np.random.default_rng(6)
     shape = (6, 5)
