@@ -45,6 +45,37 @@ def test_odd_rows(name, spark):
     assert len(got) == ROWS.get(name, len(DOCS))
 
 
+def by_place(got, of):
+    """Values in the order of DOCS; rows equal in id and text are alike."""
+    found = {(r["doc_id"], r["text"]): r for r in got}
+    return [of(found[(i, t)]) for i, t, *_ in DOCS]
+
+
+def test_odd_values(spark):
+    """Nulls, empty and long texts, ties and repeated rows have the results that the operators state."""
+    d = docs(spark)
+    sizes = [len((t or "").split()) for _, t, *_ in DOCS]
+    near = [(r["doc_id"], r["class_id"], r["kept"]) for r in order_minhash.near_duplicates(d).collect()]
+    want = [(1, 1), (1, 1), (2, 2), (None, None), (None, None), (3, 3), (4, 4), (5, 5), (6, 5), (7, 7), (8, 8), (8, 8)]
+    assert sorted(near, key=str) == sorted(((i, c, i == c) for i, c in want), key=str)
+    mixed = mixing.mix(d)
+    assert by_place(mixed.collect(), lambda r: r["size"]) == sizes
+    assert all(r["taken"] == 0 for r in mixed.collect() if not r["size"]) and mixed.agg(F.sum("taken")).first()[0] <= sum(sizes)
+    scored = gru_lm.score(d, F.col("doc_id") == 6).collect()
+    tokens = sorted((r["doc_id"], r["n_tokens"], r["held_out"]) for r in scored if r["doc_id"] is not None)
+    assert tokens == sorted((i, n + 1, i == 6) for (i, *_), n in zip(DOCS, sizes) if i is not None)
+    five, six = (next(r for r in scored if r["doc_id"] == k) for k in (5, 6))
+    assert abs(five["score"] - six["score"]) < 1e-3 * abs(five["score"]) and abs(five["base_score"] - six["base_score"]) < 1e-5 and six["n_known"] == 80_001
+    assert len({r["score"] for r in scored if r["n_tokens"] == 1}) == 1
+    cut = spans.dedup(d).collect()
+    assert by_place([r for r in cut if not r["n_removed"]] + d.where("doc_id IN (5, 6)").collect(), lambda r: r["text"]) == [t for _, t, *_ in DOCS]
+    assert {r["doc_id"]: r["n_removed"] for r in cut if r["n_removed"]} == {5: 40_000 - 997 * 31, 6: 40_000}
+    found = licenses.scan(d).collect()
+    assert sorted(((r["doc_id"], r["license"], r["notices"]) for r in found if r["notices"] or r["license"]), key=str) == [(1, None, "MIT"), (1, None, "MIT")]
+    assert {r["score"] for r in toxicity.score(d, None).collect()} == {0.0} and toxicity.reject(d, None).count() == len(DOCS)
+    assert decontaminate.clean(d, bench(spark, [(1, "word3 thing3. word4 thing4. word5 thing5. word6"), (2, None), (None, "one")])).where("doc_id IN (5, 6)").count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_empty_table(name, spark):
     assert OPERATORS[name](spark, docs(spark, [])).collect() == []
@@ -52,11 +83,21 @@ def test_empty_table(name, spark):
 
 @pytest.mark.parametrize("stage", range(5))
 def test_stages(stage, spark):
-    d = docs(spark).drop(*CLASH).withColumn("n_chars", F.length("text").cast("long"))
+    d = docs(spark).withColumn("n_chars", F.length("text").cast("long"))
     out = corpus_pipeline.STAGES[stage][1](spark, d, DATA)
+    rows = out.collect()
+    ids = sorted((r["doc_id"] for r in rows), key=str)
     if stage < 4:
         assert out.columns == d.columns
-    out.collect()
+        assert all(r[c] == i for r in rows for i, c in enumerate(CLASH))
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+    every = sorted((r[0] for r in DOCS), key=str)
+    if stage in (0, 2, 3):
+        assert ids == every
+    elif stage == 1:
+        assert ids == sorted([1, 2, None, None, 3, 4, 5, 7, 8, 8], key=str)
+    else:
+        assert set(ids) <= {1, None, 5, 6, 7, 8} and all(r["taken"] == r["copies"] * len(r["text"].split()) for r in rows)
     assert corpus_pipeline.STAGES[stage][1](spark, d.limit(0), DATA).collect() == []
 
 
