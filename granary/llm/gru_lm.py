@@ -33,7 +33,7 @@ HEAD = 1 << 18
 #: Tokens that a step of training sums up at least: windows in which few lanes are left wait for others.
 STEP_TOKENS = 2048
 #: Words that a task scores, or learns from, side by side, about: with few, most lanes would end long before the longest document.
-BLOCK_WORDS, LEARN_WORDS = 1 << 22, 1 << 21
+BLOCK_WORDS, LEARN_WORDS = 1 << 22, 1 << 22
 #: Hash of the end token. Words hash anywhere, so it stands for a word that no text holds.
 END = np.uint64(0x5EEDE0D5EEDE0D01)
 END_SLOT, UNKNOWN = 0, 1
@@ -478,9 +478,12 @@ def train(docs: DataFrame, keep: Scratch) -> tuple[Counts, Net, DataFrame]:
     top = counts.orderBy(F.desc("n"), "hash").limit(HEAD).toArrow()
     head = head_counts(top["hash"].to_numpy().view(np.uint64), top["n"].to_numpy(), total, distinct)
     net, at = fresh_net(slot_counts(head)), 0
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS[-1][0]))
+    last = ROUNDS[-1][0]
+    part, tasks = F.pmod(F.xxhash64("doc_id", "text"), F.lit(last)), docs.rdd.getNumPartitions()
     for k, (end, rate) in enumerate(ROUNDS):
-        net = _round(docs.where((part >= at) & (part < end)).select("text"), head, net, rate, keep, f"nets-{k}")
+        # as many documents a task in a small round as in a large one: a task with few words can't keep its lanes full
+        rows = docs.where((part >= at) & (part < end)).select("text").coalesce(max(1, -(-tasks * (end - at) // last)))
+        net = _round(rows, head, net, rate, keep, f"nets-{k}")
         at = end
     return head, net, counts
 
