@@ -170,15 +170,15 @@ def _by_blocks(docs: DataFrame, asked: pa.Table, k: int, id_: str) -> DataFrame:
             block = np.zeros((min(BLOCK, n - lo), len(used)))
             block[d[a:b] - lo, at[a:b]] = f[a:b]
             scores[lo : lo + BLOCK] = block @ weights
-        scores = np.round(scores, 6)
+        scores, chosen = np.round(scores, 6), []
         for i in range(weights.shape[1]):
             s = scores[:, i]
             there = np.flatnonzero(s > 0)
             if len(there) > k:
                 there = there[s[there] >= np.partition(s[there], len(there) - k)[len(there) - k]]
-            there = there[np.lexsort((turn[there], -s[there]))][:k]
-            if len(there):
-                yield pa.RecordBatch.from_arrays([pa.repeat(t.queries[q + i], len(there)), ids.take(pa.array(there)), pa.array(s[there])], names=["query_id", id_, "score"])
+            chosen.append(there[np.lexsort((turn[there], -s[there]))][:k])
+        of, at = np.repeat(np.arange(len(chosen)), [len(x) for x in chosen]), np.concatenate(chosen)
+        yield pa.RecordBatch.from_arrays([t.queries.take(pa.array(q + of)), ids.take(pa.array(at)), pa.array(scores[at, of])], names=["query_id", id_, "score"])
 
     kind = dict(docs.dtypes)[id_]
     return ranked(lowered.mapInArrow(best, f"query_id long, {id_} {kind}, score double"), k, id_)
