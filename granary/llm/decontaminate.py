@@ -153,7 +153,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kind}, item_id {item_kind}, edits int, first_word long"
-    out = None
+    out, item_type = None, benchmark.select("item_id").limit(0).toArrow().schema.field(0).type
     for items in passes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -166,14 +166,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             ids.take(pa.array([lo + r[0] for r in rows], pa.int64())),
-                            pa.array([items.ids[r[1]] for r in rows], pa.int64()).cast(ITEM),
+                            pa.array([items.ids[r[1]] for r in rows], item_type),
                             pa.array([r[2] for r in rows], pa.int32()),
                             pa.array([r[3] for r in rows], pa.int64()),
                         ],
                         names=["doc_id", "item_id", "edits", "first_word"],
                     )
 
-        ITEM = {"int": pa.int32(), "string": pa.string()}.get(item_kind, pa.int64())
         found = docs.select("doc_id", text_column().alias("text")).mapInArrow(run, schema)
         out = found if out is None else out.union(found)
     return out

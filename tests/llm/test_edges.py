@@ -135,3 +135,12 @@ def test_spans_of_rows_without_clear_ids(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in clean) == [(3, 0), (5, 4)]
     named = d.withColumn("doc_id", F.col("doc_id").cast("string"))
     assert sum(r["n_removed"] for r in spans.dedup(named).collect()) == 4 * 4
+
+
+def test_ids_of_any_type(spark):
+    text = "a b c d e f g h i j k l"
+    d = spark.createDataFrame([("x", f"so {text} it is"), (None, text)], "doc_id string, text string")
+    for kind, value in (("string", "one"), ("smallint", 1), ("decimal(5,2)", None), ("bigint", 2**40)):
+        items = spark.createDataFrame([(value, text)], "v string, text string" if kind == "string" else "v long, text string").select(F.col("v").cast(kind).alias("item_id"), "text")
+        got = decontaminate.leaks(d, items)
+        assert dict(got.dtypes)["item_id"] == kind and sorted(((r["doc_id"], r["item_id"], r["edits"], r["first_word"]) for r in got.collect()), key=str) == [("x", value, 0, 0), (None, value, 0, 0)]
