@@ -125,25 +125,25 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h
 
 
-def _table(separators: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _table(separators: bytes, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     lower = np.arange(256, dtype=np.uint64)
-    lower[65:91] += np.uint64(32)
+    lower[65:91] += np.uint64(32 * fold)
     cut = np.zeros(256, bool)
     cut[list(separators)] = True
     return lower + np.uint64(1), cut
 
 
 class Words:
-    """The words of some documents: 64-bit hashes after lower-casing A-Z, and where each stands.
+    """The words of some documents: 64-bit hashes after lower-casing A-Z (if fold), and where each stands.
 
     hash, start, end: one entry a word (byte positions in data); first: index of each document's first word, and the end.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: bytes = SPACES):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: bytes = SPACES, fold: bool = True):
         base, n = int(offsets[0]), int(offsets[-1] - offsets[0])
         self.base, self.bytes = base, data[base : base + n]
         offs = (offsets - base).astype(np.int64)
-        lower, cut = _table(separators)
+        lower, cut = _table(separators, fold)
         inside = ~cut[self.bytes]
         edge = np.zeros(n + 1, bool)
         edge[offs] = True
@@ -209,3 +209,52 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The longest runs of marked bytes, none over two rows: as strings, each one's row, and its place in data.
+
+    inside: a mark for each byte from offsets[0] to offsets[-1]; data: these bytes, in the form that the strings are to have.
+    """
+    first = (offsets - offsets[0]).astype(np.int64)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[first] = True
+    before = np.concatenate([[False], inside])
+    after = np.concatenate([inside, [False]])
+    start = np.flatnonzero(after & (~before | edge))
+    end = np.flatnonzero(before & (~after | edge))
+    ends = np.concatenate([[0], np.cumsum(end - start)])
+    strings = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[inside])))
+    return strings, np.searchsorted(first, start, "right") - 1, start
+
+
+def bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of strings, from zero on."""
+    data, offsets = utf8(strings)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _crc_table() -> np.ndarray:
+    """The remainders of CRC-32 by byte."""
+    r = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        r = np.where(r & 1, np.uint32(0xEDB88320) ^ (r >> np.uint32(1)), r >> np.uint32(1)).astype(np.uint32)
+    return r
+
+
+_CRC = _crc_table()
+
+
+def crc32(before: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """CRC-32 of what `before` is the CRC-32 of, followed by data[start:end], row by row."""
+    crc, at, left = ~before.astype(np.uint32), start.copy(), np.flatnonzero(start < end)
+    while len(left):
+        crc[left] = _CRC[(crc[left] ^ data[at[left]]) & 0xFF] ^ (crc[left] >> np.uint32(8))
+        at[left] += 1
+        left = left[at[left] < end[left]]
+    return ~crc
+
+
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)

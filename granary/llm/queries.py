@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gru_lm, html_cut, licenses, mixing, order_minhash, spans, topk, toxicity, zip_warc
+from . import collocations, decontaminate, gru_lm, html_cut, licenses, mixing, order_minhash, packing, spans, topk, toxicity, variants, zip_warc
 
 LEARN_MOD, LEARN_REST = 4, 2  # labels of documents with this remainder are held out
 LM_MOD, LM_REST = 5, 1
@@ -71,8 +72,20 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontamination, op2_toxicity, op3_licenses, op4_mixing, op5_gru_lm, op6_sentence_spans, op7_html_main_text, op8_zip_warc, op9_exact_top_k, op10_order_minhash)
+    own = (op1_decontamination, op2_toxicity, op3_licenses, op4_mixing, op5_gru_lm, op6_sentence_spans, op7_html_main_text, op8_zip_warc, op9_exact_top_k, op10_order_minhash, op11_spelling_variants, op12_collocations, op13_packing)
     return {f.__name__: f for f in own}
 
 
@@ -82,4 +95,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": mixing.mix_sql(),
         "op8_zip_warc": zip_warc.round_trip_sql(),
         "op9_exact_top_k": topk.top_k_sql(),
+        "op11_spelling_variants": variants.group_sql(),
+        "op12_collocations": collocations.mine_sql(),
     }
