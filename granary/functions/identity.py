@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: How covers of the corpus name their publisher, families and series.
 PUBLISHER, FAMILIES, SERIES = "ETSI", "GS|GR|TS|ISG", "MEC"
 
-COVER = rf"{PUBLISHER}\s+(?:{FAMILIES})\s+({SERIES}(?:-DEC)?)\s*(\d+(?:-\d+)?)\s+V(\d+)\.(\d+)\.(\d+)\s+\((\d{{4}}-\d{{2}})\)"
+COVER = rf"{PUBLISHER}\s+(?:{FAMILIES})\s+({SERIES}(?:-DEC)?)\s*(\d+(?:-\d+)?)\s+V(\d+)\.(\d+)\.(\d+)\s*\((\d{{4}}-\d{{2}})\)"
 
 
 def cover(text: Column) -> Column:
@@ -34,11 +34,14 @@ def title(text: Column) -> Column:
     return F.nullif(F.trim(stopped, F.lit(" ,;.-")), F.lit(""))
 
 
+#: Fixed value: the number, and the part, in names of the series.
+NUMBER = r"(?:MEC|GS|GR)?[_\-\s]?0*([0-9]{1,3})(-[0-9]+)?"
+
+
 def normal_id(raw: Column) -> Column:
     """mec-3, GS 003 and 3 as MEC003, a part kept: MEC010-2; in upper case as it is, if there is no number."""
     x = F.upper(F.trim(raw))
-    number = r"(?:MEC|GS|GR)?[_\-\s]?0*([0-9]{1,3})(-[0-9]+)?"
-    return F.when(x.rlike(number), F.concat(F.lit(SERIES), F.lpad(F.regexp_extract(x, number, 1), 3, "0"), F.regexp_extract(x, number, 2))).otherwise(x)
+    return F.when(x.rlike(NUMBER), F.concat(F.lit(SERIES), F.lpad(F.regexp_extract(x, NUMBER, 1), 3, "0"), F.regexp_extract(x, NUMBER, 2))).otherwise(x)
 
 
 def label(spec_id: Column) -> Column:

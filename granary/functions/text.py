@@ -9,9 +9,9 @@ from .identity import FAMILIES, PUBLISHER, SERIES
 
 TOKEN, WORD, IMAGE = "[a-z0-9]+", r"\S+", r"!\[[^\]]*\]\([^)]*\)"
 BREAK = r"<br\s*/?>"
-#: Markup at a line's ends; no underscores, which tell a footer from a word.
+#: What is stripped from both ends of a line before it is looked at. Underscores stay: with them a line is a footer.
 MARKUP = r"^[\s#*>`~.-]+|[\s#*>`~.-]+$"
-#: Lines that say nothing of their page: footer, page number, running title.
+#: Whole lines that say nothing of their page, which are footers, page numbers and running titles.
 FURNITURE = rf"_+{PUBLISHER}_+|\d{{1,4}}|(?i:{PUBLISHER}\s+(?:{FAMILIES})\s+{SERIES}.*\bV\d+\.\d+\.\d+\b.*)"
 
 

@@ -15,8 +15,9 @@ from granary.functions.identity import SERIES, cited_id, edition_matches, plain
 NEAR, EDITION_BACK, EDITION_ON = 120, 60, 24
 CANNED_WORDS = 40
 
-_CODE = rf"\b{SERIES}(?:[ -]?DEC)?[ -]?(?:\d{{3}}(?:[ -]?\d{{1,2}}\b)?|\d{{1,2}}\b)"
+#: A code has three digits, and may have a part; pages are cited as
 #: p. 5, pp 5-7, page 5: the group tells the short form; the last page of a range is cited, too.
+_CODE = rf"\b{SERIES}(?:[ -]?DEC)?[ -]?\d{{3}}(?:[ -]?\d{{1,2}}\b)?"
 _PAGE = r"\b(?:(pp?)\s*\.?\s*|pages?\s+)(\d{1,4})(?:\s*-\s*(\d{1,4}))?"
 _EDITION = r"\b[Vv](\d+(?:\.\d+){1,3})\b"
 _SPAN = "struct<value:string,start:int,end:int>"

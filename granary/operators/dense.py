@@ -24,10 +24,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 25, id_: str = "vec_i
     queries go to the vectors, and only the found rows are shuffled; with more, the vectors are moved once for each
     block of queries. Vectors that are null, or null or not finite in a component, take no part.
     """
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.where(F.col("embedding").isNotNull() & finite).select(id_, "embedding")
     asked = queries.where(F.col("embedding").isNotNull() & finite).select("query_id", "embedding")
-    schema = f"query_id long, {id_} {dict(vectors.dtypes)[id_]}, score double"
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, {id_} {dict(vectors.dtypes)[id_]}, score double"
     local = asked.limit(most + 1).toPandas()
     if len(local) <= most:
         local = local.sort_values("query_id")

@@ -128,6 +128,18 @@ def cover_identities(spark, sf_dir):
     )
 
 
+#: Covers in SQL that Spark and the check read alike: one space, several or none between edition and date, parts, two families, no cover at all.
+_COVERS = """concat(text, CASE item_id % 6 WHEN 0 THEN concat(' ETSI GS MEC 0', item_id % 90 + 10, ' V', item_id % 4 + 1, '.1.1 (2020-05)') WHEN 1 THEN concat(chr(10), 'ETSI', chr(10), 'GR MEC 0', item_id % 90 + 10, '-2 V3.', item_id % 20, '.1(2022-03)')
+ WHEN 2 THEN concat(' ETSI GS MEC-DEC 0', item_id % 90 + 10, ' V1.2.', item_id % 3, '   (2019-', lpad(concat('', item_id % 12 + 1), 2, '0'), ')') WHEN 3 THEN ' ETSI GS MEC 003 (2020-05)' WHEN 4 THEN ' ETSI XX MEC 003 V1.1.1 (2020-05)' ELSE ' ETSI TS MEC 003 V1.1 (2020-05)' END, chr(10), text)"""
+
+
+@query(rf"""SELECT item_id, m[1] AS family, regexp_replace(split_part(m[1], ' V', 1), '\s+', ' ', 'g') AS spec_id, 'V' || regexp_extract(m[1], ' V([0-9.]+)', 1) AS edition, regexp_extract(m[1], '([0-9-]+)\)$', 1) AS pub_date
+ FROM (SELECT item_id, regexp_extract_all(regexp_replace({_COVERS}, '\s+', ' ', 'g'), 'ETSI (?:GS|GR|TS|ISG) (MEC(?:-DEC)? [0-9]+(?:-[0-9]+)? V[0-9]+[.][0-9]+[.][0-9]+ ?\([0-9]{{4}}-[0-9]{{2}}\))', 1) AS m FROM benchmark) WHERE len(m) > 0""".replace("m[1] AS family, ", ""))
+def parsed_covers(spark, sf_dir):
+    c = identity.cover(F.expr(_COVERS))
+    return t(spark, sf_dir, "benchmark").select("item_id", c["spec_id"].alias("spec_id"), c["edition"].alias("edition"), c["pub_date"].alias("pub_date")).where("spec_id IS NOT NULL")
+
+
 @query("""SELECT page_id, 'MEC-' || lpad((page_id % 60)::VARCHAR, 3, '0') || CASE WHEN page_id % 2 = 0 THEN '-02' ELSE '' END AS spec, (page_id % 5)::INT AS major, (page_id % 9)::INT AS minor, 1 AS patch,
  page_id % 3 <> 0 AS release, page_id % 60 <> page_id % 7 AS mislabeled FROM pages""")
 def release_addresses(spark, sf_dir):
@@ -228,9 +240,10 @@ def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark's items as texts and vectors; the vector of an item's number stands in for its own, as no table holds any."""
+    """The benchmark's items as texts and vectors; the vector of an item's number stands in for its own, as no table holds any. Items without
+    one are searched by terms alone."""
     v = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return asked(spark, sf_dir).join(v, "query_id")
+    return asked(spark, sf_dir).join(v, "query_id", "left")
 
 
 def hybrid_sql(k: int, prefetch: int, more: str = "") -> str:
