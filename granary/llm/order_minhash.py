@@ -330,20 +330,29 @@ def _cells(rows: DataFrame, threshold: float, most: int) -> DataFrame:
     """Deals the nodes of each bucket (bucket, node, root, size) to cells (bucket, band, x, y) so that each two nodes of a bucket
     that have different roots, and sizes in reach of the threshold, meet in one cell.
 
-    Nodes meet by bands of size, each with its own and the next: so wide are the bands that no pair is further apart. A
-    band of over `most` nodes, or many k-mers, is dealt in parts, and each two parts are a cell, so no task holds all of it.
+    Nodes meet by bands of size, each with its own and the next: so wide are the bands that no pair is further apart. In a bucket's
+    band, the nodes of its most frequent root have nothing to look for among themselves: they and the others are dealt in parts,
+    and each part of the others is a cell with every part. So n nodes, m of them with other roots, give n * (1 + m / most) +
+    m * (1 + n / most) rows at most, and no task holds all of a bucket.
     """
     wide = float(np.log(1 / threshold)) * 1.001 if threshold < 1 else 1e-9
     band = F.floor(F.log(F.col("size").cast("double")) / wide).cast("long")
     rows = rows.withColumn("own", band).withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
     rows = rows.withColumn("band", F.col("own") - F.col("step")).withColumn("mine", F.col("step") == 0)
-    many = rows.groupBy("bucket", "band").agg(
-        F.count("*").alias("n"), F.sum("size").alias("all"), F.max("mine").alias("any"), F.min("root").alias("r"), F.max("root").alias("s")
+    by_root = rows.groupBy("bucket", "band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.max("mine").alias("any"))
+    many = by_root.groupBy("bucket", "band").agg(
+        F.sum("n").alias("n"), F.sum("all").alias("all"), F.max("any").alias("any"), F.count("*").alias("roots"), F.max(F.struct("n", "root", "all")).alias("top")
     )
-    parts = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("all") / CELL_KMERS)).cast("int")
-    many = many.where("any AND n > 1 AND r <> s").select("bucket", "band", parts.alias("parts"))
-    dealt = rows.join(many, ["bucket", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    parts = lambda n, size: F.greatest(F.ceil(n / most), F.ceil(size / CELL_KMERS)).cast("int")
+    top = F.col("top")
+    many = many.where("any AND roots > 1").select(
+        "bucket", "band", top.root.alias("top"), parts(top.n, top.all).alias("first"), parts(F.col("n") - top.n, F.col("all") - top.all).alias("rest")
+    )
+    dealt, h = rows.join(many, ["bucket", "band"]), F.xxhash64("node")
+    main = F.col("root") == F.col("top")
+    dealt = dealt.withColumn("part", F.when(main, F.pmod(h, "first")).otherwise(F.col("first") + F.pmod(h, "rest")).cast("int"))
+    last = F.col("first") + F.col("rest") - 1
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(main, F.col("first")).otherwise(0), last)))
     return dealt.select("bucket", "band", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "mine", "node", "root", "size")
 
 

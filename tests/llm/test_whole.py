@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from granary.llm import gru_lm, html_cut, licenses, order_minhash, spans
@@ -110,3 +111,20 @@ def test_whole_licences(spark):
 def test_notices_of_the_caller(spark):
     known = licenses.known_licenses(spark, [("Own", "Do as you like.")])
     assert licenses.scan(documents(spark, ["x\nDo as you like!\ny"]), known).first()["notices"] == "Own"
+
+
+@pytest.mark.parametrize("apart", [1, 300])
+def test_nodes_of_one_class_are_not_dealt_against_each_other(spark, apart):
+    """Rows of a bucket's cells grow with its nodes times those apart, and every two nodes of different roots meet once."""
+    n, most = 40_000, 256
+    rows = spark.range(n, numPartitions=4).selectExpr("1L AS bucket", "id AS node", "IF(id < {0}, id, 0L - 1) AS root".format(apart), "100L AS size")
+    dealt = order_minhash._cells(rows, 0.8, most)
+    count = dealt.count()
+    assert n <= count <= n * -(-apart // most) + apart * (2 + n // most + apart // most)
+    few = order_minhash._cells(rows.where(f"node < {min(apart, 40)} OR node % 400 = 399"), 0.8, 16)
+    by = {}
+    for r in few.where("mine").collect():
+        by.setdefault((r["band"], r["x"], r["y"]), []).append(r)
+    met = [tuple(sorted((a["node"], b["node"]))) for cell in by.values() for i, a in enumerate(cell) for b in cell[:i] if a["root"] != b["root"] and (a["part"] != b["part"] or a["x"] == a["y"])]
+    nodes = {r["node"]: r["root"] for r in few.collect()}
+    assert sorted(met) == sorted((a, b) for a in nodes for b in nodes if a < b and nodes[a] != nodes[b])
