@@ -70,6 +70,23 @@ def test_toxicity_held_out(spark):
     right = [(x["score"] >= 0.3) == (x["doc_id"] % 7 == 0) for x in got]
     assert len(got) > 150 and sum(right) / len(right) > 0.97
     assert toxicity.fit(docs, labels.where("toxic = 0")) is None
+    # whole texts count, however long, and wherever the word stands
+    long_ = [(1, prose(60_000, 5, 300) + " badword9 " + prose(300, 6, 300)), (2, prose(60_000, 5, 300) + " fine " + prose(300, 6, 300)), (3, "badword9")]
+    score = {x["doc_id"]: x["score"] for x in toxicity.score(spark.createDataFrame(long_, "doc_id long, text string"), model).collect()}
+    assert score[1] >= 0.3 and score[2] < 0.3 and score[3] >= 0.3
+
+
+@pytest.mark.parametrize("sf, auc, found, false", [("sf0.01", 0.7, 9, 0), ("sf0.1", 0.95, 102, 6)])
+def test_toxicity_of_the_given_tables(spark, sf, auc, found, false):
+    """Few hundred labels are enough to generalise from: held-out labelled documents."""
+    sf_dir = f"/root/testdata/{sf}"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(F.broadcast(labels), "doc_id")
+    held = toxicity.bucket(F.col("doc_id"), 4) == 2
+    rows = toxicity.score(docs.where(held), toxicity.fit(docs.drop("toxic"), labels, ~held)).join(labels, "doc_id").collect()
+    z = {k: [x["score"] for x in rows if x["toxic"] == k] for k in (0, 1)}
+    assert np.mean([(a > b) + (a == b) / 2 for a in z[1] for b in z[0]]) >= auc
+    assert (sum(x >= 0.3 for x in z[1]) >= found, sum(x >= 0.3 for x in z[0]) <= false) == (True, True), [sum(x >= 0.3 for x in z[k]) for k in (1, 0)]
 
 
 def plain_logit(model, text):
