@@ -26,8 +26,8 @@ from .common import Scratch, bytes_of, chunks, column, lower_ascii, mix, runs, t
 OFTEN, MOST, INSIDE, SCALE = 10, 2000, 50, 1_000_000
 #: The first expansion takes prefixes down to this rank of each language, in multiples of MOST; each further one so many times deeper.
 DEPTH, DEEPER = 2, 8
-#: Bits of a bitmap, as a power of two.
-BITS = 25
+#: Bits of a bitmap, as a power of two; bytes of text that a task takes at once.
+BITS, _TEXT = 25, 1 << 20
 NO_LANGUAGE = "und"
 _SPLIT, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
 _SPLIT[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -126,7 +126,7 @@ def _counts(docs: DataFrame, choose) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(column(batch, "text"))
             languages = column(batch, "lang").cast(pa.large_string())
-            for lo, hi in chunks(offsets):
+            for lo, hi in chunks(offsets, _TEXT):
                 tokens = Tokens(data, offsets[lo : hi + 1], languages.slice(lo, hi - lo))
                 at, size = choose(tokens)
                 if len(at):
