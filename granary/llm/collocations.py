@@ -26,6 +26,8 @@ from .common import Scratch, bytes_of, chunks, column, lower_ascii, mix, runs, t
 OFTEN, MOST, INSIDE, SCALE = 10, 2000, 50, 1_000_000
 #: The first expansion takes prefixes down to this rank of each language, in multiples of MOST; each further one so many times deeper.
 DEPTH, DEEPER = 2, 8
+#: Shares of a language's phrases that are ranked before they are ranked together.
+SHARES = 16
 #: Bits of a bitmap, as a power of two; bytes of text that a task takes at once.
 BITS, _TEXT = 25, 1 << 20
 NO_LANGUAGE = "und"
@@ -234,8 +236,10 @@ def mine(docs: DataFrame, most: int = MOST, often: int = OFTEN, inside: int = IN
             break
         pairs = keep.save(pairs, f"pairs-{turn}")
         rank, turn = rank * DEEPER, turn + 1
-    best = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    rows = done.withColumn("rank", best).where(F.col("rank") <= most).join(totals, "lang")
+    # a language's rows are ranked in SHARES first, so that no task ranks more than that many times `most` of them
+    first = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    rows = done.withColumn("_share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).withColumn("rank", first("lang", "_share")).where(F.col("rank") <= most)
+    rows = rows.withColumn("rank", first("lang")).where(F.col("rank") <= most).join(totals, "lang")
     return rows.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
 
