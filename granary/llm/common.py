@@ -137,9 +137,10 @@ class Words:
     """The words of some documents: 64-bit hashes after lower-casing A-Z (if fold), and where each stands.
 
     hash, start, end: one entry a word (byte positions in data); first: index of each document's first word, and the end.
+    breaks: marks of bytes (from the first document's on, and the end) before which a word ends, besides separators.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: bytes = SPACES, fold: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: bytes = SPACES, fold: bool = True, breaks: np.ndarray | None = None):
         base, n = int(offsets[0]), int(offsets[-1] - offsets[0])
         self.base, self.bytes = base, data[base : base + n]
         offs = (offsets - base).astype(np.int64)
@@ -147,6 +148,8 @@ class Words:
         inside = ~cut[self.bytes]
         edge = np.zeros(n + 1, bool)
         edge[offs] = True
+        if breaks is not None:
+            edge |= breaks
         before = np.empty(n, bool)
         if n:
             before[0] = False

@@ -8,6 +8,8 @@ where they are read, in blocks of bounded size, and open sequences are carried f
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -27,8 +29,8 @@ END = 2
 SLACK = 8
 #: Tokens of a block that is packed at once, and examples.
 BLOCK_TOKENS, BLOCK_ROWS = 1 << 21, 1 << 14
-#: Different words whose ids a task remembers.
-REMEMBERED = 1 << 19
+#: Different words whose ids a Python worker remembers, about.
+REMEMBERED = 1 << 20
 
 
 class Limits(NamedTuple):
@@ -50,44 +52,105 @@ class Piece(NamedTuple):
 # ---------------------------------------------------------------- ids
 
 
+_ALNUM, _MARK, _SPACE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[[*b".,;:!?"]] = True
+_SPACE[[*SPACES]] = True
+
+
+def breaks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Marks where runs of . , ; : ! ? begin and end that stand between letters, digits or spaces: the tokenizer cuts there, too, so
+    words are known apart from their punctuation. Letters: A-Z, a-z, and U+00C0 to U+024F without three that aren't, or that
+    lower case takes apart."""
+    n = len(data)
+    lead = (data >= 0xC3) & (data <= 0xC9)
+    odd = np.zeros(n, bool)
+    odd[1:] = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) | (data[:-1] == 0xC4) & (data[1:] == 0xB0)
+    ends = _ALNUM[data] | _SPACE[data]
+    ends[1:] |= lead[:-1] & ~odd[1:]
+    begins = _ALNUM[data] | _SPACE[data] | lead
+    begins[:-1] &= ~odd[1:]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets - offsets[0]] = True
+    mark, out = _MARK[data], np.zeros(n + 1, bool)
+    start = np.flatnonzero(mark & (np.concatenate([[True], ~mark[:-1]]) | edge[:-1])) if n else np.zeros(0, np.int64)
+    end = np.flatnonzero(mark & (np.concatenate([~mark[1:], [True]]) | edge[1:])) + 1 if n else start
+    good = (edge[start] | ends[start - 1]) & (edge[end] | begins[np.minimum(end, n - 1)])
+    out[start[good]] = out[end[good]] = True
+    return out
+
+
+class _Known(NamedTuple):
+    """Words' hashes in order, their ids, and where each word's begin."""
+
+    hash: np.ndarray = np.zeros(0, np.uint64)
+    ids: np.ndarray = np.zeros(0, np.uint32)
+    first: np.ndarray = np.zeros(1, np.int64)
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's place; -1 if it isn't there."""
+        at = np.searchsorted(self.hash, hashes)
+        there = at < len(self.hash)
+        there[there] = self.hash[at[there]] == hashes[there]
+        return np.where(there, at, -1)
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these places one after another, and each word's first."""
+        start, size = self.first[places], self.first[places + 1] - self.first[places]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])], ends
+
+    def more(self, other: _Known) -> _Known:
+        both = _Known(np.concatenate([self.hash, other.hash]), np.concatenate([self.ids, other.ids]), np.concatenate([self.first, self.first[-1] + other.first[1:]]))
+        order = np.argsort(both.hash, kind="stable")
+        return _Known(both.hash[order], *both.of(order))
+
+
 class Ids:
-    """Ids of texts by a tokenizer that never joins what white space separates: each different word is tokenized once, as
-    far as memory goes, and a text's ids are put together from its words'."""
+    """Ids of texts by a tokenizer that never joins what white space separates, and takes letters in lower case: each different
+    word is tokenized once, as far as memory goes, and a text's ids are put together from its words'."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.known, self.values, self.bounds = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.old, self.new = _Known(), _Known()
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known, self.values, self.bounds = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        size = np.concatenate([np.diff(self.bounds), np.fromiter(map(len, found), np.int64, len(found))])
-        values = np.concatenate([self.values, np.fromiter((i for x in found for i in x), np.uint32)])
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known)
-        start = (np.cumsum(size) - size)[order]
-        self.known, size = known[order], size[order]
-        self.bounds = np.concatenate([[0], np.cumsum(size)])
-        self.values = values[np.repeat(start - self.bounds[:-1], size) + np.arange(len(values))]
+        ids, size = [], np.zeros(len(words), np.int64)
+        for lo in range(0, len(words), 2000):
+            found = self.tokenizer.encode(words[lo : lo + 2000], is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(found.ids, np.uint32))
+            size[lo : lo + 2000] += np.bincount(np.array(found.word_ids, np.int64), minlength=min(2000, len(words) - lo))
+        self.new = self.new.more(_Known(hashes, np.concatenate(ids), np.concatenate([[0], np.cumsum(size)])))
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids one after another, and each text's first."""
-        w = Words(data, offsets, SPACES, fold=False)
+        part = data[offsets[0] : offsets[-1]]
+        special = part.tobytes().find(b"<|") >= 0  # the tokenizer's own strings count only in lower case
+        w = Words(data, offsets, SPACES, fold=not special, breaks=breaks(part, offsets))
         different, first, same = np.unique(w.hash, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, different)
-        new = np.append(self.known, 0)[at] != different if len(self.known) else np.ones(len(different), bool)
-        new |= at == len(self.known)
-        if new.any():
-            if len(self.known) + new.sum() > REMEMBERED:
-                new[:] = True  # the memory begins anew
-            texts = [w.bytes[w.start[i] : w.end[i]].tobytes().decode("utf-8", "replace") for i in first[new].tolist()]
-            self._learn(different[new], texts)
-            at = np.searchsorted(self.known, different)
-        start, size = self.bounds[at][same], np.diff(self.bounds)[at][same]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.values[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
-        return ids, ends[w.first]
+        if len(self.new.hash) > REMEMBERED // 16:
+            self.old, self.new = (self.old.more(self.new) if len(self.old.hash) < REMEMBERED else self.new), _Known()
+        old, new = self.old.place(different), self.new.place(different)
+        fresh = (old < 0) & (new < 0)
+        if fresh.any():
+            self._learn(different[fresh], [w.bytes[w.start[i] : w.end[i]].tobytes().decode("utf-8", "replace") for i in first[fresh].tolist()])
+            new = self.new.place(different)
+        mine = self.old.of(old[old >= 0])
+        added = self.new.of(new[old < 0])
+        # both parts' ids side by side; a word's are in the part that knows it
+        ids, start = np.concatenate([mine[0], added[0]]), np.empty(len(different), np.int64)
+        size = np.empty(len(different), np.int64)
+        start[old >= 0], size[old >= 0] = mine[1][:-1], np.diff(mine[1])
+        start[old < 0], size[old < 0] = len(mine[0]) + added[1][:-1], np.diff(added[1])
+        ends = np.concatenate([[0], np.cumsum(size[same])])
+        return ids[np.repeat(start[same] - ends[:-1], size[same]) + np.arange(ends[-1])], ends[w.first]
+
+
+@functools.cache
+def ids_by(path: str) -> Ids:
+    """A Python worker's next tasks go on with the words that it knows."""
+    return Ids(path)
 
 
 # ---------------------------------------------------------------- packing
@@ -214,7 +277,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), prompt: str
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, packer = Ids(tokenizer), Packer(limits)
+        ids_of, packer = ids_by(tokenizer), Packer(limits)
         base, turn, row = TaskContext.get().partitionId() << 40, 0, 0
         # by row: id, tokens, prompt's tokens; the tokens' numbers; pieces still to come
         held: dict[int, tuple[pa.Scalar, np.ndarray, int]] = {}

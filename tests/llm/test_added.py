@@ -132,10 +132,6 @@ def test_scores_past_64_bits(spark):
 # ---------------------------------------------------------------- packing
 
 
-def ids_of(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
-
-
 def checked(rows, got, limits, examples):
     """Every id in one piece, sequences without gaps and within the limits; returns padding and tokens. examples: by row (id, prompt, text)."""
     tokenizer = Tokenizer.from_file(PATH)
@@ -211,11 +207,18 @@ def test_dot_product_heuristic():
     assert sum(x[0] for x in first) == sum(x[1][0] for x in want) and first == [d for _, d in want]
 
 
-def test_memory_of_words_begins_anew(monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 40)
-    ids, r = packing.Ids(PATH), random.Random(1)
-    for _ in range(12):
-        texts = [" ".join(f"w{r.randrange(200)}" for _ in range(r.randrange(60))) for _ in range(3)]
-        raw = "".join(texts).encode()
-        got, first = ids.of(np.frombuffer(raw, np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts]))
-        assert [got[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [ids_of(t) for t in texts]
+def test_ids_from_words(monkeypatch):
+    """Texts of any characters, as the tokenizer itself has them; also with a memory that begins anew again and again."""
+    r = random.Random(1)
+    signs = [*"aZé ÷×İŉß0½٣.,;:!?'\"-_|<>=\u0301\u0307\u00a0\u2003\t\n”“你я", " ", " ", "'s", "'ll", "<|endoftext|>", "<|ENDOFTEXT|>", "...", "word", "Word", "İ,", "é.", "3.14", "\u0338"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randrange(60))) for _ in range(1500)] + [" ".join(f"w{r.randrange(300)}." for _ in range(50)) for _ in range(100)]
+    tokenizer = Tokenizer.from_file(PATH)
+    for memory in (1 << 20, 64):
+        monkeypatch.setattr(packing, "REMEMBERED", memory)
+        ids = packing.Ids(PATH)
+        for lo in range(0, len(texts), 20):
+            some = texts[lo : lo + 20]
+            raw = np.frombuffer("".join(some).encode(), np.uint8)
+            got, first = ids.of(raw, np.cumsum([0] + [len(t.encode()) for t in some]))
+            for t, a, b in zip(some, first[:-1], first[1:]):
+                assert got[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
