@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.functions.sizes import if_small
 from granary.functions.text import quota_bucket, source_label, word_count
+from granary.jobs.scratch import saved
 from granary.operators import chunking, fusion, maintenance, shaping
 from granary.sources import tables
+from granary.sources.postings import Postings
 
 
 def ingest(spark: SparkSession, pages: DataFrame, folder: str) -> int:
@@ -32,18 +35,35 @@ def ingest(spark: SparkSession, pages: DataFrame, folder: str) -> int:
 
 
 def search(
-    chunks: DataFrame, queries: DataFrame, top_k: int = 5, answer_context: int = 15, per_doc: int = 2, current_only: bool = True, diagrams_only: bool = False
+    chunks: DataFrame,
+    queries: DataFrame,
+    top_k: int = 5,
+    answer_context: int = 15,
+    per_doc: int = 2,
+    current_only: bool = True,
+    diagrams_only: bool = False,
+    mode: str = "hybrid",
+    stored: Postings | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(display, evidence) for queries (query_id, text, embedding): filtered, retrieved by terms and vectors, fused, stitched and
-    shaped twice.
+    """(display, evidence) for queries: filtered, retrieved, stitched and shaped twice.
 
+    mode "hybrid": by terms and vectors, fused; queries: query_id, text, embedding; stored: the chunks' postings, if there are any.
+    mode "late": by vectors, then by late interaction; queries: query_id, embedding, tokens (vectors), and chunks have tokens.
     chunks: id, text, embedding, is_current, has_diagram, doc_id, page, chunk_part, total_parts, content_md5; what else it has
     (spec_id, edition, filename, heading, diagram_paths) goes with the excerpts, for context.
+
+    The stitched hits are a table in the shared folder, so both shapes come of one search; of the chunks, only those found are joined.
     """
-    n = shaping.budgets(top_k, answer_context)
-    found = fusion.hybrid(chunks, queries, n["candidates"], n["hybrid_prefetch"], current_only, diagrams_only, "id")
-    hits = found.join(chunks.drop("embedding").withColumnRenamed("text", "content"), "id")
-    hits = shaping.stitch_parts(hits, ["query_id", "doc_id", "page"])
+    n, spark = shaping.budgets(top_k, answer_context), chunks.sparkSession
+    if mode == "late":
+        found = fusion.late(chunks, queries, n["rerank"], n["prefetch"], current_only, diagrams_only, "id")
+    elif mode == "hybrid":
+        found = fusion.hybrid(chunks, queries, n["candidates"], n["hybrid_prefetch"], current_only, diagrams_only, "id", stored)
+    else:
+        raise ValueError(f"no search mode {mode}")
+    found = saved(spark, found)
+    hits = if_small(found).join(chunks.drop("embedding", "tokens").withColumnRenamed("text", "content"), "id")
+    hits = saved(spark, shaping.stitch_parts(hits, ["query_id", "doc_id", "page"]))
     bucket = quota_bucket(F.col("content_md5"), F.col("doc_id").cast("string"), F.col("content"))
     return shaping.shape(hits, bucket, top_k, 1), shaping.shape(hits, bucket, answer_context, per_doc)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -20,3 +20,10 @@ def folder(spark: SparkSession) -> str:
     files.mkdirs(path)
     files.deleteOnExit(path)
     return f"{name}/rows"
+
+
+def saved(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df as a table of the job's folder, for what is read more than once."""
+    path = folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

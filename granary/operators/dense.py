@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.vectors import max_sim
+from granary.functions.sizes import if_small
 
 from .sparse import ranked
 
@@ -28,48 +28,97 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 25, id_: str = "vec_i
     rows = vectors.where(F.col("embedding").isNotNull() & finite).select(id_, "embedding")
     asked = queries.where(F.col("embedding").isNotNull() & finite).select("query_id", "embedding")
     schema = f"query_id {dict(queries.dtypes)['query_id']}, {id_} {dict(vectors.dtypes)[id_]}, score double"
-    local = asked.limit(most + 1).toPandas()
-    if len(local) <= most:
-        local = local.sort_values("query_id")
-        shared = vectors.sparkSession.sparkContext.broadcast((local["query_id"].to_numpy(), _units(local["embedding"])))
+    local = asked.limit(most + 1).toArrow()
+    if local.num_rows <= most:
+        shared = vectors.sparkSession.sparkContext.broadcast(local)
 
-        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                yield _best(*shared.value, f, k, id_)
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _best(shared.value, pa.Table.from_batches([batch]), k, id_).to_batches()
 
-        return ranked(rows.mapInPandas(best, schema), k, id_)
+        return ranked(rows.mapInArrow(best, schema), k, id_)
     blocks, parts = -(-asked.count() // most), -(-rows.count() // VECTORS)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
     place = lambda name, n: F.pmod(F.xxhash64(name), F.lit(max(1, n))).cast("int")
     left = asked.select("query_id", "embedding", place("query_id", blocks).alias("q"), every(parts).alias("v"))
     right = rows.select(id_, "embedding", place(id_, parts).alias("v"), every(blocks).alias("q"))
 
-    def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        return _best(q["query_id"].to_numpy(), _units(q["embedding"]), v, k, id_)
+    def meet(q: pa.Table, v: pa.Table) -> pa.Table:
+        return _best(q, v, k, id_)
 
-    return ranked(left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInPandas(meet, schema), k, id_)
+    return ranked(left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(meet, schema), k, id_)
 
 
-def _best(names: np.ndarray, q: np.ndarray, f: pd.DataFrame, k: int, id_: str) -> pd.DataFrame:
-    """The k best rows of f for each query; ties to the smaller id."""
-    if not len(f) or not len(names):
-        return pd.DataFrame({"query_id": [], id_: [], "score": []})
-    f = f.sort_values(id_)
-    scores = np.round(q @ _units(f["embedding"]).T, 6)
-    # ids ascend, so a stable order by score keeps the smaller of equals first
-    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    n = order.shape[1]
-    return pd.DataFrame({"query_id": np.repeat(names, n), id_: f[id_].to_numpy()[order.ravel()], "score": np.take_along_axis(scores, order, 1).ravel()})
+def _best(queries: pa.Table, vectors: pa.Table, k: int, id_: str) -> pa.Table:
+    """The k best of these vectors (id, embedding) for each query (query_id, embedding); ties to the smaller id."""
+    names, vectors = queries["query_id"].combine_chunks(), vectors.sort_by(id_)
+    query, at, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if len(queries) and len(vectors):
+        every = np.round(_units(queries["embedding"]) @ _units(vectors["embedding"]).T, 6)
+        # ids ascend, so a stable order by score keeps the smaller of equals first
+        order = np.argsort(-every, axis=1, kind="stable")[:, :k]
+        query, at, scores = np.repeat(np.arange(len(queries)), order.shape[1]), order.ravel(), np.take_along_axis(every, order, 1).ravel()
+    return pa.table({"query_id": names.take(pa.array(query)), id_: vectors[id_].take(pa.array(at)), "score": pa.array(scores)})
 
 
-def _units(vectors: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 1))
+def _units(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors, all of one length, as rows of length 1; zeros stay."""
+    out = column.combine_chunks()
+    if isinstance(out, pa.ChunkedArray):
+        out = out.chunk(0) if out.num_chunks else pa.array([], out.type)
+    m = out.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(out), -1) if len(out) else np.zeros((0, 1))
     size = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def rerank(pool: DataFrame, documents: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id") -> DataFrame:
-    """The k best of each query's pool (query_id, id) by late interaction. documents: id, tokens (vectors); queries:
-    query_id, tokens. Only the pool's documents have their vectors read into the join."""
-    both = pool.select("query_id", id_).join(documents, id_).join(queries.withColumnRenamed("tokens", "q_tokens"), "query_id")
-    return ranked(both.select("query_id", id_, F.round(max_sim(F.col("q_tokens"), F.col("tokens")), 6).alias("score")), k, id_)
+def rerank(pool: DataFrame, documents: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id", most: int = QUERIES) -> DataFrame:
+    """query_id, id, score, rank: the k best of each query's pool (query_id, id) by late interaction. documents: id, tokens (vectors);
+    queries: query_id, tokens. For each of a query's vectors the best product with one of the document's counts; documents
+    and queries without vectors, or with components that are null or not finite, take no part.
+
+    Of the documents only the pool's have their vectors read past the join, and a document's vectors are moved once, with the queries that
+    ask for it. Up to `most` queries' vectors go to all tasks; more are joined to the pool. Vectors are multiplied in Arrow batches.
+    """
+    finite = F.coalesce(F.size("tokens") > 0, F.lit(False)) & F.forall("tokens", lambda v: F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))))
+    own = lambda df, *names: df.where(finite).select(*names, F.transform("tokens", lambda v: F.transform(v, lambda x: x.cast("double"))).alias("tokens"))
+    queries, documents = own(queries, "query_id"), own(documents, id_)
+    asked = pool.select("query_id", id_).distinct()
+    local = queries.limit(most + 1).toArrow()
+    few = local.num_rows <= most
+    if few:
+        by_id = asked.groupBy(id_).agg(F.collect_list("query_id").alias("asked"))  # `most` at most
+        rows = documents.join(if_small(by_id), id_)
+    else:
+        rows = documents.join(if_small(asked), id_).join(queries.withColumnRenamed("tokens", "q_tokens"), "query_id")
+        rows = rows.select(F.array("query_id").alias("asked"), id_, "tokens", "q_tokens")
+    shared = pool.sparkSession.sparkContext.broadcast(dict(zip(local["query_id"].to_pylist(), _matrices(local["tokens"]), strict=True)) if few else None)
+    schema = f"query_id {dict(pool.dtypes)['query_id']}, {id_} {dict(documents.dtypes)[id_]}, score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
+            names, at, scores = [], [], []
+            aside = None if few else _matrices(of("q_tokens"))
+            for i, (who, document) in enumerate(zip(of("asked").to_pylist(), _matrices(of("tokens")), strict=True)):
+                for name in who:
+                    q = shared.value.get(name) if few else aside[i]
+                    if q is not None:
+                        names.append(name)
+                        at.append(i)
+                        scores.append(float((q @ document.T).max(axis=1).sum()))
+            kind = of("asked").type.value_type
+            yield pa.RecordBatch.from_arrays([pa.array(names, kind), of(id_).take(pa.array(at, pa.int64())), pa.array(np.round(np.array(scores, float), 6))], names=["query_id", id_, "score"])
+
+    return ranked(rows.mapInArrow(run, schema), k, id_)
+
+
+def _matrices(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """Each row's list of equally long vectors as a matrix."""
+    out = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(out, pa.ChunkedArray):
+        out = out.chunk(0) if out.num_chunks else pa.array([], out.type)
+    sizes = np.diff(out.offsets.to_numpy()) if len(out) else np.zeros(0, np.int64)
+    vectors = out.flatten()
+    lengths = np.diff(vectors.offsets.to_numpy()) if len(vectors) else np.zeros(0, np.int64)
+    values, rows, parts = vectors.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(lengths)])
+    return [values[parts[a] : parts[b]].reshape(b - a, -1) for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]

@@ -16,8 +16,10 @@ from granary.functions.text import token_id, tokens
 
 #: Terms (query and token) that tasks hold at once; beyond that, queries and documents meet by a shuffled join.
 TERMS = 200_000
-#: Documents and queries of a block that is scored by one product, and bytes of text that are cut into tokens at once.
+#: Documents and queries of a block that is scored at once, and bytes of text that are cut into tokens at once.
 BLOCK, QUERY_BLOCK, TEXT_BYTES = 512, 256, 1 << 22
+#: Tokens of a block's documents that are multiplied at once.
+TOKEN_BLOCK = 4096
 
 
 def postings(docs: DataFrame, id_: str = "doc_id", text: str = "text", key: str = "token_id") -> DataFrame:
@@ -54,7 +56,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 25, id_: str = "doc_id"
     """
     asked = postings(queries, "query_id").select("query_id", "token_id", F.col("tf").alias("q_tf"))
     local = asked.limit(terms + 1).toArrow()
-    return _by_blocks(docs, local, k, id_) if local.num_rows <= terms else _by_joins(docs, asked, k, id_)
+    return _by_blocks(docs, local, k, id_, dict(queries.dtypes)["query_id"]) if local.num_rows <= terms else _by_joins(docs, asked, k, id_)
 
 
 def _by_joins(docs: DataFrame, asked: DataFrame, k: int, id_: str) -> DataFrame:
@@ -89,9 +91,8 @@ def _crc_table() -> np.ndarray:
 _TABLE = _crc_table()
 
 
-def counts(texts: pa.Array, wanted: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of texts (lower-case), lo to hi: document (from lo), place in wanted (sorted token ids) and count of each token of
-    a document that is wanted."""
+def _tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of texts (lower-case), lo to hi: each token's document (from lo) and id."""
     texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -112,18 +113,32 @@ def counts(texts: pa.Array, wanted: np.ndarray) -> Iterator[tuple[int, int, np.n
             crc[left] = _TABLE[(crc[left] ^ part[at[left]]) & 0xFF] ^ (crc[left] >> np.uint32(8))
             at[left] += 1
             left = left[at[left] < end[left]]
-        ids = (~crc & np.uint32(0x7FFFFFFF)).astype(np.int64)
+        yield lo, hi, np.searchsorted(first, start, "right") - 1, (~crc & np.uint32(0x7FFFFFFF)).astype(np.int64)
+        lo = hi
+
+
+def token_counts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of texts (lower-case), from lo on: document (from lo), token id and count of each token id of a document."""
+    for lo, _, doc, ids in _tokens(texts):
+        pairs, n = np.unique(doc << 31 | ids, return_counts=True)
+        yield lo, pairs >> 31, pairs & 0x7FFFFFFF, n
+
+
+def counts(texts: pa.Array, wanted: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of texts (lower-case), lo to hi: document (from lo), place in wanted (sorted token ids) and count of each token of
+    a document that is wanted."""
+    for lo, hi, doc, ids in _tokens(texts):
         place = np.minimum(np.searchsorted(wanted, ids), max(0, len(wanted) - 1))
         hit = wanted[place] == ids if len(wanted) else np.zeros(len(ids), bool)
-        doc = np.searchsorted(first, start[hit], "right") - 1
-        pairs, n = np.unique(doc * max(1, len(wanted)) + place[hit], return_counts=True)
+        pairs, n = np.unique(doc[hit] * max(1, len(wanted)) + place[hit], return_counts=True)
         yield lo, hi, pairs // max(1, len(wanted)), pairs % max(1, len(wanted)), n
-        lo = hi
 
 
-def _by_blocks(docs: DataFrame, asked: pa.Table, k: int, id_: str) -> DataFrame:
+def _by_blocks(docs: DataFrame, asked: pa.Table, k: int, id_: str, query_kind: str) -> DataFrame:
     """Two passes over the documents: document frequencies of the wanted tokens, then scores."""
-    queries, query = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
+    names = asked["query_id"].combine_chunks().dictionary_encode()
+    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+    queries, query = names.dictionary, names.indices.to_numpy().astype(np.int64)
     wanted, place = np.unique(asked["token_id"].to_numpy().astype(np.int64), return_inverse=True)
     lowered, spark = docs.select(id_, F.lower("text").alias("text")), docs.sparkSession
     to_tasks = spark.sparkContext.broadcast(wanted)
@@ -142,7 +157,7 @@ def _by_blocks(docs: DataFrame, asked: pa.Table, k: int, id_: str) -> DataFrame:
     n = df.pop(-1, 0)
     many = np.array([df.get(i, 0) for i in range(len(wanted))], float)
     weight = asked["q_tf"].to_numpy() * np.log(1 + (n - many + 0.5) / (many + 0.5))[place]
-    shared = spark.sparkContext.broadcast(Terms(wanted, query, place, weight, pa.array(queries)))
+    shared = spark.sparkContext.broadcast(Terms(wanted, query, place, weight, queries))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
@@ -167,9 +182,11 @@ def _by_blocks(docs: DataFrame, asked: pa.Table, k: int, id_: str) -> DataFrame:
         scores = np.zeros((n, weights.shape[1]))
         for lo in range(0, n, BLOCK):
             a, b = np.searchsorted(d, [lo, lo + BLOCK])
-            block = np.zeros((min(BLOCK, n - lo), len(used)))
-            block[d[a:b] - lo, at[a:b]] = f[a:b]
-            scores[lo : lo + BLOCK] = block @ weights
+            for col in range(0, len(used), TOKEN_BLOCK):  # long queries have many tokens
+                some = (at[a:b] >= col) & (at[a:b] < col + TOKEN_BLOCK)
+                block = np.zeros((min(BLOCK, n - lo), min(TOKEN_BLOCK, len(used) - col)))
+                block[d[a:b][some] - lo, at[a:b][some] - col] = f[a:b][some]
+                scores[lo : lo + BLOCK] += block @ weights[col : col + TOKEN_BLOCK]
         scores, chosen = np.round(scores, 6), []
         for i in range(weights.shape[1]):
             s = scores[:, i]
@@ -181,4 +198,4 @@ def _by_blocks(docs: DataFrame, asked: pa.Table, k: int, id_: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([t.queries.take(pa.array(q + of)), ids.take(pa.array(at)), pa.array(scores[at, of])], names=["query_id", id_, "score"])
 
     kind = dict(docs.dtypes)[id_]
-    return ranked(lowered.mapInArrow(best, f"query_id long, {id_} {kind}, score double"), k, id_)
+    return ranked(lowered.mapInArrow(best, f"query_id {query_kind}, {id_} {kind}, score double"), k, id_)

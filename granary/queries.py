@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import identity, text, vectors
+from granary.functions.sizes import if_small
 from granary.jobs import api
-from granary.jobs.scratch import folder
+from granary.jobs.scratch import folder, saved
 from granary.operators import audit, chunking, dense, evaluate, fusion, graph, maintenance, shaping, sparse
 from granary.sources import tables
+from granary.sources.postings import Postings
 from granary.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,21 +195,56 @@ def cover_disagreements(spark, sf_dir):
 
 # ---------------------------------------------------------------- retrieval
 
-_SPARSE = """SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
- SELECT query_id, p.doc_id, round(sum(q_tf * tf * ln(1 + (n - df + 0.5) / (df + 0.5))), 6) AS score
- FROM (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY ALL) p
- JOIN (SELECT query_id, token, count(*) AS q_tf FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM (SELECT item_id AS query_id, text FROM benchmark)) GROUP BY ALL) q USING (token)
- JOIN (SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY token) f USING (token), (SELECT count(*) AS n FROM documents) c
- GROUP BY ALL) QUALIFY rank <= {0}"""
+#: CRC-32 of a token by its table, 31 bits.
+_TOKEN_ID = """(SELECT token, xor(4294967295, list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substring(x, 2 * i + 1, 2))::BIGINT), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8), 4294967295::BIGINT)) & 2147483647 AS id
+ FROM (SELECT DISTINCT token, hex(encode(token)) AS x FROM {0}), (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END, i)) AS t))"""
+_SPARSE = f"""(WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents), q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark),
+ ids AS MATERIALIZED {_TOKEN_ID.format("(SELECT token FROM d UNION ALL SELECT token FROM q)")}, p AS (SELECT doc_id, id, count(*) AS tf FROM d JOIN ids USING (token) GROUP BY ALL), f AS (SELECT id, count(*) AS df FROM p GROUP BY id)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+ SELECT query_id, doc_id, round(sum(q_tf * tf * ln(1 + (n - df + 0.5) / (df + 0.5))), 6) AS score
+ FROM p JOIN (SELECT query_id, id, count(*) AS q_tf FROM q JOIN ids USING (token) GROUP BY ALL) USING (id) JOIN f USING (id), (SELECT count(*) AS n FROM documents) GROUP BY ALL) QUALIFY rank <= {{0}})"""
 
 
 def sparse_sql(k: int, documents: str = "documents") -> str:
     return _SPARSE.format(k).replace("FROM documents", f"FROM {documents}")
 
 
+_stores: dict[tuple, Postings] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Postings:
+    """The documents' postings, by the marks that searches filter by. They are written once for the tables' files as they are, so
+    all searches of a session read one store; ingest would write them with the documents."""
+    files = []
+    for name in ("documents", "labels"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files += [(x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(path)]
+    key = (spark.sparkContext.applicationId, *files)
+    if key not in _stores:
+        store = Postings(spark, folder(spark), "doc_id", ("is_current", "has_diagram"))
+        store.append(marked(spark, sf_dir))
+        _stores[key] = store
+    return _stores[key]
+
+
 @query(sparse_sql(25))
 def sparse_search(spark, sf_dir):
-    return sparse.search(t(spark, sf_dir, "documents"), asked(spark, sf_dir), 25)
+    return stored(spark, sf_dir).search(asked(spark, sf_dir), 25)
+
+
+@query(sparse_sql(10))
+def sparse_scan(spark, sf_dir):
+    """The same without stored postings, in two passes over the texts."""
+    return sparse.search(t(spark, sf_dir, "documents"), asked(spark, sf_dir), 10)
+
+
+@query(f"SELECT id AS token_id, count(*) AS postings, sum(tf)::BIGINT AS occurrences FROM (SELECT doc_id, id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) JOIN {_TOKEN_ID.format("(SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents)")} USING (token) GROUP BY ALL) GROUP BY id")
+def stored_postings(spark, sf_dir):
+    """What the store holds of each token, over all of its blocks."""
+    rows = stored(spark, sf_dir).rows().where("range >= 0")
+    tf = F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.groupBy("token_id").agg(F.sum("n").alias("postings"), F.sum(tf).alias("occurrences"))
 
 
 _DENSE = """SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
@@ -231,12 +268,16 @@ def dense_search(spark, sf_dir):
 _MAY = "(SELECT * FROM documents LEFT JOIN (SELECT doc_id, quality FROM labels) USING (doc_id) WHERE coalesce(quality, 1) <> 0{0})"
 
 
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their marks."""
+    marks = t(spark, sf_dir, "labels").select("doc_id", (F.col("quality") != 0).alias("is_current"))
+    return t(spark, sf_dir, "documents").withColumn("has_diagram", F.col("doc_id") % 5 == 0).join(marks, "doc_id", "left")
+
+
 def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their marks and vectors (null where there is none)."""
-    marks = t(spark, sf_dir, "labels").select("doc_id", (F.col("quality") != 0).alias("is_current"))
     dense_ = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    docs = t(spark, sf_dir, "documents").withColumn("has_diagram", F.col("doc_id") % 5 == 0)
-    return docs.join(marks, "doc_id", "left").join(dense_, "doc_id", "left")
+    return marked(spark, sf_dir).join(dense_, "doc_id", "left")
 
 
 def asked_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,12 +297,12 @@ def hybrid_sql(k: int, prefetch: int, more: str = "") -> str:
 
 @query(hybrid_sql(30, 100))
 def hybrid_fusion(spark, sf_dir):
-    return fusion.hybrid(searchable(spark, sf_dir), asked_twice(spark, sf_dir), 30, 100)
+    return fusion.hybrid(searchable(spark, sf_dir), asked_twice(spark, sf_dir), 30, 100, stored=stored(spark, sf_dir))
 
 
 @query(hybrid_sql(10, 40, " AND doc_id % 5 = 0"))
 def hybrid_with_diagrams(spark, sf_dir):
-    return fusion.hybrid(searchable(spark, sf_dir), asked_twice(spark, sf_dir), 10, 40, diagrams_only=True)
+    return fusion.hybrid(searchable(spark, sf_dir), asked_twice(spark, sf_dir), 10, 40, diagrams_only=True, stored=stored(spark, sf_dir))
 
 
 _LATE = """WITH d AS (SELECT vec_id // 4 AS doc_id, list(embedding::DOUBLE[] ORDER BY vec_id) AS v FROM embeddings GROUP BY ALL),
@@ -358,12 +399,12 @@ def shaped_sql(keep: int, per_doc: int) -> str:
 
 
 def _shaped(spark: SparkSession, sf_dir: str, keep: int, per_doc: int) -> DataFrame:
-    """Hits take their document's print and head along, not its text."""
-    docs = t(spark, sf_dir, "documents")
+    """Hits take their document's print and head along, not its text; only documents that were found get a print."""
+    hits = saved(spark, stored(spark, sf_dir).search(asked(spark, sf_dir), 100))
+    docs = t(spark, sf_dir, "documents").join(if_small(hits.select("doc_id").distinct()), "doc_id", "left_semi")
     known = docs.select("doc_id", "source", text.fingerprint(F.col("text")).alias("print"), F.substring("text", 1, 40).alias("head"))
-    hits = sparse.search(docs, asked(spark, sf_dir), 100).join(known, "doc_id")
     bucket = text.quota_bucket(F.lit(""), F.col("source"), F.col("head"))
-    return shaping.shape(hits, bucket, keep, per_doc, text="print").select("query_id", "doc_id", "rank")
+    return shaping.shape(hits.join(known, "doc_id"), bucket, keep, per_doc, text="print").select("query_id", "doc_id", "rank")
 
 
 @query(shaped_sql(5, 1))
@@ -391,7 +432,14 @@ _EVIDENCE_ROWS = f"""SELECT query_id, doc_id AS id, rank, source, text, lang, ro
 
 
 def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.search(chunks_to_search(spark, sf_dir), asked_twice(spark, sf_dir))[1]
+    return searched(spark, sf_dir)[1]
+
+
+def searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A store of chunks has their ids; here they are the documents'."""
+    store = stored(spark, sf_dir)
+    by_chunk = Postings(spark, store.folder, "id", tuple(store.by))
+    return api.search(chunks_to_search(spark, sf_dir), asked_twice(spark, sf_dir), stored=by_chunk)
 
 
 @query(f"SELECT query_id, id, rank FROM ({_EVIDENCE_ROWS})")
@@ -401,7 +449,7 @@ def search_evidence(spark, sf_dir):
 
 @query(f"SELECT query_id, id, rank FROM ({_EVIDENCE_ROWS})".replace("n <= 2", "n <= 1").replace("i <= 15", "i <= 5"))
 def search_display(spark, sf_dir):
-    return api.search(chunks_to_search(spark, sf_dir), asked_twice(spark, sf_dir))[0].select("query_id", "id", "rank")
+    return searched(spark, sf_dir)[0].select("query_id", "id", "rank")
 
 
 @query(f"""SELECT query_id, md5(string_agg('--- [Source ' || i || '] ' || concat_ws(' ', CASE WHEN id % 3 <> 0 THEN 'MEC ' || id ELSE source END, CASE WHEN id % 4 = 0 THEN 'V1.1.1' END, 'p.' || id)
@@ -415,6 +463,27 @@ def answer_counts(spark, sf_dir):
     return api.answer_counts(evidence_rows(spark, sf_dir))
 
 
+_LATE_ROWS = f"""WITH v AS (SELECT vec_id, list(embedding::DOUBLE[]) OVER (ORDER BY vec_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS tokens, embedding FROM embeddings),
+may AS (SELECT v.*, d.source, d.text FROM v JOIN {_MAY.format("")} d ON d.doc_id = v.vec_id),
+pool AS (SELECT q.vec_id AS query_id, m.vec_id AS id, q.tokens AS q, m.tokens AS d, source, text FROM v q, may m WHERE q.vec_id % 50 = 0
+ QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], m.embedding::DOUBLE[]), 6) DESC, m.vec_id) <= 45),
+s AS (SELECT *, round(list_sum(list_transform(q, lambda x: list_max(list_transform(d, lambda y: list_inner_product(x, y))))), 6) AS score FROM pool),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id, md5({_FP}) ORDER BY rank) AS k FROM r WHERE rank <= 45) WHERE k = 1) WHERE n <= 2
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 15"""
+
+
+@query(_LATE_ROWS)
+def late_search(spark, sf_dir):
+    """The job's search by late interaction, filtered on both levels. A vector and the two behind it stand in for token vectors."""
+    e = t(spark, sf_dir, "embeddings")
+    ahead = e.select(F.explode(F.array(*(F.col("vec_id") - i for i in range(3)))).alias("id"), "vec_id", "embedding")
+    tokens = ahead.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("tokens"))
+    queries_ = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding").join(tokens, F.col("query_id") == F.col("id")).drop("id")
+    chunks = chunks_to_search(spark, sf_dir).join(tokens, "id", "left")
+    return api.search(chunks, queries_, mode="late")[1].select("query_id", "id", "rank")
+
+
 # ---------------------------------------------------------------- maintenance
 
 
@@ -602,7 +671,8 @@ def evidence_check(spark, sf_dir):
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t(spark, sf_dir, "documents")
     one, both = sparse_search(spark, sf_dir), hybrid_fusion(spark, sf_dir)
-    hits = one.withColumn("path", F.lit("sparse")).unionByName(both.withColumn("path", F.lit("hybrid")))
+    hits = saved(spark, one.withColumn("path", F.lit("sparse")).unionByName(both.withColumn("path", F.lit("hybrid"))))
+    docs = docs.join(if_small(hits.select("doc_id").distinct()), "doc_id", "left_semi")
     return hits.join(docs.select("doc_id", F.col("lang").alias("doc"), "text"), "doc_id").select(F.col("query_id").alias("id"), "path", "rank", "doc", "text")
 
 
@@ -655,7 +725,7 @@ def cited_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     c = t(spark, sf_dir, "conversations")
     answers = c.where("turn = 0").select(F.col("conv_id").cast("string").alias("answer_id"), F.expr(f"concat(text, {_CITE_TAIL})").alias("answer"))
     excerpts = c.where("turn > 0").select(
-        F.col("conv_id").cast("string").alias("answer_id"), F.expr("concat('MEC ', cast(conv_id % 9 + 1 AS STRING))").alias("spec_id"), F.lit("V1.1.1").alias("edition"), F.col("turn").cast("int").alias("page")
+        F.col("conv_id").cast("string").alias("answer_id"), F.expr("concat('MEC-', lpad(cast(conv_id % 9 + 1 AS STRING), 3, '0'))").alias("spec_id"), F.lit("V1.1.1").alias("edition"), F.col("turn").cast("int").alias("page")
     )
     return answers, excerpts
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from granary.functions import identity, text
 from granary.jobs import api
 from granary.operators import audit, chunking, dense, evaluate, fusion, maintenance, shaping, sparse
-from granary.sources import tables
+from granary.sources import postings, tables
 from granary.streaming import monitor
 
 
@@ -248,6 +249,54 @@ def test_more_queries_than_go_to_all_tasks(spark):
     assert dense.top_k(chunks.limit(0), queries, 5, "id").collect() == [] == dense.top_k(chunks, queries.limit(0), 5, "id").collect()
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "int"])
+def test_stored_postings(spark, tmp_path, monkeypatch, kind):
+    """Ids of any type, blocks of few documents, appends, a filter with nulls, and a batch whose job has not ended."""
+    monkeypatch.setattr(postings, "BLOCK", 5)
+    chunks = corpus(spark).select(F.col("id").cast(kind).alias("id"), "text", "is_current", "has_diagram")
+    queries = spark.createDataFrame([(i, f"beta{i} alpha{i % 4} words common common") for i in range(9)] + [(50, ""), (51, None), (52, "absent")], "query_id long, text string")
+    queries = queries.select(F.col("query_id").cast(kind).alias("query_id"), "text")
+    store = postings.Postings(spark, str(tmp_path / "store"), "id", ("is_current", "has_diagram"))
+    store.append(chunks.where("cast(id AS INT) < 15"))
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    store.append(chunks.where("cast(id AS INT) >= 15").unionByName(chunks.limit(0)))
+    after = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    assert before.items() <= after.items() and len(after) > len(before)  # an append leaves what is there alone
+    (tmp_path / "store" / "batch=2" / "range=0").mkdir(parents=True)  # a job that was stopped: no _SUCCESS
+    for where in (None, maintenance.search_filter(), maintenance.search_filter(True, True), maintenance.search_filter(False, True)):
+        want = sorted(map(tuple, sparse.search(chunks if where is None else chunks.where(where), queries, 4, "id").collect()))
+        for terms in (sparse.TERMS, 3):
+            got = store.search(queries, 4, where, terms)
+            assert sorted(map(tuple, got.collect())) == want and got.columns == ["query_id", "id", "score", "rank"] and dict(got.dtypes)["query_id"] == dict(queries.dtypes)["query_id"]
+    plan = store.of_tokens(np.array([7, 1 << 30]))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [range" in plan and "(-1,0,16)" in plan and "PushedFilters: [In(token_id" in plan
+    assert store.search(queries.limit(0), 4).collect() == []
+    with pytest.raises(ValueError):
+        postings.Postings(spark, str(tmp_path / "none"), "id").search(queries)
+
+
+def test_late_interaction(spark):
+    """Both levels are filtered, documents without token vectors drop out, and more queries than go to all tasks give the same."""
+    r = np.random.default_rng(3)
+    docs = [(i, r.normal(size=4).tolist() if i % 11 else None, [r.normal(size=4).tolist() for _ in range(i % 4)] if i % 7 else None, None if i % 3 else i % 2 == 0, i % 2 == 0) for i in range(60)]
+    docs += [(100, [1.0] * 4, [[float("inf")] * 4], None, True), (101, [1.0] * 4, [[None] * 4], None, True)]
+    asked = [(f"q{i}", r.normal(size=4).tolist(), [r.normal(size=4).tolist() for _ in range(3)] if i != 2 else []) for i in range(5)]
+    d = spark.createDataFrame(docs, "id long, embedding array<double>, tokens array<array<double>>, is_current boolean, has_diagram boolean")
+    q = spark.createDataFrame(asked, "query_id string, embedding array<double>, tokens array<array<double>>")
+    cosine = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 6)
+    want = set()
+    for name, e, tokens in asked:
+        pool = sorted((-cosine(e, x[1]), x[0]) for x in docs if x[1] and x[3] is not False and x[4])[:12]
+        by = {x[0]: x[2] for x in docs}
+        scores = [(-round(sum(max(float(np.dot(a, b)) for b in by[i]) for a in tokens), 6), i) for _, i in pool if by[i] and i < 100] if tokens else []
+        want |= {(name, i, -s, n + 1) for n, (s, i) in enumerate(sorted(scores)[:6])}
+    got = fusion.late(d, q, 6, 12, True, True, "id")
+    assert set(map(tuple, got.collect())) == want and len(want) > 12
+    pool = dense.top_k(d.where(maintenance.search_filter(True, True)), q, 12, "id")
+    assert set(map(tuple, dense.rerank(pool, d, q, 6, "id", most=2).collect())) == want
+    assert fusion.late(d.limit(0), q, 6, 12, id_="id").collect() == [] == fusion.late(d, q.limit(0), 6, 12, id_="id").collect()
+
+
 def test_tokens_by_bytes():
     texts = ["the cat. the dog42 \u00e9a the", "", "a" * 40 + "\u00e9x", None, "cat the\u2003CAT"]
     wanted = {zlib.crc32(w.encode()) & 0x7FFFFFFF: w for w in ("the", "cat", "dog42", "x", "a", "a" * 40)}
