@@ -21,6 +21,7 @@ _CODE = rf"\b{SERIES}(?:[ -]?DEC)?[ -]?\d{{3}}(?:[ -]?\d{{1,2}}\b)?"
 _PAGE = r"\b(?:(pp?)\s*\.?\s*|pages?\s+)(\d{1,4})(?:\s*-\s*(\d{1,4}))?"
 _EDITION = r"\b[Vv](\d+(?:\.\d+){1,3})\b"
 _SPAN = "struct<value:string,start:int,end:int>"
+SPANS = f"struct<codes:array<{_SPAN}>,editions:array<{_SPAN}>,pages:array<struct<cited:array<int>,short:boolean,start:int,end:int>>>"
 
 
 def cites_of(text: str, names: Sequence[str]) -> dict[str, list[dict]]:
@@ -39,7 +40,7 @@ def cites_of(text: str, names: Sequence[str]) -> dict[str, list[dict]]:
 def _cites(text: Column, names: Column) -> Column:
     """cites_of as a column."""
 
-    @F.pandas_udf(f"struct<codes:array<{_SPAN}>,editions:array<{_SPAN}>,pages:array<struct<cited:array<int>,short:boolean,start:int,end:int>>>")
+    @F.pandas_udf(SPANS)
     def cites(texts: pd.Series, names: pd.Series) -> pd.DataFrame:
         rows = [cites_of(t or "", [n for n in (x if x is not None else []) if n]) for t, x in zip(texts, names, strict=True)]
         return pd.DataFrame(rows, columns=["codes", "editions", "pages"])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,14 +105,76 @@ def missing(known: DataFrame, indexed: DataFrame, key: str) -> DataFrame:
 
 def match_catalog(paths: DataFrame, catalog: DataFrame) -> DataFrame:
     """path, code: the first catalog entry (position, code, pattern, repository, title) that a path matches, by its pattern,
-    else its repository's name, else two words of its title of over three letters. The catalog is a small table by design;
-    its size is checked before it goes to all executors."""
-    p, r = F.lower("path"), F.lower("repository")
-    title = F.filter(F.split(F.lower("title"), " "), lambda w: F.length(w) > 3)
-    hits = F.size(F.filter(title, lambda w: F.contains(p, w)))
-    how = F.when(F.regexp(p, F.col("pattern")), 0).when(F.contains(p, r) & (r != ""), 1).when(hits >= 2, 2)
-    both = paths.join(if_small(catalog, 1000), how.isNotNull(), "inner")
-    return elect(both, ["path"], ["position"]).select("path", "code")
+    or its repository's name, or two words of its title of over three letters; a word that a title repeats counts as often.
+
+    Names and words are an inverted index: each path's parts of the lengths that they have meet them in an equal join, and hits
+    are counted by path and entry. So neither a large catalog nor a path is looked through. Patterns can't be indexed: the entries that have
+    one (not null, not empty) are tried on each path; a catalog without patterns has no such step.
+    """
+    word = F.explode(F.filter(F.split(F.lower("title"), " "), lambda w: F.length(w) > 3)).alias("_part")
+    words = catalog.select("position", word).groupBy("position", "_part").agg(F.count("*").alias("_hits"))
+    names = catalog.where(F.coalesce("repository", F.lit("")) != "").select("position", F.lower("repository").alias("_part"), F.lit(2).cast("long").alias("_hits"))
+    index = words.union(names)
+    lengths = sorted(r[0] for r in index.select(F.length("_part")).distinct().collect())  # a few numbers
+    codes = catalog.select("position", "code")
+    p = F.lower("path")
+    parts = F.array(*(F.lit(n) for n in lengths)) if lengths else F.array().cast("array<int>")
+    cut = F.flatten(F.transform(F.filter(parts, lambda n: n <= F.length(p)), lambda n: F.transform(F.sequence(F.lit(1), F.length(p) - n + 1), lambda i: F.substring(p, i, n))))
+    pieces = paths.select("path").distinct().select("path", F.explode(F.array_distinct(cut)).alias("_part"))
+    met = pieces.join(index, "_part").groupBy("path", "position").agg(F.sum("_hits").alias("_hits")).where("_hits >= 2").select("path", "position")
+    patterns = catalog.where(F.coalesce("pattern", F.lit("")) != "").select("position", "pattern")
+    if not patterns.isEmpty():
+        met = met.union(paths.select("path").distinct().join(if_small(patterns, 1000), F.regexp(p, F.col("pattern"))).select("path", "position"))
+    first = met.groupBy("path").agg(F.min("position").alias("position"))
+    return first.join(codes, "position").select("path", "code")
+
+
+def merge_tiles(boxes: DataFrame, by: list[str], near: float = 5.0) -> DataFrame:
+    """by, x0, y0, x1, y1, tiles of the groups of two boxes or more. Boxes (by, x0, y0, x1, y1) of a page are taken from top to
+    bottom, then from left to right; each that meets the last group's box when grown by `near` on all sides joins it, and any
+    other opens the next group. Boxes that share only an edge don't meet, nor does a box without area.
+
+    The rows are sorted by page and place within their partitions and swept once: a task holds one group's box, not a page.
+    Rows without all four numbers take no part.
+    """
+    sides = ["x0", "y0", "x1", "y1"]
+    rows = boxes.select(*by, *(F.col(c).cast("double") for c in sides)).dropna(subset=sides)
+    out = rows.withColumn("tiles", F.lit(0).cast("long")).schema
+    n = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    swept = rows.repartition(n, *by).sortWithinPartitions(*by, "y0", "x0", "y1", "x1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, group, tiles = None, None, 0
+
+        def flush(done: list) -> None:
+            if tiles > 1:
+                done.append((*page, *group, tiles))
+
+        def given(done: list, schema: pa.Schema) -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) if done else [()] * (len(by) + 5)
+            kinds = [*(schema.field(c).type for c in by), *[pa.float64()] * 4, pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*by, *sides, "tiles"])
+
+        schema = None
+        for batch in batches:
+            done, schema = [], batch.schema
+            keys = zip(*(batch.column(schema.get_field_index(c)).to_pylist() for c in by), strict=True)
+            places = zip(*(batch.column(schema.get_field_index(c)).to_pylist() for c in sides), strict=True)
+            for key, (x0, y0, x1, y1) in zip(keys, places, strict=True):
+                meets = page == key and max(x0 - near, group[0]) < min(x1 + near, group[2]) and max(y0 - near, group[1]) < min(y1 + near, group[3])
+                if meets and group[0] < group[2] and group[1] < group[3]:
+                    group = (min(x0, group[0]), min(y0, group[1]), max(x1, group[2]), max(y1, group[3]))
+                    tiles += 1
+                else:
+                    flush(done)
+                    page, group, tiles = key, (x0, y0, x1, y1), 1
+            yield given(done, schema)
+        if schema is not None:
+            done = []
+            flush(done)
+            yield given(done, schema)
+
+    return swept.mapInArrow(run, out)
 
 
 def keep_images(images: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions import identity, text, vectors
+from granary.functions import identity, session, text, vectors
 from granary.functions.sizes import if_small
 from granary.jobs import api
 from granary.jobs.scratch import folder, saved
@@ -368,6 +368,20 @@ def chunked_rows(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.md5(F.array_join(ordered, "\n")).alias("rows"))
 
 
+@query(_sql["chunked_rows"])
+def chunked_rows_by_sql(spark, sf_dir):
+    """The same in SQL: pages meet the table function laterally."""
+    session.register(spark)
+    pages = sentence_pages(spark, sf_dir)
+    return spark.sql(
+        r"""WITH c AS (SELECT p.doc_id, c.text FROM {pages} p, LATERAL chunk_page(p.text) c WHERE contains(c.text, '| no | sentence |\n|---|---|\n| ')),
+        r AS (SELECT doc_id, explode(split(substring_index(text, '| no | sentence |\n|---|---|\n', -1), '\n')) AS row FROM c),
+        k AS (SELECT doc_id, cast(regexp_extract(row, '^\\| ([0-9]+) \\|', 1) AS INT) AS k, row FROM r)
+        SELECT doc_id, count(*) AS n_rows, md5(array_join(transform(array_sort(collect_list(struct(k, row))), x -> x.row), '\n')) AS rows FROM k GROUP BY doc_id""",
+        pages=pages,
+    )
+
+
 @query(r"""SELECT doc_id, CASE WHEN len(w) > 300 THEN ceil(len(w) / 260.0) ELSE 1 END::INT AS stitched_parts, md5(array_to_string(w, ' ') || CASE WHEN len(w) > 300 AND len(w) % 260 = 1 THEN ' ' || w[-1] ELSE '' END) AS words FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents) WHERE len(w) > 0""")
 def stitched_windows(spark, sf_dir):
     """Windows put together again give the words they were cut from (and a last window of one word, which is never trimmed)."""
@@ -567,6 +581,36 @@ def number_gaps(spark, sf_dir):
     return maintenance.gaps(t(spark, sf_dir, "documents").select("source", F.expr("doc_id div 10").alias("doc_id")), "doc_id", "source")
 
 
+@query("""WITH RECURSIVE b AS (SELECT l_suppkey AS page, (l_partkey % 400)::DOUBLE AS x0, (l_orderkey % 900)::DOUBLE AS y0, x0 + l_quantity AS x1, y0 + l_linenumber * 4.0 AS y1 FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, x0, y1, x1) AS i FROM b),
+s AS (SELECT page, i, x0, y0, x1, y1, 1 AS g, 1 AS tiles FROM n WHERE i = 1 UNION ALL
+ SELECT n.page, n.i, CASE WHEN m THEN least(s.x0, n.x0) ELSE n.x0 END, CASE WHEN m THEN least(s.y0, n.y0) ELSE n.y0 END, CASE WHEN m THEN greatest(s.x1, n.x1) ELSE n.x1 END, CASE WHEN m THEN greatest(s.y1, n.y1) ELSE n.y1 END, CASE WHEN m THEN s.g ELSE s.g + 1 END, CASE WHEN m THEN s.tiles + 1 ELSE 1 END
+ FROM s JOIN n ON n.page = s.page AND n.i = s.i + 1, LATERAL (SELECT greatest(n.x0 - 5, s.x0) < least(n.x1 + 5, s.x1) AND greatest(n.y0 - 5, s.y0) < least(n.y1 + 5, s.y1) AS m) t)
+SELECT page, x0, y0, x1, y1, tiles::BIGINT AS tiles FROM s QUALIFY row_number() OVER (PARTITION BY page, g ORDER BY i DESC) = 1 AND tiles > 1""")
+def merged_tiles(spark, sf_dir):
+    """Boxes from the numbers of the line items, a page a supplier."""
+    boxes = t(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS page", "double(l_partkey % 400) AS x0", "double(l_orderkey % 900) AS y0", "l_quantity", "l_linenumber")
+    return maintenance.merge_tiles(boxes.withColumns({"x1": F.col("x0") + F.col("l_quantity"), "y1": F.col("y0") + F.col("l_linenumber") * 4.0}), ["page"])
+
+
+_TITLES = "lower(concat(p_name, ' ', p_type))"
+
+
+@query(f"""WITH w AS (SELECT p_partkey, unnest(list_filter(string_split({_TITLES}, ' '), lambda w: length(w) > 3)) AS w FROM part), c AS (SELECT p_partkey, w, count(*) AS n FROM w GROUP BY ALL),
+s AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[^ ]+')[1:12])) AS x FROM documents), paths AS (SELECT doc_id, lower(concat(substr(text, 1, 40), ' ', (SELECT string_agg(p_name, '/' ORDER BY p_partkey) FROM part WHERE p_partkey IN (doc_id % 190 + 1, doc_id % 7 + 1)))) AS path FROM documents),
+hits AS (SELECT doc_id, p_partkey, sum(n) AS n FROM paths JOIN c ON contains(path, w) GROUP BY ALL HAVING sum(n) >= 2)
+SELECT path, 'part ' || min(p_partkey) AS code FROM hits JOIN paths USING (doc_id) GROUP BY path""".replace("s AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[^ ]+')[1:12])) AS x FROM documents), ", ""))
+def catalog_of_parts(spark, sf_dir):
+    """The parts as a catalog of titles; paths hold a document's first characters and two parts' names. No patterns, so equal joins only."""
+    parts = t(spark, sf_dir, "part")
+    catalog = parts.select(F.col("p_partkey").alias("position"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("code"), F.lit(None).cast("string").alias("pattern"), F.lit("").alias("repository"), F.concat_ws(" ", "p_name", "p_type").alias("title"))
+    i = F.col("doc_id")
+    both = t(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("head"), F.explode(F.array_distinct(F.array(i % 190 + 1, i % 7 + 1))).alias("p_partkey"))
+    named = both.join(parts.select("p_partkey", "p_name"), "p_partkey").groupBy("doc_id", "head").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("p"))
+    paths = named.select(F.lower(F.concat("head", F.lit(" "), F.array_join(F.transform("p", lambda x: x["p_name"]), "/"))).alias("path"))
+    return maintenance.match_catalog(paths, catalog)
+
+
 @query("SELECT source, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_report(spark, sf_dir):
     return maintenance.missing(t(spark, sf_dir, "documents").select("source", "doc_id"), t(spark, sf_dir, "labels"), "doc_id")
@@ -604,6 +648,18 @@ def upserted_rows(spark, sf_dir):
     return tables.without(merged, d.where("doc_id % 7 = 2 AND doc_id % 3 <> 0"), ["doc_id"])
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 5 THEN 'xx' ELSE lang END AS lang, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM documents WHERE doc_id % 7 <> 2 OR doc_id % 3 = 0""")
+def keyed_table(spark, sf_dir):
+    """A table in the shared folder, changed by an upsert, a delete and a payload update, each of the folders that hold its keys only."""
+    d = t(spark, sf_dir, "documents").select("doc_id", "lang")
+    table = tables.Keyed(spark, folder(spark), ["doc_id"], 16)
+    table.create(d.where("doc_id % 2 = 0 OR doc_id % 3 <> 0").withColumn("state", F.lit("old")))
+    table.upsert(d.where("doc_id % 3 = 0").withColumn("state", F.lit("new")))
+    table.delete(d.where("doc_id % 7 = 2 AND doc_id % 3 <> 0"))
+    table.update(d.where("doc_id % 11 = 5").select("doc_id", F.lit("xx").alias("lang")))
+    return table.read()
+
+
 @query("""SELECT d.doc_id AS id, CASE WHEN s % 2 = 0 THEN 'MEC ' || s ELSE source END AS spec_id, CASE WHEN s % 2 = 0 THEN 'V1.1.1' END AS edition, coalesce(s % 3 <> 0 OR s % 4 = 1, true) AS is_current
  FROM (SELECT doc_id, source, regexp_replace(source, '\\D', '', 'g')::INT AS s FROM documents) d""")
 def stamped_chunks(spark, sf_dir):
@@ -765,6 +821,16 @@ def citation_verdicts(spark, sf_dir):
     return audit.verdicts(*cited_answers(spark, sf_dir))
 
 
+@query(f"SELECT answer_id, count(*) AS pages, min(first) AS first, bool_or(code <> '') AS coded FROM {_CITED} GROUP BY answer_id")
+def cites_by_sql(spark, sf_dir):
+    """Pages that answers cite, by the registered function in SQL."""
+    session.register(spark)
+    return spark.sql(
+        "SELECT answer_id, count(*) AS pages, min(p.cited[0]) AS first, bool_or(size(s.codes) > 0) AS coded FROM (SELECT answer_id, s, explode(s.pages) AS p FROM (SELECT answer_id, cite_spans(answer, array()) AS s FROM {answers})) GROUP BY answer_id",
+        answers=cited_answers(spark, sf_dir)[0],
+    )
+
+
 @query(f"SELECT answer_id, spec AS code, list_sort(pages)::INT[] AS pages, ['V1.1.1'] AS editions FROM {_GIVEN}")
 def excerpt_pages(spark, sf_dir):
     pages = audit.excerpt_pages(cited_answers(spark, sf_dir)[1])
@@ -776,19 +842,19 @@ _UP = "SELECT user_id, event_id, value FROM (SELECT *, max(value) OVER (PARTITIO
 
 @query(_UP)
 def version_increases(spark, sf_dir):
-    return monitor.increases(t(spark, sf_dir, "events"), "user_id", F.col("value"), ["event_id"]).select("user_id", "event_id", "value")
+    return monitor.increases(t(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", F.col("value"), ["event_id"])
 
 
 @query(_UP)
 def version_increases_stream(spark, sf_dir):
-    """The same by a stream over the table's files, in a state that grows with the users only."""
+    """The same by a stream over the table's files, whose state is a row a user."""
     schema = t(spark, sf_dir, "events").schema
     path = f"{sf_dir}/events.parquet"
     source = spark.readStream.schema(schema)
     events = source.parquet(path) if _is_folder(spark, path) else source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out = folder(spark)
-    monitor.start(monitor.watch(events, "user_id", "value", "event_id"), f"{out}/rows", f"{out}/state").awaitTermination()
-    return spark.read.schema("user_id long, value double, event_id long").parquet(f"{out}/rows")
+    watch = monitor.Monitor(spark, folder(spark), "user_id", ["value"], "event_id")
+    watch.start(events).awaitTermination()
+    return watch.found("user_id long, value double, event_id long")
 
 
 @query("""SELECT source, major, minor, patch, doc_id FROM (SELECT *, {a: major, b: minor, c: patch} AS v, max({a: major, b: minor, c: patch}) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m
@@ -799,10 +865,10 @@ def release_stream(spark, sf_dir):
     source = spark.readStream.schema(t(spark, sf_dir, "documents").schema)
     docs = source.parquet(path) if _is_folder(spark, path) else source.option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     i = F.col("doc_id")
-    seen = docs.where("source IS NOT NULL").select("source", (i % 5).alias("major"), (i % 13).alias("minor"), (i % 3).alias("patch"), "doc_id")
-    out, kinds = folder(spark), "source string, major double, minor double, patch double, doc_id long"
-    monitor.start(monitor.watch(seen, "source", ["major", "minor", "patch"], "doc_id"), f"{out}/rows", f"{out}/state").awaitTermination()
-    return spark.read.schema(kinds).parquet(f"{out}/rows")
+    seen = docs.where("source IS NOT NULL").select("source", *(x.cast("double").alias(name) for name, x in (("major", i % 5), ("minor", i % 13), ("patch", i % 3))), "doc_id")
+    watch = monitor.Monitor(spark, folder(spark), "source", ["major", "minor", "patch"], "doc_id")
+    watch.start(seen).awaitTermination()
+    return watch.found("source string, major double, minor double, patch double, doc_id long")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

@@ -7,7 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from granary.functions import identity, text
+from granary.functions import identity, session, text
 from granary.jobs import api
 from granary.operators import audit, chunking, dense, evaluate, fusion, maintenance, shaping, sparse
 from granary.sources import postings, tables
@@ -312,14 +312,63 @@ def test_evidence_of_short_and_long_keywords(spark):
     assert {r["id"]: r["evidence"] for r in evaluate.evidence(golden, docs).collect()} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
 
 
-def test_manifest_and_ingest(spark, tmp_path):
+def test_manifest_of_a_stopped_job(spark, tmp_path):
+    """Whatever step a writer stops at, readers have the version before; of two writers of one version the later fails."""
     path = str(tmp_path / "manifest")
-    for k in (1, 2):
-        tables.write_manifest(spark.createDataFrame([(f"MEC-{k}", "u")] * k, "spec_id string, url string"), path)
+    rows = lambda *ids: spark.createDataFrame([(x, "u") for x in ids], "spec_id string, url string")
+    assert tables.read_manifest(spark, path).collect() == [] and tables.Manifest(spark, path).read()[0] == -1
+    for k in range(6):
+        assert tables.write_manifest(rows(*(f"S-{i}" for i in range(k))), path) == k
         assert tables.read_manifest(spark, path).count() == k
-    (tmp_path / "broken").mkdir()
-    (tmp_path / "broken" / "part.json").write_text('not json\n{"spec_id": "MEC-3", "url": "u"}\n')
-    assert [tuple(r) for r in tables.read_manifest(spark, str(tmp_path / "broken")).collect()] == [("MEC-3", "u")]
+
+    class Stops(tables.Manifest):
+        def _put(self, aside, there):
+            raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        Stops(spark, path).write(rows("lost"))
+    (tmp_path / "manifest" / "rows" / "000000000006-half").mkdir()  # rows without a commit
+    assert tables.read_manifest(spark, path).count() == 5
+    slow, fast = tables.Manifest(spark, path), tables.Manifest(spark, path)
+    put = slow._put
+    slow._put = lambda aside, there: (fast.write(rows("fast")), put(aside, there))
+    with pytest.raises(Exception, match="exist"):
+        slow.write(rows("slow"))
+    assert [r["spec_id"] for r in tables.read_manifest(spark, path).collect()] == ["fast"]
+    last = sorted(p for p in (tmp_path / "manifest" / "rows").iterdir() if p.name.startswith("000000000006") and "half" not in p.name)
+    assert len(last) == 3 and len(list((tmp_path / "manifest" / "commits").glob("[0-9]*"))) == 3  # older ones are gone
+    whole = tables.Manifest(spark, path).write(tables.read_manifest(spark, path).union(rows("more")), "note")
+    broken = next((tmp_path / "manifest" / "rows").glob(f"{whole:012d}-*"))
+    (broken / "part-x.json").write_text('not json\n{"spec_id": "S-9", "url": "u"}\n')
+    number, found, note = tables.Manifest(spark, path).read()
+    assert (number, note, sorted(r["spec_id"] for r in found.collect())) == (7, "note", ["S-9", "fast", "more"])
+
+
+def test_keyed_table_changes_only_what_is_touched(spark, tmp_path):
+    table = tables.Keyed(spark, str(tmp_path / "t"), ["k"], 8)
+    table.create(spark.range(200).selectExpr("id AS k", "'a' AS v"))
+    files = lambda: {str(p.relative_to(tmp_path)): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    folders = lambda names: {n.split("/")[1] for n in names}
+    want = {i: "a" for i in range(200)}
+    for change, rows, apply in (
+        (table.upsert, [(3, "b"), (500, "c")], lambda: want.update({3: "b", 500: "c"})),
+        (table.update, [(7, "d"), (999, "e")], lambda: want.update({7: "d"})),
+        (table.delete, [(11, ""), (12345, "")], lambda: want.pop(11)),
+    ):
+        before = files()
+        assert 1 <= change(spark.createDataFrame(rows, "k long, v string")) <= 2
+        apply()
+        after = files()
+        same = set(before.items()) & set(after.items())
+        assert len(folders(before)) - len(folders(n for n, _ in same)) <= 2 and len(same) >= 6  # untouched files keep their names
+        assert {r["k"]: r["v"] for r in table.read().collect()} == want
+    bucket = sorted(folders(files()))[0].split("=")[1]
+    gone = spark.read.parquet(table.folder).where(f"_bucket = {bucket}")
+    assert table.delete(gone) == 1 and f"_bucket={bucket}" not in folders(files())  # a folder that has no rows left
+    assert table.delete(spark.createDataFrame([], "k long")) == 0 and 0 < table.read().count() < 199
+
+
+def test_ingest(spark, tmp_path):
     pages = spark.createDataFrame([("a", 1, " ".join(words(700)), "m1"), ("b", 1, "same content as a by digest", "m1"), ("c", 1, "other", "m2")], "doc_id string, page int, text string, content_md5 string")
     folder = str(tmp_path / "chunks")
     assert api.ingest(spark, pages, folder) == 4 and api.ingest(spark, pages, folder) == 0
@@ -341,6 +390,51 @@ def test_images_are_pruned(spark):
     assert got == {("d", 1): "x  ![b](i/2.png)", ("e", 1): "![a](i/1.png)", ("d", None): None}
 
 
+def test_stream_of_versions(spark, tmp_path):
+    """Several batches, nulls as in the batch operator, a restart, and a batch that is run again at either step."""
+    rows = [("k", i, float((i * 7) % 23), i % 3) for i in range(60)] + [("n", 1, None, 1), ("n", 2, 5.0, None), ("n", 3, 5.0, 1), ("n", 4, float("nan"), 9), ("n", 5, 4.0, 1), ("n", 6, 6.0, 0), (None, 1, 1.0, 1), (None, 2, 0.0, 1), (None, 3, 2.0, 1)]
+    schema, found = "key string, at int, major double, minor int", "key string, major double, minor int, at int"
+    source, path = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+
+    def run(upto):
+        for i, lo in enumerate(range(0, upto, 23)):
+            if not (source / f"{i}.parquet").exists():
+                spark.createDataFrame(rows[lo : lo + 23], schema).coalesce(1).write.parquet(str(tmp_path / f"w{i}"))
+                next((tmp_path / f"w{i}").glob("*.parquet")).rename(source / f"{i}.parquet")
+        watch = monitor.Monitor(spark, path, "key", ["major", "minor"], "at")
+        watch.start(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))).awaitTermination()
+        return watch
+
+    rows_of = lambda df: sorted((str(r["key"]), r["at"], r["major"], r["minor"]) for r in df.collect())
+    empty = monitor.Monitor(spark, str(tmp_path / "none"), "key", ["major", "minor"], "at")
+    assert empty.found(found).collect() == []
+    run(23)
+    watch = run(len(rows))  # a restart goes on where it stopped
+    want = rows_of(monitor.increases(spark.createDataFrame(rows, schema), "key", F.struct("major", "minor"), ["at"]))
+    assert rows_of(watch.found(found)) == want and ("n", 3, 5.0, 1) in want and ("n", 6, 6.0, 0) in want and len([x for x in want if x[0] == "n"]) == 2
+    kinds = {"key": "string", "major": "double", "minor": "int"}
+    number, known, note = watch._versions(kinds).read()
+    last = spark.createDataFrame(rows[46:], schema)
+    watch.take(last, int(note))  # the manifest has this batch: nothing changes
+    assert watch._versions(kinds).read()[0] == number and rows_of(watch.found(found)) == want
+    more = spark.createDataFrame([("k", 99, 50.0, 0)], schema)
+    written = tables.Manifest.write
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    tables.Manifest.write = stop
+    try:
+        with pytest.raises(RuntimeError):
+            watch.take(more, int(note) + 1)  # stops between the rows and the manifest
+    finally:
+        tables.Manifest.write = written
+    watch.take(more, int(note) + 1)
+    assert rows_of(watch.found(found)) == sorted([*want, ("k", 99, 50.0, 0)])
+    assert {r["key"]: tuple(r["version"]) for r in watch._versions(kinds).read()[1].collect()} == {"k": (50.0, 0), "n": (6.0, 0), None: (2.0, 1)}
+
+
 def test_increases_of_versions(spark):
     rows = [("k", i, (i * 7) % 11, i % 3) for i in range(200)] + [("z", 1, 0, 0), (None, 1, 5, 5), (None, 2, 5, 4), (None, 3, 5, 6)]
     e = spark.createDataFrame(rows, "key string, at int, major int, minor int")
@@ -351,3 +445,59 @@ def test_increases_of_versions(spark):
             best[k] = v
             want.add((k, at))
     assert got == want
+
+
+def test_merged_tiles(spark):
+    """Against a plain sweep; boxes that touch by an edge, empty boxes, nulls, and a page of very many boxes."""
+    import random
+
+    r = random.Random(8)
+    boxes = [(f"p{i % 7}", *(lambda x, y: (x, y, x + r.choice([0, 3, 20, 60]), y + r.choice([2, 15, 40])))(r.randrange(500), r.randrange(700))) for i in range(600)]
+    boxes += [("edge", 0, 0, 10, 10), ("edge", 15, 0, 20, 10), ("grown", 0, 0, 10, 10), ("grown", 14, 0, 20, 10), ("flat", 0, 0, 0, 10), ("flat", 1, 1, 9, 9), ("null", 0, 0, None, 5), ("null", 0, 0, 5, 5), (None, 0, 0, 9, 9), (None, 1, 1, 3, 3)]
+    want = []
+    for page in {b[0] for b in boxes}:
+        groups = []
+        for x0, y0, x1, y1 in sorted((b[1:] for b in boxes if b[0] == page and None not in b[1:]), key=lambda b: (b[1], b[0], b[3], b[2])):
+            g = groups[-1] if groups else None
+            if g and max(x0 - 5, g[0]) < min(x1 + 5, g[2]) and max(y0 - 5, g[1]) < min(y1 + 5, g[3]) and g[0] < g[2] and g[1] < g[3]:
+                groups[-1] = (min(x0, g[0]), min(y0, g[1]), max(x1, g[2]), max(y1, g[3]), g[4] + 1)
+            else:
+                groups.append((x0, y0, x1, y1, 1))
+        want += [(str(page), *map(float, g[:4]), g[4]) for g in groups if g[4] > 1]
+    df = spark.createDataFrame(boxes, "page string, x0 int, y0 int, x1 int, y1 int")
+    got = maintenance.merge_tiles(df, ["page"])
+    assert sorted((str(r["page"]), *tuple(r)[1:]) for r in got.collect()) == sorted(want)
+    assert {w[0] for w in want} & {"edge", "grown", "flat", "null", "None"} == {"grown", "None"} and maintenance.merge_tiles(df.limit(0), ["page"]).collect() == []
+    strip = spark.range(50_000).selectExpr("1 AS page", "0 AS x0", "id * 3 AS y0", "100 AS x1", "id * 3 + 2 AS y1")
+    assert [tuple(r) for r in maintenance.merge_tiles(strip, ["page"]).collect()] == [(1, 0.0, 0.0, 100.0, 149999.0, 50_000)]
+
+
+def test_catalog_matches(spark):
+    catalog = [(5, "five", None, "Atlas", "nothing here"), (2, "two", "", "", "Edge edge Services"), (9, "nine", r"/v\d+/", "zzz", None), (1, "one", None, None, "Mobile Network Roaming Guide"), (7, "seven", None, "", "abc de the"), (3, "three", None, "", "roaming guide")]
+    paths = {"docs/ROAMING-guide.pdf": "one", "x/atlas-core": "five", "edges": "two", "the/abc": None, "a/v12/atlas": "five", "a/v3/b": "nine", "network": None, "mobilenetworks": "one", "": None}
+    c = spark.createDataFrame(catalog, "position int, code string, pattern string, repository string, title string")
+    p = spark.createDataFrame([(x,) for x in [*paths, None, "edges"]], "path string")
+    assert {r["path"]: r["code"] for r in maintenance.match_catalog(p, c).collect()} == {k: v for k, v in paths.items() if v}
+    assert maintenance.match_catalog(p, c.limit(0)).collect() == [] == maintenance.match_catalog(p.limit(0), c).collect()
+    large = spark.range(100_000).selectExpr("id AS position", "concat('c', id) AS code", "string(null) AS pattern", "concat('repo', id) AS repository", "concat('word', id, ' term', id % 5000) AS title")
+    some = spark.createDataFrame([("src/repo77777/x",), ("word123-term123",), ("term4 only",)], "path string")
+    found = maintenance.match_catalog(some, large)
+    # names and words are parts of longer ones
+    assert {r["path"]: r["code"] for r in found.collect()} == {"src/repo77777/x": "c7", "word123-term123": "c1"}
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+
+
+def test_functions_in_sql(spark):
+    session.register(spark)
+    spark.createDataFrame([("a", TABLE), ("b", None), ("c", " ".join(words(700)))], "doc_id string, text string").createOrReplaceTempView("sql_pages")
+    got = spark.sql("SELECT p.doc_id, c.* FROM sql_pages p, LATERAL chunk_page(p.text) c")
+    want = chunking.chunk_pages(spark.table("sql_pages"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == want.columns
+    small = spark.sql("SELECT p.doc_id, c.* FROM sql_pages p, LATERAL chunk_page(p.text, max_words => 100, overlap => 10) c")
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, chunking.chunk_pages(spark.table("sql_pages"), max_words=100, overlap=10).collect())) and small.count() > got.count()
+    for wrong in ("chunk_page(1)", "chunk_page('x', most => 3)", "chunk_page('x', max_words => 'y')"):
+        with pytest.raises(Exception, match="chunk_page|max_words"):
+            spark.sql(f"SELECT * FROM {wrong}").collect()
+    spans = spark.sql("SELECT cite_spans('MEC 211 V5.0.2 p. 31, deck pp 4-5', array('Deck')) AS s").first()["s"]
+    assert [c["value"] for c in spans["codes"]] == ["MEC 211", "deck"] and [p["cited"] for p in spans["pages"]] == [[31], [4, 5]] and spans["editions"][0]["start"] == 8
+    assert spark.sql("SELECT size(cite_spans(CAST(null AS STRING), null).pages) AS n").first()["n"] == 0
