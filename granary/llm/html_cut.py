@@ -45,6 +45,8 @@ BOILER = LAYOUT | frozenset(
     "cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended recommendations pagination pager widget rail copyright legal disclaimer alert skip tags paywall trending hidden".split()
 )
+#: Those of BOILER that count against an article, too: readers' comments, adverts, and teasers of other articles.
+AGAINST = frozenset("comment comments disqus replies reply respond ad ads advert adverts advertisement sponsor sponsored promo promotion related recommended recommendations trending".split())
 CONTENT = frozenset("article articles content post posts entry entries story stories main body text prose news".split())
 #: Parts that say nothing. A name is boilerplate if its parts are BOILER and these; with others it is a hint only.
 PLAIN = CONTENT | frozenset(
@@ -109,6 +111,12 @@ def _kind_of(name: str) -> str:
     return "hint" if parts - BOILER - PLAIN else "layout" if boiler <= LAYOUT else "ad"
 
 
+def against(attributes: str) -> bool:
+    """Whether an article's names say that it is no part of the page's text."""
+    names = [x for key, value in _NAMES.findall(attributes) if key.lower() in ("class", "id") for x in unescape(value.strip("\"'")).split()]
+    return named(attributes)[0] == "ad" and any(_kind_of(x) == "ad" and {p.lower() for p in _PART.findall(x)} & AGAINST for x in names)
+
+
 class Block:
     """text, words, linked (share of its letters in links), tag, parent and depth in the tree, root (number of the content element
     around it, 0 for none), boiler (inside boilerplate), around (evidence of what stands around it)."""
@@ -133,6 +141,8 @@ def blocks_of(html: str) -> tuple[list[Block], dict[int, str]]:
     stack = [_Open("", 0, None)]
     out: list[Block] = []
     roots: dict[int, str] = {}
+    articles: set[int] = set()
+    written: set[int] = set()  # content elements that have text of their own besides headings
     text: list[str] = []
     linked = count = at = 0
     in_link = False
@@ -149,6 +159,8 @@ def blocks_of(html: str) -> tuple[list[Block], dict[int, str]]:
                 b.boiler = top.boiler or top.layout <= IN_BOILER
                 b.around = IN_BOILER * top.boiler + top.layout + max(IN_HINT, top.hint)
                 out.append(b)
+                if not b.boiler and b.tag not in _HEADINGS:
+                    written.add(b.root)
             text.clear()
         linked = 0
 
@@ -185,11 +197,16 @@ def blocks_of(html: str) -> tuple[list[Block], dict[int, str]]:
             count += 1
             new = _Open(tag, count, stack[-1])
             kind, hidden = named(m["more"]) if m["more"] and tag not in ("html", "body") else ("", False)
-            if tag in CONTENT_TAGS and not hidden:
+            # an article inside another that has text, or with such a name, is a reader's comment, or leads to another page
+            if tag == "article" and (new.root in articles and new.root in written or kind == "ad" and against(m["more"])):
+                new.boiler = True
+            elif tag in CONTENT_TAGS and not hidden:
                 # what an article's own names say doesn't count against it
                 if new.root and roots[new.root] == "element":
                     roots[new.root] = "named"
                 roots[count], new.root, new.layout, new.hint = "element", count, 0.0, 0.0
+                if tag == "article":
+                    articles.add(count)
             elif tag in BOILER_TAGS or kind == "ad":
                 new.boiler = True
             elif kind == "layout":
@@ -208,9 +225,16 @@ def blocks_of(html: str) -> tuple[list[Block], dict[int, str]]:
     if at < len(html):
         text.append(html[at:])
     flush()
+    for i, b in enumerate(out[:-1]):
+        # a heading over nothing but boilerplate of its own article, such as the comments', goes with it
+        if b.tag in _HEADINGS and b.tag != "h1" and b.root in written and not b.boiler and out[i + 1].boiler and out[i + 1].root == b.root:
+            after = next((x for x in out[i + 1 :] if not x.boiler), None)
+            if after is None or after.root != b.root or after.tag in _HEADINGS and after.tag <= b.tag:
+                b.boiler, b.around = True, IN_BOILER
     return out, roots
 
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 _ENDS = re.compile(r"[.!?…:;][\"'”’»)\]]*$")
 

@@ -347,6 +347,15 @@ PAGES = [
     ("<article>" + "<p>Of.</p>" * 200 + "</article>", " ".join(["Of."] * 200)),
     (f'<ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul><div>{P}<p>So be it.</p>{P}</div><div>© 2020 Someone</div>', f"{PLAIN_P} So be it. {PLAIN_P}"),
     (f'<article>{P}<div class="ad-slot">' + "Buy this now, it is the best of all things that there are. " * 9 + f'</div>{P}<section id="comments">{P * 9}</section></article>', f"{PLAIN_P} {PLAIN_P}"),
+    # readers' comments as articles: inside the article, behind it, without any name, and what is like them but isn't
+    (f'<article><h1>Top</h1>{P}<section><h2>Comments</h2><article class="comment">{P}</article><article id="comment-2">{P}</article></section></article>', f"Top {PLAIN_P}"),
+    (f'<article><h1>Top</h1>{P}</article><article class="comment">{P}</article><article class="comment-body depth">{P}</article>'.replace(" depth", ""), f"Top {PLAIN_P}"),
+    (f"<article><h1>Top</h1>{P}<h3>Readers say</h3><article>{P}<p>{PLAIN_P}</p></article></article>", f"Top {PLAIN_P}"),
+    (f'<article class="wrap"><article class="post"><h1>Top</h1>{P}</article></article>', f"Top {PLAIN_P}"),
+    (f'<article><h1>Top</h1><article>{P}</article></article>', f"Top {PLAIN_P}"),
+    (f'<article class="post comments-open"><h1>Top</h1>{P}<h2>Next</h2><aside>{P}</aside>{P}</article>', f"Top {PLAIN_P} Next {PLAIN_P}"),
+    (f'<main>{P}<article class="related">{P}</article></main>', PLAIN_P),
+    (f'<article class="share">{P}</article>', PLAIN_P),
     (f"<main><div class=share>Share this</div><article><header><h1>Top</h1></header>{P}</article></main><aside>{P}</aside>", f"Top {PLAIN_P}"),
 ]
 
