@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a block; a task holds one block of queries, one of candidates and their scores (QUERY_STEP queries at a time). All pairs
-#: of blocks meet, so queries times candidates / QUERY_ROWS + queries times candidates / CANDIDATE_ROWS rows are moved.
-CANDIDATE_ROWS, QUERY_ROWS, QUERY_STEP = 32_768, 16_384, 32
+#: Rows of a block; a task holds one block of queries and one of candidates. All pairs of blocks meet, so queries times candidates /
+#: QUERY_ROWS + queries times candidates / CANDIDATE_ROWS rows are moved.
+CANDIDATE_ROWS, QUERY_ROWS = 16_384, 8_192
+#: Queries and candidates whose scores are held at once: an array that stays in a core's cache.
+QUERY_STEP, CANDIDATE_STEP = 16, 4_096
 
 
 def quantised(vector: Column) -> Column:
@@ -29,55 +31,79 @@ def finite(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & F.forall(vector, ok), F.lit(False))
 
 
-def accumulate(queries: list[np.ndarray], candidates: list[np.ndarray]) -> np.ndarray:
-    """Scores (query, candidate): for each component that a query has, its weight times that component's postings."""
-    lengths = np.fromiter(map(len, candidates), np.int64, len(candidates))
-    dim = int(lengths.max(initial=0))
-    terms = np.concatenate([np.arange(x) for x in lengths]) if len(lengths) else np.zeros(0, np.int64)
-    weights = np.concatenate(candidates).astype(np.int64) if len(candidates) else np.zeros(0, np.int64)
-    rows = np.repeat(np.arange(len(candidates)), lengths)
-    used = weights != 0
-    terms, weights, rows = terms[used], weights[used], rows[used]
-    order = np.argsort(terms, kind="stable")
-    bounds = np.searchsorted(terms[order], np.arange(dim + 1))
-    rows, weights = rows[order], weights[order]
-    by_term = np.zeros((len(queries), dim), np.int64)
-    for i, q in enumerate(queries):
-        by_term[i, : min(dim, len(q))] = q[:dim]
-    scores = np.zeros((len(queries), len(candidates)), np.int64)
-    for t in range(dim):
-        some = np.flatnonzero(by_term[:, t])
-        lo, hi = bounds[t], bounds[t + 1]
-        if not len(some) or lo == hi:
-            continue
-        if hi - lo == len(candidates):  # every candidate has the component
-            scores[some] += by_term[some, t, None] * weights[lo:hi]
-        else:
-            scores[np.ix_(some, rows[lo:hi])] += by_term[some, t, None] * weights[lo:hi]
-    return scores
+class Postings:
+    """Of some candidates, for each component the candidates that have it (not zero), in order, and its weights."""
+
+    def __init__(self, candidates: list[np.ndarray]):
+        lengths = np.fromiter(map(len, candidates), np.int64, len(candidates))
+        self.n, self.dim = len(candidates), int(lengths.max(initial=0))
+        terms = np.concatenate([np.arange(x) for x in lengths]) if self.n else np.zeros(0, np.int64)
+        weights = np.concatenate(candidates).astype(np.int64) if self.n else np.zeros(0, np.int64)
+        rows = np.repeat(np.arange(self.n), lengths)
+        used = weights != 0
+        terms, weights, rows = terms[used], weights[used], rows[used]
+        order = np.argsort(terms, kind="stable")
+        self.bounds = np.searchsorted(terms[order], np.arange(self.dim + 1))
+        self.rows, self.weights = rows[order], weights[order]
+        #: A component that a quarter of the candidates have is written out, with zeros.
+        self.whole: dict[int, np.ndarray] = {}
+        for t in np.flatnonzero(4 * np.diff(self.bounds) >= max(1, self.n)).tolist():
+            at = slice(self.bounds[t], self.bounds[t + 1])
+            self.whole[t] = np.zeros(self.n, np.int64)
+            self.whole[t][self.rows[at]] = self.weights[at]
+
+    def add(self, queries: np.ndarray, scores: np.ndarray) -> None:
+        """Adds to scores (query, candidate), for each component that a query has, its weight times that component's postings.
+        queries: weights (query, component)."""
+        product = np.empty_like(scores)
+        for t in range(self.dim):
+            some, lo, hi = np.flatnonzero(queries[:, t]), self.bounds[t], self.bounds[t + 1]
+            if not len(some) or lo == hi:
+                continue
+            if t in self.whole:
+                np.multiply(queries[:, t, None], self.whole[t], out=product)
+                scores += product
+            else:
+                scores[np.ix_(some, self.rows[lo:hi])] += queries[some, t, None] * self.weights[lo:hi]
 
 
 def best_of_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Each query's k best candidates of this block; ties to the smaller id, as often as the id is there."""
+    """Each query's k best candidates of this block; ties to the smaller id, as often as the id is there. The postings are built once,
+    for steps of candidates; all queries are then scored against them, a few at a time."""
     candidates = candidates.sort_values("vec_id", kind="stable")
     ids, vectors = candidates["vec_id"].to_numpy(np.int64), list(candidates["vector"])
-    out = []
+    steps = [(lo, Postings(vectors[lo : lo + CANDIDATE_STEP])) for lo in range(0, len(vectors), CANDIDATE_STEP)]
+    dim = max((p.dim for _, p in steps), default=0)
+    owns, whole = queries["vec_id"].to_numpy(np.int64), list(queries["vector"])
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for lo in range(0, len(queries), QUERY_STEP):
-        part = queries.iloc[lo : lo + QUERY_STEP]
-        own = part["vec_id"].to_numpy(np.int64)
-        scores = accumulate(list(part["vector"]), vectors)
-        for i, s in enumerate(scores):
-            there = np.flatnonzero(ids != own[i])
-            s = s[there]
-            if len(s) > k:  # all above the k-th score, then of those with it the first by id
-                least = np.partition(s, len(s) - k)[len(s) - k]
-                above = np.flatnonzero(s > least)
-                level = np.flatnonzero(s == least)[: k - len(above)]
-                at = np.concatenate([above, level])
-            else:
-                at = np.arange(len(s))
-            out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[there[at]], "score": s[at]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        own, part = owns[lo : lo + QUERY_STEP], whole[lo : lo + QUERY_STEP]
+        weights = np.zeros((len(own), dim), np.int64)
+        for i, q in enumerate(part):
+            weights[i, : min(dim, len(q))] = q[:dim]
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(own)
+        for at, p in steps:
+            scores = np.zeros((len(own), p.n), np.int64)
+            p.add(weights, scores)
+            for i, s in enumerate(scores):
+                there = np.flatnonzero(ids[at : at + p.n] != own[i]) if own[i] in ids[at : at + p.n] else None
+                s = s if there is None else s[there]
+                place = _best(s, k)
+                kept = np.concatenate([best[i][1], s[place]]), np.concatenate([best[i][0], at + (place if there is None else there[place])])
+                first = _best(kept[0], k)  # places stay in order, so ties go to the smaller id
+                best[i] = kept[1][first], kept[0][first]
+        found += [(np.full(len(place), own[i]), ids[place], s) for i, (place, s) in enumerate(best)]
+    columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+
+
+def _best(s: np.ndarray, k: int) -> np.ndarray:
+    """Places, in order, of the k greatest; of equals the first."""
+    if len(s) <= k:
+        return np.arange(len(s))
+    least = np.partition(s, len(s) - k)[len(s) - k]
+    above = np.flatnonzero(s > least)
+    return np.sort(np.concatenate([above, np.flatnonzero(s == least)[: k - len(above)]]))
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
