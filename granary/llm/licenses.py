@@ -159,7 +159,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def scan_sql() -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, with the same known texts and hints."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
 
     def form(x: str) -> str:
@@ -169,8 +169,8 @@ def scan_sql() -> str:
         return f"trim(regexp_replace({x}, {q(_GAP)}, ' ', 'g'))"
 
     sha = lambda x: f"CASE WHEN {form(x)} <> '' THEN sha256({form(x)}) END"
-    values = ", ".join(f"({q(a)}, {q(b)})" for a, b in TEXTS)
-    hint = lambda x: " OR ".join(f"contains(lower({x}), {q(h)})" for h in HINTS)
+    values = ", ".join(f"({q(a)}, {q(b)})" for a, b in [*TEXTS, *whole_texts()])
+    hint = lambda x: " OR ".join(f"contains(lower({x}), {q(h)})" for h in MORE_HINTS)
     return f"""
     WITH known AS (SELECT {sha("body")} AS license_digest, min(license) AS license FROM (VALUES {values}) v(license, body) GROUP BY 1),
     rows_ AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

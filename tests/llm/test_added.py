@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from granary.llm import collocations, packing, variants
+from granary.llm import collocations, licenses, packing, variants
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [(None, None, None), (7, None, "en"), (8, "", "en"), (8, " \t\n", None), (None, "...", "de")]
@@ -222,3 +222,16 @@ def test_ids_from_words(monkeypatch):
             got, first = ids.of(raw, np.cumsum([0] + [len(t.encode()) for t in some]))
             for t, a, b in zip(some, first[:-1], first[1:]):
                 assert got[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_license_sql_knows_whole_texts(spark, duck):
+    """The SQL and the query agree on documents that are whole licences, among others."""
+    texts = [t for _, t in licenses.whole_texts()] + [t for _, t in licenses.TEXTS] + ["Copyright (c) 2031 Somebody\n" + t for _, t in licenses.whole_texts()[:3]] + ["nothing of it", "", None]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    got = licenses.scan(documents(spark, rows)).collect()
+    con = duck.cursor()
+    con.execute("CREATE OR REPLACE TEMP TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    want = con.sql(licenses.scan_sql()).fetchall()
+    assert sorted((r["doc_id"], r["digest"], r["license"], r["notices"], r["notice_lines"]) for r in got) == sorted(want)
+    assert sum(r["license"] is not None for r in got) >= len(texts) - 4
