@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import identity, session, text
 from granary.jobs import api
-from granary.operators import audit, chunking, dense, evaluate, fusion, maintenance, shaping, sparse
+from granary.operators import audit, chunking, dense, evaluate, fusion, graph, maintenance, shaping, sparse
 from granary.sources import postings, tables
 from granary.streaming import monitor
 
@@ -501,3 +501,30 @@ def test_functions_in_sql(spark):
     spans = spark.sql("SELECT cite_spans('MEC 211 V5.0.2 p. 31, deck pp 4-5', array('Deck')) AS s").first()["s"]
     assert [c["value"] for c in spans["codes"]] == ["MEC 211", "deck"] and [p["cited"] for p in spans["pages"]] == [[31], [4, 5]] and spans["editions"][0]["start"] == 8
     assert spark.sql("SELECT size(cite_spans(CAST(null AS STRING), null).pages) AS n").first()["n"] == 0
+
+
+def test_edges_of_near_documents(spark, monkeypatch):
+    """As by brute force; blocks that can't reach the threshold don't meet; ids of any type, and vectors that take no part."""
+    monkeypatch.setattr(graph, "BLOCK", 8)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(12, 6)) * 4
+    rows = [(f"d{d:02}", d * 100 + i, (centres[d // 2] + r.normal(size=6)).tolist()) for d in range(24) for i in range(2 + d % 9)]
+    odd = [("d00", 9001, None), ("d01", 9002, [float("nan")] * 6), ("d30", 9003, []), ("d02", 9004, [0.0] * 6)]
+    df = spark.createDataFrame(rows + odd, "doc_id string, vec_id long, embedding array<double>")
+    unit = {i: np.array(v) / (np.linalg.norm(v) + 1e-9) for _, i, v in rows + odd[3:]}
+    of = {d: [i for x, i, _ in rows + odd[3:] if x == d] for d, *_ in rows}
+    for threshold in (0.9, 0.3, -0.5):
+        want = {}
+        for a in of:
+            for b in of:
+                if a < b:
+                    s = np.concatenate([np.sort([float(unit[x] @ unit[y]) for y in of[b]])[::-1][:3] for x in of[a]])
+                    if round(float(s.mean()), 6) >= threshold:
+                        want[(a, b)] = round(float(s.mean()), 6)
+        got = {(x["a"], x["b"]): x["weight"] for x in graph.chunk_edges(df, 3, threshold).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in got) and len(got) > 5
+    blocks = graph._blocks(df, "doc_id", "vec_id")
+    met = lambda t: graph.block_pairs(blocks, graph.close_documents(blocks, t, "doc_id"), "doc_id").count()
+    n = blocks.select("block").distinct().count()
+    assert 0 < met(0.95) < met(0.5) <= met(-1.0) <= n * (n + 1) // 2 and met(0.95) < 0.75 * met(-1.0)
+    assert graph.chunk_edges(df.limit(0), 3, 0.3).collect() == []
