@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.functions.sizes import if_small
 from granary.functions.vectors import cosine
 from granary.jobs.scratch import saved
 
@@ -29,10 +28,12 @@ def centroids(chunks: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def centroid_edges(centers: DataFrame, threshold: float, doc: str = "doc_id") -> DataFrame:
-    """a < b, weight: pairs of documents whose centroids' cosine reaches the threshold. One row a document, not a chunk."""
-    a = centers.select(F.col(doc).alias("a"), F.col("centroid").alias("x"))
-    b = centers.select(F.col(doc).alias("b"), F.col("centroid").alias("y"))
-    pairs = a.join(if_small(b, 20_000), F.col("a") < F.col("b"))
+    """a < b, weight: pairs of documents whose centroids' cosine reaches the threshold. One row a document, not a chunk; only those are
+    compared that the angles to fixed directions allow (close_documents), which meet by equal joins."""
+    centers = saved(centers.sparkSession, centers.select(doc, "centroid"))
+    placed = _blocks(centers.select(doc, F.lit(0).cast("long").alias("_n"), F.col("centroid").alias("embedding")), doc, "_n")
+    pairs = close_documents(placed, threshold, doc).join(centers.select(F.col(doc).alias("a"), F.col("centroid").alias("x")), "a")
+    pairs = pairs.join(centers.select(F.col(doc).alias("b"), F.col("centroid").alias("y")), "b")
     return pairs.select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 6).alias("weight")).where(F.col("weight") >= threshold)
 
 

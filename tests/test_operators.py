@@ -309,7 +309,12 @@ def test_tokens_by_bytes():
 def test_evidence_of_short_and_long_keywords(spark):
     golden = spark.createDataFrame([(1, None, ["Art of war and peace"]), (2, ["b"], ["zz", "art of"]), (3, ["c"], ["art"]), (4, None, ["war of art"]), (5, None, []), (6, None, ["f w"])], "id int, docs array<string>, kw array<string>")
     docs = spark.createDataFrame([("a", "smART OF WAR AND PEACEful"), ("b", "art  of"), ("b", "part of it"), ("c", None)], "doc string, text string")
-    assert {r["id"]: r["evidence"] for r in evaluate.evidence(golden, docs).collect()} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
+    for most in (evaluate.KEYWORDS, 1):
+        assert {r["id"]: r["evidence"] for r in evaluate.evidence(golden, docs, most).collect()} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
+        blank = spark.createDataFrame([(1, None, [""]), (2, ["c"], [""]), (3, None, [None, "\u00c9T"])], "id int, docs array<string>, kw array<string>")
+        more = docs.union(spark.createDataFrame([("z", "un \u00e9t\u00e9")], "doc string, text string"))
+        assert {r["id"]: r["evidence"] for r in evaluate.evidence(blank, more, most).collect()} == {1: True, 2: False, 3: True}
+        assert evaluate.evidence(golden.limit(0), docs, most).collect() == [] and {r["evidence"] for r in evaluate.evidence(golden, docs.limit(0), most).collect()} == {False}
 
 
 def test_manifest_of_a_stopped_job(spark, tmp_path):
@@ -523,6 +528,10 @@ def test_edges_of_near_documents(spark, monkeypatch):
                         want[(a, b)] = round(float(s.mean()), 6)
         got = {(x["a"], x["b"]): x["weight"] for x in graph.chunk_edges(df, 3, threshold).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in got) and len(got) > 5
+        centers = graph.centroids(df.where("vec_id < 9000"), "doc_id")
+        c = {x["doc_id"]: np.array(x["centroid"]) for x in centers.collect()}
+        cosines = {(a, b): float(c[a] @ c[b] / np.linalg.norm(c[a]) / np.linalg.norm(c[b])) for a in c for b in c if a < b}
+        assert {(x["a"], x["b"]) for x in graph.centroid_edges(centers, threshold).collect()} == {k for k, v in cosines.items() if v >= threshold}
     blocks = graph._blocks(df, "doc_id", "vec_id")
     met = lambda t: graph.block_pairs(blocks, graph.close_documents(blocks, t, "doc_id"), "doc_id").count()
     n = blocks.select("block").distinct().count()
