@@ -14,9 +14,10 @@ from granary.sources import tables
 from granary.sources.postings import Postings
 
 
-def ingest(spark: SparkSession, pages: DataFrame, folder: str) -> int:
+def ingest(spark: SparkSession, pages: DataFrame, folder: str, stored: Postings | None = None) -> int:
     """Chunks the pages (doc_id, page, text, content_md5) of contents that the table doesn't have and appends them; the
-    first name of each content counts. Returns the rows added."""
+    first name of each content counts. With stored postings (of id; by columns of the chunks), these get the new chunks too, which are
+    written aside first, so that no page is chunked twice. Returns the rows added."""
     names = pages.select("doc_id", "content_md5").distinct()
     chosen = maintenance.elect(names, ["content_md5"], ["doc_id"])
     try:
@@ -29,9 +30,14 @@ def ingest(spark: SparkSession, pages: DataFrame, folder: str) -> int:
     where = F.from_json("doc_id", keyed.schema["key"].dataType.simpleString())
     rows = parts.withColumn("key", where).drop("doc_id").select("key.doc_id", "key.page", "chunk_part", "total_parts", "text", "block_kind", "clause")
     rows = rows.withColumn("id", F.sha2(F.concat_ws("/", "doc_id", "page", "chunk_part"), 256))
-    added = Observation()  # counted as they are written, so no page is chunked twice
+    if stored:
+        rows = saved(spark, rows)
+    added = Observation()  # counted as they are written
     rows.observe(added, F.count("*").alias("n")).write.mode("append").parquet(folder)
-    return added.get["n"]
+    n = added.get["n"]
+    if stored and n:
+        stored.append(rows)
+    return n
 
 
 def search(

@@ -378,6 +378,11 @@ def test_ingest(spark, tmp_path):
     folder = str(tmp_path / "chunks")
     assert api.ingest(spark, pages, folder) == 4 and api.ingest(spark, pages, folder) == 0
     assert {r["doc_id"] for r in spark.read.parquet(folder).collect()} == {"a", "c"}
+    store, folder = postings.Postings(spark, str(tmp_path / "postings"), "id", ("doc_id",)), str(tmp_path / "more")
+    assert api.ingest(spark, pages.where("doc_id <> 'c'"), folder, store) == 3 and api.ingest(spark, pages, folder, store) == 1 and api.ingest(spark, pages, folder, store) == 0
+    asked = spark.createDataFrame([(1, "other w3")], "query_id long, text string")
+    ids = {r["id"]: r["doc_id"] for r in spark.read.parquet(folder).collect()}
+    assert sorted(ids[r["id"]] for r in store.search(asked).collect()) == ["a", "c"] and [ids[r["id"]] for r in store.search(asked, where=F.col("doc_id") == "a").collect()] == ["a"]
 
 
 def test_vectors_that_are_not_finite(spark):
