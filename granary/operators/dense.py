@@ -15,6 +15,8 @@ from .sparse import ranked
 
 #: Queries that go to all tasks at once; more go in blocks of as many, which meet blocks of vectors in a grid.
 QUERIES, VECTORS = 4096, 32_768
+#: Bytes of queries' token vectors that go to all tasks.
+TOKEN_BYTES = 64 << 20
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 25, id_: str = "vec_id", most: int = QUERIES) -> DataFrame:
@@ -77,14 +79,14 @@ def rerank(pool: DataFrame, documents: DataFrame, queries: DataFrame, k: int, id
     and queries without vectors, or with components that are null or not finite, take no part.
 
     Of the documents only the pool's have their vectors read past the join, and a document's vectors are moved once, with the queries that
-    ask for it. Up to `most` queries' vectors go to all tasks; more are joined to the pool. Vectors are multiplied in Arrow batches.
+    ask for it. Up to `most` queries' vectors, of TOKEN_BYTES at most, go to all tasks; more are joined to the pool. Vectors are multiplied in Arrow batches.
     """
     finite = F.coalesce(F.size("tokens") > 0, F.lit(False)) & F.forall("tokens", lambda v: F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))))
     own = lambda df, *names: df.where(finite).select(*names, F.transform("tokens", lambda v: F.transform(v, lambda x: x.cast("double"))).alias("tokens"))
     queries, documents = own(queries, "query_id"), own(documents, id_)
     asked = pool.select("query_id", id_).distinct()
     local = queries.limit(most + 1).toArrow()
-    few = local.num_rows <= most
+    few = local.num_rows <= most and local.nbytes <= TOKEN_BYTES
     if few:
         by_id = asked.groupBy(id_).agg(F.collect_list("query_id").alias("asked"))  # `most` at most
         rows = documents.join(if_small(by_id), id_)
