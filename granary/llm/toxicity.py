@@ -1,4 +1,4 @@
-"""Toxicity by a convolutional text classifier, trained here in numpy.
+"""Toxicity by a convolutional text classifier, trained here in numpy by rounds of tasks over all labelled documents.
 
 A word's vector is the sum of hashed embeddings of the word, its first bytes and its last bytes. Filters over one, two and
 three words, a ramp, and the maximum over the whole text feed a logistic output. Thresholds are calibrated by language.
@@ -7,7 +7,6 @@ The embeddings begin with how the classes share each word, so that a few hundred
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT, Words, chunks, column, fresh, text_column, utf8
+from ..functions.sizes import if_small
+from .common import PUNCT, Scratch, Words, chunks, column, fresh, partitions, text_column, utf8
 
 BITS, DIM, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 8
-#: At most so many labelled documents of each class are fitted on; a fifth of them only calibrate.
-SAMPLE = {1: 4000, 0: 8000}
+#: Bytes of labelled text that a task holds at once, about, as features of 16 bytes a word.
+LEARN_BYTES = 32 << 20
 EPOCHS, BATCH, RATE = 8, 48, 0.08
 #: A row of the table begins with what its words tell of the class, times SHARE_WEIGHT, if so many texts have them; PRIOR texts weigh against it.
 LEAST_TEXTS, PRIOR, SHARE_WEIGHT = 3, 1.0, 0.75
@@ -125,146 +125,275 @@ def slopes(model: Model, rows: np.ndarray, first: np.ndarray, labels: np.ndarray
     return Slopes(once, g_table, g_kernel, g_pool.sum(0), pool.T @ g, float(g.sum()))
 
 
-def first_model(texts: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator) -> Model:
+def first_state(with_: np.ndarray, without: np.ndarray, toxic: float, clean: float, rng: np.random.Generator) -> np.ndarray:
     """The weights before training. The first component of a row of the table is the log-odds, if positive, of toxic among the texts that
-    have its words, against all texts; the filters take it with positive weights. All else is small and random."""
-    with_, without = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for x, label in zip(texts, labels, strict=True):
-        (with_ if label else without)[np.unique(x)] += 1
-    toxic, clean = max(1.0, float(labels.sum())), max(1.0, float((1 - labels).sum()))
+    have its words, against all texts; the filters take it with positive weights. All else is small and random.
+    with_, without: toxic and clean texts that have words of a row; toxic, clean: of all texts."""
+    toxic, clean = max(1.0, toxic), max(1.0, clean)
     share = toxic / (toxic + clean)
     odds = np.log((with_ + PRIOR * share) / (without + PRIOR * (1 - share))) - np.log(toxic / clean)
     table = rng.normal(0, 0.02, (1 << BITS, DIM)).astype(np.float32)
     table[:, 0] = np.where(with_ + without >= LEAST_TEXTS, np.maximum(odds, 0) * SHARE_WEIGHT, 0)
     kernel = rng.normal(0, 0.4, (DIM, sum(WIDTHS) * FILTERS)).astype(np.float32)
     kernel[0] = np.abs(kernel[0])
+    weight = np.abs(rng.normal(0, 0.3, len(WIDTHS) * FILTERS)).astype(np.float32)
+    return _packed(table, kernel, np.zeros(len(weight), np.float32), weight, float(np.log(toxic / clean)))
+
+
+def _packed(table: np.ndarray, kernel: np.ndarray, bias: np.ndarray, weight: np.ndarray, offset: float) -> np.ndarray:
+    """All weights in rows of DIM, the table's first."""
+    rest = np.concatenate([kernel.ravel(), bias, weight, [offset]])
+    return np.concatenate([table.ravel(), rest, np.zeros(-len(rest) % DIM)]).astype(np.float32).reshape(-1, DIM)
+
+
+def _model(state: np.ndarray) -> Model:
+    """The packed weights as a model; arrays are views."""
+    many, rest = len(WIDTHS) * FILTERS, state[1 << BITS :].ravel()
+    kernel, bias, weight, offset = np.split(rest, np.cumsum([DIM * sum(WIDTHS) * FILTERS, many, many]))
+    return Model(state[: 1 << BITS], kernel.reshape(DIM, -1), bias, weight, float(offset[0]), (1.0, 0.0), {})
+
+
+def epoch(state: np.ndarray, sums: np.ndarray, texts: list[np.ndarray], labels: np.ndarray, order: np.ndarray) -> None:
+    """Goes on training in place, once over the texts (feature rows (4, words) each) in this order: Adagrad on the logistic loss.
+    sums: of the squared slopes, packed like the weights."""
+    model, total = _model(state), _model(sums)
+    offset, offset_sum = model.offset, total.offset
+    for lo in range(0, len(order), BATCH):
+        pick = [i for i in order[lo : lo + BATCH] if texts[i].shape[1]]
+        if not pick:
+            continue
+        first = np.concatenate([[0], np.cumsum([texts[i].shape[1] for i in pick])])
+        g = slopes(model._replace(offset=offset), np.concatenate([texts[i] for i in pick], axis=1), first, labels[pick])
+        total.table[g.once] += g.table**2
+        model.table[g.once] -= RATE * g.table / np.sqrt(total.table[g.once])
+        for a, s, slope in ((model.kernel, total.kernel, g.kernel), (model.bias, total.bias, g.bias), (model.weight, total.weight, g.weight)):
+            s += slope**2
+            a -= RATE * slope / np.sqrt(s)
+        offset_sum += g.offset**2
+        offset -= RATE * g.offset / offset_sum**0.5
+    state[:] = _packed(model.table, model.kernel, model.bias, model.weight, offset)
+    sums[:] = _packed(total.table, total.kernel, total.bias, total.weight, offset_sum)
+
+
+class Part(NamedTuple):
+    """Some labelled documents in the order of their hashes."""
+
+    texts: list[np.ndarray]
+    labels: np.ndarray
+    langs: list[str | None]
+    aside: np.ndarray
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
+    """The rows (h, lang, toxic, aside, text) in parts of about LEARN_BYTES of text, or one longer document."""
+    held, size = [], 0
+    for batch in batches:
+        data, offsets = utf8(column(batch, "text"))
+        for lo, hi in chunks(offsets):
+            if held and size + offsets[hi] - offsets[lo] > LEARN_BYTES:
+                yield _sorted(held)
+                held, size = [], 0
+            w = Words(data, offsets[lo : hi + 1], PUNCT)
+            f = features(w)
+            own = batch.slice(lo, hi - lo)
+            values = [column(own, c).to_numpy(zero_copy_only=False) for c in ("h", "toxic", "aside")]
+            held.append(([f[:, w.first[i] : w.first[i + 1]].copy() for i in range(hi - lo)], column(own, "lang").to_pylist(), *values))
+            size += int(offsets[hi] - offsets[lo])
+    if held:
+        yield _sorted(held)
+
+
+def _sorted(held: list[tuple]) -> Part:
+    texts, langs = ([x for h in held for x in h[i]] for i in (0, 1))
+    h, y, aside = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4))
+    order = np.argsort(h, kind="stable")
+    return Part([texts[i] for i in order], y[order].astype(np.float32), [langs[i] for i in order], aside[order])
+
+
+def _logits_at(model: Model, part: Part, pick: np.ndarray) -> np.ndarray:
+    z = [_logits_of(model, part.texts, pick[i : i + 256]) for i in range(0, len(pick), 256)]
+    return np.concatenate(z) if z else np.zeros(0, np.float32)
+
+
+def _shares(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the documents to learn from have words of each row of the table: toxic ones, clean ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, 1 << BITS), np.int64)
+        for part in parts(batches):
+            for x, label in zip(part.texts, part.labels, strict=True):
+                n[0 if label else 1][np.unique(x)] += 1
+        at = np.flatnonzero(n.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, *n[:, at])], names=["at", "toxic", "clean"])
+
+    got = rows.mapInArrow(run, "at long, toxic long, clean long").groupBy("at").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    out = np.zeros((2, 1 << BITS))
+    out[:, got["at"].to_numpy()] = got["toxic"].to_numpy(), got["clean"].to_numpy()
+    return out[0], out[1]
+
+
+def _round(rows: DataFrame, state: np.ndarray, sums: np.ndarray, k: int, draw: dict) -> tuple[np.ndarray, np.ndarray, float]:
+    """State and sums after the k-th epoch, and the loss of the state before it on the documents set aside. Each task goes on from the
+    state over the documents that it reads; a row of weights becomes the mean of the tasks that changed it, by their documents."""
+    shared = rows.sparkSession.sparkContext.broadcast((state, sums))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = shared.value
+        after, first, loss, n = [x.copy() for x in before], _model(before[0]), 0.0, 0
+        for part in parts(batches):
+            pick = np.flatnonzero(part.aside)
+            loss += float((np.logaddexp(0, z := _logits_at(first, part, pick)) - part.labels[pick] * z).sum(dtype=np.float64))
+            pick, rng = np.flatnonzero(~part.aside), np.random.default_rng()
+            rng.bit_generator.state = draw
+            for _ in range(k + 1):
+                order = rng.permutation(len(pick))
+            epoch(*after, part.texts, part.labels, pick[order])
+            n += len(pick)
+        change = np.concatenate([a - b for a, b in zip(after, before, strict=True)], axis=1)
+        at = np.flatnonzero(change.any(1))
+        own = np.zeros((1, 2 * DIM), np.float32)  # the loss, in two floats
+        own[0, 0] = loss
+        own[0, 1] = loss - float(own[0, 0])
+        values = [pa.array(np.ascontiguousarray(x)) for x in (np.append(at, -1), np.full(len(at) + 1, n), *np.append(change[at], own, axis=0).T)]
+        yield pa.RecordBatch.from_arrays(values, names=["at", "n", *names])
+
+    names = [f"c{i}" for i in range(2 * DIM)]
+    tuned = rows.mapInArrow(run, ", ".join(["at long", "n long", *(f"{c} float" for c in names)]))
+    weight = F.when(F.col("at") < 0, F.lit(1)).otherwise(F.col("n"))  # losses are summed
+    total = F.when(F.col("at") < 0, F.lit(1)).otherwise(F.sum("n"))
+    mean = [(F.sum(F.col(c).cast("double") * weight) / total).cast("float").alias(c) for c in names]
+    got = tuned.groupBy("at").agg(*mean).toArrow()  # a row a row of weights, however many tasks
+    shared.destroy()
+    at = got["at"].to_numpy()
+    change = np.stack([got[c].to_numpy() for c in names], 1)
+    loss, some = float(change[at < 0, :2].sum(dtype=np.float64)), at >= 0
+    state, sums = state.copy(), sums.copy()
+    state[at[some]] += change[some, :DIM]
+    sums[at[some]] += change[some, DIM:]
+    return state, sums, loss
+
+
+def _judged(rows: DataFrame, state: np.ndarray, keep: Scratch, name: str) -> DataFrame:
+    """lang, toxic, z (the state's logit), key (its bits as an integer in the same order) of all rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(shared.value)
+        for part in parts(batches):
+            z = _logits_at(model, part, np.arange(len(part.labels))).astype(np.float32)
+            bits = z.view(np.int32)
+            key = np.where(bits < 0, bits ^ np.int32(0x7FFFFFFF), bits)
+            values = [pa.array([x or "" for x in part.langs], pa.string()), *map(pa.array, (part.labels.astype(np.int32), z, key))]
+            yield pa.RecordBatch.from_arrays(values, names=["lang", "toxic", "z", "key"])
+
+    out = keep.save(rows.mapInArrow(run, "lang string, toxic int, z float, key int"), name)
+    shared.destroy()
+    return out
+
+
+def trained(rows: DataFrame, keep: Scratch) -> np.ndarray:
+    """The state after the epoch with the least loss on the documents set aside; after the last, if there are none.
+    rows: h, lang, toxic, aside, text; every document is learnt from or set aside."""
+    learn, apart = rows.where("not aside"), rows.where("aside")
+    n = {r["toxic"]: r["count"] for r in learn.groupBy("toxic").count().collect()}
+    rng = np.random.default_rng(1)
+    state = first_state(*_shares(learn), float(n.get(1, 0)), float(n.get(0, 0)), rng)
     many = len(WIDTHS) * FILTERS
-    return Model(table, kernel, np.zeros(many, np.float32), np.abs(rng.normal(0, 0.3, many)).astype(np.float32), float(np.log(toxic / clean)), (1.0, 0.0), {})
-
-
-def train(texts: list[np.ndarray], labels: np.ndarray, aside: list[np.ndarray] = [], aside_labels: np.ndarray | None = None, seed: int = 1) -> Model:  # noqa: B006
-    """texts: for each its feature rows (4, words). Adagrad on the logistic loss. Of the epochs' models the one with the least loss on the
-    texts set aside is returned; the last, if there are none."""
-    rng = np.random.default_rng(seed)
-    model = first_model(texts, labels, rng)
-    sums = [np.full(a.shape, least, np.float32) for a, least in ((model.table, 1.0), (model.kernel, 0.1), (model.bias, 0.1), (model.weight, 0.1))]
-    offset_sum, best, least = 0.1, model, np.inf
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(texts))
-        for lo in range(0, len(order), BATCH):
-            pick = [i for i in order[lo : lo + BATCH] if texts[i].shape[1]]
-            if not pick:
-                continue
-            first = np.concatenate([[0], np.cumsum([texts[i].shape[1] for i in pick])])
-            g = slopes(model, np.concatenate([texts[i] for i in pick], axis=1), first, labels[pick])
-            sums[0][g.once] += g.table**2
-            model.table[g.once] -= RATE * g.table / np.sqrt(sums[0][g.once])
-            for a, s, slope in ((model.kernel, sums[1], g.kernel), (model.bias, sums[2], g.bias), (model.weight, sums[3], g.weight)):
-                s += slope**2
-                a -= RATE * slope / np.sqrt(s)
-            offset_sum += g.offset**2
-            model = model._replace(offset=model.offset - RATE * g.offset / offset_sum**0.5)
-        if len(aside):
-            z = np.concatenate([_logits_of(model, aside, np.arange(i, min(i + 256, len(aside)))) for i in range(0, len(aside), 256)])
-            loss = float(np.mean(np.logaddexp(0, z) - aside_labels * z))
-            if loss < least:
-                least, best = loss, model._replace(**{k: getattr(model, k).copy() for k in ("table", "kernel", "bias", "weight")})
-    return best if len(aside) else model
-
-
-def calibrated(model: Model, z: np.ndarray, labels: np.ndarray, languages: list[str], weights: np.ndarray) -> Model:
+    sums = _packed(np.ones((1 << BITS, DIM)), *(np.full(x, 0.1) for x in (DIM * sum(WIDTHS) * FILTERS, many, many)), 0.1)
+    draw, best, least = rng.bit_generator.state, state, np.inf
+    for k in range(EPOCHS):
+        before = state
+        state, sums, loss = _round(rows, state, sums, k, draw)
+        if k and loss < least:
+            best, least = before, loss
+    if apart.isEmpty():
+        return state
+    z = F.col("z").cast("double")
+    judged = _judged(apart, state, keep, "last")
+    loss = judged.agg(F.sum(F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - F.col("toxic") * z)).first()[0]
+    keep.drop("last")
+    return state if loss < least else best
+
+
+def calibrated(model: Model, judged: DataFrame) -> Model:
     """Fits the sigmoid's scale by Newton's method, and a threshold for each language: the score that most of its toxic
-    documents reach while FALSE_ALARMS of its clean ones do, halfway up to the next toxic one."""
-    x = np.stack([z, np.ones_like(z)], 1)
-    beta = np.array([1.0, 0.0])
-    target = np.where(labels == 1, 0.995, 0.005)  # keeps separable scores finite
+    documents reach while FALSE_ALARMS of its clean ones do, halfway up to the next toxic one. judged: lang, toxic, z, of which
+    each step takes sums over all rows."""
+    z, beta = F.col("z").cast("double"), np.array([1.0, 0.0])
+    target = F.when(F.col("toxic") == 1, 0.995).otherwise(0.005)  # keeps separable scores finite
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hessian = (x * (weights * p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (weights * (p - target)) + 1e-3 * (beta - [1, 0]))
-        beta = beta - step / max(1.0, np.abs(step / [0.1, 0.5]).max())  # separable classes flatten the curve
+        p = 1 / (1 + F.exp(-F.greatest(F.least(z * float(beta[0]) + float(beta[1]), F.lit(30.0)), F.lit(-30.0))))
+        w, off = p * (1 - p) + 1e-6, p - target
+        a, b, c, d, e = judged.agg(F.sum(w * z * z), F.sum(w * z), F.sum(w), F.sum(off * z), F.sum(off)).first()
+        step = np.linalg.solve(np.array([[a, b], [b, c]]) + 1e-3 * np.eye(2), np.array([d, e]) + 1e-3 * (beta - [1, 0]))
+        step = step / max(1.0, np.abs(step / [0.1, 0.5]).max())  # separable classes flatten the curve
+        beta = beta - step
+        if np.abs(step).max() < 1e-12:
+            break
     scale = (float(np.clip(beta[0], 0.05, 4)), float(np.clip(beta[1], -20, 20)))
-    score = 1 / (1 + np.exp(-np.clip(z * scale[0] + scale[1], -30, 30)))
-
-    def threshold(mask: np.ndarray) -> float:
-        clean, toxic = np.sort(score[mask & (labels == 0)]), np.sort(score[mask & (labels == 1)])
-        edge = clean[min(len(clean) - 1, int(np.ceil(len(clean) * (1 - FALSE_ALARMS))) - 1)] if len(clean) else 0.5
-        above = toxic[toxic > edge]
-        return float(min(0.95, max(0.3, (edge + above[0]) / 2 if len(above) else (edge + 1) / 2)))
-
-    languages = np.array([x or "" for x in languages], object)
-    out = {"": threshold(np.ones(len(z), bool))}
-    for lang in sorted(set(languages)):
-        mask = languages == lang
-        if lang and min((labels[mask] == 1).sum(), (labels[mask] == 0).sum()) >= LEAST_OF_LANGUAGE:
-            out[lang] = threshold(mask)
-    return model._replace(scale=scale, thresholds=out)
+    return model._replace(scale=scale, thresholds=thresholds(judged, scale))
+
+
+def thresholds(judged: DataFrame, scale: tuple[float, float]) -> dict[str, float]:
+    """By language, and "" for all. A clean document's place in the order is found exactly by counts: first of the upper halves of
+    the logits' bits, then of the lower ones in one upper half."""
+    each = judged.select(F.explode(F.array_distinct(F.array(F.lit(""), "lang"))).alias("of"), "toxic", "z", "key")
+    n = {r["of"]: (r["clean"], r["toxic"]) for r in each.groupBy("of").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")).where(F.expr(f"of = '' or least(clean, toxic) >= {LEAST_OF_LANGUAGE}")).collect()}
+    place = {k: min(clean - 1, int(np.ceil(clean * (1 - FALSE_ALARMS))) - 1) for k, (clean, _) in n.items() if clean}
+    clean, key = each.where("toxic = 0"), dict.fromkeys(place, 0)
+    for half in (F.shiftright("key", 16), F.col("key").bitwiseAND(0xFFFF)):
+        counts: dict[str, list[tuple[int, int]]] = {}
+        for r in clean.where(F.col("of").isin(list(place))).groupBy("of", half.alias("half")).count().collect():  # 65,536 a language at most
+            counts.setdefault(r["of"], []).append((r["half"], r["count"]))
+        for k, rows in counts.items():
+            for value, many in sorted(rows):
+                if place[k] < many:
+                    key[k] = key[k] << 16 | value
+                    break
+                place[k] -= many
+        chosen = F.lit(False)
+        for k, value in key.items():
+            chosen = chosen | ((F.col("of") == k) & (F.shiftright("key", 16) == value))
+        clean = clean.where(chosen)
+    edges = {k: float(np.array([v if v >= 0 else v ^ 0x7FFFFFFF], np.int32).view(np.float32)[0]) for k, v in key.items()}
+    score = lambda x: float(1 / (1 + np.exp(-np.clip(x * scale[0] + scale[1], -30, 30))))
+    out = {}
+    for k in n:
+        edge = edges.get(k, -scale[1] / scale[0])
+        above = each.where((F.col("of") == k) & (F.col("toxic") == 1) & (F.col("z").cast("double") > edge)).agg(F.min("z")).first()[0]
+        out[k] = min(0.95, max(0.3, (score(edge) + (1 if above is None else score(above))) / 2))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, of: Column | None = None) -> Model | None:
-    """Fits on labelled documents (labels: doc_id, toxic), those that the condition on doc_id names; None if there are
-    not both classes. At most SAMPLE documents of each class are used, chosen by the hash of their id; the classes' true
-    shares are kept in mind by weights. One task fits on this bounded sample, and only the model goes to the driver.
+    """Fits on all labelled documents (labels: doc_id, toxic), or those that the condition on doc_id names; None if there are
+    not both classes. Each epoch is a round of tasks, whose weights are averaged.
 
-    A fifth of the sample is not learnt from: it tells which epoch's weights to take, and calibrates. If either part would lack a
-    class, all of the sample is learnt from and calibrates, and the last epoch's weights are taken."""
+    A fifth of the documents is not learnt from: it tells which epoch's weights to take, and calibrates. If either part would lack a
+    class, all documents are learnt from and calibrate, and the last epoch's weights are taken."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     if of is not None:
         known = known.where(of)
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    total = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    if len(total) < 2:
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    if known.select("toxic").distinct().count() < 2:
         return None
-    chosen = None
-    for label, n in total.items():
-        part = known.where(F.col("toxic") == label)
-        share = min(1.0, 1.2 * SAMPLE[label] / n)
-        if share < 1:
-            part = part.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) < int(share * 1_000_000))
-        part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[label])
-        chosen = part if chosen is None else chosen.union(part)
-    chosen = F.broadcast(chosen.withColumnsRenamed({"doc_id": "_id", "toxic": "_toxic"}))  # SAMPLE bounds it
-    rows = docs.join(chosen, F.col("doc_id") == F.col("_id")).select(
-        F.xxhash64("doc_id", "text").alias("h"), F.col("lang" if "lang" in docs.columns else "_id").cast("string").alias("lang"), "_toxic", text_column().alias("text")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _fitted(list(batches), total)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
-
-    made = rows.repartition(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(made[0]["model"]) if made else None
-
-
-def _fitted(batches: list[pa.RecordBatch], total: dict[int, int]) -> Model | None:
-    """The model of the rows (h, lang, _toxic, text) of batches, which it empties, in the order of h; None without rows.
-    total: how many labelled documents each class has."""
-    if not sum(b.num_rows for b in batches):
+    keep, spark = Scratch(docs.sparkSession), docs.sparkSession
+    h, lang = F.xxhash64("doc_id", "text"), F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
+    rows = docs.select("doc_id", h.alias("h"), lang.alias("lang"), text_column().alias("text"))
+    rows = rows.join(if_small(known), F.col("doc_id") == F.col("_id")).select("h", "lang", "toxic", (F.pmod("h", F.lit(5)) == 0).alias("aside"), "text")
+    rows = keep.save(rows.repartition(partitions(spark)), "labelled")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+    if size is None:
         return None
-    texts, hashes, y, langs = [], [], [], []
-    while batches:
-        batch = batches.pop(0)
-        data, offsets = utf8(column(batch, "text"))
-        for lo, hi in chunks(offsets):
-            w = Words(data, offsets[lo : hi + 1], PUNCT)
-            f = features(w)
-            texts += [f[:, w.first[i] : w.first[i + 1]].copy() for i in range(hi - lo)]
-        hashes.append(column(batch, "h").to_numpy())
-        y.append(column(batch, "_toxic").to_numpy().astype(np.float32))
-        langs += column(batch, "lang").to_pylist()
-    order = np.argsort(np.concatenate(hashes), kind="stable")
-    y, texts, langs = np.concatenate(y)[order], [texts[i] for i in order], [langs[i] for i in order]
-    apart = np.arange(len(y)) % 5 == 0
-    if len(set(y[~apart])) < 2 or len(set(y[apart])) < 2:
-        apart = np.zeros(len(y), bool)
-    use = np.flatnonzero(~apart)
-    cal = np.flatnonzero(apart)
-    model = train([texts[i] for i in use], y[use], [texts[i] for i in cal], y[cal])
-    cal = cal if len(cal) else np.arange(len(y))
-    z = np.concatenate([_logits_of(model, texts, cal[i : i + 256]) for i in range(0, len(cal), 256)])
-    drawn = {k: max(1, int((y == k).sum())) for k in (0, 1)}
-    weights = np.array([total[int(k)] / drawn[int(k)] for k in y[cal]])
-    return calibrated(model, z.astype(np.float64), y[cal], [langs[i] for i in cal], weights / weights.mean())
+    classes = rows.select("aside", "toxic").distinct().count()
+    if classes < 4:
+        rows = rows.withColumn("aside", F.lit(False))
+    rows = rows.coalesce(-(-max(1, size) // LEARN_BYTES))
+    state = trained(rows, keep)
+    judged = _judged(rows.where("aside") if classes == 4 else rows, state, keep, "judged")
+    model = calibrated(_model(state), judged)
+    keep.drop("labelled", "judged")
+    return model
 
 
 def _logits_of(model: Model, texts: list[np.ndarray], pick: np.ndarray) -> np.ndarray:
