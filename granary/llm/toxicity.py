@@ -20,7 +20,7 @@ from .common import PUNCT, Scratch, Words, chunks, column, fresh, partitions, te
 
 BITS, DIM, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 8
 #: Bytes of labelled text that a task holds at once, about, as features of 16 bytes a word.
-LEARN_BYTES = 32 << 20
+LEARN_BYTES = 16 << 20
 EPOCHS, BATCH, RATE = 8, 48, 0.08
 #: A row of the table begins with what its words tell of the class, times SHARE_WEIGHT, if so many texts have them; PRIOR texts weigh against it.
 LEAST_TEXTS, PRIOR, SHARE_WEIGHT = 3, 1.0, 0.75
