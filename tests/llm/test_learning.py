@@ -1,10 +1,13 @@
 """What the models learn from: all documents that they may, and not a sample."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import toxicity
+from granary.llm import order_minhash, spans, toxicity
+from granary.llm.common import PUNCT, Words, chunks
 
 from .test_brute import prose
 
@@ -59,3 +62,17 @@ def test_toxicity_thresholds_of_all_rows(spark, seed):
         edge = clean[int(np.ceil(len(clean) * (1 - toxicity.FALSE_ALARMS))) - 1]
         want[k] = min(0.95, max(0.3, (edge + bad[bad > edge][0]) / 2))
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_text_steps_hold_little():
+    """Several MB of texts are hashed, sketched and cut into spans in steps that hold at most 64 MB at once."""
+    text = "".join(prose(600, i, 20_000) for i in range(40)).encode()
+    data = np.frombuffer(text * (1 + (6 << 20) // len(text)), np.uint8)
+    offsets = np.append(np.arange(0, len(data), 4000), len(data))
+    for step in (lambda d, o: spans.Spans(d, o), lambda d, o: order_minhash.sketches(*order_minhash.kmers(d, o)), lambda d, o: toxicity.features(Words(d, o, PUNCT))):
+        tracemalloc.start()
+        for lo, hi in chunks(offsets):
+            step(data, offsets[lo : hi + 1])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64 << 20, peak
