@@ -119,6 +119,9 @@ def fresh_net(weights: np.ndarray, seed: int = 7) -> Net:
     )
 
 
+_ONES = np.ones(max(CLASSES, CLASS_SIZE), np.float32)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place."""
     x *= 0.5
@@ -157,17 +160,22 @@ def run_window(net: Net, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarra
     return out, state.copy()
 
 
-def _held(logits: np.ndarray) -> np.ndarray:
+def _bounded(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether the exponentials of all logits can be held: states are between -1 and 1, so the weights' sums bound them."""
+    return bool((np.abs(weights).sum(-2) + np.abs(bias)).max() <= 60)
+
+
+def _held(logits: np.ndarray, bounded: bool) -> np.ndarray:
     """In place: rows lowered by their greatest, if any number is so large that its exponential might not be held."""
-    if logits.size and max(float(logits.max()), -float(logits.min())) > 60:
+    if not bounded and logits.size and max(float(logits.max()), -float(logits.min())) > 60:
         logits -= logits.max(1, keepdims=True)
     return logits
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
+def _softmax(logits: np.ndarray, bounded: bool) -> np.ndarray:
     """In place."""
-    np.exp(_held(logits), out=logits)
-    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
+    np.exp(_held(logits, bounded), out=logits)
+    logits /= (logits @ _ONES[: logits.shape[1]])[:, None]
     return logits
 
 
@@ -184,21 +192,22 @@ def log_probabilities(net: Net, states: np.ndarray, targets: np.ndarray) -> np.n
     cls, word = targets // CLASS_SIZE, targets % CLASS_SIZE
     row = np.arange(n)
 
-    def of(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def of(logits: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
         """Log probability of column at[i] in row i."""
-        hit = _held(logits)[row[: len(at)], at]
+        hit = _held(logits, bounded)[row[: len(at)], at]
         np.exp(logits, out=logits)
-        return hit - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+        return hit - np.log(logits @ _ONES[: logits.shape[1]])
 
     logits = states @ net.to_class
     logits += net.class_bias
-    out = of(logits, cls)
+    out = of(logits, cls, _bounded(net.to_class, net.class_bias))
+    bounded = _bounded(net.to_word, net.word_bias)
     order, classes = _by_class(cls)
     states, word, inside = states[order], word[order], np.empty(n, out.dtype)
     for c, at in classes:
         logits = states[at] @ net.to_word[c]
         logits += net.word_bias[c]
-        inside[at] = of(logits, word[at])
+        inside[at] = of(logits, word[at], bounded)
     out[order] += inside
     return out
 
@@ -207,31 +216,34 @@ def gradient(net: Net, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarra
     """Loss a token, its gradient through this window, and the last state. real: 1 where a token counts."""
     steps, lanes = inputs.shape
     keep: list = []
-    states, last = run_window(net, inputs, fresh, state, keep)
+    ids = inputs.ravel()
+    here = np.bincount(ids, minlength=VOCABULARY) > 0
+    once = np.flatnonzero(here)  # the window's words
+    states, last = run_window(net, (np.cumsum(here) - 1)[inputs], fresh, state, keep, net.embed[once] @ net.into + net.bias)
     flat, goal, w = states.reshape(-1, HIDDEN), targets.ravel(), real.ravel()
     n = max(1.0, float(w.sum()))
     cls, word, row, share = goal // CLASS_SIZE, goal % CLASS_SIZE, np.arange(len(goal)), w / np.float32(n)
     g = Net(*(np.zeros_like(a) for a in net))
     p = flat @ net.to_class
     p += net.class_bias
-    hit = _softmax(p)[row, cls]
+    hit = _softmax(p, _bounded(net.to_class, net.class_bias))[row, cls]
     p[row, cls] -= 1
     p *= share[:, None]
     g.to_class[:] = flat.T @ p
-    g.class_bias[:] = p.sum(0)
+    g.class_bias[:] = np.ones(len(p), np.float32) @ p
     d_states = p @ net.to_class.T
     order, classes = _by_class(cls)
-    sorted_states, word, weight = flat[order], word[order], share[order]
+    sorted_states, word, weight, ones, bounded = flat[order], word[order], share[order], np.ones(len(goal), np.float32), _bounded(net.to_word, net.word_bias)
     inside, d_sorted = np.empty(len(goal), np.float32), np.empty_like(sorted_states)
     for c, at in classes:
         x, q, i = sorted_states[at], word[at], row[: at.stop - at.start]
         p = x @ net.to_word[c]
         p += net.word_bias[c]
-        inside[at] = _softmax(p)[i, q]
+        inside[at] = _softmax(p, bounded)[i, q]
         p[i, q] -= 1
         p *= weight[at, None]
         g.to_word[c] = x.T @ p
-        g.word_bias[c] = p.sum(0)
+        g.word_bias[c] = ones[: len(i)] @ p
         np.matmul(p, net.to_word[c].T, out=d_sorted[at])
     d_states[order] += d_sorted
     hit[order] *= inside
@@ -263,11 +275,17 @@ def gradient(net: Net, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarra
     rows, old = d_x.reshape(-1, 3 * HIDDEN), old.reshape(-1, HIDDEN)
     g.again[:, : 2 * HIDDEN] = old.T @ rows[:, : 2 * HIDDEN]
     g.again[:, 2 * HIDDEN :] = old.T @ d_old.reshape(-1, HIDDEN)
-    g.bias[:] = rows.sum(0)
-    ids = inputs.ravel()
-    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    g.bias[:] = ones @ rows
+    # sums of the rows by word; the unknown entry, which has many, by one product
+    unknown = ids == UNKNOWN
+    known = np.flatnonzero(~unknown)
+    order = known[np.argsort(ids[known].astype(np.uint16), kind="stable")]
     start = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    once, sums = ids[order[start]], np.add.reduceat(rows[order], start, axis=0)
+    sums = np.empty((len(once), 3 * HIDDEN), np.float32)
+    if len(order):
+        sums[once != UNKNOWN] = np.add.reduceat(rows[order], start, axis=0)
+    if here[UNKNOWN]:
+        sums[once == UNKNOWN] = unknown.astype(np.float32) @ rows
     g.into[:] = net.embed[once].T @ sums
     g.embed[once] = sums @ net.into.T
     return loss, g, last
@@ -321,14 +339,22 @@ class Adam:
 
     def step(self, net: Net, g: Net) -> None:
         self.t += 1
-        norm = float(np.sqrt(sum(float((x * x).sum()) for x in g)))
+        norm = float(np.sqrt(sum(float(np.dot(x.ravel(), x.ravel())) for x in g)))
         clip = min(1.0, 1.0 / (norm + 1e-9))
         rate = self.rate * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t)
         for a, x, m, v in zip(net, g, self.m, self.v, strict=True):
-            x = x * np.float32(clip)
-            m += 0.1 * (x - m)
-            v += 0.001 * (x * x - v)
-            a -= rate * m / (np.sqrt(v) + 1e-8)
+            part = x * (0.1 * clip)
+            m *= 0.9
+            m += part
+            np.multiply(x, x, out=part)
+            part *= 0.001 * clip * clip
+            v *= 0.999
+            v += part
+            np.sqrt(v, out=part)
+            part += 1e-8
+            np.divide(m, part, out=part)
+            part *= rate
+            a -= part
 
 
 def gathered(blocks: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -359,8 +385,6 @@ def learn(net: Net, blocks: Iterator[tuple[np.ndarray, np.ndarray]], rate: float
     def step() -> None:
         nonlocal held, tokens
         if held is not None:
-            for x in held:
-                x /= max(1, tokens)
             adam.step(net, held)
         held, tokens = None, 0
 
@@ -370,9 +394,11 @@ def learn(net: Net, blocks: Iterator[tuple[np.ndarray, np.ndarray]], rate: float
             state = np.zeros((feed.shape[1], HIDDEN), np.float32) if state is None else state[: feed.shape[1]]
             _, g, state = gradient(net, feed, goal, fresh, real, state)
             here = int(real.sum())
-            for x in g:
-                x *= here
-            held = g if held is None else Net(*(np.add(a, b, out=a) for a, b in zip(held, g, strict=True)))
+            if held is None:
+                held = g
+            else:  # the mean of both, by tokens
+                for a, b in zip(held, g, strict=True):
+                    a += (b - a) * np.float32(here / max(1, tokens + here))
             tokens += here
             n += here
             if tokens >= STEP_TOKENS:

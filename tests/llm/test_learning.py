@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import order_minhash, spans, toxicity
+from granary.llm import gru_lm, order_minhash, spans, toxicity
 from granary.llm.common import PUNCT, Words, chunks
 
 from .test_brute import prose
@@ -76,3 +76,30 @@ def test_text_steps_hold_little():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 64 << 20, peak
+
+
+@pytest.mark.parametrize("size", [0.1, 40.0])
+def test_lm_probabilities_with_bounds_on_logits(size):
+    """Where the weights bound the logits, their greatest isn't looked for; where they don't, it is. Both are the plain softmax."""
+    rng = np.random.default_rng(3)
+    net = gru_lm.fresh_net(rng.integers(1, 1000, gru_lm.VOCABULARY).astype(float))
+    net.to_class[:] = rng.normal(0, size, net.to_class.shape)
+    net.to_word[:] = rng.normal(0, size, net.to_word.shape)
+    assert gru_lm._bounded(net.to_word, net.word_bias) == (size < 1)
+    states, targets = rng.uniform(-1, 1, (500, gru_lm.HIDDEN)).astype(np.float32), rng.integers(0, gru_lm.VOCABULARY, 500)
+    got = gru_lm.log_probabilities(net, states, targets)
+    cls, word, x = targets // gru_lm.CLASS_SIZE, targets % gru_lm.CLASS_SIZE, states.astype(float)
+    log = lambda z: z - z.max(1, keepdims=True) - np.log(np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True))
+    want = log(x @ net.to_class.astype(float) + net.class_bias)[np.arange(500), cls]
+    want += log(np.einsum("nh,nhw->nw", x, net.to_word[cls].astype(float)) + net.word_bias[cls])[np.arange(500), word]
+    assert np.isfinite(got).all() and np.abs(got - want).max() < 1e-3 * max(1, size)
+
+
+def test_lm_slopes_of_windows_with_and_without_unknown_words():
+    """A window without unknown words, and one of them alone, have slopes."""
+    rng = np.random.default_rng(4)
+    net = gru_lm.fresh_net(np.ones(gru_lm.VOCABULARY))
+    for ids in (rng.integers(2, 50, (8, 5)), np.full((8, 5), gru_lm.UNKNOWN)):
+        fresh, real = np.zeros((8, 5), np.float32), np.ones((8, 5), np.float32)
+        _, g, _ = gru_lm.gradient(net, ids.astype(np.int32), ids.astype(np.int32), fresh, real, np.zeros((5, gru_lm.HIDDEN), np.float32))
+        assert set(np.flatnonzero(np.abs(g.embed).sum(1))) == set(np.unique(ids))
