@@ -10,6 +10,7 @@ Scoring carries the state across windows from a document's start to its end.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,13 +35,20 @@ HEAD = 1 << 18
 STEP_TOKENS = 2048
 #: Words that a task scores, or learns from, side by side, about: with few, most lanes would end long before the longest document.
 BLOCK_WORDS, LEARN_WORDS = 1 << 22, 1 << 22
+#: Rows whose logits are held at once.
+ROWS = 4096
+#: Weights that a step changes at once: they and their moments stay in a cache.
+STEP_SIZE = 1 << 14
+#: Bytes of text that are hashed at once, about: few enough for a cache.
+STEP_BYTES = 1 << 18
 #: Hash of the end token. Words hash anywhere, so it stands for a word that no text holds.
 END = np.uint64(0x5EEDE0D5EEDE0D01)
 END_SLOT, UNKNOWN = 0, 1
 
 
 class Counts(NamedTuple):
-    """hash and count of the HEAD most frequent training tokens, sorted by hash, and of what the totals are."""
+    """hash and count of the HEAD most frequent training tokens, by the hashes' first bits and then by frequency, and of what
+    the totals are."""
 
     hash: np.ndarray
     count: np.ndarray
@@ -63,30 +71,41 @@ def head_counts(hashes: np.ndarray, counts: np.ndarray, total: int, distinct: in
     slot[hashes == END] = END_SLOT
     words = np.flatnonzero(hashes != END)[: VOCABULARY - 2]
     slot[words] = 2 + np.arange(len(words))
-    order = np.argsort(hashes)
+    top = hashes >> np.uint64(64 - _TOP)
+    order = np.argsort(top, kind="stable")
     hashes = hashes[order]
-    start = np.searchsorted(hashes >> np.uint64(64 - _TOP), np.arange((1 << _TOP) + 1, dtype=np.uint64)).astype(np.int32)
+    start = np.searchsorted(top[order], np.arange((1 << _TOP) + 1, dtype=np.uint64)).astype(np.int32)
     return Counts(hashes, counts[order], slot[order], start, total, distinct)
 
 
 def look_up(c: Counts, h: np.ndarray) -> np.ndarray:
     """Index of each hash in the head, or -1."""
-    out = np.full(len(h), -1, np.int32)
     if not len(c.hash):
-        return out
-    top = (h >> np.uint64(64 - _TOP)).astype(np.int64)
-    at, end = c.start[top], c.start[top + 1]
-    open_ = np.flatnonzero(at < end)
-    at, end = at[open_], end[open_]
+        return np.full(len(h), -1, np.int32)
+    top = (h >> np.uint64(64 - _TOP)).view(np.int64)
+    out = c.start.take(top)
+    # most tokens are the most frequent one with their first bits; the others are looked for further on
+    miss = c.hash.take(out, mode="clip") != h
+    open_ = np.flatnonzero(miss)
+    at, end, h = out[open_] + 1, c.start.take(top[open_] + 1), h[open_]
+    out[miss] = -1
     while len(open_):
-        hit = c.hash[at] == h[open_]
+        more = np.flatnonzero(at < end)
+        open_, at, end, h = open_[more], at[more], end[more], h[more]
+        hit = c.hash[at] == h
         out[open_[hit]] = at[hit]
-        at = at + 1
-        more = ~hit & (at < end)
-        open_, at, end = open_[more], at[more], end[more]
+        more = np.flatnonzero(~hit)
+        open_, at, end, h = open_[more], at[more] + 1, end[more], h[more]
     return out
 
 
+def vocabulary(c: Counts) -> Counts:
+    """The part of c that has places of its own."""
+    own = c.slot != UNKNOWN
+    before = np.concatenate([[0], np.cumsum(own)]).astype(np.int32)
+    return c._replace(hash=c.hash[own], count=c.count[own], slot=c.slot[own], start=before[c.start])
+
+
 # ---------------------------------------------------------------- the network
 
 
@@ -122,39 +141,61 @@ def fresh_net(weights: np.ndarray, seed: int = 7) -> Net:
 _ONES = np.ones(max(CLASSES, CLASS_SIZE), np.float32)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
-    return x
+class Spare:
+    """Arrays by name, that each window takes again: memory that is in a cache already."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size, have = math.prod(shape), self.held.get(name)
+        if have is None or len(have) < size:
+            have = self.held[name] = np.empty(size, np.float32)
+        return have[:size].reshape(shape)
+
+
+def _by_gate(a: np.ndarray) -> np.ndarray:
+    """Weights of the gates' sums, one gate after the other: what a step does with a gate runs over unbroken memory. Those of
+    reset and update are halved, as a sigmoid is (1 + tanh(half its sum)) / 2."""
+    out = np.ascontiguousarray(a.reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
+    out[:2] *= 0.5
+    return out
+
+
+def input_sums(net: Net, embed: np.ndarray) -> np.ndarray:
+    """What words with these embeddings add to the gates' sums: (3, words, HIDDEN)."""
+    return _by_gate(embed @ net.into + net.bias)
 
 
-def run_window(net: Net, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: list | None = None, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def run_window(net: Net, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: list | None = None, table: np.ndarray | None = None, spare: Spare | None = None) -> tuple[np.ndarray, np.ndarray]:
     """States after each step (steps, lanes, HIDDEN), and the last. fresh: 1 where a document begins, whose state is zero.
-    table: the vocabulary's input sums, if they are at hand."""
+    table: the vocabulary's input sums, if they are at hand. keep: takes what each step's slopes need."""
     steps, lanes = inputs.shape
-    if table is None and inputs.size < VOCABULARY:
-        x = (net.embed[inputs.ravel()] @ net.into + net.bias).reshape(steps, lanes, -1)
-    else:
-        x = (table if table is not None else net.embed @ net.into + net.bias)[inputs]
-    out = np.empty((steps, lanes, HIDDEN), np.float32)
-    begins = fresh.any(1)
+    table, weights, spare = input_sums(net, net.embed) if table is None else table, _by_gate(net.again), spare or Spare()
+    rows = 1 if keep is None else steps
+    # by step: the new state's part, the gates (reset, update), and what reset lets through of the old state
+    out, old, sums = spare("states", steps, lanes, HIDDEN), spare("old", rows, lanes, HIDDEN), spare("sums", 4, rows, lanes, HIDDEN)
+    x, begins = spare("inputs", 3, lanes, HIDDEN), fresh.any(1)
     for t in range(steps):
+        k = 0 if keep is None else t
         if begins[t]:
-            state = state * (1 - fresh[t])[:, None]
-        a = state @ net.again
-        g = _sigmoid(x[t, :, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
-        r, z, again = g[:, :HIDDEN], g[:, HIDDEN:], a[:, 2 * HIDDEN :]
-        new = r * again
-        new += x[t, :, 2 * HIDDEN :]
+            state = np.multiply(state, (1 - fresh[t])[:, None], out=old[k])
+        elif keep is not None:
+            old[k] = state
+        np.matmul(state, weights, out=sums[1:, k])
+        table.take(inputs[t], 1, out=x, mode="clip")
+        new, again, gates, after = sums[0, k], sums[3, k], sums[1:3, k], out[t]
+        gates += x[:2]
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        np.multiply(gates[0], again, out=new)
+        new += x[2]
         np.tanh(new, out=new)
         if keep is not None:
-            keep.append((state, again, r, z, new))
-        after = out[t]
+            keep.append((old[k], again, *gates, new))
         np.subtract(state, new, out=after)
-        after *= z
+        after *= gates[1]
         after += new
         state = after
     return out, state.copy()
@@ -172,120 +213,147 @@ def _held(logits: np.ndarray, bounded: bool) -> np.ndarray:
     return logits
 
 
-def _softmax(logits: np.ndarray, bounded: bool) -> np.ndarray:
-    """In place."""
-    np.exp(_held(logits, bounded), out=logits)
-    logits /= (logits @ _ONES[: logits.shape[1]])[:, None]
-    return logits
+def _by_class(cls: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes that have about as many members, and where these are, a row a class; len(cls) where a class has fewer."""
+    order, size = np.append(np.argsort(cls.astype(np.uint8), kind="stable"), len(cls)), np.bincount(cls, minlength=CLASSES)
+    largest = np.argsort(-size, kind="stable")
+    start, size = (np.cumsum(size) - size)[largest], size[largest]
+    sizes, lo = [*size.tolist(), 0], 0
+    while sizes[lo]:
+        hi, place = lo + 1, np.arange(sizes[lo])
+        while sizes[hi] >= 0.65 * sizes[lo]:
+            hi += 1
+        yield largest[lo:hi], order[np.where(place < size[lo:hi, None], start[lo:hi, None] + place, len(cls))]
+        lo = hi
 
 
-def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-    """An order that puts the members of a class together, and each class's place in it."""
-    order = np.argsort(cls.astype(np.uint8), kind="stable")
-    ends = np.cumsum(np.bincount(cls, minlength=CLASSES)).tolist()
-    return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]
+def log_probabilities(net: Net, states: np.ndarray, targets: np.ndarray, spare: Spare | None = None) -> np.ndarray:
+    """Natural log probability of each target: its class, then the word in the class."""
+    n, spare = len(targets), spare or Spare()
+
+    def of(x: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, bounded: bool, out: np.ndarray) -> None:
+        """Log probability of column at[i] in row i; layers side by side."""
+        for lo in range(0, x.shape[1], ROWS):
+            part, here = x[:, lo : lo + ROWS], at[:, lo : lo + ROWS].ravel()
+            logits = np.matmul(part, weights, out=spare("logits", *part.shape[:2], weights.shape[2]))
+            logits += bias[:, None]
+            flat = _held(logits.reshape(len(here), -1), bounded)
+            hit = flat[np.arange(len(here)), here]
+            np.exp(flat, out=flat)
+            hit -= np.log(flat @ _ONES[: flat.shape[1]])
+            out[:, lo : lo + ROWS] = hit.reshape(len(x), -1)
+
+    cls, word = targets // CLASS_SIZE, np.append(targets % CLASS_SIZE, 0)
+    out, inside, bounded = np.empty(n, np.float32), np.empty(n + 1, np.float32), _bounded(net.to_word, net.word_bias)
+    of(states[None], net.to_class[None], net.class_bias[None], cls[None], _bounded(net.to_class, net.class_bias), out[None])
+    for some, at in _by_class(cls):
+        hit = spare("hit", *at.shape)
+        of(states.take(at, 0, out=spare("members", *at.shape, HIDDEN), mode="clip"), net.to_word[some], net.word_bias[some], word[at], bounded, hit)
+        inside[at] = hit
+    out += inside[:n]
+    return out
 
 
-def log_probabilities(net: Net, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target: its class, then the word in the class."""
-    n = len(targets)
-    cls, word = targets // CLASS_SIZE, targets % CLASS_SIZE
-    row = np.arange(n)
-
-    def of(logits: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
-        """Log probability of column at[i] in row i."""
-        hit = _held(logits, bounded)[row[: len(at)], at]
-        np.exp(logits, out=logits)
-        return hit - np.log(logits @ _ONES[: logits.shape[1]])
-
-    logits = states @ net.to_class
-    logits += net.class_bias
-    out = of(logits, cls, _bounded(net.to_class, net.class_bias))
-    bounded = _bounded(net.to_word, net.word_bias)
-    order, classes = _by_class(cls)
-    states, word, inside = states[order], word[order], np.empty(n, out.dtype)
-    for c, at in classes:
-        logits = states[at] @ net.to_word[c]
-        logits += net.word_bias[c]
-        inside[at] = of(logits, word[at], bounded)
-    out[order] += inside
+def _output(x: np.ndarray, weights: np.ndarray, bias: np.ndarray, goal: np.ndarray, share: np.ndarray, bounded: bool, spare: Spare, by_x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Softmax layers side by side (layers, rows, ...): the probability of each row's goal, and the slopes of weights and bias of
+    the loss that weighs rows by share. by_x: takes those of x."""
+    hits, by_weights, by_bias = np.empty(goal.shape, np.float32), np.zeros_like(weights), np.zeros_like(bias)
+    back = np.ascontiguousarray(weights.transpose(0, 2, 1))
+    for lo in range(0, x.shape[1], ROWS):
+        part, at, w = x[:, lo : lo + ROWS], goal[:, lo : lo + ROWS].ravel(), share[:, lo : lo + ROWS].ravel()
+        p = np.matmul(part, weights, out=spare("logits", *part.shape[:2], weights.shape[2]))
+        p += bias[:, None]
+        flat, row = p.reshape(len(at), -1), np.arange(len(at))
+        np.exp(_held(flat, bounded), out=flat)
+        total = flat @ _ONES[: flat.shape[1]]
+        hit = flat[row, at]
+        hit /= total
+        hits[:, lo : lo + ROWS] = hit.reshape(len(x), -1)
+        flat *= (w / total)[:, None]
+        flat[row, at] -= w
+        by_weights += (p.transpose(0, 2, 1) @ part).transpose(0, 2, 1)
+        by_bias += np.ones(p.shape[1], np.float32) @ p
+        np.matmul(p, back, out=by_x[:, lo : lo + ROWS])
+    return hits, by_weights, by_bias
+
+
+def _sums_by_word(rows: np.ndarray, ids: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Sums of rows (3, tokens, HIDDEN) over each word's tokens; words: those in ids, in order. Very frequent words are a product
+    each. The others' tokens are taken in runs of powers of two, all words' runs of one length at once."""
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    size = np.bincount(ids, minlength=VOCABULARY)[words]
+    at, run = np.cumsum(size) - size, 1
+    out = np.zeros((3, len(words), HIDDEN), np.float32)
+    for k in np.flatnonzero(size * 8 > len(ids)):
+        out[:, k], size[k] = (ids == words[k]).astype(np.float32) @ rows, 0
+    while run <= size.max():
+        some = np.flatnonzero(size & run)
+        if len(some):
+            part = rows.take(order[at[some][:, None] + np.arange(run)].ravel(), 1).reshape(3, len(some), run, HIDDEN)
+            while part.shape[2] > 1:
+                part = part[:, :, ::2] + part[:, :, 1::2]
+            out[:, some] += part[:, :, 0]
+            at[some] += run
+        run *= 2
     return out
 
 
-def gradient(net: Net, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, real: np.ndarray, state: np.ndarray) -> tuple[float, Net, np.ndarray]:
+def gradient(net: Net, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, real: np.ndarray, state: np.ndarray, spare: Spare | None = None) -> tuple[float, Net, np.ndarray]:
     """Loss a token, its gradient through this window, and the last state. real: 1 where a token counts."""
     steps, lanes = inputs.shape
     keep: list = []
-    ids = inputs.ravel()
+    ids, spare = inputs.ravel(), spare or Spare()
     here = np.bincount(ids, minlength=VOCABULARY) > 0
     once = np.flatnonzero(here)  # the window's words
-    states, last = run_window(net, (np.cumsum(here) - 1)[inputs], fresh, state, keep, net.embed[once] @ net.into + net.bias)
+    states, last = run_window(net, (np.cumsum(here) - 1)[inputs], fresh, state, keep, input_sums(net, net.embed[once]), spare)
     flat, goal, w = states.reshape(-1, HIDDEN), targets.ravel(), real.ravel()
     n = max(1.0, float(w.sum()))
-    cls, word, row, share = goal // CLASS_SIZE, goal % CLASS_SIZE, np.arange(len(goal)), w / np.float32(n)
+    cls, word, share = goal // CLASS_SIZE, np.append(goal % CLASS_SIZE, 0), np.append(w / np.float32(n), np.float32(0))
     g = Net(*(np.zeros_like(a) for a in net))
-    p = flat @ net.to_class
-    p += net.class_bias
-    hit = _softmax(p, _bounded(net.to_class, net.class_bias))[row, cls]
-    p[row, cls] -= 1
-    p *= share[:, None]
-    g.to_class[:] = flat.T @ p
-    g.class_bias[:] = np.ones(len(p), np.float32) @ p
-    d_states = p @ net.to_class.T
-    order, classes = _by_class(cls)
-    sorted_states, word, weight, ones, bounded = flat[order], word[order], share[order], np.ones(len(goal), np.float32), _bounded(net.to_word, net.word_bias)
-    inside, d_sorted = np.empty(len(goal), np.float32), np.empty_like(sorted_states)
-    for c, at in classes:
-        x, q, i = sorted_states[at], word[at], row[: at.stop - at.start]
-        p = x @ net.to_word[c]
-        p += net.word_bias[c]
-        inside[at] = _softmax(p, bounded)[i, q]
-        p[i, q] -= 1
-        p *= weight[at, None]
-        g.to_word[c] = x.T @ p
-        g.word_bias[c] = ones[: len(i)] @ p
-        np.matmul(p, net.to_word[c].T, out=d_sorted[at])
-    d_states[order] += d_sorted
-    hit[order] *= inside
+    top = spare("top", len(goal), HIDDEN)
+    hit, g.to_class[:], g.class_bias[:] = (a[0] for a in _output(flat[None], net.to_class[None], net.class_bias[None], cls[None], share[None, :-1], _bounded(net.to_class, net.class_bias), spare, top[None]))
+    inside, d_states, bounded = np.empty(len(goal) + 1, np.float32), spare("d_states", len(goal) + 1, HIDDEN), _bounded(net.to_word, net.word_bias)
+    for some, at in _by_class(cls):
+        x, by_x = flat.take(at, 0, out=spare("members", *at.shape, HIDDEN), mode="clip"), spare("by_x", *at.shape, HIDDEN)
+        inside[at], g.to_word[some], g.word_bias[some] = _output(x, net.to_word[some], net.word_bias[some], word[at], share[at], bounded, spare, by_x)
+        d_states[at] = by_x
+    d_states = d_states[:-1]
+    d_states += top
+    hit *= inside[:-1]
     loss = -float((np.log(hit + 1e-30) * w).sum()) / n
     d_states = d_states.reshape(steps, lanes, HIDDEN)
-    # by step: of the gates' sums (d_x), and of what the new state's gate lets through of the old one (d_old)
-    d_x, d_old = np.empty((steps, lanes, 3 * HIDDEN), np.float32), np.empty((steps, lanes, HIDDEN), np.float32)
-    old, begins = np.stack([k[0] for k in keep]), fresh.any(1)
-    gates, through = np.ascontiguousarray(net.again[:, : 2 * HIDDEN].T), np.ascontiguousarray(net.again[:, 2 * HIDDEN :].T)
-    d = np.zeros((lanes, HIDDEN), np.float32)
+    # each step's slopes take the place of what they are slopes of: new, reset, update, and what reset lets through
+    slopes, through = spare("sums", 4, steps, lanes, HIDDEN), spare("through", 3, lanes, HIDDEN)
+    d, kept, d_new, left, begins = *spare("steps", 4, lanes, HIDDEN), fresh.any(1)
+    back = np.ascontiguousarray(net.again.reshape(HIDDEN, 3, HIDDEN).transpose(1, 2, 0))
+    d[:] = 0
     for t in range(steps - 1, -1, -1):
         before, again, r, z, new = keep[t]
         d += d_states[t]
-        d_r, d_z, d_new = d_x[t, :, :HIDDEN], d_x[t, :, HIDDEN : 2 * HIDDEN], d_x[t, :, 2 * HIDDEN :]
-        kept = d * z
+        np.multiply(d, z, out=kept)
         np.subtract(d, kept, out=d_new)
-        d_new *= 1 - new * new
-        np.subtract(before, new, out=d_z)
-        d_z *= kept
-        d_z *= 1 - z
-        np.multiply(d_new, r, out=d_old[t])
-        np.multiply(d_old[t], again, out=d_r)
-        d_r *= 1 - r
-        d = d_x[t, :, : 2 * HIDDEN] @ gates
-        d += d_old[t] @ through
-        d += kept
+        np.multiply(new, new, out=left)
+        d_new *= np.subtract(1, left, out=left)
+        np.subtract(1, z, out=left)
+        np.subtract(before, new, out=z)
+        z *= kept
+        z *= left
+        new[:] = d_new
+        d_new *= r
+        np.subtract(1, r, out=r)
+        r *= again
+        r *= d_new
+        again[:] = d_new
+        np.matmul(slopes[1:, t], back, out=through)
+        np.add(kept, through[0], out=d)
+        d += through[1]
+        d += through[2]
         if begins[t]:
             d *= (1 - fresh[t])[:, None]
-    rows, old = d_x.reshape(-1, 3 * HIDDEN), old.reshape(-1, HIDDEN)
-    g.again[:, : 2 * HIDDEN] = old.T @ rows[:, : 2 * HIDDEN]
-    g.again[:, 2 * HIDDEN :] = old.T @ d_old.reshape(-1, HIDDEN)
-    g.bias[:] = ones @ rows
-    # sums of the rows by word; the unknown entry, which has many, by one product
-    unknown = ids == UNKNOWN
-    known = np.flatnonzero(~unknown)
-    order = known[np.argsort(ids[known].astype(np.uint16), kind="stable")]
-    start = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    sums = np.empty((len(once), 3 * HIDDEN), np.float32)
-    if len(order):
-        sums[once != UNKNOWN] = np.add.reduceat(rows[order], start, axis=0)
-    if here[UNKNOWN]:
-        sums[once == UNKNOWN] = unknown.astype(np.float32) @ rows
+    slopes, old = slopes.reshape(4, -1, HIDDEN), spare("old", steps * lanes, HIDDEN)
+    g.again[:] = (slopes[1:].transpose(0, 2, 1) @ old).reshape(-1, HIDDEN).T
+    sums = _sums_by_word(slopes[:3], ids, once)[[1, 2, 0]].transpose(1, 0, 2).reshape(-1, 3 * HIDDEN)
+    g.bias[:] = np.ones(len(once), np.float32) @ sums
     g.into[:] = net.embed[once].T @ sums
     g.embed[once] = sums @ net.into.T
     return loss, g, last
@@ -338,23 +406,25 @@ class Adam:
         self.m, self.v, self.t, self.rate = [np.zeros_like(a) for a in net], [np.zeros_like(a) for a in net], 0, rate
 
     def step(self, net: Net, g: Net) -> None:
+        """Overwrites g. The moments are held without their factors 0.1 and 0.001."""
         self.t += 1
         norm = float(np.sqrt(sum(float(np.dot(x.ravel(), x.ravel())) for x in g)))
-        clip = min(1.0, 1.0 / (norm + 1e-9))
-        rate = self.rate * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t)
-        for a, x, m, v in zip(net, g, self.m, self.v, strict=True):
-            part = x * (0.1 * clip)
-            m *= 0.9
-            m += part
-            np.multiply(x, x, out=part)
-            part *= 0.001 * clip * clip
-            v *= 0.999
-            v += part
-            np.sqrt(v, out=part)
-            part += 1e-8
-            np.divide(m, part, out=part)
-            part *= rate
-            a -= part
+        clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+        rate = np.float32(0.1 / 0.001**0.5 * self.rate * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t))
+        for arrays in zip(net, g, self.m, self.v, strict=True):
+            for lo in range(0, arrays[0].size, STEP_SIZE):
+                a, x, m, v = (y.reshape(-1)[lo : lo + STEP_SIZE] for y in arrays)
+                x *= clip
+                m *= 0.9
+                m += x
+                x *= x
+                v *= 0.999
+                v += x
+                np.sqrt(v, out=x)
+                x += 1e-8 / 0.001**0.5
+                np.divide(m, x, out=x)
+                x *= rate
+                a -= x
 
 
 def gathered(blocks: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -380,7 +450,7 @@ def gathered(blocks: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iter
 def learn(net: Net, blocks: Iterator[tuple[np.ndarray, np.ndarray]], rate: float) -> tuple[Net, int]:
     """Goes on training over blocks of (word ids, first word of each document); also the number of tokens."""
     net = Net(*(a.copy() for a in net))
-    adam, n, held, tokens = Adam(net, rate), 0, None, 0
+    adam, n, held, tokens, spare = Adam(net, rate), 0, None, 0, Spare()
 
     def step() -> None:
         nonlocal held, tokens
@@ -392,7 +462,7 @@ def learn(net: Net, blocks: Iterator[tuple[np.ndarray, np.ndarray]], rate: float
         state = None
         for feed, goal, fresh, real, _ in stream(ids, first, TRAIN_LANES):
             state = np.zeros((feed.shape[1], HIDDEN), np.float32) if state is None else state[: feed.shape[1]]
-            _, g, state = gradient(net, feed, goal, fresh, real, state)
+            _, g, state = gradient(net, feed, goal, fresh, real, state, spare)
             here = int(real.sum())
             if held is None:
                 held = g
@@ -411,14 +481,15 @@ def text_scores(net: Net, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Natural log probability of each document's words, as vocabulary entries, and its end."""
     docs = len(first) - 1
     out = np.zeros(docs)
-    state, table = None, net.embed @ net.into + net.bias
+    state, table, spare = None, input_sums(net, net.embed), Spare()
     per_word = np.zeros(len(ids), np.float32)
     for feed, goal, fresh, real, where in stream(ids, first, LANES):
         state = np.zeros((feed.shape[1], HIDDEN), np.float32) if state is None else state[: feed.shape[1]]
-        states, state = run_window(net, feed, fresh, state, None, table)
-        use = real.ravel() > 0
-        lp = log_probabilities(net, states.reshape(-1, HIDDEN)[use], goal.ravel()[use])
-        at = where.ravel()[use]
+        states, state = run_window(net, feed, fresh, state, None, table, spare)
+        states, goal, at, use = states.reshape(-1, HIDDEN), goal.ravel(), where.ravel(), real.ravel() > 0
+        if not use.all():
+            states, goal, at = states[use], goal[use], at[use]
+        lp = log_probabilities(net, states, goal, spare)
         words = at >= 0
         per_word[at[words]] = lp[words]
         out[-1 - at[~words]] += lp[~words]
@@ -436,7 +507,7 @@ def word_blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[
     """Parts of the batches, and their words."""
     for batch in batches:
         data, offsets = utf8(column(batch, text))
-        for lo, hi in chunks(offsets):
+        for lo, hi in chunks(offsets, STEP_BYTES):
             yield batch.slice(lo, hi - lo), Words(data, offsets[lo : hi + 1], SPACES)
 
 
@@ -463,8 +534,10 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 def slots(c: Counts, h: np.ndarray) -> np.ndarray:
-    at = look_up(c, h)
-    return np.where(at >= 0, c.slot[at], UNKNOWN).astype(np.int32)
+    at, out = look_up(c, h), np.full(len(h), UNKNOWN, np.int32)
+    found = at >= 0
+    out[found] = c.slot[at[found]]
+    return out
 
 
 def slot_counts(c: Counts) -> np.ndarray:
@@ -516,11 +589,11 @@ def train(docs: DataFrame, keep: Scratch) -> tuple[Counts, Net, DataFrame]:
 
 def _round(docs: DataFrame, head: Counts, net: Net, rate: float, keep: Scratch, name: str) -> Net:
     """The mean of the networks that docs' tasks get to from net; net itself, if there are no documents."""
-    shared = docs.sparkSession.sparkContext.broadcast((head, net))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary(head), net))
 
     def tune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, net = shared.value
-        net, n = learn(net, ((slots(head, w.hash), w.first) for _, w in word_blocks(batches, "text")), rate)
+        known, net = shared.value
+        net, n = learn(net, ((slots(known, w.hash), w.first) for _, w in word_blocks(batches, "text")), rate)
         if n:
             task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_pydict(

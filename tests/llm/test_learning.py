@@ -103,3 +103,56 @@ def test_lm_slopes_of_windows_with_and_without_unknown_words():
         fresh, real = np.zeros((8, 5), np.float32), np.ones((8, 5), np.float32)
         _, g, _ = gru_lm.gradient(net, ids.astype(np.int32), ids.astype(np.int32), fresh, real, np.zeros((5, gru_lm.HIDDEN), np.float32))
         assert set(np.flatnonzero(np.abs(g.embed).sum(1))) == set(np.unique(ids))
+
+
+def test_lm_classes_are_taken_in_few_groups():
+    """Each member once, and not a pass a class: a window's 6,144 targets took 64 passes of small products."""
+    rng = np.random.default_rng(5)
+    cls = np.minimum(rng.zipf(1.3, 6144) - 1, gru_lm.CLASSES - 1)
+    groups = list(gru_lm._by_class(cls))
+    assert len(groups) < 20 and len(set(cls)) == gru_lm.CLASSES
+    assert sorted(i for _, at in groups for i in at[at < len(cls)].tolist()) == list(range(len(cls)))
+    assert all((cls[row[row < len(cls)]] == c).all() for some, at in groups for c, row in zip(some, at, strict=True))
+    assert sum(at.size for _, at in groups) < 1.3 * len(cls) and not list(gru_lm._by_class(cls[:0]))
+
+
+def test_lm_sums_by_word():
+    rng = np.random.default_rng(6)
+    for ids in (np.minimum(rng.zipf(1.2, 5000), 900), np.full(33, 7), rng.permutation(gru_lm.VOCABULARY)[:64]):
+        rows, words = rng.normal(size=(3, len(ids), gru_lm.HIDDEN)).astype(np.float32), np.unique(ids)
+        want = np.stack([rows[:, ids == w].astype(float).sum(1) for w in words], 1)
+        assert np.abs(gru_lm._sums_by_word(rows, ids, words) - want).max() < 1e-3
+
+
+def test_lm_arrays_that_are_taken_again():
+    """Windows of several sizes, one after the other over one set of arrays, have the slopes and scores that each has alone."""
+    rng, spare = np.random.default_rng(7), gru_lm.Spare()
+    net = gru_lm.fresh_net(rng.integers(1, 1000, gru_lm.VOCABULARY).astype(float))
+    for steps, lanes in ((8, 5), (32, 40), (3, 1), (32, 7)):
+        feed, goal = (rng.integers(0, gru_lm.VOCABULARY, (steps, lanes)).astype(np.int32) for _ in range(2))
+        fresh, real, state = (rng.random((steps, lanes)) < 0.2).astype(np.float32), np.ones((steps, lanes), np.float32), rng.uniform(-1, 1, (lanes, gru_lm.HIDDEN)).astype(np.float32)
+        loss, g, last = gru_lm.gradient(net, feed, goal, fresh, real, state, spare)
+        alone = gru_lm.gradient(net, feed, goal, fresh, real, state)
+        assert loss == alone[0] and all((a == b).all() for a, b in zip((*g, last), (*alone[1], alone[2]), strict=True))
+        states, last = gru_lm.run_window(net, feed, fresh, state, None, None, spare)
+        assert np.allclose(last, alone[2])
+        got = gru_lm.log_probabilities(net, states.reshape(-1, gru_lm.HIDDEN), goal.ravel(), spare)
+        assert abs(got.mean() + loss) < 1e-4
+
+
+def test_lm_look_up():
+    """The most frequent token with the same first bits is met first, tokens that aren't there are not found, and the
+    vocabulary alone has the same places."""
+    rng = np.random.default_rng(8)
+    hashes = rng.integers(0, 1 << 63, 300_000, dtype=np.uint64) * np.uint64(2)  # all even
+    hashes[5] = gru_lm.END
+    count = np.sort(rng.integers(1, 1000, len(hashes)))[::-1]
+    c = gru_lm.head_counts(hashes, count, int(count.sum()), len(hashes))
+    top = c.hash >> np.uint64(64 - gru_lm._TOP)
+    assert (np.diff(top.astype(np.int64)) >= 0).all() and (np.diff(c.count)[top[1:] == top[:-1]] <= 0).all()
+    at = gru_lm.look_up(c, hashes)
+    assert (c.hash[at] == hashes).all() and (gru_lm.look_up(c, hashes[6:] | np.uint64(1)) == -1).all()
+    known = gru_lm.vocabulary(c)
+    assert len(known.hash) == gru_lm.VOCABULARY - 1 and (gru_lm.slots(known, hashes) == gru_lm.slots(c, hashes)).all()
+    none = gru_lm.head_counts(hashes[:0], count[:0], 0, 0)
+    assert (gru_lm.slots(gru_lm.vocabulary(none), hashes[:9]) == gru_lm.UNKNOWN).all()
