@@ -385,8 +385,8 @@ def stream(ids: np.ndarray, first: np.ndarray, lanes: int) -> Iterator[tuple[np.
     # targets of all lanes, one after the other: a place for words, -1 - document for ends
     where = np.arange(int(total.sum())) + np.repeat(first[:-1][docs] - (ends - length), length + 1)
     where[ends] = -1 - docs
-    goal = np.full(len(where), END_SLOT, np.int32)
-    goal[where >= 0] = ids[where[where >= 0]]
+    goal = ids.take(where, mode="clip") if len(ids) else np.empty(len(where), np.int32)
+    goal[ends] = END_SLOT
     begins = np.zeros(len(where), np.float32)
     begins[ends - length] = 1
     feed = np.full(len(where), END_SLOT, np.int32)
@@ -398,7 +398,7 @@ def stream(ids: np.ndarray, first: np.ndarray, lanes: int) -> Iterator[tuple[np.
         steps = np.arange(t, min(t + STEPS, int(total[0])))[:, None]
         real = (steps < total[:n]).astype(np.float32)
         at = np.minimum(offset[:n] + steps, len(where) - 1)
-        yield feed[at], goal[at], begins[at], real, where[at]
+        yield feed.take(at), goal.take(at), begins.take(at), real, where.take(at)
 
 
 class Adam:
@@ -414,7 +414,8 @@ class Adam:
         for arrays in zip(net, g, self.m, self.v, strict=True):
             for lo in range(0, arrays[0].size, STEP_SIZE):
                 a, x, m, v = (y.reshape(-1)[lo : lo + STEP_SIZE] for y in arrays)
-                x *= clip
+                if clip < 1:
+                    x *= clip
                 m *= 0.9
                 m += x
                 x *= x
@@ -479,21 +480,17 @@ def learn(net: Net, blocks: Iterator[tuple[np.ndarray, np.ndarray]], rate: float
 
 def text_scores(net: Net, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Natural log probability of each document's words, as vocabulary entries, and its end."""
-    docs = len(first) - 1
-    out = np.zeros(docs)
     state, table, spare = None, input_sums(net, net.embed), Spare()
-    per_word = np.zeros(len(ids), np.float32)
+    scores = np.zeros(len(ids) + len(first) - 1, np.float32)  # of words, then of ends, the last document's first
     for feed, goal, fresh, real, where in stream(ids, first, LANES):
         state = np.zeros((feed.shape[1], HIDDEN), np.float32) if state is None else state[: feed.shape[1]]
         states, state = run_window(net, feed, fresh, state, None, table, spare)
         states, goal, at, use = states.reshape(-1, HIDDEN), goal.ravel(), where.ravel(), real.ravel() > 0
         if not use.all():
             states, goal, at = states[use], goal[use], at[use]
-        lp = log_probabilities(net, states, goal, spare)
-        words = at >= 0
-        per_word[at[words]] = lp[words]
-        out[-1 - at[~words]] += lp[~words]
-    return out + _sums(per_word.astype(np.float64), first)
+        scores[at] = log_probabilities(net, states, goal, spare)
+    scores = scores.astype(np.float64)
+    return scores[len(ids) :][::-1] + _sums(scores[: len(ids)], first)
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
