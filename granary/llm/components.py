@@ -19,7 +19,7 @@ def components(keep: Scratch, links: DataFrame, name: str = "components") -> Dat
     edges = keep.save(ordered(links), f"{name}-0")
     state, k = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first(), 0
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))  # one scan
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b")
         large = ordered(large)

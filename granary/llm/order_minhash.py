@@ -482,6 +482,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # of each class, the text whose first row has the smallest id; ties (ids that repeat, or are null) go by digest
     chosen = named.where(F.col("first").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("node", "first")).alias("m"))
     chosen = chosen.select(F.col("m.node").alias(node), F.col("m.first").alias(theirs))
+    chosen = Scratch(docs.sparkSession).save(chosen, "chosen")  # joined twice
     text = text_column()
     rows = docs.withColumn(key, F.when(F.trim(text) != "", F.unhex(F.md5(text))))
     stay = rows.join(chosen, (F.col(key) == F.col(node)) & F.col("doc_id").eqNullSafe(F.col(theirs)), "left_semi")

@@ -7,6 +7,7 @@ The embeddings begin with how the classes share each word, so that a few hundred
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -265,11 +266,10 @@ def _round(rows: DataFrame, state: np.ndarray, sums: np.ndarray, k: int, draw: d
     got = tuned.groupBy("at").agg(*mean).toArrow()  # a row a row of weights, however many tasks
     shared.destroy()
     at = got["at"].to_numpy()
-    change = np.stack([got[c].to_numpy() for c in names], 1)
-    loss, some = float(change[at < 0, :2].sum(dtype=np.float64)), at >= 0
+    loss, some = sum(float(got[c].to_numpy()[at < 0].sum(dtype=np.float64)) for c in names[:2]), at >= 0
     state, sums = state.copy(), sums.copy()
-    state[at[some]] += change[some, :DIM]
-    sums[at[some]] += change[some, DIM:]
+    for i, c in enumerate(names):  # one column at a time, as the driver has all rows of weights
+        (state if i < DIM else sums)[at[some], i % DIM] += got[c].to_numpy()[some]
     return state, sums, loss
 
 
@@ -315,16 +315,31 @@ def trained(rows: DataFrame, keep: Scratch) -> np.ndarray:
     return state if loss < least else best
 
 
+def _curve(judged: DataFrame, beta: np.ndarray) -> list[float]:
+    """The sums of a Newton step over all rows, five numbers a task. beta is no part of the plan, so the driver plans and compiles
+    the same query each time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(5)
+        for batch in batches:
+            z = column(batch, "z").to_numpy().astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(z * beta[0] + beta[1], -30, 30)))
+            target = np.where(column(batch, "toxic").to_numpy() == 1, 0.995, 0.005)  # keeps separable scores finite
+            w, off = p * (1 - p) + 1e-6, p - target
+            total += [(w * z * z).sum(), (w * z).sum(), w.sum(), (off * z).sum(), off.sum()]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=list("abcde"))
+
+    sums = judged.select("toxic", "z").mapInArrow(run, ", ".join(f"{c} double" for c in "abcde")).toArrow()
+    return [math.fsum(sums[c].to_pylist()) for c in "abcde"]
+
+
 def calibrated(model: Model, judged: DataFrame) -> Model:
     """Fits the sigmoid's scale by Newton's method, and a threshold for each language: the score that most of its toxic
     documents reach while FALSE_ALARMS of its clean ones do, halfway up to the next toxic one. judged: lang, toxic, z, of which
     each step takes sums over all rows."""
-    z, beta = F.col("z").cast("double"), np.array([1.0, 0.0])
-    target = F.when(F.col("toxic") == 1, 0.995).otherwise(0.005)  # keeps separable scores finite
+    beta = np.array([1.0, 0.0])
     for _ in range(30):
-        p = 1 / (1 + F.exp(-F.greatest(F.least(z * float(beta[0]) + float(beta[1]), F.lit(30.0)), F.lit(-30.0))))
-        w, off = p * (1 - p) + 1e-6, p - target
-        a, b, c, d, e = judged.agg(F.sum(w * z * z), F.sum(w * z), F.sum(w), F.sum(off * z), F.sum(off)).first()
+        a, b, c, d, e = _curve(judged, beta)
         step = np.linalg.solve(np.array([[a, b], [b, c]]) + 1e-3 * np.eye(2), np.array([d, e]) + 1e-3 * (beta - [1, 0]))
         step = step / max(1.0, np.abs(step / [0.1, 0.5]).max())  # separable classes flatten the curve
         beta = beta - step
@@ -357,12 +372,12 @@ def thresholds(judged: DataFrame, scale: tuple[float, float]) -> dict[str, float
         clean = clean.where(chosen)
     edges = {k: float(np.array([v if v >= 0 else v ^ 0x7FFFFFFF], np.int32).view(np.float32)[0]) for k, v in key.items()}
     score = lambda x: float(1 / (1 + np.exp(-np.clip(x * scale[0] + scale[1], -30, 30))))
-    out = {}
-    for k in n:
-        edge = edges.get(k, -scale[1] / scale[0])
-        above = each.where((F.col("of") == k) & (F.col("toxic") == 1) & (F.col("z").cast("double") > edge)).agg(F.min("z")).first()[0]
-        out[k] = min(0.95, max(0.3, (score(edge) + (1 if above is None else score(above))) / 2))
-    return out
+    edges = {k: edges.get(k, -scale[1] / scale[0]) for k in n}
+    over = F.lit(False)
+    for k, edge in edges.items():
+        over = over | ((F.col("of") == k) & (F.col("z").cast("double") > edge))
+    above = {r["of"]: r["z"] for r in each.where((F.col("toxic") == 1) & over).groupBy("of").agg(F.min("z").alias("z")).collect()}
+    return {k: min(0.95, max(0.3, (score(edge) + (score(above[k]) if k in above else 1)) / 2)) for k, edge in edges.items()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, of: Column | None = None) -> Model | None:

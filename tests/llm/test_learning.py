@@ -156,3 +156,28 @@ def test_lm_look_up():
     assert len(known.hash) == gru_lm.VOCABULARY - 1 and (gru_lm.slots(known, hashes) == gru_lm.slots(c, hashes)).all()
     none = gru_lm.head_counts(hashes[:0], count[:0], 0, 0)
     assert (gru_lm.slots(gru_lm.vocabulary(none), hashes[:9]) == gru_lm.UNKNOWN).all()
+
+
+def test_toxicity_calibration_compiles_nothing_new(spark, monkeypatch):
+    """What the driver compiles for the steps of the calibration doesn't grow with their number, and the scale is that of the whole sums."""
+    monkeypatch.setattr(toxicity, "thresholds", lambda judged, scale: {"": 0.5})
+    model, compiled = toxicity._model(np.zeros(((1 << toxicity.BITS) + 55, toxicity.DIM), np.float32)), []
+    for seed in (1, 2):
+        rng = np.random.default_rng(seed)
+        toxic = (rng.random(3000) < 0.3).astype(np.int32)
+        z = (rng.normal(-1, 2, 3000) + 2 * toxic).astype(np.float32)
+        judged = spark.createDataFrame(list(zip(["en"] * 3000, toxic.tolist(), z.tolist(), strict=True)), "lang string, toxic int, z float").repartition(3)
+        judged.count()
+        count = spark._jvm.org.apache.spark.metrics.source.CodegenMetrics.METRIC_COMPILATION_TIME().getCount
+        before = count()
+        got = toxicity.calibrated(model, judged).scale
+        compiled.append(count() - before)
+        x, aim, beta = z.astype(np.float64), np.where(toxic == 1, 0.995, 0.005), np.array([1.0, 0.0])
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-(x * beta[0] + beta[1])))
+            w, off = p * (1 - p) + 1e-6, p - aim
+            h = np.array([[(w * x * x).sum(), (w * x).sum()], [(w * x).sum(), w.sum()]]) + 1e-3 * np.eye(2)
+            step = np.linalg.solve(h, np.array([(off * x).sum(), off.sum()]) + 1e-3 * (beta - [1, 0]))
+            beta = beta - step / max(1.0, np.abs(step / [0.1, 0.5]).max())
+        assert np.allclose(got, beta, rtol=0, atol=1e-6)
+    assert compiled[1] <= 1
