@@ -15,9 +15,14 @@ MARKUP = r"^[\s#*>`~.-]+|[\s#*>`~.-]+$"
 FURNITURE = rf"_+{PUBLISHER}_+|\d{{1,4}}|(?i:{PUBLISHER}\s+(?:{FAMILIES})\s+{SERIES}.*\bV\d+\.\d+\.\d+\b.*)"
 
 
+def lowered(text: Column) -> Column:
+    """The text in lower case, each letter as one: a dotted capital I is an i, without a combining dot that would cut its word."""
+    return F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))
+
+
 def tokens(text: Column) -> Column:
     """Runs of a-z and 0-9 in the lower-cased text; other letters cut words."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(lowered(text), F.lit(TOKEN), F.lit(0))
 
 
 def token_id(token: Column) -> Column:

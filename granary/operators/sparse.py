@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.sizes import if_small
-from granary.functions.text import token_id, tokens
+from granary.functions.text import lowered, token_id, tokens
 
 #: Terms (query and token) that tasks hold at once; beyond that, queries and documents meet by a shuffled join.
 TERMS = 200_000
@@ -140,7 +140,7 @@ def _by_blocks(docs: DataFrame, asked: pa.Table, k: int, id_: str, query_kind: s
     names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
     queries, query = names.dictionary, names.indices.to_numpy().astype(np.int64)
     wanted, place = np.unique(asked["token_id"].to_numpy().astype(np.int64), return_inverse=True)
-    lowered, spark = docs.select(id_, F.lower("text").alias("text")), docs.sparkSession
+    lower, spark = docs.select(id_, lowered(F.col("text")).alias("text")), docs.sparkSession
     to_tasks = spark.sparkContext.broadcast(wanted)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def _by_blocks(docs: DataFrame, asked: pa.Table, k: int, id_: str, query_kind: s
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], names=["place", "df"])
 
-    found = lowered.select("text").mapInArrow(frequencies, "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
+    found = lower.select("text").mapInArrow(frequencies, "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
     df = dict(zip(found["place"].to_pylist(), found["df"].to_pylist(), strict=True))
     n = df.pop(-1, 0)
     many = np.array([df.get(i, 0) for i in range(len(wanted))], float)
@@ -198,4 +198,4 @@ def _by_blocks(docs: DataFrame, asked: pa.Table, k: int, id_: str, query_kind: s
         yield pa.RecordBatch.from_arrays([t.queries.take(pa.array(q + of)), ids.take(pa.array(at)), pa.array(scores[at, of])], names=["query_id", id_, "score"])
 
     kind = dict(docs.dtypes)[id_]
-    return ranked(lowered.mapInArrow(best, f"query_id {query_kind}, {id_} {kind}, score double"), k, id_)
+    return ranked(lower.mapInArrow(best, f"query_id {query_kind}, {id_} {kind}, score double"), k, id_)

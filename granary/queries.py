@@ -56,7 +56,7 @@ _FP = r"trim(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', '', 'g'
 
 @query("SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY ALL")
 def postings(spark, sf_dir):
-    return sparse.postings(t(spark, sf_dir, "documents")).select("doc_id", "token", "tf")
+    return sparse.postings(t(spark, sf_dir, "documents"), key="token").select("doc_id", "token", "tf")
 
 
 @query("SELECT token, count(DISTINCT doc_id) AS df, round(ln(1 + ((SELECT count(*) FROM documents) - count(DISTINCT doc_id) + 0.5) / (count(DISTINCT doc_id) + 0.5)), 6) AS idf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY token")

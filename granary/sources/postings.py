@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.sizes import if_small
+from granary.functions.text import lowered
 from granary.operators import sparse
 
 #: Folders of token ranges; documents of a block; tokens that are looked for by their numbers in the filter, not by a join.
@@ -54,7 +55,7 @@ class Postings:
         turn = sum(x.startswith("batch=") for x in self._files())
         kinds = dict(docs.dtypes)
         schema = f"range int, token_id long, block long, n int, docs array<int>, tfs array<int>, ids array<{kinds[self.id_]}>" + "".join(f", {c} {kinds[c]}" for c in self.by)
-        rows = docs.select(self.id_, *self.by, F.lower(text).alias("_text"))
+        rows = docs.select(self.id_, *self.by, lowered(F.col(text)).alias("_text"))
         id_, by = self.id_, self.by
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

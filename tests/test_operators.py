@@ -7,6 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from granary import queries
 from granary.functions import identity, session, text
 from granary.jobs import api
 from granary.operators import audit, chunking, dense, evaluate, fusion, graph, maintenance, shaping, sparse
@@ -393,6 +394,22 @@ def test_vectors_that_are_not_finite(spark):
         assert [tuple(r) for r in dense.top_k(v, asked, 5, "id", most).orderBy("rank").collect()] == [("q", "a", 1.0, 1), ("q", "g", 0.0, 2)]
 
 
+def test_tokens_that_share_an_id(spark, duck, tmp_path):
+    """Postings by token keep two tokens of one id apart, and lower case is that of the SQL."""
+    known, (one, other) = queries.queries(), ("undenkeitkeitung", "ettionaien")
+    assert zlib.crc32(one.encode()) & 0x7FFFFFFF == zlib.crc32(other.encode()) & 0x7FFFFFFF
+    rows = [(1, f"{one} {other} x {other}"), (2, f"{other}, \u0130zm\u0130r 5\u212a"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = duck.sql(queries.oracle_sql()["postings"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    got = sorted(map(tuple, known["postings"](spark, str(tmp_path)).select("doc_id", "token", "tf").collect()))
+    assert got == sorted(want) and {(1, one, 1), (1, other, 2), (2, "izmir", 1), (2, "5k", 1)} <= set(got)
+    asked, docs = spark.createDataFrame([(7, "izmir")], "query_id long, text string"), spark.read.parquet(f"{tmp_path}/documents.parquet")
+    store = postings.Postings(spark, str(tmp_path / "store"))
+    store.append(docs)
+    for found in (sparse.search(docs, asked), sparse.search(docs, asked, terms=0), store.search(asked)):
+        assert [r["doc_id"] for r in found.collect()] == [2]
+
+
 def test_images_are_pruned(spark):
     pages = spark.createDataFrame([("d", 1, "x ![a](i\\1.png) ![b](i/2.png)"), ("e", 1, "![a](i/1.png)"), ("d", None, None)], "doc_id string, page int, text string")
     images = spark.createDataFrame([("d", "i/1.png", False), ("d", "i/2.png", True), ("e", "i/1.png", True)], "doc_id string, path string, keep boolean")
