@@ -107,26 +107,38 @@ def match_catalog(paths: DataFrame, catalog: DataFrame) -> DataFrame:
     """path, code: the first catalog entry (position, code, pattern, repository, title) that a path matches, by its pattern,
     or its repository's name, or two words of its title of over three letters; a word that a title repeats counts as often.
 
-    Names and words are an inverted index: each path's parts of the lengths that they have meet them in an equal join, and hits
-    are counted by path and entry. So neither a large catalog nor a path is looked through. Patterns can't be indexed: the entries that have
-    one (not null, not empty) are tried on each path; a catalog without patterns has no such step.
+    Names and words are an index: each path's parts of the lengths that they have meet them in an equal join. An entry that a path
+    matches so has two of the path's parts, or one that counts twice, so the index is turned into the first entry of each two parts, and a
+    path meets one row for two of its parts, however many entries have them. Neither a large catalog nor a path is looked
+    through. Patterns can't be indexed: the entries that have one (not null, not empty) are tried on each path; a catalog
+    without patterns has no such step.
     """
     word = F.explode(F.filter(F.split(F.lower("title"), " "), lambda w: F.length(w) > 3)).alias("_part")
     words = catalog.select("position", word).groupBy("position", "_part").agg(F.count("*").alias("_hits"))
     names = catalog.where(F.coalesce("repository", F.lit("")) != "").select("position", F.lower("repository").alias("_part"), F.lit(2).cast("long").alias("_hits"))
     index = words.union(names)
     lengths = sorted(r[0] for r in index.select(F.length("_part")).distinct().collect())  # a few numbers
-    codes = catalog.select("position", "code")
-    p = F.lower("path")
+    paths, p = paths.select("path").distinct(), F.lower("path")
     parts = F.array(*(F.lit(n) for n in lengths)) if lengths else F.array().cast("array<int>")
-    cut = F.flatten(F.transform(F.filter(parts, lambda n: n <= F.length(p)), lambda n: F.transform(F.sequence(F.lit(1), F.length(p) - n + 1), lambda i: F.substring(p, i, n))))
-    pieces = paths.select("path").distinct().select("path", F.explode(F.array_distinct(cut)).alias("_part"))
-    met = pieces.join(index, "_part").groupBy("path", "position").agg(F.sum("_hits").alias("_hits")).where("_hits >= 2").select("path", "position")
+    each = paths.select("path", p.alias("_p"), F.explode(F.filter(parts, lambda n: n <= F.length(p))).alias("_n"))
+    each = each.select("path", "_p", "_n", F.explode(F.sequence(F.lit(1), F.length("_p") - F.col("_n") + 1)).alias("_i"))
+    pieces = each.select("path", F.substring("_p", F.col("_i"), F.col("_n")).alias("_part"))
+    held = pieces.join(if_small(index.select("_part").distinct()), "_part").groupBy("path").agg(F.collect_set("_part").alias("_parts"))
+    once = index.groupBy("position").agg(F.collect_set("_part").alias("_parts"), F.collect_set(F.when(F.col("_hits") >= 2, F.col("_part"))).alias("_twice"))
+    counts = (F.col("_a") < F.col("_b")) | F.array_contains("_twice", F.col("_a"))
+    firsts = _two(once, "position", "_twice").where(counts).groupBy("_a", "_b").agg(F.min("position").alias("position"))
+    met = _two(held, "path").join(if_small(firsts), ["_a", "_b"]).select("path", "position")
     patterns = catalog.where(F.coalesce("pattern", F.lit("")) != "").select("position", "pattern")
     if not patterns.isEmpty():
-        met = met.union(paths.select("path").distinct().join(if_small(patterns, 1000), F.regexp(p, F.col("pattern"))).select("path", "position"))
+        met = met.union(paths.join(if_small(patterns, 1000), F.regexp(p, F.col("pattern"))).select("path", "position"))
     first = met.groupBy("path").agg(F.min("position").alias("position"))
-    return first.join(codes, "position").select("path", "code")
+    return first.join(catalog.select("position", "code"), "position").select("path", "code")
+
+
+def _two(rows: DataFrame, *keep: str) -> DataFrame:
+    """keep, _a, _b: each two of a row's list _parts, _a not after _b, and each part with itself; the list is gone through row by row."""
+    first = rows.select(*keep, "_parts", F.explode("_parts").alias("_a"))
+    return first.select(*keep, "_a", F.explode("_parts").alias("_b")).where("_a <= _b")
 
 
 def merge_tiles(boxes: DataFrame, by: list[str], near: float = 5.0) -> DataFrame:

@@ -514,6 +514,26 @@ def test_catalog_matches(spark):
     assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
 
 
+def most_rows(plan):
+    """The most rows that a step of an executed plan gave."""
+    inner = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan() if "QueryStage" in plan.nodeName() else None
+    below = plan.children() if inner is None else None
+    rows, out = plan.metrics().get("numOutputRows"), 0
+    for x in [inner] if below is None else [below.apply(i) for i in range(below.size())]:
+        out = max(out, most_rows(x))
+    return max(out, rows.get().value() if rows.isDefined() else 0)
+
+
+def test_catalog_of_few_words(spark):
+    """Words that very many entries share: paths don't meet the entries one by one."""
+    catalog = spark.range(3000).selectExpr("3000 - id AS position", "concat('c', 3000 - id) AS code", "string(null) AS pattern", "'' AS repository", "CASE WHEN id % 2 = 0 THEN concat('large ring ', id) ELSE 'ring bolt ring' END AS title")
+    paths = spark.range(300).selectExpr("CASE WHEN id % 3 = 0 THEN concat('ring of large ', id) WHEN id % 3 = 1 THEN concat('ring', id) ELSE concat('a large bolt ', id) END AS path")
+    found = maintenance.match_catalog(paths, catalog)
+    got = {r["path"]: r["code"] for r in found.collect()}
+    assert got == {p: "c1" for p in (r["path"] for r in paths.collect()) if "ring" in p}
+    assert most_rows(found._jdf.queryExecution().executedPlan()) < 50_000  # 300 paths, 3000 entries
+
+
 def test_functions_in_sql(spark):
     session.register(spark)
     spark.createDataFrame([("a", TABLE), ("b", None), ("c", " ".join(words(700)))], "doc_id string, text string").createOrReplaceTempView("sql_pages")
