@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -410,6 +411,23 @@ def test_tokens_that_share_an_id(spark, duck, tmp_path):
         assert [r["doc_id"] for r in found.collect()] == [2]
 
 
+def test_scores_are_held_in_steps():
+    """Of many queries and vectors a step's scores are held at once, and the best are the same, ties by id."""
+    r = np.random.default_rng(5)
+    q, v = r.normal(size=(1024, 4)).astype(np.float32), r.normal(size=(16_384, 4)).astype(np.float32)
+    v[9000:] = v[: 16_384 - 9000]
+    tables = pa.table({"query_id": np.arange(1024), "embedding": pa.array(list(q))}), pa.table({"id": np.arange(16_384)[::-1], "embedding": pa.array(list(v))})
+    tracemalloc.start()
+    got = dense._best(*tables, 7, "id")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20  # all scores take 128 MB
+    scores = np.round((q.astype(float) / np.linalg.norm(q.astype(float), axis=1, keepdims=True)) @ (v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)).T, 6)[:, ::-1]
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :7]
+    assert got["id"].to_pylist() == order.ravel().tolist() and got["score"].to_pylist() == np.take_along_axis(scores, order, 1).ravel().tolist()
+    assert got["query_id"].to_pylist() == np.repeat(np.arange(1024), 7).tolist()
+
+
 def test_images_are_pruned(spark):
     pages = spark.createDataFrame([("d", 1, "x ![a](i\\1.png) ![b](i/2.png)"), ("e", 1, "![a](i/1.png)"), ("d", None, None)], "doc_id string, page int, text string")
     images = spark.createDataFrame([("d", "i/1.png", False), ("d", "i/2.png", True), ("e", "i/1.png", True)], "doc_id string, path string, keep boolean")
