@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.sizes import if_small
+from granary.jobs.scratch import saved
 
 from .sparse import ranked
 
@@ -118,12 +119,14 @@ def rerank(pool: DataFrame, documents: DataFrame, queries: DataFrame, k: int, id
     ask for it. Up to `most` queries' vectors, of BYTES at most, go to all tasks; more are joined to the pool. Vectors are multiplied in Arrow batches.
     """
     finite = F.coalesce(F.size("tokens") > 0, F.lit(False)) & F.forall("tokens", lambda v: F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))))
-    own = lambda df, *names: df.where(finite).select(*names, F.transform("tokens", lambda v: F.transform(v, lambda x: x.cast("double"))).alias("tokens"))
+    doubles = F.transform("tokens", lambda v: F.transform(v, lambda x: x.cast("double")))
+    # floats are moved as they are, and made doubles where they are multiplied
+    own = lambda df, name: df.where(finite).select(name, "tokens" if dict(df.dtypes)["tokens"] == "array<array<float>>" else doubles.alias("tokens"))
     queries, documents = own(queries, "query_id"), own(documents, id_)
-    asked = pool.select("query_id", id_).distinct()
-    local = queries.limit(most + 1).toArrow()
-    few = local.num_rows <= most and local.nbytes <= BYTES
+    asked = saved(pool.sparkSession, pool.select("query_id", id_).distinct())  # not searched again for its size
+    few = _blocks(queries, F.aggregate("tokens", F.lit(0), lambda n, v: n + F.size(v)), most) == 1
     if few:
+        local = queries.toArrow()
         by_id = asked.groupBy(id_).agg(F.collect_list("query_id").alias("asked"))  # `most` at most
         rows = documents.join(if_small(by_id), id_)
     else:
@@ -158,5 +161,5 @@ def _matrices(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
     sizes = np.diff(out.offsets.to_numpy()) if len(out) else np.zeros(0, np.int64)
     vectors = out.flatten()
     lengths = np.diff(vectors.offsets.to_numpy()) if len(vectors) else np.zeros(0, np.int64)
-    values, rows, parts = vectors.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(lengths)])
+    values, rows, parts = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(lengths)])
     return [values[parts[a] : parts[b]].reshape(b - a, -1) for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]

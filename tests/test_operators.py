@@ -428,6 +428,33 @@ def test_scores_are_held_in_steps():
     assert got["query_id"].to_pylist() == np.repeat(np.arange(1024), 7).tolist()
 
 
+def test_late_interaction_searches_once(spark):
+    """The pool is made once, not again for its size; queries beyond BYTES are joined, with the same result."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        made.add(1)
+        return x
+
+    r = np.random.default_rng(6)
+    docs = [(i, [[float(x) for x in r.integers(-4, 5, 3)] for _ in range(2)]) for i in range(20)]
+    d = spark.createDataFrame(docs, "id long, tokens array<array<float>>")
+    q = spark.createDataFrame([(i, docs[i][1]) for i in range(4)], "query_id long, tokens array<array<float>>")
+    pool = spark.createDataFrame([(a, b) for a in range(4) for b in range(a, 20, 3)], "query_id long, id long").coalesce(1).select(counted("query_id").alias("query_id"), "id")
+    got = [sorted(map(tuple, dense.rerank(pool, d, q, 3, "id").collect()))]
+    assert made.value == pool.count()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(dense, "BYTES", 64)
+        got.append(sorted(map(tuple, dense.rerank(pool, d, q, 3, "id").collect())))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = []
+    for a in range(4):
+        best = sorted((-sum(max(dot(x, y) for y in docs[b][1]) for x in docs[a][1]), b) for b in range(a, 20, 3))[:3]
+        want += [(a, b, -s, n + 1) for n, (s, b) in enumerate(best)]
+    assert got == [sorted(want)] * 2
+
+
 def test_images_are_pruned(spark):
     pages = spark.createDataFrame([("d", 1, "x ![a](i\\1.png) ![b](i/2.png)"), ("e", 1, "![a](i/1.png)"), ("d", None, None)], "doc_id string, page int, text string")
     images = spark.createDataFrame([("d", "i/1.png", False), ("d", "i/2.png", True), ("e", "i/1.png", True)], "doc_id string, path string, keep boolean")
