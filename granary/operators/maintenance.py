@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from granary.functions.identity import release_id
 from granary.functions.sizes import if_small
 from granary.functions.text import fingerprint, image_refs, without_images
+from granary.jobs.scratch import saved
 
 
 def elect(df: DataFrame, group: list[Column | str], order: list[Column | str]) -> DataFrame:
@@ -116,9 +117,12 @@ def match_catalog(paths: DataFrame, catalog: DataFrame) -> DataFrame:
     word = F.explode(F.filter(F.split(F.lower("title"), " "), lambda w: F.length(w) > 3)).alias("_part")
     words = catalog.select("position", word).groupBy("position", "_part").agg(F.count("*").alias("_hits"))
     names = catalog.where(F.coalesce("repository", F.lit("")) != "").select("position", F.lower("repository").alias("_part"), F.lit(2).cast("long").alias("_hits"))
-    index = words.union(names)
+    spark = catalog.sparkSession
+    index = saved(spark, words.union(names))  # read for the lengths, the parts and the pairs
     lengths = sorted(r[0] for r in index.select(F.length("_part")).distinct().collect())  # a few numbers
-    paths, p = paths.select("path").distinct(), F.lower("path")
+    # dealt out by number, as paths are so few bytes for the work on them that Spark would take them all in a few tasks
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    paths, p = paths.select("path").distinct().repartition(n), F.lower("path")
     parts = F.array(*(F.lit(n) for n in lengths)) if lengths else F.array().cast("array<int>")
     each = paths.select("path", p.alias("_p"), F.explode(F.filter(parts, lambda n: n <= F.length(p))).alias("_n"))
     each = each.select("path", "_p", "_n", F.explode(F.sequence(F.lit(1), F.length("_p") - F.col("_n") + 1)).alias("_i"))
