@@ -61,11 +61,12 @@ def stitch_parts(hits: DataFrame, keys: list[str], most: int = OVERLAP) -> DataF
                 out = stitch(out, t, most)
             return out
 
-        return lists.map(lambda x: one([t or "" for t in x]) if len(x) else "")
+        return lists.map(lambda x: one([t or "" for t in x]) if x is not None and len(x) else "")
 
     parts = F.array_sort(F.collect_list(F.struct("chunk_part", "rank", "content")))
     out = runs(hits, keys).groupBy(*keys, "_lone", "run").agg(F.min("rank").alias("rank"), F.min("chunk_part").alias("chunk_part"), parts.alias("_p"), F.count("*").alias("_n"), F.min_by(F.struct(F.lit(0).alias("_"), *others), F.struct("chunk_part", "rank")).alias("_m"))
-    content = F.when(F.col("_n") == 1, F.col("_p")[0]["content"]).otherwise(fold(F.transform("_p", lambda p: p["content"])))
+    texts = F.when(F.col("_n") > 1, F.transform("_p", lambda p: p["content"]))  # the function is given all rows, so those of one part without their text
+    content = F.when(F.col("_n") == 1, F.col("_p")[0]["content"]).otherwise(fold(texts))
     return out.select(*keys, "rank", "chunk_part", content.alias("content"), F.when(F.col("_n") > 1, F.col("_n").cast("int")).alias("stitched_parts"), *(F.col(f"_m.{c}") for c in others))
 
 

@@ -559,14 +559,23 @@ def test_catalog_matches(spark):
     assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
 
 
-def most_rows(plan):
-    """The most rows that a step of an executed plan gave."""
+def most(plan, metric):
+    """The most that a step of an executed plan tells of a metric."""
     inner = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan() if "QueryStage" in plan.nodeName() else None
     below = plan.children() if inner is None else None
-    rows, out = plan.metrics().get("numOutputRows"), 0
+    own, out = plan.metrics().get(metric), 0
     for x in [inner] if below is None else [below.apply(i) for i in range(below.size())]:
-        out = max(out, most_rows(x))
-    return max(out, rows.get().value() if rows.isDefined() else 0)
+        out = max(out, most(x, metric))
+    return max(out, own.get().value() if own.isDefined() else 0)
+
+
+def test_texts_of_one_part_stay_in_the_jvm(spark):
+    """Only texts that are stitched go to the function."""
+    hits = rows(spark, [(f"d{i}", 1, j + 1, n, 10 * i + j, f"{'x' * 20_000} {i} {j}") for i in range(40) for n in [1 + (i == 7)] for j in range(n)] + [("null", 1, 1, 1, 999, None)])
+    got = shaping.stitch_parts(hits, ["doc_id", "page"])
+    content = {r["doc_id"]: r["content"] for r in got.collect()}
+    assert len(content) == 41 and content["null"] is None and content["d3"] == f"{'x' * 20_000} 3 0" and content["d7"] == f"{'x' * 20_000} 7 0\n{'x' * 20_000} 7 1"
+    assert 40_000 < most(got._jdf.queryExecution().executedPlan(), "pythonDataSent") < 100_000  # all texts are 800 KB
 
 
 def test_catalog_of_few_words(spark):
@@ -576,7 +585,7 @@ def test_catalog_of_few_words(spark):
     found = maintenance.match_catalog(paths, catalog)
     got = {r["path"]: r["code"] for r in found.collect()}
     assert got == {p: "c1" for p in (r["path"] for r in paths.collect()) if "ring" in p}
-    assert most_rows(found._jdf.queryExecution().executedPlan()) < 50_000  # 300 paths, 3000 entries
+    assert most(found._jdf.queryExecution().executedPlan(), "numOutputRows") < 50_000  # 300 paths, 3000 entries
 
 
 def test_functions_in_sql(spark):
